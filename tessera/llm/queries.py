@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name: the module that has query(spark, sf_dir), and ORACLE_SQL where SQL can express it.
 MODULES = {
+    "op7_cost_balanced_packing": "packing",
     "op6_source_mixing": "mixing",
     "op9_substring_dedup": "substrings",
     "op10_simhash_near_dedup": "simhash",
