@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op7_cost_balanced_packing": "packing",
     "op6_source_mixing": "mixing",
+    "op8_viterbi_token_counts": "unigram_counts",
     "op9_substring_dedup": "substrings",
     "op10_simhash_near_dedup": "simhash",
 }
