@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: the module that has query(spark, sf_dir), and ORACLE_SQL where SQL can express it.
 MODULES = {
     "op1_pii_spans": "pii",
+    "op4_chat_windows": "chat",
     "op7_cost_balanced_packing": "packing",
     "op6_source_mixing": "mixing",
     "op8_viterbi_token_counts": "unigram_counts",
