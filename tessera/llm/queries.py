@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_pii_spans": "pii",
     "op4_chat_windows": "chat",
+    "op5_perplexity_bands": "perplexity",
     "op7_cost_balanced_packing": "packing",
     "op6_source_mixing": "mixing",
     "op8_viterbi_token_counts": "unigram_counts",
