@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: the module that has query(spark, sf_dir), and ORACLE_SQL where SQL can express it.
 MODULES = {
     "op1_pii_spans": "pii",
+    "op2_quality_machine": "quality",
+    "op3_projected_neighbours": "neighbours",
     "op4_chat_windows": "chat",
     "op5_perplexity_bands": "perplexity",
     "op7_cost_balanced_packing": "packing",
