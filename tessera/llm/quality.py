@@ -42,6 +42,8 @@ BATCH, RATE, DECAY = 24, 0.15, 1e-5
 #: Score from which a text is predicted good.
 CUT = 0.7
 STATISTICS = 16
+#: Rows scored together.
+TOGETHER = 256
 #: Steps of each statistic, which lies between 0 and 1.
 STEPS = np.array([0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9])
 WIDTH = STATISTICS * (len(STEPS) + 1)
@@ -152,7 +154,7 @@ def _flat(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(at, TOGETHER) for b in batches for at in range(0, b.num_rows, TOGETHER)):
         rows = [features(t, c) for t, c in zip(batch.column("text").to_pylist(), batch.column("n_chars").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("label"), pa.array([s for s, _ in rows], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.list_(pa.float32()))],
@@ -205,9 +207,11 @@ def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = None if shared.value is None else Machine(shared.value)
         for batch in batches:
-            rows = [features(t, c) for t, c in zip(batch.column("text").to_pylist(), batch.column("n_chars").to_pylist(), strict=True)]
-            score = np.full(len(rows), 0.5) if machine is None else machine.score(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                rows = [features(t, c) for t, c in zip(part.column("text").to_pylist(), part.column("n_chars").to_pylist(), strict=True)]
+                score = np.full(len(rows), 0.5) if machine is None else machine.score(rows)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
     return run
 
