@@ -54,3 +54,17 @@ def text_or_empty(df: DataFrame, *keep: str) -> DataFrame:
 def same(left, right):
     """Equality that also pairs nulls."""
     return left.eqNullSafe(right)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in the one column of ``dropped``; nulls are equal."""
+    name = fresh(docs, "_dropped")
+    return docs.join(dropped.toDF(name).distinct(), same(F.col("doc_id"), F.col(name)), "left_anti")

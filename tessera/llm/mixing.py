@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, same, table
+from tessera.llm.common import cut, fresh, same, table
 
 SHARE, EPOCHS, WEIGHTS, SEED, CELL = 1.5, 2, (5, 2, 1), 7, 1024
 
@@ -78,19 +78,20 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights: tu
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, the last time perhaps in part.
 
-    Copies are whole rows of ``docs``; a part keeps the document's first words with the white space
+    Rows that share a doc_id follow one plan. Copies are whole rows of ``docs``; a part keeps the document's first words with the white space
     before each, and n_chars follows it.
     """
-    plan = mix(docs, seed=seed).where("taken > 0").select(F.col("doc_id").alias("_doc"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).dropDuplicates(["_doc"])
-    rows = docs.join(plan, same(F.col("doc_id"), F.col("_doc")))
-    left = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_taken") - F.col("_copy") * F.col("_size")))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_taken") / F.col("_size")) - 1).cast("int")))).withColumn("_left", left)
-    # The first _left words: cut behind the last of them.
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("_left").cast("int"))
-    text = F.when(F.col("_left") == F.col("_size"), F.col("text")).otherwise(F.array_join(words, ""))
-    out = rows.withColumn("text", text)
+    doc, size, taken, copy, left = (fresh(docs, name) for name in ("_doc", "_size", "_taken", "_copy", "_left"))
+    plan = mix(docs, seed=seed).where("taken > 0").select(F.col("doc_id").alias(doc), F.col("size").alias(size), F.col("taken").alias(taken)).dropDuplicates([doc])
+    rows = docs.join(plan, same(F.col("doc_id"), F.col(doc)))
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(0), (F.ceil(F.col(taken) / F.col(size)) - 1).cast("int"))))
+    rows = rows.withColumn(left, F.greatest(F.lit(0), F.least(F.col(size), F.col(taken) - F.col(copy) * F.col(size))))
+    # The first words that are left: cut behind the last of them.
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col(left).cast("int"))
+    whole = F.col(left) == F.col(size)
+    out = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(words, "")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_left") == F.col("_size"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 

@@ -46,7 +46,7 @@ LOOSE = {
 }
 # Gazetteers.
 GAZETTEER = {
-    "email": r"\.(com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|us|ca|ch|at)$",
+    "email": r"(\.|[\[(]dot[\])] ?)(com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|us|ca|ch|at)$",
     "ip": r"^(10\.|127\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|fe80:|2001:)",
     "card": r"^(4|5[1-5]|2[2-7]|3[47]|6011|65)",
     "phone": r"^\+ ?(1|33|34|39|41|43|44|49|52|54)[^0-9]",
@@ -126,30 +126,32 @@ def counts(found: DataFrame) -> DataFrame:
 def reliabilities(combinations: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """k, prior, yes and no: P(vote | personal or not) of each labeler (rows) and vote (columns).
 
+    A labeler that abstains (vote 0) says nothing; its other two votes share the probability.
+
     Expectation-maximisation as one fold over the vote patterns of each kind, of which there are at
     most 3 to the number of labelers.
     """
     names = list(VOTES)
     patterns = combinations.groupBy("k", *names).agg(F.sum("n").alias("n"))
     rows = patterns.groupBy("k").agg(F.collect_list(F.struct(F.array(*names).alias("v"), "n")).alias("pats"))
-    lik = "aggregate(zip_with(p.v, th.{0}, (v, row) -> element_at(row, v + 2)), 1D, (x, y) -> x * y)"
+    lik = "aggregate(zip_with(p.v, th.{0}, (v, row) -> if(v = 0, 1D, element_at(row, v + 2))), 1D, (x, y) -> x * y)"
     yes, no = f"th.prior * {lik.format('yes')}", f"(1 - th.prior) * {lik.format('no')}"
     expect = f"transform(pats, p -> named_struct('v', p.v, 'yes', p.n * ({yes}) / (({yes}) + ({no})), 'no', p.n * ({no}) / (({yes}) + ({no}))))"
 
     def table_of(side: str) -> str:
-        cell = f"(aggregate(q, 0D, (s, p) -> s + if(element_at(p.v, l) = v, p.{side}, 0D)) + 1D) / (aggregate(q, 0D, (s, p) -> s + p.{side}) + 3D)"
+        cell = f"(aggregate(q, 0D, (s, p) -> s + if(element_at(p.v, l) = v, p.{side}, 0D)) + 1D) / (aggregate(q, 0D, (s, p) -> s + if(element_at(p.v, l) = 0, 0D, p.{side})) + 2D)"
         return f"transform(sequence(1, {len(names)}), l -> transform(sequence(-1, 1), v -> {cell}))"
 
     total = "aggregate(q, 0D, (s, p) -> s + p.{0})"
     maximise = f"transform(array({expect}), q -> named_struct('prior', ({total.format('yes')} + 1D) / ({total.format('yes')} + {total.format('no')} + 2D), 'yes', {table_of('yes')}, 'no', {table_of('no')}))[0]"
-    start = f"named_struct('prior', 0.5D, 'yes', array_repeat(array(0.1D, 0.2D, 0.7D), {len(names)}), 'no', array_repeat(array(0.7D, 0.2D, 0.1D), {len(names)}))"
+    start = f"named_struct('prior', 0.5D, 'yes', array_repeat(array(0.2D, 0D, 0.8D), {len(names)}), 'no', array_repeat(array(0.8D, 0D, 0.2D), {len(names)}))"
     return rows.select("k", F.expr(f"aggregate(sequence(1, {rounds}), {start}, (th, i) -> {maximise})").alias("th")).select("k", "th.*")
 
 
 def weights(combinations: DataFrame, votes: DataFrame) -> dict[tuple[int, str, int], float]:
     """Log odds of the span classifier by (kind, feature, value); feature '' is the prior."""
     names = list(VOTES)
-    lik = "aggregate(zip_with(array({1}), {0}, (v, row) -> element_at(row, v + 2)), 1D, (x, y) -> x * y)"
+    lik = "aggregate(zip_with(array({1}), {0}, (v, row) -> if(v = 0, 1D, element_at(row, v + 2))), 1D, (x, y) -> x * y)"
     yes, no = lik.format("yes", ", ".join(names)), lik.format("no", ", ".join(names))
     soft = combinations.join(F.broadcast(votes), "k").withColumn("q", F.expr(f"prior * {yes} / (prior * {yes} + (1 - prior) * {no})"))
     long = soft.select("k", "n", "q", F.explode(F.create_map(F.lit(""), F.lit(0), *[x for f in FEATURES for x in (F.lit(f), F.col(f))])).alias("feature", "value"))
@@ -157,7 +159,7 @@ def weights(combinations: DataFrame, votes: DataFrame) -> dict[tuple[int, str, i
     prior = {r.k: (r.yes, r.no) for r in sums if r.feature == ""}
     found = {(k, "", 0): math.log((y + 1) / (n + 1)) for k, (y, n) in prior.items()}
     for r in sums:
-        if r.feature:
+        if r.feature and not (r.feature in VOTES and r.value == 0):
             y, n = prior[r.k]
             found[r.k, r.feature, r.value] = math.log((r.yes + 0.5) / (y + 3)) - math.log((r.no + 0.5) / (n + 3))
     return found

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, same, table, text_or_empty
+from tessera.llm.common import cut, table, text_or_empty, without
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints in one shard tree at most.
@@ -210,8 +210,7 @@ def near_duplicates(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller doc_id."""
-    dropped = near_duplicates(docs).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(dropped.withColumnRenamed("doc_id", "_dropped"), same(F.col("doc_id"), F.col("_dropped")), "left_anti")
+    return without(docs, near_duplicates(docs).where("doc_id > component_id").select("doc_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
