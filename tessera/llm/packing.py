@@ -36,7 +36,7 @@ from tessera.llm.encoding import Encoder
 CAPACITY, END = 1024, 0
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SHARD_TOKENS = 1_000_000
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -135,7 +135,7 @@ class Packer:
 
 def _packed(path: str | None, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path or public_tokenizers.path(TOKENIZER))
+        encoder = Encoder(path) if path else Encoder(public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS))
         packer = Packer(TaskContext.get().partitionId() << 40)
         names = SCHEMA.replace(" long", "").split(", ")
 
