@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 from tessera.functions.text import dot, half_up, tokens
 
 K1, B = 1.2, 0.75
+#: Asked terms up to which they are sent to every executor; beyond that tokens meet them by a shuffle.
+FEW_TERMS = 100_000
 
 
-def postings(docs: DataFrame, mode: str = "latin") -> DataFrame:
-    """term, doc_id, tf and size (the document's number of tokens)."""
+def postings(docs: DataFrame, mode: str = "latin", wanted: DataFrame | None = None) -> DataFrame:
+    """term, doc_id, tf and size (the document's number of tokens), of the ``wanted`` terms only where they are given."""
     found = docs.select("doc_id", tokens("text", mode).alias("_t")).select("doc_id", F.size("_t").alias("size"), F.explode("_t").alias("term"))
+    if wanted is not None:
+        few = wanted.select("term").distinct()
+        found = found.join(F.broadcast(few) if few.count() <= FEW_TERMS else few, "term", "left_semi")
     return found.groupBy("term", "doc_id", "size").agg(F.count("*").alias("tf"))
 
 
@@ -41,8 +46,7 @@ def bm25(docs: DataFrame, query_terms: DataFrame, k: int, mode: str = "latin", k
     # The statistics are one row.
     n, _, mean = corpus_stats(docs, mode).first()
     asked = query_terms.groupBy("qid", "term").agg(F.count("*").alias("asked"))
-    wanted = asked.select("term").distinct()
-    own = postings(docs, mode).join(wanted, "term")
+    own = postings(docs, mode, asked)
     df = own.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / (mean or 1.0)))
