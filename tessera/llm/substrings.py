@@ -276,7 +276,8 @@ def removals(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
         .agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
     )
     masks = by_words.union(by_window).groupBy("anchor", "content").agg(F.bit_or("mask").alias("mask"))
-    guilty = (
+    # A table of its own, so that the join with the runs can split a run that very many documents hold.
+    guilty = cut(
         contents.join(masks, ["anchor", "content"], "left")
         .where("last > first.doc_id or mask is not null")
         .select("anchor", "content", F.col("first.doc_id").alias("origin"), F.coalesce("mask", F.lit(0)).alias("mask"))
