@@ -7,24 +7,10 @@ aggregation by key, never a driver-side set.
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _settled(df: DataFrame) -> DataFrame:
-    """Checkpoint into ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="spark-graph-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+from tessera.operators.checkpoints import settled
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -38,7 +24,7 @@ def hops(edges: DataFrame, seeds: DataFrame, k: int, directed: bool = False) ->
     frontier = reached
     for hop in range(1, k + 1):
         found = frontier.join(steps, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = _settled(found.join(reached, ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        frontier = settled(found.join(reached, ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
             break
         reached = reached.union(frontier)
@@ -54,7 +40,7 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
         found = own if found is None else found.union(own)
         if length == most:
             break
-        level = _settled(level.join(paths.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).distinct())
+        level = settled(level.join(paths.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).distinct())
         if level.isEmpty():
             break
         length += 1
@@ -69,11 +55,11 @@ def depths(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
 
 def cyclic(edges: DataFrame) -> DataFrame:
     """node: those left when nodes without incoming or without outgoing edges are peeled off again and again."""
-    left = _settled(edges.select("src", "dst").distinct())
+    left = settled(edges.select("src", "dst").distinct())
     n = left.count()
     while True:
         inner = left.select("src").intersect(left.select("dst")).withColumnRenamed("src", "node")
-        left = _settled(left.join(inner, F.col("src") == F.col("node"), "left_semi").join(inner, F.col("dst") == F.col("node"), "left_semi"))
+        left = settled(left.join(inner, F.col("src") == F.col("node"), "left_semi").join(inner, F.col("dst") == F.col("node"), "left_semi"))
         m = left.count()
         if m == n:
             return left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()

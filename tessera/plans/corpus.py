@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import folds, html
+from tessera.operators.ordering import numbered
 from tessera.plans.registry import query
 from tessera.sources import domain
 from tessera.sources.domain import ctes, table
@@ -185,7 +186,7 @@ def top_samples_per_kind(spark, sf):
 def kind_order(spark, sf):
     """K2: a stated order of kinds, then ids."""
     place = F.array_position(F.array(*map(F.lit, ("occupation", "domain", "tool"))), F.col("kind"))
-    return domain.nodes(spark, sf).where("kind <> 'skill'").select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(place, "id")).alias("at_"))
+    return numbered(domain.nodes(spark, sf).where("kind <> 'skill'"), [place, "id"], "at_").select("id", "at_")
 
 
 @query("forward_fill", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import half_up
 from tessera.operators import graph
+from tessera.operators.ordering import numbered
 from tessera.plans.registry import query
 from tessera.sources import domain
 from tessera.sources.domain import ctes, table
@@ -67,9 +68,8 @@ def skill_tasks(spark, sf):
 @query("edge_keys", ctes("transitions", body=" SELECT 'transitions_to|occupation:' || src || '|occupation:' || dst AS key, printf('e-%04d', row_number() OVER (ORDER BY src, dst)) AS id FROM transitions"))
 def edge_keys(spark, sf):
     """Typed keys and sequence ids."""
-    order = Window.partitionBy(F.lit(0)).orderBy("src", "dst")
     key = F.concat(F.lit("transitions_to|occupation:"), F.col("src").cast("string"), F.lit("|occupation:"), F.col("dst").cast("string"))
-    return domain.transitions(spark, sf).select(key.alias("key"), F.format_string("e-%04d", F.row_number().over(order)).alias("id"))
+    return numbered(domain.transitions(spark, sf), ["src", "dst"]).select(key.alias("key"), F.format_string("e-%04d", "number").alias("id"))
 
 
 @query("neighbors_1hop", ctes("transitions", body="""

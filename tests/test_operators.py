@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import folds, graph, html, ledger, metrics, retrieval
+from tessera.operators.ordering import numbered
 from tessera.sources import readers, sinks
 from tessera.streaming import ledger as streaming
 
@@ -70,6 +71,12 @@ def test_text_functions(spark):
     assert (row.n, row.url, row.slug, row.han, row.fnv, row.inside, row.half) == ("a(b) c", "a.com/x", "a-b-c", 0.5, 0x1A47E90B, 1.0, 0.0)
 
 
+def test_numbering_over_partitions(spark):
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x")).repartition(7)
+    assert all(r.number == r.x + 1 for r in numbered(rows, ["x"]).collect())
+    assert numbered(rows.limit(0), ["x"]).count() == 0
+
+
 def test_html_blocks():
     page = '<html><head><title> A\n b </title><script>var t="</p>";</script></head><body><nav><li>menu</li></nav><h2>Top</h2><p>one <b>two</b><p>three<ul><li>x</ul><pre>a\n  b</pre>tail &amp; end<footer>no</footer>'
     assert [(b["kind"], b["level"], b["text"]) for b in html.blocks_of(page)] == [("heading", 2, "Top"), ("text", 0, "one two"), ("text", 0, "three"), ("list", 0, "x"), ("code", 0, "a\n  b"), ("text", 0, "tail & end")]
