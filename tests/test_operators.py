@@ -125,6 +125,11 @@ def test_readers_and_sinks(spark, tmp_path):
     assert _set(readers.mixed_folder(spark, str(tmp_path / "mix")), "id", "format") == {("1", "csv"), ("2", "json"), ("3", "jsonl"), ("4", "jsonl")}
     lines = spark.createDataFrame([("2024", "080901 Computing\nnoise\n 120203K  Accounting ")], "page string, text string")
     assert _set(readers.table_lines(lines), "code", "name") == {("080901", "Computing"), ("120203K", "Accounting")}
+    (tmp_path / "std").mkdir()
+    for i in (1, 2):
+        (tmp_path / f"std/s{i}.json").write_text(json.dumps({"standardId": f"s{i}", "rows": [{"code": str(i)}]}, indent=1))
+    side = spark.createDataFrame([("s1", "first")], "standardId string, title string")
+    assert _set(readers.standards(spark, str(tmp_path / "std/*.json"), "standardId string, rows array<struct<code:string>>", side), "file", "title") == {("s1", "first"), ("s2", None)}
     sinks.json_lines(spark.createDataFrame([("b", None, 1)], "b string, a string, c int"), str(tmp_path / "out"), ["c", "a", "b"])
     assert "".join(p.read_text() for p in (tmp_path / "out").glob("part-*")) == '{"c":1,"b":"b"}\n'
     manifest = sinks.batches(spark.range(25).coalesce(1), str(tmp_path / "b"), 10)
