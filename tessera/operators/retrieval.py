@@ -47,7 +47,8 @@ def bm25(docs: DataFrame, query_terms: DataFrame, k: int, mode: str = "latin", k
     n, _, mean = corpus_stats(docs, mode).first()
     asked = query_terms.groupBy("qid", "term").agg(F.count("*").alias("asked"))
     own = postings(docs, mode, asked)
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
+    # Counting by tf keeps both branches on the same columns, so the postings are made once (ReusedExchange).
+    df = own.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / (mean or 1.0)))
     hits = asked.join(df, "term").join(own, "term")

@@ -15,7 +15,7 @@ DEPTH = 50
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return domain.documents(spark, sf, "doc_id", "text")
 
 
 def _bm25(spark: SparkSession, sf: str, k: int = DEPTH) -> DataFrame:

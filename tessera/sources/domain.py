@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents, dealt out where the files give fewer tasks than there are cores.
+
+    A large table has far more file splits than cores and is read as it lies, without a shuffle.
+    """
+    rows = table(spark, sf_dir, "documents").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, kind and label of occupations, skills, domains and tools."""
     part = table(spark, sf_dir, "part")
@@ -66,7 +76,7 @@ def owned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, pos, start, end and text of each line of at least ``LEAST_CHUNK`` characters."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    lines = documents(spark, sf_dir, "doc_id", "source", "lang", "text").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long")
     placed = lines.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
@@ -88,7 +98,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.array_join(F.slice(F.regexp_extract_all("passage", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 2, 4), " ")
     items = items.select("qid", "passage", first.alias("gram"))
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", words.alias("w"))
+    docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", "text", words.alias("w"))
     docs = docs.where(F.size("w") >= 4).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice(F.col("w"), i, 4), " ")))).alias("gram"))
     return docs.join(items, "gram").where(F.contains("text", "passage")).select("qid", "doc_id").distinct()
 
