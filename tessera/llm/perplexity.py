@@ -4,25 +4,27 @@ Base rules fail a document of under ``MIN_WORDS`` words, or one in which more th
 words lie in five-word windows found twice or more. The method then rejects documents whose
 perplexity leaves the band of their language, above or below.
 
-Model: n-grams of order ``ORDER`` (4) over ``CLASSES`` (48) character classes: each letter a-z, capital
-letters, digits, eight groups of other letters, blanks, line ends and eight groups of signs. So there are at most 48^4 = 5.3 million n-grams, however large the corpus, and the
-model (an n-gram number and a log probability each, 8 bytes) stays under 43 MB: that bound is what
-makes it fit to broadcast. Word n-grams have no bound; their counts of a corpus fit no broadcast.
-
-How it runs: tasks count n-grams of whole texts, Spark adds the counts up, and Spark derives the
-discounts (D1, D2, D3+ by order, from counts of counts) and the interpolated probabilities with
-aggregations over n-gram numbers: a context is the number without its last digit, a shorter n-gram
-the number without its first. The model goes to tasks as sorted arrays, searched by bisection. A
-second pass over the texts counts the words, lines and windows of the rules and sums log
-probabilities. Each language's band reaches from ``BELOW`` standard deviations under its
+Model: interpolated modified Kneser-Ney over pairs of words, whose tables grow with the corpus. Below
+single words stands their spelling, so a word never seen has a probability: n-grams of order ``ORDER``
+(4) over ``CLASSES`` (48) character classes, each class divided by its number of characters. A text
+must not vouch for itself, so texts are dealt by hash into ``FOLDS`` (16) parts, copies into the same
+one, and each part is scored by the word counts of the others.
+
+How it runs: tasks count word pairs (64-bit hashes of words), Spark adds the counts up and derives the
+discounts (D1, D2, D3+ by order, from counts of counts) and the probabilities with aggregations and
+shuffled joins; nothing that grows with the corpus is broadcast. Each document's pairs are counted in
+its task, joined to the table by the pair's hash, and the log probabilities are summed by text and
+language, so equal texts share one sum. Only the spelling model, of at most 48^4 n-grams, goes to
+tasks as sorted arrays. One more pass over the texts counts the words, lines and windows of the rules.
+Each language's band reaches from ``BELOW`` standard deviations under its
 median entropy to ``ABOVE`` over it, from a histogram of entropies per language in steps of 0.01
-(with the interquartile range, so junk hardly moves it), wider for short texts by the variance that
+(each side by its quartile, so junk hardly moves it and skew is kept), wider for short texts by the variance that
 their length explains.
 
 Defined cases: a null text is the empty text, has no words and fails; a null language is one of its
 own; a language of one document keeps it (its own median); repeated rows are judged alike; doc_id
-passes through, null or not; further columns are ignored (kept by ``passing``); an empty table gives
-an empty result.
+passes through, null or not; ``passing`` decides by text and language, never by doc_id; further
+columns are ignored (kept by ``passing``); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, same, table, text_or_empty, without
+from tessera.llm.common import cut, fresh, same, table, text_or_empty
 
 ORDER, CLASSES = 4, 48
 MIN_WORDS, WINDOW, REPEATED_PERCENT = 10, 5, 20
@@ -46,6 +48,10 @@ BELOW, ABOVE, STEP = 4.0, 2.5, 100
 CHUNK = 2_000_000
 _N_GRAMS = CLASSES**ORDER
 SYMBOLS = b"#*$%&|<>"
+#: What stands before a text's first word; the least probability.
+START, TINY = np.uint64(0), 1e-300
+#: Parts of the corpus; each is scored by the others.
+FOLDS = 16
 
 
 def _classes() -> np.ndarray:
@@ -229,38 +235,137 @@ def statistics(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - blanks, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(hashes)
 
 
-def _scored(shared):
+def _words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and how many each text has."""
+    words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), np.uint64)
+    return hashes, np.fromiter(map(len, words), np.int64, len(words))
+
+
+def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, fold, first, word and k: each word with the one before it (``START`` at a text's start), once per text of a batch."""
+    for batch in batches:
+        texts, keys, folds = batch.column("text").to_pylist(), batch.column("key").to_numpy(), batch.column("fold").to_numpy()
+        done = 0
+        for part in _chunks(texts):
+            word, sizes = _words_of(part)
+            doc = np.repeat(np.arange(done, done + len(part)), sizes)
+            done += len(part)
+            if not len(word):
+                continue
+            first = np.r_[START, word[:-1]]
+            first[np.r_[True, doc[1:] != doc[:-1]]] = START
+            order = np.lexsort((word, first, doc))
+            d, f, w = doc[order], first[order], word[order]
+            starts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (f[1:] != f[:-1]) | (w[1:] != w[:-1])])
+            k = np.diff(np.r_[starts, len(d)])
+            at = d[starts]
+            columns = [keys[at], folds[at], f[starts].view(np.int64), w[starts].view(np.int64), k.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "fold", "first", "word", "k"])
+
+
+PAIRS = "key long, fold int, first long, word long, k int"
+
+
+def _different_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in _chunks(batch.column("text").to_pylist()):
+            words = {w for t in part for w in t.encode("utf-8", "surrogatepass").split()}
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary())], ["spelled"])
+
+
+def spell(scorer: Scorer, words: list[str]) -> np.ndarray:
+    """Log probabilities of words by their letters and the blank behind them."""
+    texts = [f"{w} " for w in words]
+    numbers, sizes = grams_of(texts)
+    different, place = np.unique(numbers, return_inverse=True)
+    log = scorer.of(different).astype(np.float64)[place] - np.log(spell.sizes)[numbers % np.uint32(CLASSES)]
+    return np.diff(np.r_[0.0, np.cumsum(log)][np.r_[0, np.cumsum(sizes)]])
+
+
+#: Characters of each class.
+spell.sizes = np.maximum(np.bincount(grams_of.table, minlength=CLASSES), 1).astype(np.float64)
+
+
+def _spelled(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            rows = [statistics(t) for t in texts]
-            sums, squares = [], []
-            for part in _chunks(texts):
-                numbers, sizes = grams_of(part)
-                # Each different n-gram is looked up once.
-                different, place = np.unique(numbers, return_inverse=True)
-                log = scorer.of(different).astype(np.float64)[place]
-                upto = np.r_[0.0, np.cumsum(log)], np.r_[0.0, np.cumsum(log * log)]
-                bounds = np.r_[0, np.cumsum(sizes)]
-                sums.append(np.diff(upto[0][bounds]))
-                squares.append(np.diff(upto[1][bounds]))
-            longs = [pa.array(np.array([r[i] for r in rows], np.int64)) for i in range(5)]
-            sizes = pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))
-            doubles = [pa.array(np.concatenate(x) if x else np.zeros(0)) for x in (sums, squares)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), *longs, sizes, *doubles],
-                ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n", "log_sum", "square_sum"],
-            )
+            words = batch.column("spelled").to_pylist()
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            log = spell(scorer, [w.decode("utf-8", "surrogatepass") for w in words])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(log)], ["_word", "spelling"])
 
     return run
 
 
-SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n long, log_sum double, square_sum double"
+def word_model(texts: DataFrame, shared) -> DataFrame:
+    """_pair (hash of two words and a fold) and log: log probability of the second word by the texts outside that fold.
+
+    A pair has a row for each fold that has it, so no array and no window is longer than ``FOLDS``.
+    Discounts are those of all texts.
+    """
+    own = texts.select("key", "fold", "text").mapInArrow(_counted_pairs, PAIRS).groupBy("first", "word", "fold").agg(F.sum("k").alias("own"))
+    pair = Window.partitionBy("first", "word")
+    found = [F.sum("own").over(pair).alias("n"), F.count("*").over(pair).alias("folds"), (F.min("fold").over(pair) == F.col("fold")).alias("lead")]
+    rows = cut(own.select("*", *found))
+    d1, d2, d3 = _discounts(rows.where("lead"))
+
+    def discount(n, one: float, two: float, more: float):
+        return F.when(n < 1, 0.0).when(n == 1, one).when(n == 2, two).otherwise(more)
+
+    def of_pair(n):
+        return discount(n, d1, d2, d3)
+
+    word, first = Window.partitionBy("word"), Window.partitionBy("first")
+    words = rows.groupBy("word", "fold").agg(F.count_if(F.col("folds") == 1).alias("own"), F.count_if("lead").alias("leads"))
+    words = cut(words.select("word", "fold", "own", F.sum("leads").over(word).alias("n"), (F.min("fold").over(word) == F.col("fold")).alias("lead")))
+    w1, w2, w3 = _discounts(words.where("lead"))
+    every, rest = discount(F.col("n"), w1, w2, w3), discount(F.col("n") - F.col("own"), w1, w2, w3)
+    of_fold = words.groupBy("fold").agg(
+        F.sum("own").alias("own"), F.sum(rest - every).alias("less"), F.sum(F.when(F.col("lead"), F.col("n"))).alias("n"), F.sum(F.when(F.col("lead"), every)).alias("all")
+    )
+    of_fold = of_fold.select(F.col("fold").alias("_fold"), (F.sum("n").over(Window.partitionBy(F.lit(0))) - F.col("own")).alias("total"), (F.sum("all").over(Window.partitionBy(F.lit(0))) + F.col("less")).alias("weight"))
+    spelling = texts.select("text").mapInArrow(_different_words, "spelled binary").distinct().mapInArrow(_spelled(shared), "_word long, spelling double")
+    words = words.join(F.broadcast(of_fold), F.col("fold") == F.col("_fold")).join(spelling, F.col("word") == F.col("_word"))
+    alone = F.when(F.col("total") > 0, (F.col("n") - F.col("own") - rest + F.col("weight") * F.exp("spelling")) / F.col("total")).otherwise(F.exp("spelling"))
+    words = words.select("_word", "_fold", alone.alias("alone"))
+
+    changed = F.sum(of_pair(F.col("n") - F.col("own")) - of_pair(F.col("n")))
+    contexts = rows.groupBy("first", "fold").agg(F.sum("own").alias("own"), changed.alias("less"), F.sum(F.when(F.col("lead"), F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("lead"), of_pair(F.col("n"))).otherwise(0.0)).alias("all"))
+    contexts = contexts.select(F.col("first").alias("_first"), F.col("fold").alias("_of"), (F.sum("n").over(first) - F.col("own")).alias("total"), (F.sum("all").over(first) + F.col("less")).alias("weight"))
+    rows = rows.join(words, (F.col("word") == F.col("_word")) & (F.col("fold") == F.col("_fold"))).join(contexts, (F.col("first") == F.col("_first")) & (F.col("fold") == F.col("_of")))
+    left = F.col("n") - F.col("own")
+    p = F.when(F.col("total") > 0, (left - of_pair(left) + F.col("weight") * F.col("alone")) / F.col("total")).otherwise(F.col("alone"))
+    # exp() of a very long word's spelling is 0; TINY keeps the logarithm finite.
+    return rows.select(F.xxhash64("first", "word", "fold").alias("_pair"), F.log(F.greatest(p, F.lit(TINY))).alias("log"))
+
+
+def word_scores(texts: DataFrame, shared) -> DataFrame:
+    """_key, words, s and q: words, and sums of their log probabilities and of the squares, by text and language."""
+    asked = texts.select("key", "fold", "text").mapInArrow(_counted_pairs, PAIRS).select("key", F.xxhash64("first", "word", "fold").alias("pair"), "k")
+    return asked.join(word_model(texts, shared), F.col("pair") == F.col("_pair")).select("key", "k", "log").groupBy(F.col("key").alias("_key")).agg(
+        F.sum("k").alias("words"), F.sum(F.col("k") * F.col("log")).alias("s"), F.sum(F.col("k") * F.col("log") * F.col("log")).alias("q")
+    )
+
+
+def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [statistics(t) for t in batch.column("text").to_pylist()]
+        longs = [pa.array(np.array([r[i] for r in rows], np.int64)) for i in range(5)]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("lang"), *longs], RULES.replace(" long", "").replace(" string", "").split(", "))
+
+
+RULES = "key long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+
+
+def verdict_key(text, lang):
+    """Hash of what a verdict rests on: the text (null is empty) and the language (null is its own)."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), lang.isNull(), lang.cast("string"))
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """lang, middle, spread and noise: each language's median entropy, its standard deviation and the variance of one character."""
+    """lang, middle, spread_below, spread_above and noise: each language's median entropy, its standard deviation by the quartile on either side and the variance of one character."""
     judged = scored.where("not base_failed")
     bins = judged.groupBy("lang", F.floor(F.col("entropy") * STEP).alias("bin")).agg(
         F.count("*").alias("docs"), F.sum("n").alias("n"), F.sum("log_sum").alias("s"), F.sum("square_sum").alias("q")
@@ -273,28 +378,36 @@ def bands(scored: DataFrame) -> DataFrame:
 
     return ranked.groupBy("lang").agg(
         at(0.5).alias("middle"),
-        ((at(0.75) - at(0.25)) / 1.349 + 1.0 / STEP).alias("spread"),
+        (2 * (at(0.5) - at(0.25)) / 1.349 + 1.0 / STEP).alias("spread_below"),
+        (2 * (at(0.75) - at(0.5)) / 1.349 + 1.0 / STEP).alias("spread_above"),
         (F.sum("q") / F.sum("n") - F.pow(F.sum("s") / F.sum("n"), 2)).alias("noise"),
     )
 
 
 def judge(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """All figures, base_failed, perplexity, lower and upper (the document's band) and kept of every row."""
-    texts = text_or_empty(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model(cut(n_gram_counts(texts))).toArrow())
+    key, fold = verdict_key(F.col("text"), F.col("lang")).alias("key"), F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(FOLDS)).cast("int").alias("fold")
+    texts = text_or_empty(docs, key, fold, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    shared = docs.sparkSession.sparkContext.broadcast(model(cut(n_gram_counts(texts))).toArrow())
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    scored = cut(texts.mapInArrow(_scored(shared), SCORED).withColumns({"base_failed": failed, "entropy": -F.col("log_sum") / F.greatest(F.col("n"), F.lit(1))}))
+    rules = texts.select("key", "doc_id", "lang", "text").mapInArrow(_rules, RULES).withColumn("base_failed", failed)
+    share = F.col("n_words") / F.col("words")
+    scored = rules.join(word_scores(texts, shared), F.col("key") == F.col("_key"), "left").withColumns(
+        {"n": F.col("n_words"), "log_sum": F.coalesce(F.col("s") * share, F.lit(0.0)), "square_sum": F.coalesce(F.col("q") * share, F.lit(0.0)), "entropy": F.coalesce(-F.col("s") / F.col("words"), F.lit(0.0))}
+    )
+    scored = cut(scored.drop("_key", "words", "s", "q"))
     judged = scored.join(bands(scored).withColumnRenamed("lang", "_lang"), same(F.col("lang"), F.col("_lang")), "left")
-    reach = F.sqrt(F.pow("spread", 2) + F.col("noise") / F.greatest(F.col("n"), F.lit(1)))
-    judged = judged.withColumns({"perplexity": F.exp("entropy"), "lower": F.exp(F.col("middle") - F.lit(float(below)) * reach), "upper": F.exp(F.col("middle") + F.lit(float(above)) * reach)})
+    under, over = (F.sqrt(F.pow(f"spread_{side}", 2) + F.col("noise") / F.greatest(F.col("n"), F.lit(1))) for side in ("below", "above"))
+    judged = judged.withColumns({"perplexity": F.exp(F.least(F.col("entropy"), F.lit(700.0))), "lower": F.exp(F.col("middle") - F.lit(float(below)) * under), "upper": F.exp(F.col("middle") + F.lit(float(above)) * over)})
     kept = ~F.col("base_failed") & F.coalesce(F.col("perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
     return judged.withColumn("kept", kept)
 
 
 def passing(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """The rows of ``docs`` that neither a base rule nor a band rejects."""
-    return without(docs, judge(docs, below, above).where("not kept").select("doc_id"))
+    name = fresh(docs, "_dropped")
+    dropped = judge(docs, below, above).where("not kept").select(F.col("key").alias(name)).distinct()
+    return docs.join(dropped, verdict_key(docs["text"], docs["lang"]) == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -8,6 +9,8 @@ import pytest
 from tessera.llm import perplexity as P
 from tests.llm.helpers import ODD, documents, prose
 
+WORDS = prose(3, 200, pool=150).split()
+
 
 def base(text):
     """The contract, literally."""
@@ -98,3 +101,64 @@ def test_passing_keeps_columns_and_empty_tables(spark):
     docs = documents(spark, ODD, extra=True)
     assert P.passing(docs).columns == docs.columns
     assert P.judge(documents(spark, [])).count() == 0
+
+
+def test_shuffled_and_invented_words_score_worse(spark):
+    rng = random.Random(5)
+    follow = {w: [rng.choice(WORDS) for _ in range(8)] for w in WORDS}
+
+    def clean():
+        out = [rng.choice(WORDS)]
+        while len(out) < 120:
+            out.append(rng.choice(follow[out[-1]]))
+        return out
+
+    rows = [(i, " ".join(clean()), "en", "a", 0) for i in range(300)]
+    rows += [(1000 + i, " ".join(rng.sample(x := clean(), len(x))), "en", "a", 0) for i in range(5)]
+    rows += [(2000 + i, " ".join("".join(rng.sample(w, len(w))) + "ae" for w in clean()), "en", "a", 0) for i in range(5)]
+    rows += [(None, " ".join(clean()), "en", "a", 0), (None, "junk", "en", "a", 0), (7, "junk", "en", "a", 0)]
+    docs = documents(spark, rows)
+    found = {r.doc_id: r.kept for r in P.judge(docs).where("doc_id <> 7 and doc_id is not null").collect()}
+    assert sum(found[i] for i in range(300) if i != 7) >= 294
+    assert not any(found[k + i] for k in (1000, 2000) for i in range(5))
+    # A junk row drops no other row of its doc_id.
+    kept = P.passing(docs).where("doc_id is null or doc_id = 7").collect()
+    assert sorted(r.doc_id is None for r in kept) == [False, True] and all(r.text != "junk" for r in kept)
+
+
+def test_word_model_equals_definition(spark):
+    texts = [(i, prose(i, 80, pool=30)) for i in range(14)] + [(14, ""), (15, "été 中 \U0001f600")]
+    docs = documents(spark, texts)
+    folds = {r.text: r.fold for r in docs.selectExpr("text", f"pmod(xxhash64(text), {P.FOLDS}) as fold").collect()}
+    scorer = P.Scorer(P.model(P.n_gram_counts(docs)).toArrow())
+
+    def discounts(values):
+        n = Counter(values)
+        if not (n[1] and n[2] and n[3]):
+            return [0.5, 1.0, 1.5]
+        y = n[1] / (n[1] + 2 * n[2])
+        d = [i - (i + 1) * y * n[i + 1] / n[i] for i in (1, 2, 3)]
+        return [x if 0 < x <= i else i / 2 for i, x in enumerate(d, 1)]
+
+    found = {r.doc_id: r.perplexity for r in P.judge(docs).collect()}
+
+    def pairs(but=None):
+        return Counter(g for t, h in folds.items() if h != but for g in zip([None, *t.split()], t.split()))
+
+    d2, d1 = discounts(pairs().values()), discounts(Counter(g[1] for g in pairs()).values())
+    for doc_id, text in texts:
+        if not text:
+            continue
+        two = pairs(folds[text])
+        one = Counter(g[1] for g in two)
+        total = 0.0
+        for a, b in zip([None, *text.split()], text.split()):
+            p = math.exp(P.spell(scorer, [b])[0])
+            if one:
+                p = ((one[b] - d1[min(one[b], 3) - 1] if one[b] else 0) + sum(d1[min(n, 3) - 1] for n in one.values()) * p) / sum(one.values())
+            own = [n for g, n in two.items() if g[0] == a]
+            if own:
+                n = two[a, b]
+                p = ((n - d2[min(n, 3) - 1] if n else 0) + sum(d2[min(x, 3) - 1] for x in own) * p) / sum(own)
+            total += math.log(p)
+        assert found[doc_id] == pytest.approx(math.exp(-total / len(text.split())), rel=1e-4)
