@@ -64,7 +64,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in the one column of ``dropped``; nulls are equal."""
-    name = fresh(docs, "_dropped")
-    return docs.join(dropped.toDF(name).distinct(), same(F.col("doc_id"), F.col(name)), "left_anti")
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number of each row's own, settled in the shared folder."""
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()))

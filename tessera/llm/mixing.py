@@ -23,15 +23,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh, same, table
+from tessera.llm.common import cut, fresh, numbered, same, table
 
 SHARE, EPOCHS, WEIGHTS, SEED, CELL = 1.5, 2, (5, 2, 1), 7, 1024
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (the number of words) of every row."""
+def sized(docs: DataFrame, *keep) -> DataFrame:
+    """doc_id, source, size (the number of words) and the columns ``keep`` of every row."""
     size = F.expr(r"coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0)").cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *keep)
 
 
 def targets(sizes: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -53,8 +53,8 @@ def targets(sizes: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weight
     return per.select("source", "documents", "source_size", F.when(F.col("level").isNull(), F.col("stop")).otherwise(F.least("stop", F.col("level") * F.col("weight"))).alias("target"))
 
 
-def _taken(docs: DataFrame, per_source: DataFrame, seed: int, cell: int) -> DataFrame:
-    """Adds to rows with source, doc_id and size: source_size, target and taken."""
+def _taken(docs: DataFrame, per_source: DataFrame, seed: int, cell: int, *ties: str) -> DataFrame:
+    """Adds to rows with source, doc_id and size: source_size, target and taken. ``ties`` order rows of equal hash and size."""
     per = per_source.withColumnRenamed("source", "_source")
     rows = docs.join(per, same(F.col("source"), F.col("_source"))).drop("_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -63,7 +63,7 @@ def _taken(docs: DataFrame, per_source: DataFrame, seed: int, cell: int) -> Data
     rows = rows.select("*", ratio.alias("ratio"), key.alias("key")).withColumn("cell", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), cells))
     part = F.col("ratio") - F.floor("ratio")
     by_cell = Window.partitionBy("source", "cell")
-    in_order = by_cell.orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    in_order = by_cell.orderBy("key", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("*", F.sum("size").over(in_order).alias("upto"), F.floor(F.sum("size").over(by_cell) * part + F.lit(0.5)).alias("quota"))
     once_more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - (F.col("upto") - F.col("size"))))
     return rows.withColumn("taken", (F.floor("ratio") * F.col("size") + once_more).cast("long")).drop("ratio", "key", "cell", "upto", "quota", "documents")
@@ -78,12 +78,14 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights: tu
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, the last time perhaps in part.
 
-    Rows that share a doc_id follow one plan. Copies are whole rows of ``docs``; a part keeps the document's first words with the white space
+    Each row follows its own plan, whatever its doc_id. Copies are whole rows of ``docs``; a part keeps the document's first words with the white space
     before each, and n_chars follows it.
     """
-    doc, size, taken, copy, left = (fresh(docs, name) for name in ("_doc", "_size", "_taken", "_copy", "_left"))
-    plan = mix(docs, seed=seed).where("taken > 0").select(F.col("doc_id").alias(doc), F.col("size").alias(size), F.col("taken").alias(taken)).dropDuplicates([doc])
-    rows = docs.join(plan, same(F.col("doc_id"), F.col(doc)))
+    row, own, size, taken, copy, left = (fresh(docs, name) for name in ("_row", "_own", "_size", "_taken", "_copy", "_left"))
+    rows = numbered(docs, row)
+    sizes = cut(sized(rows, F.xxhash64("text").alias("_hash"), F.col(row).alias("_row")))
+    plan = _taken(sizes, targets(sizes), seed, CELL, "_hash", "_row").where("taken > 0").select(F.col("_row").alias(own), F.col("size").alias(size), F.col("taken").alias(taken))
+    rows = rows.join(plan, F.col(row) == F.col(own))
     rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(0), (F.ceil(F.col(taken) / F.col(size)) - 1).cast("int"))))
     rows = rows.withColumn(left, F.greatest(F.lit(0), F.least(F.col(size), F.col(taken) - F.col(copy) * F.col(size))))
     # The first words that are left: cut behind the last of them.

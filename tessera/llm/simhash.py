@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table, text_or_empty, without
+from tessera.llm.common import cut, fresh, numbered, table, text_or_empty
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints in one shard tree at most.
@@ -209,8 +209,13 @@ def near_duplicates(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller doc_id."""
-    return without(docs, near_duplicates(docs).where("doc_id > component_id").select("doc_id"))
+    """One row of each component of ``docs``: the one of smallest doc_id, null last; of equal ones, the first row."""
+    row = fresh(docs, "_row")
+    rows = numbered(docs, row)
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("_own"), "component_id")
+    found = found.join(rows.select(F.col(row).alias("_row"), "doc_id"), F.col("_own") == F.col("_row"))
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")).select(F.col("first._row").alias("_kept"))
+    return rows.join(kept.toDF(f"{row}_kept"), F.col(row) == F.col(f"{row}_kept"), "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,13 @@ def test_mixed_documents_hold_the_words_taken(spark):
         assert own == texts[r.doc_id][: len(own)]
         words[r.doc_id] = words.get(r.doc_id, 0) + len(own)
     assert words == {d: n for d, n in plan.items() if n}
+
+
+def test_rows_of_one_doc_id_follow_their_own_plans(spark):
+    rows = [(i % 3 or None, prose(i, 10 + i), "en", "ab"[i % 2], 0) for i in range(40)]
+    docs = documents(spark, rows)
+    targets = {r.source: round(r.target) for r in mixing.targets(mixing.sized(docs)).collect()}
+    out = mixing.mixed_documents(docs).collect()
+    for source, target in targets.items():
+        assert abs(sum(len(r.text.split()) for r in out if r.source == source) - target) <= 1
+    assert {r.doc_id for r in out} == {None, 1, 2}

@@ -61,3 +61,9 @@ def test_keeps_one_of_each_group(spark):
     assert out.columns == docs.columns
     assert sorted((r.doc_id for r in out.collect()), key=repr) == [1, 3, None]
     assert simhash.keep_one(documents(spark, [])).count() == 0
+
+
+def test_keep_one_keeps_one_row_of_each_group(spark):
+    rows = [(None, prose(1, 50)), (None, prose(1, 50)), (None, prose(2, 50)), (5, prose(2, 50)), (5, prose(2, 50)), (5, prose(3, 50)), (2, prose(4, 50)), (2, prose(4, 50))]
+    kept = simhash.keep_one(documents(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(None, prose(1, 50)), (5, prose(2, 50)), (5, prose(3, 50)), (2, prose(4, 50))], key=repr)
