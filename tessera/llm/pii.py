@@ -69,18 +69,28 @@ def _q(pattern: str) -> str:
 
 
 def _matches(kind: int, pattern: str, shape: str) -> str:
-    """SQL: candidates of one pattern. A match is the first place of its string after the last match.
+    """SQL: candidates of one pattern. A match begins behind the last match and the gap before it.
 
     ``shape`` is SQL over the match ``m``: 2 for a base span, 1 for a loose form, 0 for a failed one,
-    -1 for none.
+    -1 for none. A base match is the first place of its string after the last match. A loose form's
+    string may stand earlier where its look-behind fails, so its gap is captured with it.
     """
+    loose = shape == "1"
+    place = "acc.at + length(x.gap)" if loose else "locate(m, text, acc.at)"
     step = (
-        "transform(array(locate(m, text, acc.at)), p -> named_struct('at', p + length(m), 'out', "
+        f"transform(array({place}), p -> named_struct('at', p + length(m), 'out', "
         f"concat(acc.out, array(named_struct('k', {kind}, 's', p - 1, 'e', p - 1 + length(m), 'm', m, "
         "'l', lower(substring(text, greatest(p - 30, 1), p - greatest(p - 30, 1))), 'r', substring(text, p + length(m), 1), "
         f"'shape', {shape})))))[0]"
     )
-    found = f"aggregate(regexp_extract_all(text, {_q(pattern)}, 0), named_struct('at', 1, 'out', cast(array() as array<{_CANDIDATE}>)), (acc, m) -> {step}, acc -> acc.out)"
+    start = f"named_struct('at', 1, 'out', cast(array() as array<{_CANDIDATE}>))"
+    if loose:
+        # \G lets a try begin only where the last match ended, so the rest of a text is read once.
+        gap, m = (f"regexp_extract_all(text, {_q(rf'(?s)\G(.*?)({pattern})')}, {group})" for group in (1, 2))
+        step = f"transform(array(x.m), m -> {step})[0]"
+        found = f"aggregate(zip_with({gap}, {m}, (gap, m) -> named_struct('gap', gap, 'm', m)), {start}, (acc, x) -> {step}, acc -> acc.out)"
+    else:
+        found = f"aggregate(regexp_extract_all(text, {_q(pattern)}, 0), {start}, (acc, m) -> {step}, acc -> acc.out)"
     return f"filter({found}, c -> c.shape >= 0)"
 
 

@@ -94,3 +94,12 @@ def test_redaction(spark):
 def test_empty_table(spark):
     docs = documents(spark, [])
     assert pii.find(docs).count() == 0 and pii.redact(docs).count() == 0
+
+
+def test_loose_matches_stand_where_their_pattern_does(spark):
+    texts = ["+1 555-123-4567 or 555-123-4567", "x555-123-4567, 555-123-4567\nand (555) 123-4567 " + "a" * 50_000]
+    docs = documents(spark, list(enumerate(texts)))
+    for r in docs.selectExpr("text", f"filter({pii.candidates()}, c -> c.shape = 1 and c.k = 3) as c").collect():
+        want = [m.span() for m in re.finditer(pii.LOOSE["phone"], r.text)]
+        assert want and [(c.s, c.e) for c in r.c] == want
+        assert all(r.text[c.s : c.e] == c.m for c in r.c)
