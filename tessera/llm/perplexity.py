@@ -4,18 +4,17 @@ Base rules fail a document of under ``MIN_WORDS`` words, or one in which more th
 words lie in five-word windows found twice or more. The method then rejects documents whose
 perplexity leaves the band of their language, above or below.
 
-Model: interpolated modified Kneser-Ney over pairs of words, whose tables grow with the corpus. Below
-single words stands their spelling, so a word never seen has a probability: n-grams of order ``ORDER``
-(4) over ``CLASSES`` (48) character classes, each class divided by its number of characters. A text
-must not vouch for itself, so texts are dealt by hash into ``FOLDS`` (16) parts, copies into the same
-one, and each part is scored by the word counts of the others.
-
-How it runs: tasks count word pairs (64-bit hashes of words), Spark adds the counts up and derives the
-discounts (D1, D2, D3+ by order, from counts of counts) and the probabilities with aggregations and
-shuffled joins; nothing that grows with the corpus is broadcast. Each document's pairs are counted in
-its task, joined to the table by the pair's hash, and the log probabilities are summed by text and
-language, so equal texts share one sum. Only the spelling model, of at most 48^4 n-grams, goes to
-tasks as sorted arrays. One more pass over the texts counts the words, lines and windows of the rules.
+Model: interpolated modified Kneser-Ney over n-grams of ``ORDER`` (5) code points of any script. A
+text must not vouch for itself or its copies, so an n-gram counts only if two different texts have
+it (the usual pruning of singletons); the others get the probability that their context backs off to.
+
+How it runs: tasks count n-grams, Spark adds the counts up and derives the discounts (D1, D2, D3+ by
+order, from counts of counts) and every n-gram's probability with aggregations and shuffled joins.
+The table grows with the corpus and is never broadcast whole: its most frequent n-grams, ``HOT`` at
+most whatever the corpus, travel to the tasks as sorted hash arrays with an index of their first bits,
+and a text's other n-grams are written as (row, n-gram, times) and joined to the table. Both ways give
+an n-gram the same probability; hot ones never become rows, so no key of that join is hot. One pass
+over the texts yields the rules' figures and the sums, another has counted.
 Each language's band reaches from ``BELOW`` standard deviations under its
 median entropy to ``ABOVE`` over it, from a histogram of entropies per language in steps of 0.01
 (each side by its quartile, so junk hardly moves it and skew is kept), wider for short texts by the variance that
@@ -23,104 +22,127 @@ their length explains.
 
 Defined cases: a null text is the empty text, has no words and fails; a null language is one of its
 own; a language of one document keeps it (its own median); repeated rows are judged alike; doc_id
-passes through, null or not; ``passing`` decides by text and language, never by doc_id; further
-columns are ignored (kept by ``passing``); an empty table gives an empty result.
+passes through, null or not; ``passing`` decides by text and language, never by doc_id; a very long
+text is read in stretches; further columns are ignored (kept by ``passing``); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, fresh, same, table, text_or_empty
 
-ORDER, CLASSES = 4, 48
+ORDER = 5
 MIN_WORDS, WINDOW, REPEATED_PERCENT = 10, 5, 20
 #: Standard deviations below and above a language's median entropy; entropies are counted by 1/STEP.
 BELOW, ABOVE, STEP = 4.0, 2.5, 100
-#: Characters that one array holds while n-grams are counted or scored.
-CHUNK = 2_000_000
-_N_GRAMS = CLASSES**ORDER
+#: Characters and texts that one array holds while n-grams are counted or scored.
+CHUNK, TEXTS = 2_000_000, 4096
+#: N-grams that a task holds before it adds up equal ones; n-grams that are sent to all tasks at most.
+HELD, HOT = 1_000_000, 1_000_000
+#: Frequencies are told apart by 1/FINE of a power of two; first bits of a hash that the index knows.
+FINE, INDEX_BITS = 16, 20
 SYMBOLS = b"#*$%&|<>"
-#: What stands before a text's first word; the least probability.
-START, TINY = np.uint64(0), 1e-300
-#: Parts of the corpus; each is scored by the others.
-FOLDS = 16
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _classes() -> np.ndarray:
-    """Class of each code point below 2^16; the rest is taken modulo that."""
-    code = np.arange(1 << 16)
-    found = 26 + code % 8  # 26-33: other letters and signs
-    found[ord("a") : ord("z") + 1] = np.arange(26)
-    found[ord("A") : ord("Z") + 1] = 34
-    found[ord("0") : ord("9") + 1] = 35
-    for at, group in enumerate((" \t\r\x0b\x0c", "\n", ".", ",", "!?;:", "'\"`-_/\\()[]{}@+=~^", "#", "*", "$", "%&", "|<>"), 36):
-        found[[ord(c) for c in group]] = at
-    found[np.r_[0:9, 14:32, 127:160]] = 47
-    return found.astype(np.uint32)
-
-
-def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all n-grams of the texts, and how many each text has: one per character.
+def _stretches(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """(number of the text, stretch with the ``ORDER`` - 1 characters before it), in lists of about ``CHUNK`` characters.
 
     A text begins after ``ORDER`` - 1 line ends.
     """
-    start = "\n" * (ORDER - 1)
-    code = np.frombuffer("".join([x for t in texts for x in (start, t)]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes = _classes()[code & 0xFFFF] if not hasattr(grams_of, "table") else grams_of.table[code & 0xFFFF]
-    if len(classes) < ORDER:
-        return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-    number = classes[: len(classes) - ORDER + 1].copy()
-    for i in range(1, ORDER):
-        number *= np.uint32(CLASSES)
-        number += classes[i : len(classes) - ORDER + 1 + i]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    # Drop the n-grams that begin in one text and end in the next one's start.
-    ends = np.cumsum(sizes + ORDER - 1)
-    keep = np.ones(len(number), bool)
-    for i in range(ORDER - 1):
-        at = ends[:-1] - (ORDER - 1) + i
-        keep[at] = False
-    return number[keep], sizes
-
-
-grams_of.table = _classes()
-
-
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
     held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size > CHUNK:
-            yield held
-            held, size = [], 0
+    for i, t in enumerate(texts):
+        t = "\n" * (ORDER - 1) + t
+        for at in range(0, max(1, len(t) - ORDER + 1), CHUNK):
+            held.append((i, t[at : at + CHUNK + ORDER - 1]))
+            size += len(held[-1][1])
+            if size > CHUNK or len(held) == TEXTS:
+                yield held
+                held, size = [], 0
     if held:
         yield held
 
 
+def hashes_of(code: np.ndarray) -> np.ndarray:
+    """64-bit hash of the n-gram at each place of the code points."""
+    n = max(0, len(code) - ORDER + 1)
+    h = np.zeros(n, np.uint64)
+    for i in range(ORDER):
+        h *= _BASE
+        h += code[i : n + i]
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def grams_of(stretches: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all stretches, and place, hash and text of each n-gram: one per character."""
+    code = np.frombuffer("".join([t for _, t in stretches]).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.fromiter((len(t) - ORDER + 1 for _, t in stretches), np.int64, len(stretches))
+    at = np.arange(sizes.sum()) + np.repeat((ORDER - 1) * np.arange(len(sizes)), sizes)
+    return code, at, hashes_of(code)[at], np.repeat(np.fromiter((i for i, _ in stretches), np.int64, len(stretches)), sizes)
+
+
+def _spelled(codes: np.ndarray) -> pa.Array:
+    """N-grams as strings."""
+    whole = np.ascontiguousarray(codes, "<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return pa.array([whole[i : i + ORDER] for i in range(0, len(whole), ORDER)], pa.string())
+
+
+def _added_up(parts: list[tuple]) -> tuple:
+    """hash, code points, n and text of different n-grams; text 0 says that several texts have it."""
+    h, codes, n, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(h)
+    starts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    low, high = np.minimum.reduceat(text[order], starts), np.maximum.reduceat(text[order], starts)
+    first = order[starts]
+    return h[first], codes[first], np.add.reduceat(n[order], starts), np.where(low == high, low, 0)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(_N_GRAMS, np.int64)
+    def done() -> pa.RecordBatch:
+        _, codes, n, text = held[0]
+        return pa.RecordBatch.from_arrays([_spelled(codes), pa.array(n), pa.array(text.astype(np.int32))], ["gram", "n", "text"])
+
+    held: list[tuple] = []
     for batch in batches:
-        for texts in _chunks(batch.column("text").to_pylist()):
-            number, count = np.unique(grams_of(texts)[0], return_counts=True)
-            total[number] += count
-    seen = np.flatnonzero(total)
-    for i in range(0, len(seen), 100_000):
-        part = seen[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["gram", "n"])
+        # Copies of a text share a number, and no number is 0.
+        own = (batch.column("text_hash").to_numpy() & 0x7FFFFFFF) | 1
+        for stretches in _stretches(batch.column("text").to_pylist()):
+            code, at, h, doc = grams_of(stretches)
+            if not len(h):
+                continue
+            text = own[doc]
+            # By n-gram and text; equal n-grams that a foreign one parts are added up later.
+            order = np.argsort((h & ~np.uint64(0xFFF)) | np.unique(text, return_inverse=True)[1].astype(np.uint64))
+            h, text = h[order], text[order]
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            ends = np.r_[starts[1:], len(h)]
+            codes = code[at[order[starts]][:, None] + np.arange(ORDER)]
+            held.append((h[starts], codes, ends - starts, np.where(text[starts] == text[ends - 1], text[starts], 0)))
+            if sum(len(x[0]) for x in held) > HELD:
+                held = [_added_up(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield done()
+                    held = []
+    if held:
+        held = [_added_up(held)]
+        yield done()
 
 
 def n_gram_counts(texts: DataFrame) -> DataFrame:
-    """gram and n of all n-grams of the column ``text``."""
-    return texts.select("text").mapInArrow(_counted, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    """gram, seen (how often) and n (the same, or 0 where one text alone has it) of all n-grams of the column ``text``."""
+    found = texts.select("text", F.xxhash64("text").alias("text_hash")).mapInArrow(_counted, "gram string, n long, text int")
+    return found.groupBy("gram").agg(F.sum("n").alias("seen"), F.when((F.min("text") == 0) | (F.min("text") < F.max("text")), F.sum("n")).otherwise(F.lit(0)).cast("long").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -138,67 +160,75 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 
 def model(counts: DataFrame) -> DataFrame:
-    """length (of an n-gram, 1 to ``ORDER``), gram and p (its interpolated probability), and for contexts w (the weight of the shorter one).
+    """gram, seen and p (its interpolated probability) of all n-grams of ``counts`` (gram, seen, n).
 
-    ``counts`` has gram and n of the longest n-grams; shorter ones count how many characters stand
-    before them.
+    Shorter n-grams count how many characters stand before them. The shortest one is interpolated
+    with an even share of all characters found.
     """
-    tables, found = {ORDER: counts}, None
+    tables = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
-        tables[k] = cut(tables[k + 1].groupBy((F.col("gram") % CLASSES**k).alias("gram")).agg(F.count("*").alias("n")))
+        tables[k] = cut(tables[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count_if(F.col("n") > 0).alias("n")))
+    characters = max(1, tables[1].count())
     lower = None
     for k in range(1, ORDER + 1):
-        context = Window.partitionBy("context")
-        rows = tables[k].withColumn("context", F.floor(F.col("gram") / CLASSES).cast("int"))
         d1, d2, d3 = _discounts(tables[k])
-        d = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        d = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        context = Window.partitionBy("context")
         total = F.sum("n").over(context)
-        rows = rows.select("gram", "context", ((F.col("n") - d) / total).alias("own"), (F.sum(d).over(context) / total).alias("w"))
+        rows = tables[k].withColumn("context", F.substring("gram", 1, k - 1))
+        # A context of which no n-gram counts passes everything on.
+        own, rest = F.when(total > 0, (F.col("n") - d) / total).otherwise(0.0), F.when(total > 0, F.sum(d).over(context) / total).otherwise(1.0)
+        rows = rows.select(*tables[k].columns, own.alias("own"), rest.alias("rest"))
         if lower is None:
-            rows = rows.withColumn("p", F.col("own") + F.col("w") / CLASSES)
+            rows = rows.withColumn("below", F.lit(1.0 / characters))
         else:
-            shorter = lower.select(F.col("gram").alias("_gram"), F.col("p").alias("_p"))
-            rows = rows.join(shorter, F.col("gram") % CLASSES ** (k - 1) == F.col("_gram")).withColumn("p", F.col("own") + F.col("w") * F.col("_p"))
-        lower = cut(rows.select(F.lit(k).alias("length"), "gram", "p", "context", "w"))
-        found = lower if found is None else found.unionByName(lower)
-    return found
+            rows = rows.join(lower, F.substring("gram", 2, k - 1) == F.col("shorter"))
+        rows = rows.withColumn("p", F.col("own") + F.col("rest") * F.col("below"))
+        lower = rows.select(F.col("gram").alias("shorter"), F.col("p").alias("below"))
+    return rows.select("gram", "seen", "p")
+
+
+def _frequency(seen):
+    """Class of a frequency, rising with it."""
+    return F.floor(F.log2(seen) * FINE)
+
+
+def hot_from(grams: DataFrame, hot: int = HOT) -> int:
+    """The lowest class of frequency from which on there are at most ``hot`` n-grams."""
+    classes = grams.groupBy(_frequency(F.col("seen")).alias("at")).count().orderBy(F.desc("at")).collect()  # 64 * FINE at most
+    total, lowest = 0, 64 * FINE
+    for r in classes:
+        total += r["count"]
+        if total > hot:
+            break
+        lowest = r["at"]
+    return lowest
 
 
-class Scorer:
-    """Log probabilities by sorted arrays; unseen n-grams back off to shorter ones."""
+class Hot:
+    """Log probabilities of the most frequent n-grams in sorted hash arrays."""
 
     def __init__(self, rows: pa.Table):
-        self.grams, self.logs, self.contexts, self.weights = [], [], [], []
-        length = rows.column("length").to_numpy()
-        for k in range(1, ORDER + 1):
-            own = rows.filter(pa.array(length == k))
-            gram = own.column("gram").to_numpy().astype(np.uint32)
-            order = np.argsort(gram)
-            self.grams.append(gram[order])
-            self.logs.append(np.log(own.column("p").to_numpy()[order]).astype(np.float32))
-            context, at = np.unique(own.column("context").to_numpy(), return_index=True)
-            self.contexts.append(context.astype(np.uint32))
-            self.weights.append(np.log(own.column("w").to_numpy()[at]).astype(np.float32))
-
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
-
-    def of(self, numbers: np.ndarray, k: int = ORDER) -> np.ndarray:
-        if k == 0:
-            return np.full(len(numbers), -math.log(CLASSES), np.float32)
-        at, known = self._find(self.grams[k - 1], numbers)
-        found = self.logs[k - 1][at] if len(self.logs[k - 1]) else np.zeros(len(numbers), np.float32)
-        if not known.all():
-            rest = numbers[~known]
-            at, there = self._find(self.contexts[k - 1], rest // np.uint32(CLASSES))
-            weight = np.where(there, self.weights[k - 1][at], 0) if len(self.contexts[k - 1]) else 0
-            found = found.copy()
-            found[~known] = weight + self.of(rest % np.uint32(CLASSES ** (k - 1)), k - 1)
-        return found
+        code = np.frombuffer("".join(rows.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
+        keys = hashes_of(code)[::ORDER]
+        order = np.argsort(keys)
+        self.keys, self.logs = keys[order], rows.column("log").to_numpy()[order]
+        self.index = np.searchsorted(self.keys >> np.uint64(64 - INDEX_BITS), np.arange(2**INDEX_BITS + 1)).astype(np.int32)
+
+    def of(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities, 0 where an n-gram is not here, and whether it is."""
+        first = (wanted >> np.uint64(64 - INDEX_BITS)).astype(np.int64)
+        at, end = self.index[first], self.index[first + 1]
+        log, known = np.zeros(len(wanted)), np.zeros(len(wanted), bool)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            place = at[open_]
+            hit = self.keys[place] == wanted[open_]
+            log[open_[hit]], known[open_[hit]] = self.logs[place[hit]], True
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        return log, known
 
 
 def repeated_words(hashes: np.ndarray) -> int:
@@ -235,128 +265,64 @@ def statistics(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - blanks, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(hashes)
 
 
-def _words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and how many each text has."""
-    words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), np.uint64)
-    return hashes, np.fromiter(map(len, words), np.int64, len(words))
+SCORED = (
+    "id long, key long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "n long, log_sum double, square_sum double, gram string, k long"
+)
+_NAMES = [x.split(" ")[0] for x in SCORED.split(", ")]
 
 
-def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, fold, first, word and k: each word with the one before it (``START`` at a text's start), once per text of a batch."""
-    for batch in batches:
-        texts, keys, folds = batch.column("text").to_pylist(), batch.column("key").to_numpy(), batch.column("fold").to_numpy()
-        done = 0
-        for part in _chunks(texts):
-            word, sizes = _words_of(part)
-            doc = np.repeat(np.arange(done, done + len(part)), sizes)
-            done += len(part)
-            if not len(word):
-                continue
-            first = np.r_[START, word[:-1]]
-            first[np.r_[True, doc[1:] != doc[:-1]]] = START
-            order = np.lexsort((word, first, doc))
-            d, f, w = doc[order], first[order], word[order]
-            starts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (f[1:] != f[:-1]) | (w[1:] != w[:-1])])
-            k = np.diff(np.r_[starts, len(d)])
-            at = d[starts]
-            columns = [keys[at], folds[at], f[starts].view(np.int64), w[starts].view(np.int64), k.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "fold", "first", "word", "k"])
-
-
-PAIRS = "key long, fold int, first long, word long, k int"
-
-
-def _different_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in _chunks(batch.column("text").to_pylist()):
-            words = {w for t in part for w in t.encode("utf-8", "surrogatepass").split()}
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary())], ["spelled"])
-
-
-def spell(scorer: Scorer, words: list[str]) -> np.ndarray:
-    """Log probabilities of words by their letters and the blank behind them."""
-    texts = [f"{w} " for w in words]
-    numbers, sizes = grams_of(texts)
-    different, place = np.unique(numbers, return_inverse=True)
-    log = scorer.of(different).astype(np.float64)[place] - np.log(spell.sizes)[numbers % np.uint32(CLASSES)]
-    return np.diff(np.r_[0.0, np.cumsum(log)][np.r_[0, np.cumsum(sizes)]])
-
-
-#: Characters of each class.
-spell.sizes = np.maximum(np.bincount(grams_of.table, minlength=CLASSES), 1).astype(np.float64)
-
-
-def _spelled(shared):
+def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        hot: Hot = shared.value
+        number = TaskContext.get().partitionId() << 40
+        longs = [pa.int64()] * 5
         for batch in batches:
-            words = batch.column("spelled").to_pylist()
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-            log = spell(scorer, [w.decode("utf-8", "surrogatepass") for w in words])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(log)], ["_word", "spelling"])
+            texts = batch.column("text").to_pylist()
+            ids = np.arange(number, number + len(texts))
+            number += len(texts)
+            n, s, q = (np.zeros(len(texts)) for _ in range(3))
+            for stretches in _stretches(texts):
+                code, at, h, doc = grams_of(stretches)
+                log, known = hot.of(h)
+                n += np.bincount(doc, minlength=len(texts))
+                s += np.bincount(doc, log, len(texts))
+                q += np.bincount(doc, log * log, len(texts))
+                cold = np.flatnonzero(~known)
+                if not len(cold):
+                    continue
+                order = cold[np.lexsort((h[cold], doc[cold]))]
+                starts = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
+                first = order[starts]
+                columns = dict.fromkeys(_NAMES) | {"id": pa.array(ids[doc[first]]), "gram": _spelled(code[at[first][:, None] + np.arange(ORDER)]), "k": pa.array(np.diff(np.r_[starts, len(order)]))}
+                yield _rows(columns, len(first))
+            figures = list(zip(*map(statistics, texts), strict=True)) or [()] * 5
+            columns = dict.fromkeys(_NAMES) | {c: batch.column(c) for c in ("key", "doc_id", "lang")} | {"id": pa.array(ids), "n": pa.array(n.astype(np.int64)), "log_sum": pa.array(s), "square_sum": pa.array(q)}
+            columns |= {c: pa.array(x, kind) for c, x, kind in zip(_NAMES[4:9], figures, longs, strict=True)}
+            yield _rows(columns, len(texts))
 
     return run
 
 
-def word_model(texts: DataFrame, shared) -> DataFrame:
-    """_pair (hash of two words and a fold) and log: log probability of the second word by the texts outside that fold.
-
-    A pair has a row for each fold that has it, so no array and no window is longer than ``FOLDS``.
-    Discounts are those of all texts.
-    """
-    own = texts.select("key", "fold", "text").mapInArrow(_counted_pairs, PAIRS).groupBy("first", "word", "fold").agg(F.sum("k").alias("own"))
-    pair = Window.partitionBy("first", "word")
-    found = [F.sum("own").over(pair).alias("n"), F.count("*").over(pair).alias("folds"), (F.min("fold").over(pair) == F.col("fold")).alias("lead")]
-    rows = cut(own.select("*", *found))
-    d1, d2, d3 = _discounts(rows.where("lead"))
-
-    def discount(n, one: float, two: float, more: float):
-        return F.when(n < 1, 0.0).when(n == 1, one).when(n == 2, two).otherwise(more)
-
-    def of_pair(n):
-        return discount(n, d1, d2, d3)
-
-    word, first = Window.partitionBy("word"), Window.partitionBy("first")
-    words = rows.groupBy("word", "fold").agg(F.count_if(F.col("folds") == 1).alias("own"), F.count_if("lead").alias("leads"))
-    words = cut(words.select("word", "fold", "own", F.sum("leads").over(word).alias("n"), (F.min("fold").over(word) == F.col("fold")).alias("lead")))
-    w1, w2, w3 = _discounts(words.where("lead"))
-    every, rest = discount(F.col("n"), w1, w2, w3), discount(F.col("n") - F.col("own"), w1, w2, w3)
-    of_fold = words.groupBy("fold").agg(
-        F.sum("own").alias("own"), F.sum(rest - every).alias("less"), F.sum(F.when(F.col("lead"), F.col("n"))).alias("n"), F.sum(F.when(F.col("lead"), every)).alias("all")
-    )
-    of_fold = of_fold.select(F.col("fold").alias("_fold"), (F.sum("n").over(Window.partitionBy(F.lit(0))) - F.col("own")).alias("total"), (F.sum("all").over(Window.partitionBy(F.lit(0))) + F.col("less")).alias("weight"))
-    spelling = texts.select("text").mapInArrow(_different_words, "spelled binary").distinct().mapInArrow(_spelled(shared), "_word long, spelling double")
-    words = words.join(F.broadcast(of_fold), F.col("fold") == F.col("_fold")).join(spelling, F.col("word") == F.col("_word"))
-    alone = F.when(F.col("total") > 0, (F.col("n") - F.col("own") - rest + F.col("weight") * F.exp("spelling")) / F.col("total")).otherwise(F.exp("spelling"))
-    words = words.select("_word", "_fold", alone.alias("alone"))
-
-    changed = F.sum(of_pair(F.col("n") - F.col("own")) - of_pair(F.col("n")))
-    contexts = rows.groupBy("first", "fold").agg(F.sum("own").alias("own"), changed.alias("less"), F.sum(F.when(F.col("lead"), F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("lead"), of_pair(F.col("n"))).otherwise(0.0)).alias("all"))
-    contexts = contexts.select(F.col("first").alias("_first"), F.col("fold").alias("_of"), (F.sum("n").over(first) - F.col("own")).alias("total"), (F.sum("all").over(first) + F.col("less")).alias("weight"))
-    rows = rows.join(words, (F.col("word") == F.col("_word")) & (F.col("fold") == F.col("_fold"))).join(contexts, (F.col("first") == F.col("_first")) & (F.col("fold") == F.col("_of")))
-    left = F.col("n") - F.col("own")
-    p = F.when(F.col("total") > 0, (left - of_pair(left) + F.col("weight") * F.col("alone")) / F.col("total")).otherwise(F.col("alone"))
-    # exp() of a very long word's spelling is 0; TINY keeps the logarithm finite.
-    return rows.select(F.xxhash64("first", "word", "fold").alias("_pair"), F.log(F.greatest(p, F.lit(TINY))).alias("log"))
-
-
-def word_scores(texts: DataFrame, shared) -> DataFrame:
-    """_key, words, s and q: words, and sums of their log probabilities and of the squares, by text and language."""
-    asked = texts.select("key", "fold", "text").mapInArrow(_counted_pairs, PAIRS).select("key", F.xxhash64("first", "word", "fold").alias("pair"), "k")
-    return asked.join(word_model(texts, shared), F.col("pair") == F.col("_pair")).select("key", "k", "log").groupBy(F.col("key").alias("_key")).agg(
-        F.sum("k").alias("words"), F.sum(F.col("k") * F.col("log")).alias("s"), F.sum(F.col("k") * F.col("log") * F.col("log")).alias("q")
-    )
+_KINDS = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
 
 
-def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [statistics(t) for t in batch.column("text").to_pylist()]
-        longs = [pa.array(np.array([r[i] for r in rows], np.int64)) for i in range(5)]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("lang"), *longs], RULES.replace(" long", "").replace(" string", "").split(", "))
+def _rows(columns: dict, n: int) -> pa.RecordBatch:
+    """A batch of ``SCORED`` in which columns without values are null."""
+    kinds = [_KINDS[x.split(" ")[1]] for x in SCORED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, kind) if x is None else x for x, kind in zip(columns.values(), kinds, strict=True)], _NAMES)
 
 
-RULES = "key long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+def scores(texts: DataFrame, hot: int = HOT) -> DataFrame:
+    """The rules' figures of each row of ``texts``, n (its n-grams), and the sums of their log probabilities and of the squares."""
+    grams = cut(model(cut(n_gram_counts(texts))).select("gram", "seen", F.log("p").alias("log")))
+    lowest = hot_from(grams, hot)
+    shared = texts.sparkSession.sparkContext.broadcast(Hot(grams.where(_frequency(F.col("seen")) >= lowest).select("gram", "log").toArrow()))
+    found = cut(texts.mapInArrow(_scored(shared), SCORED))
+    cold = found.where("gram is not null").select("id", "gram", "k").join(grams.where(_frequency(F.col("seen")) < lowest).select("gram", "log"), "gram")
+    cold = cold.groupBy(F.col("id").alias("_id")).agg(F.sum(F.col("k") * F.col("log")).alias("_s"), F.sum(F.col("k") * F.col("log") * F.col("log")).alias("_q"))
+    rows = found.where("gram is null").drop("gram", "k").join(cold, F.col("id") == F.col("_id"), "left")
+    return rows.withColumns({"log_sum": F.col("log_sum") + F.coalesce("_s", F.lit(0.0)), "square_sum": F.col("square_sum") + F.coalesce("_q", F.lit(0.0))}).drop("id", "_id", "_s", "_q")
 
 
 def verdict_key(text, lang):
@@ -384,21 +350,16 @@ def bands(scored: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
+def judge(docs: DataFrame, below: float = BELOW, above: float = ABOVE, hot: int = HOT) -> DataFrame:
     """All figures, base_failed, perplexity, lower and upper (the document's band) and kept of every row."""
-    key, fold = verdict_key(F.col("text"), F.col("lang")).alias("key"), F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(FOLDS)).cast("int").alias("fold")
-    texts = text_or_empty(docs, key, fold, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    shared = docs.sparkSession.sparkContext.broadcast(model(cut(n_gram_counts(texts))).toArrow())
+    key = verdict_key(F.col("text"), F.col("lang")).alias("key")
+    texts = text_or_empty(docs, key, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    rules = texts.select("key", "doc_id", "lang", "text").mapInArrow(_rules, RULES).withColumn("base_failed", failed)
-    share = F.col("n_words") / F.col("words")
-    scored = rules.join(word_scores(texts, shared), F.col("key") == F.col("_key"), "left").withColumns(
-        {"n": F.col("n_words"), "log_sum": F.coalesce(F.col("s") * share, F.lit(0.0)), "square_sum": F.coalesce(F.col("q") * share, F.lit(0.0)), "entropy": F.coalesce(-F.col("s") / F.col("words"), F.lit(0.0))}
-    )
-    scored = cut(scored.drop("_key", "words", "s", "q"))
+    entropy = F.when(F.col("n") > 0, -F.col("log_sum") / F.col("n")).otherwise(0.0)
+    scored = cut(scores(texts, hot).withColumns({"base_failed": failed, "entropy": entropy}))
     judged = scored.join(bands(scored).withColumnRenamed("lang", "_lang"), same(F.col("lang"), F.col("_lang")), "left")
     under, over = (F.sqrt(F.pow(f"spread_{side}", 2) + F.col("noise") / F.greatest(F.col("n"), F.lit(1))) for side in ("below", "above"))
-    judged = judged.withColumns({"perplexity": F.exp(F.least(F.col("entropy"), F.lit(700.0))), "lower": F.exp(F.col("middle") - F.lit(float(below)) * under), "upper": F.exp(F.col("middle") + F.lit(float(above)) * over)})
+    judged = judged.withColumns({"perplexity": F.exp("entropy"), "lower": F.exp(F.col("middle") - F.lit(float(below)) * under), "upper": F.exp(F.col("middle") + F.lit(float(above)) * over)})
     kept = ~F.col("base_failed") & F.coalesce(F.col("perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
     return judged.withColumn("kept", kept)
 

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import perplexity as P
@@ -38,14 +39,16 @@ def test_figures_equal_the_contract(spark, sf_dir):
 
 
 def _kneser_ney(texts):
-    """log probabilities of characters by definition, with dictionaries."""
-    table = P._classes()
-    counts = {P.ORDER: Counter()}
+    """Probability of an n-gram by definition, with dictionaries: n-grams of one text alone do not count."""
+    grams = {t: Counter(("\n" * (P.ORDER - 1) + t)[i : i + P.ORDER] for i in range(len(t))) for t in texts}
+    every = Counter()
     for t in texts:
-        c = [int(table[ord(x) & 0xFFFF]) for x in "\n" * (P.ORDER - 1) + t]
-        counts[P.ORDER].update(tuple(c[i : i + P.ORDER]) for i in range(len(t)))
+        every.update(grams[t])
+    counts = {P.ORDER: Counter({g: n if sum(g in x for x in grams.values()) > 1 else 0 for g, n in every.items()})}
     for k in range(P.ORDER - 1, 0, -1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
+        counts[k] = Counter()
+        for g, n in counts[k + 1].items():
+            counts[k][g[1:]] += n > 0
     disc = {}
     for k, c in counts.items():
         n = Counter(c.values())
@@ -58,35 +61,58 @@ def _kneser_ney(texts):
     under = {k: defaultdict(list) for k in counts}
     for k, c in counts.items():
         for g, n in c.items():
-            under[k][g[:-1]].append(n)
+            if n:
+                under[k][g[:-1]].append(n)
 
     def p(g):
         k = len(g)
         if not k:
-            return 1 / P.CLASSES
+            return 1 / len(counts[1])
         own = under[k].get(g[:-1])
         if not own:
             return p(g[1:])
-        total = sum(own)
-        n = counts[k].get(g, 0)
+        n = counts[k][g]
         d = disc[k][min(n, 3) - 1] if n else 0
-        return (n - d) / total + sum(disc[k][min(x, 3) - 1] for x in own) / total * p(g[1:])
+        return (n - d) / sum(own) + sum(disc[k][min(x, 3) - 1] for x in own) / sum(own) * p(g[1:])
 
-    def score(t):
-        c = [int(table[ord(x) & 0xFFFF]) for x in "\n" * (P.ORDER - 1) + t]
-        return sum(math.log(p(tuple(c[i : i + P.ORDER]))) for i in range(len(t)))
+    return p
 
-    return score
 
+TEXTS = [prose(i, 60, pool=40) for i in range(12)] + [prose(1, 60, pool=40), "", "A", "12 $$", "été \U0001f600 中文字符 и кириллица", "中文字符 и буквы", "\x00\x00 nul"]
 
-def test_model_equals_definition(spark):
-    texts = [prose(i, 60) for i in range(12)] + ["", "A", "12 $$", "été \U0001f600"]
-    df = documents(spark, list(enumerate(texts)))
-    scorer = P.Scorer(P.model(P.n_gram_counts(df)).toArrow())
-    want = _kneser_ney(texts)
-    for t in [*texts, "zq unseen XX qz", "|||"]:
-        got = float(scorer.of(P.grams_of([t])[0]).astype(np.float64).sum())
-        assert got == pytest.approx(want(t), rel=1e-4, abs=1e-4)
+
+@pytest.mark.parametrize("hot", [P.HOT, 300, 0])
+def test_perplexity_equals_definition(spark, hot, monkeypatch):
+    monkeypatch.setattr(P, "CHUNK", 500)
+    p = _kneser_ney(TEXTS)
+    found = {r.doc_id: r.perplexity for r in P.judge(documents(spark, list(enumerate(TEXTS))), hot=hot).collect()}
+    for i, t in enumerate(TEXTS):
+        logs = [math.log(p(("\n" * (P.ORDER - 1) + t)[k : k + P.ORDER])) for k in range(len(t))]
+        assert found[i] == pytest.approx(math.exp(-sum(logs) / max(1, len(logs))), rel=1e-9)
+
+
+def test_bands_equal_definition(spark):
+    """kept against quartiles and deviations computed row by row."""
+    rows = [(i, prose(i, 20 + i % 70), "en" if i % 3 else None, "a", 0) for i in range(120)] + [(500 + i, "|".join("xyzw"[k * i % 4] for k in range(90)) + " a" * 12, "en", "a", 0) for i in range(4)]
+    found = P.judge(documents(spark, rows)).collect()
+    for lang in ("en", None):
+        own = [r for r in found if r.lang == lang and not r.base_failed]
+        bins = sorted(math.floor(r.entropy * P.STEP) for r in own)
+        low, middle, high = ((bins[math.ceil(len(bins) * x) - 1] + 0.5) / P.STEP for x in (0.25, 0.5, 0.75))
+        n, s, q = (sum(getattr(r, c) for r in own) for c in ("n", "log_sum", "square_sum"))
+        for r in own:
+            noise = (q / n - (s / n) ** 2) / r.n
+            below, above = (math.sqrt((2 * x / 1.349 + 1 / P.STEP) ** 2 + noise) for x in (middle - low, high - middle))
+            assert r.kept == (middle - P.BELOW * below <= r.entropy <= middle + P.ABOVE * above)
+
+
+def test_hot_arrays_find_what_they_hold():
+    rng = random.Random(3)
+    grams = sorted({"".join(rng.choice("ab中\n") for _ in range(P.ORDER)) for _ in range(400)})
+    hot = P.Hot(pa.table({"gram": grams[:300], "log": [-float(i) for i in range(300)]}))
+    log, known = hot.of(P.hashes_of(np.array([ord(c) for g in grams for c in g], np.uint32))[:: P.ORDER])
+    assert known.tolist() == [True] * 300 + [False] * (len(grams) - 300)
+    assert log[:300].tolist() == [-float(i) for i in range(300)]
 
 
 def test_bands_reject_junk_and_keep_prose(spark):
@@ -124,41 +150,3 @@ def test_shuffled_and_invented_words_score_worse(spark):
     # A junk row drops no other row of its doc_id.
     kept = P.passing(docs).where("doc_id is null or doc_id = 7").collect()
     assert sorted(r.doc_id is None for r in kept) == [False, True] and all(r.text != "junk" for r in kept)
-
-
-def test_word_model_equals_definition(spark):
-    texts = [(i, prose(i, 80, pool=30)) for i in range(14)] + [(14, ""), (15, "été 中 \U0001f600")]
-    docs = documents(spark, texts)
-    folds = {r.text: r.fold for r in docs.selectExpr("text", f"pmod(xxhash64(text), {P.FOLDS}) as fold").collect()}
-    scorer = P.Scorer(P.model(P.n_gram_counts(docs)).toArrow())
-
-    def discounts(values):
-        n = Counter(values)
-        if not (n[1] and n[2] and n[3]):
-            return [0.5, 1.0, 1.5]
-        y = n[1] / (n[1] + 2 * n[2])
-        d = [i - (i + 1) * y * n[i + 1] / n[i] for i in (1, 2, 3)]
-        return [x if 0 < x <= i else i / 2 for i, x in enumerate(d, 1)]
-
-    found = {r.doc_id: r.perplexity for r in P.judge(docs).collect()}
-
-    def pairs(but=None):
-        return Counter(g for t, h in folds.items() if h != but for g in zip([None, *t.split()], t.split()))
-
-    d2, d1 = discounts(pairs().values()), discounts(Counter(g[1] for g in pairs()).values())
-    for doc_id, text in texts:
-        if not text:
-            continue
-        two = pairs(folds[text])
-        one = Counter(g[1] for g in two)
-        total = 0.0
-        for a, b in zip([None, *text.split()], text.split()):
-            p = math.exp(P.spell(scorer, [b])[0])
-            if one:
-                p = ((one[b] - d1[min(one[b], 3) - 1] if one[b] else 0) + sum(d1[min(n, 3) - 1] for n in one.values()) * p) / sum(one.values())
-            own = [n for g, n in two.items() if g[0] == a]
-            if own:
-                n = two[a, b]
-                p = ((n - d2[min(n, 3) - 1] if n else 0) + sum(d2[min(x, 3) - 1] for x in own) * p) / sum(own)
-            total += math.log(p)
-        assert found[doc_id] == pytest.approx(math.exp(-total / len(text.split())), rel=1e-4)
