@@ -12,7 +12,10 @@ which overlap no base span are added; base spans always stay.
 How it runs: one scan cuts the candidates out of the texts into a small table; statistics are
 bounded counts, and the trained classifier is a few dozen numbers in the plan, so adding spans
 needs no join and no text is shuffled. Patterns use possessive quantifiers and look-behinds, which
-match the same spans but neither recurse nor run quadratically on long texts.
+match the same spans but neither recurse nor run quadratically on long texts. Positions are running
+sums over the gaps between matches, overlaps are found by running ends over sorted spans, and running
+values take as many rounds as the number of values has bits, so n spans of a text cost n log n.
+A candidate's context is at most 30 characters, over one earlier match of its pattern at most.
 
 Defined cases: a null text is the empty text, which has no spans and the digest of the empty string;
 rows are independent, so repeated rows and null or equal doc_ids keep their own spans; further
@@ -26,7 +29,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table, text_or_empty
+from tessera.llm.common import cut, fresh, table, text_or_empty
 
 #: In the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -46,10 +49,10 @@ LOOSE = {
 }
 # Gazetteers.
 GAZETTEER = {
-    "email": r"(\.|[\[(]dot[\])] ?)(com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|us|ca|ch|at)$",
-    "ip": r"^(10\.|127\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|fe80:|2001:)",
-    "card": r"^(4|5[1-5]|2[2-7]|3[47]|6011|65)",
-    "phone": r"^\+ ?(1|33|34|39|41|43|44|49|52|54)[^0-9]",
+    "email": r"(?i)(\.|[\[(]dot[\])] ?)(com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|online|shop|site|store|tech|cloud|[a-z]{2})$",
+    "ip": r"^(10\.|127\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|fe80:|2001:)",
+    "card": r"^(4|5[0-8]|2[2-7]|3[0-9]|6011|6[2-7])",
+    "phone": r"^\+ ?(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-69][0-9]|3[578][0-9]|42[013]|5[09][0-9]|6[789][0-9]|8[05789][0-9]|9[679][0-9])",
 }
 # Words that speak for a kind, and words that speak against any.
 FOR = {
@@ -61,6 +64,8 @@ FOR = {
 AGAINST = r"(version|isbn|token|order|invoice|section|chapter|serial|sku)\W*(number|no|nr)?\W*$"
 
 _CANDIDATE = "struct<k:int,s:int,e:int,m:string,l:string,r:string,shape:int>"
+#: Characters in one piece of a text.
+PIECE = 1024
 
 
 def _q(pattern: str) -> str:
@@ -68,30 +73,28 @@ def _q(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\x27") + "'"
 
 
-def _matches(kind: int, pattern: str, shape: str) -> str:
-    """SQL: candidates of one pattern. A match begins behind the last match and the gap before it.
+def _running(values: str, op: str) -> str:
+    """SQL: running values of an array of integers under an associative ``op`` over ``x`` and ``y``.
+
+    In each round a value takes in the one that stands twice as far before it as in the last round.
+    """
+    step = f"transform(v, (x, i) -> if(i < shiftleft(1, d), x, transform(array(get(v, i - shiftleft(1, d))), y -> {op})[0]))"
+    return f"transform(array({values}), vs -> aggregate(sequence(0, int(ceil(log2(greatest(size(vs), 2)))) - 1), vs, (v, d) -> {step}))[0]"
+
+
+def _matches(kind: int, pattern: str, shape: str, text: str) -> str:
+    """SQL: candidates of one pattern, placed by the lengths of the matches and of the gaps before them.
 
     ``shape`` is SQL over the match ``m``: 2 for a base span, 1 for a loose form, 0 for a failed one,
-    -1 for none. A base match is the first place of its string after the last match. A loose form's
-    string may stand earlier where its look-behind fails, so its gap is captured with it.
+    -1 for none.
     """
-    loose = shape == "1"
-    place = "acc.at + length(x.gap)" if loose else "locate(m, text, acc.at)"
-    step = (
-        f"transform(array({place}), p -> named_struct('at', p + length(m), 'out', "
-        f"concat(acc.out, array(named_struct('k', {kind}, 's', p - 1, 'e', p - 1 + length(m), 'm', m, "
-        "'l', lower(substring(text, greatest(p - 30, 1), p - greatest(p - 30, 1))), 'r', substring(text, p + length(m), 1), "
-        f"'shape', {shape})))))[0]"
-    )
-    start = f"named_struct('at', 1, 'out', cast(array() as array<{_CANDIDATE}>))"
-    if loose:
-        # \G lets a try begin only where the last match ended, so the rest of a text is read once.
-        gap, m = (f"regexp_extract_all(text, {_q(rf'(?s)\G(.*?)({pattern})')}, {group})" for group in (1, 2))
-        step = f"transform(array(x.m), m -> {step})[0]"
-        found = f"aggregate(zip_with({gap}, {m}, (gap, m) -> named_struct('gap', gap, 'm', m)), {start}, (acc, x) -> {step}, acc -> acc.out)"
-    else:
-        found = f"aggregate(regexp_extract_all(text, {_q(pattern)}, 0), {start}, (acc, m) -> {step}, acc -> acc.out)"
-    return f"filter({found}, c -> c.shape >= 0)"
+    before = "if(length(get(gaps, n)) >= 30 or n = 0, get(gaps, n), concat(get(ms, n - 1), get(gaps, n)))"
+    after = "if(get(gaps, n + 1) = '' and n + 1 < size(ms), get(ms, n + 1), get(gaps, n + 1))"
+    ends = _running("transform(ms, (m, n) -> length(get(gaps, n)) + length(m))", "x + y")
+    each = f"named_struct('k', {kind}, 's', get(ends, n) - length(m), 'e', get(ends, n), 'm', m, 'l', lower(right({before}, 30)), 'r', left({after}, 1), 'shape', {shape})"
+    placed = f"transform(array({ends}), ends -> filter(transform(ms, (m, n) -> {each}), c -> c.shape >= 0))[0]"
+    found = f"transform(array(split({text}, {_q(pattern)}, -1)), gaps -> {placed})[0]"
+    return f"transform(array(regexp_extract_all({text}, {_q(pattern)}, 0)), ms -> if(size(ms) = 0, cast(array() as array<{_CANDIDATE}>), {found}))[0]"
 
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '')"
@@ -104,9 +107,9 @@ _BASE = {
 }
 
 
-def candidates() -> str:
-    """SQL over ``text``: all candidates, base matches first."""
-    parts = [_matches(KINDS.index(k), *_BASE[k]) for k in KINDS] + [_matches(KINDS.index(k), p, "1") for k, p in LOOSE.items()]
+def candidates(text: str = "text") -> str:
+    """SQL over a text: all candidates, base matches first."""
+    parts = [_matches(KINDS.index(k), *_BASE[k], text) for k in KINDS] + [_matches(KINDS.index(k), p, "1", text) for k, p in LOOSE.items()]
     return f"concat({', '.join(parts)})"
 
 
@@ -127,9 +130,9 @@ FEATURES = VOTES | {
 }
 
 
-def counts(found: DataFrame) -> DataFrame:
+def counts(found: DataFrame, spots: str = "spots") -> DataFrame:
     """How often each combination of kind and features occurs; ``found`` has the array ``spots``."""
-    each = found.select(F.explode("spots").alias("c")).select("c.k", *[F.expr(sql).cast("int").alias(name) for name, sql in FEATURES.items()])
+    each = found.select(F.explode(spots).alias("c")).select("c.k", *[F.expr(sql).cast("int").alias(name) for name, sql in FEATURES.items()])
     return each.groupBy("k", *FEATURES).agg(F.count("*").cast("double").alias("n"))
 
 
@@ -188,19 +191,30 @@ def classifier(model: dict[tuple[int, str, int], float]) -> str:
     return f"1 / (1 + exp(-({_by_kind({k: score(i) for i, k in enumerate(KINDS)}, '0D')})))"
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The candidates of all rows (doc_id, spots) as a table in the shared folder, and the classifier."""
-    found = cut(text_or_empty(docs, "doc_id").select("doc_id", F.expr(candidates()).alias("spots")))
-    combinations = cut(counts(found))
+def train(spotted: DataFrame, spots: str = "spots") -> tuple[DataFrame, str]:
+    """Rows with their candidates (array ``spots``) as a table in the shared folder, and the classifier learned from them."""
+    found = cut(spotted)
+    combinations = cut(counts(found, spots))
     return found, classifier(weights(combinations, reliabilities(combinations)))
 
 
 def _spans(c: str, model: str, sure: float) -> str:
-    """SQL: base and added spans of the candidates ``c``, by start and kind."""
-    clear = f"not exists({c}, b -> b.shape = 2 and b.s < c.e and c.s < b.e)"
-    added = f"filter({c}, c -> c.shape < 2 and {model} >= {sure} and {clear})"
-    alone = "filter(a, c -> not exists(a, o -> o.s < c.e and c.s < o.e and (o.s < c.s or o.s = c.s and o.k < c.k)))"
-    return f"transform(array({added}), a -> array_sort(concat({_simple(f'filter({c}, c -> c.shape = 2)')}, {_simple(alone)})))[0]"
+    """SQL: base and added spans of the candidates ``c``, by start and kind.
+
+    An added span overlaps no base span, and no added one before it that overlaps none.
+    """
+    base = f"transform(filter({c}, c -> c.shape = 2), c -> named_struct('s', c.s, 'a', 0, 'k', c.k, 'e', c.e))"
+    sure_of = f"transform(filter({c}, c -> c.shape < 2 and {model} >= {sure}), c -> named_struct('s', c.s, 'a', 1, 'k', c.k, 'e', c.e))"
+    # How far base spans reach up to a span, where the next one starts, and how far the free added ones before it reach.
+    reach = _running("transform(mg, x -> if(x.a = 0, x.e, 0))", "greatest(x, y)")
+    next_ = f"transform(reverse({_running('transform(reverse(mg), x -> if(x.a = 0, -x.s, -2147483647))', 'greatest(x, y)')}), x -> -x)"
+    free = "(x.a = 1 and x.s >= get(reach, i) and x.e <= get(nexts, i))"
+    others = _running(f"transform(mg, (x, i) -> if({free}, x.e, 0))", "greatest(x, y)")
+    stays = f"transform(mg, (x, i) -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'stays', x.a = 0 or {free} and x.s >= coalesce(get(others, i - 1), 0)))"
+    kept = f"transform(array({reach}), reach -> transform(array({next_}), nexts -> transform(array({others}), others -> filter({stays}, c -> c.stays))[0])[0])[0]"
+    kept = f"transform(array(array_sort(concat(base, added))), mg -> {kept})[0]"
+    both = f"if(size(added) = 0, {_simple('array_sort(base)')}, {_simple(kept)})"
+    return f"transform(array({base}), base -> transform(array({sure_of}), added -> {both})[0])[0]"
 
 
 def _simple(spans: str) -> str:
@@ -214,18 +228,29 @@ def _listed(spans: str) -> str:
 
 def find(docs: DataFrame, sure: float = SURE) -> DataFrame:
     """doc_id, base (array of struct s, k, e) and spans (likewise, with the added ones)."""
-    found, model = train(docs)
+    spotted = text_or_empty(docs, "doc_id").select("doc_id", F.expr(candidates()).alias("spots"))
+    found, model = train(spotted)
     return found.select("doc_id", F.expr(f"array_sort({_simple('filter(spots, c -> c.shape = 2)')})").alias("base"), F.expr(_spans("spots", model, sure)).alias("spans"))
 
 
+def _stretch(start: str, end: str) -> str:
+    """SQL: the characters from ``start`` to before ``end`` of the text whose pieces of ``PIECE`` characters are ``ps``."""
+    first, last = f"({start}) div {PIECE}", f"({end} - 1) div {PIECE}"
+    several = f"concat(substring(get(ps, int({first})), ({start}) % {PIECE} + 1, {PIECE}), if({last} > {first} + 1, array_join(transform(sequence({first} + 1, {last} - 1), j -> get(ps, int(j))), ''), ''), left(get(ps, int({last})), ({end} - 1) % {PIECE} + 1))"
+    return f"case when {end} <= {start} then '' when {first} = {last} then substring(get(ps, int({first})), ({start}) % {PIECE} + 1, {end} - ({start})) else {several} end"
+
+
 def redact(docs: DataFrame, sure: float = SURE) -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its kind in brackets; n_chars follows."""
-    _, model = train(docs)
-    spans = f"transform(array({candidates()}), spots -> {_spans('spots', model, sure)})[0]"
+    spots = fresh(docs, "_spots")
+    found, model = train(docs.withColumn(spots, F.expr(candidates("coalesce(text, '')"))), spots)
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    step = f"if(c.e <= acc.at, acc, named_struct('at', c.e, 'out', concat(acc.out, array(substring(text, acc.at + 1, greatest(0, c.s - acc.at)), if(c.s >= acc.at, element_at({names}, c.k + 1), '')))))"
-    text = f"aggregate({spans}, named_struct('at', 0, 'out', cast(array() as array<string>)), (acc, c) -> {step}, acc -> array_join(concat(acc.out, array(substring(text, acc.at + 1, length(text)))), ''))"
-    out = docs.withColumn("text", F.when(F.col("text").isNotNull(), F.expr(text)))
+    upto = _running("transform(spans, x -> x.e)", "greatest(x, y)")
+    parts = f"transform(array({upto}), upto -> transform(spans, (x, i) -> transform(array(coalesce(get(upto, i - 1), 0)), z -> if(x.s >= z, concat({_stretch('z', 'x.s')}, element_at({names}, x.k + 1)), ''))[0]))[0]"
+    rest = f"transform(array(array_max(transform(spans, c -> c.e))), z -> {_stretch('z', 'length(text)')})"
+    pieces = f"if(length(text) <= {PIECE}, array(text), regexp_extract_all(text, r'(?s).{{1,{PIECE}}}', 0))"
+    text = f"transform(array({_spans(spots, model, sure)}), spans -> if(size(spans) = 0, text, transform(array({pieces}), ps -> array_join(concat({parts}, {rest}), ''))[0]))[0]"
+    out = found.withColumn("text", F.when(F.col("text").isNotNull(), F.expr(text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

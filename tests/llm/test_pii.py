@@ -103,3 +103,44 @@ def test_loose_matches_stand_where_their_pattern_does(spark):
         want = [m.span() for m in re.finditer(pii.LOOSE["phone"], r.text)]
         assert want and [(c.s, c.e) for c in r.c] == want
         assert all(r.text[c.s : c.e] == c.m for c in r.c)
+
+
+def test_spans_follow_the_rules(spark, sf_dir):
+    """Added spans are matches of a pattern, overlap nothing and are in order; base spans all stay."""
+    added = 0
+    rows = [(r.doc_id, r.text, "en", "a", 0) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(50_000 + i, f"{prose(i, 20)} email: some{i} [at] example [dot] com, tel: 212-555-01{i:02d} or +1 212-555-01{i:02d}", "en", "a", 0) for i in range(60)]
+    texts = {r[0]: r[1] for r in rows}
+    for r in pii.find(documents(spark, rows)).collect():
+        base, spans = [tuple(x) for x in r.base], [tuple(x) for x in r.spans]
+        assert spans == sorted(spans) and set(base) <= set(spans)
+        new = [x for x in spans if x not in base]
+        added += len(new)
+        for s, k, e in new:
+            piece = texts[r.doc_id][s:e]
+            assert any(re.fullmatch(p.replace("++", "+").replace(r"(?:\G|", "(?:"), piece) for p in [pii._BASE[pii.KINDS[k]][0], pii.LOOSE.get(pii.KINDS[k], "x^")] if p), piece
+            assert not any(s < e2 and s2 < e for s2, _, e2 in spans if (s2, e2) != (s, e))
+    assert added >= 60
+
+
+def test_texts_of_very_many_spans(spark):
+    """Positions, spans and redaction of long texts, in time that grows about as the text does."""
+    import time
+
+    took = []
+    for n in (6_000, 24_000):
+        text = "".join(f"é{i}@ex.com, +1 212 555 {i % 10000:04d}; 10.0.{i % 256}.{i // 256} \U0001f600 " for i in range(n))
+        docs = documents(spark, [(1, text, "en", "a", 0)])
+        began = time.time()
+        r = pii.find(docs).collect()[0]
+        out = pii.redact(docs).collect()[0].text
+        took.append(time.time() - began)
+        want = base_spans(text)
+        assert [(pii.KINDS[x.k], x.s, x.e) for x in r.base] == want
+        at, parts = 0, []
+        for x in r.spans:
+            if x.s >= at:
+                parts += [text[at : x.s], f"[{pii.KINDS[x.k].upper()}]"]
+            at = max(at, x.e)
+        assert out == "".join([*parts, text[at:]])
+    assert took[1] < 8 * took[0] and took[1] < 60, took
