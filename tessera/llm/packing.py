@@ -3,10 +3,11 @@
 A sequence costs ``LINEAR`` for each token plus ``QUADRATIC`` for each pair of tokens of one
 piece, as attention inside a document does. A document's full stretches of ``CAPACITY`` (1024)
 ids are sequences of their own; the ends that remain are packed in shards of about
-``SHARD_TOKENS`` ids: as many sequences as their ids need are opened, and the pieces go, longest
-first, each to the sequence of lowest cost that has room. A piece that fits nowhere is cut to fill
-the sequences with most room. The room left in a shard is under one sequence: it is gathered in its
-last ones and those are cut to powers of two, which need no padding, so nothing is padded.
+``SHARD_TOKENS`` ids: ``SLACK`` (2 %) more room than their ids need is opened, and the pieces go,
+longest first, each whole to the sequence of lowest cost that has room. A piece that fits nowhere is
+cut: it fills the largest rooms, and its rest goes to the smallest room that holds it. A sequence
+that stays short of ``CAPACITY`` by more than a ``SHORT`` part (1/16), as in shards of few ids, is
+cut to powers of two, which need no padding. So about ``SLACK`` of the ids is padded.
 
 How it runs: one pass in tasks over whole texts, with no shuffle; a shard is a bounded stretch of
 one input partition. Sequence ids combine partition and sequence, so a task that runs again on
@@ -19,7 +20,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-import heapq
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ from tessera.llm.encoding import Encoder
 CAPACITY, END = 1024, 0
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SHARD_TOKENS = 1_000_000
+#: Room beyond the ids of a shard; the part of a sequence from which missing ids are not padded.
+SLACK, SHORT = 0.02, 1 / 16
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -45,68 +48,59 @@ def cost(length: int) -> float:
     return LINEAR * length + QUADRATIC * length * length
 
 
-def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
+def pack(lengths: list[int], capacity: int = CAPACITY, slack: float = SLACK) -> list[list[tuple[int, int, int]]]:
     """Sequences of (item, start in the item, length) that hold every unit of every item once.
 
     Items are shorter than ``capacity``.
     """
-    total = sum(lengths)
-    n = -(-total // capacity)
+    n = -(-int(sum(lengths) * (1 + slack)) // capacity) or int(bool(lengths))
     sequences: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
-    room = [capacity] * n
-    heap = [(0.0, i) for i in range(n)]
+    room, load = np.full(n, capacity), np.zeros(n)
     unplaced = []
     for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         length = lengths[item]
-        passed = []
-        while heap:
-            load, i = heapq.heappop(heap)
-            if room[i] >= length:
-                sequences[i].append((item, 0, length))
-                room[i] -= length
-                if room[i]:
-                    heapq.heappush(heap, (load + cost(length), i))
-                break
-            passed.append((load, i))
-        else:
+        i = int(np.argmin(np.where(room >= length, load, np.inf)))
+        if room[i] < length:
             unplaced.append(item)
-        for x in passed:
-            heapq.heappush(heap, x)
-    gaps = sorted((-r, i) for i, r in enumerate(room) if r)
+            continue
+        sequences[i].append((item, 0, length))
+        room[i] -= length
+        load[i] += cost(length)
+    rooms = sorted((int(r), i) for i, r in enumerate(room) if r)
     for item in unplaced:
         start = 0
         while start < lengths[item]:
-            gap, i = gaps[0]
-            length = min(-gap, lengths[item] - start)
+            left = lengths[item] - start
+            at = min(bisect.bisect_left(rooms, (left, -1)), len(rooms) - 1)
+            space, i = rooms.pop(at)
+            length = min(space, left)
             sequences[i].append((item, start, length))
             start += length
-            if -gap > length:
-                heapq.heapreplace(gaps, (gap + length, i))
-            else:
-                heapq.heappop(gaps)
-    return sequences
-
-
-def without_padding(sequences: list[list[tuple[int, int, int]]], capacity: int = CAPACITY) -> Iterator[list[tuple[int, int, int]]]:
-    """The same pieces in sequences of ``capacity`` or of powers of two only."""
-    short = sorted((s for s in sequences if sum(p[2] for p in s) < capacity), key=lambda s: sum(p[2] for p in s))
-    yield from (s for s in sequences if sum(p[2] for p in s) == capacity)
-    pieces = [p for s in reversed(short) for p in s]
-    left = sum(p[2] for p in pieces)
-    size = capacity
-    while left:
-        while size > left:
-            size //= 2
-        filled, sequence = 0, []
-        while filled < size:
-            item, start, length = pieces.pop(0)
-            take = min(length, size - filled)
-            sequence.append((item, start, take))
-            if take < length:
-                pieces.insert(0, (item, start + take, length - take))
-            filled += take
-        yield sequence
-        left -= size
+            if space > length:
+                bisect.insort(rooms, (space - length, i))
+    return [s for s in sequences if s]
+
+
+def without_short(sequences: list[list[tuple[int, int, int]]], capacity: int = CAPACITY, short: float = SHORT) -> Iterator[list[tuple[int, int, int]]]:
+    """The same pieces, with short sequences cut to powers of two."""
+    for pieces in sequences:
+        left = sum(p[2] for p in pieces)
+        if capacity - left <= short * capacity:
+            yield pieces
+            continue
+        at, done = 0, 0
+        while left:
+            size = 1 << (left.bit_length() - 1)
+            filled, sequence = 0, []
+            while filled < size:
+                item, start, length = pieces[at]
+                take = min(length - done, size - filled)
+                sequence.append((item, start + done, take))
+                filled, done = filled + take, done + take
+                if done == length:
+                    at, done = at + 1, 0
+            yield sequence
+            left -= size
 
 
 class Packer:
@@ -124,7 +118,7 @@ class Packer:
                 self.sequence += 1
             if n > whole:
                 ends.append((doc, whole, n - whole))
-        for pieces in without_padding(pack([x[2] for x in ends], self.capacity), self.capacity):
+        for pieces in without_short(pack([x[2] for x in ends], self.capacity), self.capacity):
             offset = 0
             for item, start, length in pieces:
                 doc, base, _ = ends[item]
