@@ -7,8 +7,11 @@ tokenizer: pieces are tried by rising start, and only a strictly better score re
 that no one-character piece covers may be unknown at the lowest score less ``UNKNOWN`` (10), and
 neighbouring unknown characters count as one piece.
 
+The states of as many characters as the longest piece has are kept, in rings, so an unbroken text of
+any length needs no more memory than itself.
+
 Words are stretches without ASCII white space, each with the vocabulary's word mark in front, so
-they are counted once per task and kept in a bounded cache. The vocabulary is that of a public
+they are counted once per task, and those of ``SHORT`` bytes at most are kept in a bounded cache. The vocabulary is that of a public
 32k-piece file; pieces are scored by rank, -ln(rank + 1), as no public unigram file is installed
 and tokenizers are never trained here.
 
@@ -33,8 +36,8 @@ from tessera.llm.common import table, text_or_empty
 
 MARK, UNKNOWN = "▁", 10.0
 VOCABULARY = "piece_bpe_32k.model"
-#: Cached words at most; the cache then starts anew.
-CACHE = 500_000
+#: Cached words at most, after which the cache starts anew; bytes of a cached word at most.
+CACHE, SHORT = 500_000, 64
 
 
 def vocabulary(path: str | None = None) -> list[tuple[str, float]]:
@@ -52,36 +55,37 @@ class Counter:
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        #: A state for each place in front of the longest piece, and one for its end.
+        self.ring = max(len(p) for p, _ in pieces) + 1
         self.unknown = min(s for _, s in pieces) - UNKNOWN
         self.cache: dict[str, tuple[int, int, float]] = {}
 
     def viterbi(self, word: str) -> tuple[int, int, float]:
         """(pieces, unknown among them, best score) of one word."""
-        n = len(word)
-        ending: list[list | None] = [None] * n
-        for end, match in self.automaton.iter(word):
-            if ending[end] is None:
-                ending[end] = [match]
-            else:
-                ending[end].append(match)
-        score, count, unknown, last_unknown = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for end in range(n):
+        ring = self.ring
+        score, count, unknown, is_unknown = [0.0] * ring, [0] * ring, [0] * ring, [False] * ring
+        matches = self.automaton.iter(word)
+        match = next(matches, None)
+        at = 0
+        for end in range(len(word)):
             best = None
             single = False
-            for length, s in ending[end] or ():
-                start = end + 1 - length
+            while match is not None and match[0] == end:
+                length, s = match[1]
+                start = (end + 1 - length) % ring
                 single = single or length == 1
                 x = score[start] + s
                 if best is None or x > best:
-                    best, origin, is_unknown = x, start, False
+                    best, origin, by_piece = x, start, True
+                match = next(matches, None)
             if not single:
-                x = score[end] + self.unknown
+                x = score[at] + self.unknown
                 if best is None or x > best:
-                    best, origin, is_unknown = x, end, True
-            at = end + 1
-            fused = is_unknown and last_unknown[origin]
-            score[at], count[at], unknown[at], last_unknown[at] = best, count[origin] + (not fused), unknown[origin] + (is_unknown and not fused), is_unknown
-        return count[n], unknown[n], score[n]
+                    best, origin, by_piece = x, at, False
+            at = (end + 1) % ring
+            new = not by_piece and not is_unknown[origin]
+            score[at], count[at], unknown[at], is_unknown[at] = best, count[origin] + (by_piece or new), unknown[origin] + new, not by_piece
+        return count[at], unknown[at], score[at]
 
     def of(self, text: str) -> tuple[int, int, int, float]:
         """(words, pieces, unknown pieces, score) of one text."""
@@ -91,6 +95,7 @@ class Counter:
             new = {w for w, x in zip(words, found, strict=True) if x is None}
             made = {w: self.viterbi(MARK + w.decode("utf-8", "surrogatepass")) for w in new}
             found = [made[w] if x is None else x for w, x in zip(words, found, strict=True)]
+            made = {w: x for w, x in made.items() if len(w) <= SHORT}
             if len(self.cache) + len(made) > CACHE:
                 self.cache.clear()
             self.cache |= made

@@ -59,3 +59,17 @@ def test_counts_equal_a_unigram_tokenizer(spark, sf_dir):
     for w in [*sorted(words)[:5000], "\U0001f9ff" * 5, "a\U0001f9ffb\U0001f9ff\U0001f9ff", "e\u0301"]:
         assert counter.viterbi(U.MARK + w)[0] == len(model.tokenize(U.MARK + w)), w
     assert counter.viterbi(U.MARK + "\U0001f9ff" * 5)[:2] == (2, 1)
+
+
+def test_unbroken_long_text():
+    """Two million characters without a blank, in memory bounded by the text."""
+    import tracemalloc
+
+    counter = U.Counter([("ab", -1.0), ("abc", -1.5), ("c", -2.0), ("▁", -3.0), ("a" * 30, -4.0)])
+    text = "abcab" * 400_000
+    tracemalloc.start()
+    got = counter.of(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:3] == (1, 1 + 2 * 400_000, 0) and got[3] == -3.0 - 2.5 * 400_000
+    assert peak < 10 * len(text) and not counter.cache
