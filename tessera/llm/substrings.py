@@ -5,21 +5,22 @@ covers it also starts in a document with a smaller ``doc_id``.
 
 How it runs. Each window picks the smallest hash among its eight-word grams as its anchor, so equal
 windows pick equal anchors; consecutive windows with the same anchor position form a run of at
-most 43 windows. One pass over the texts writes the runs (no text, some 30 bytes each). Runs with
-equal content are grouped by (anchor, content hash); only the first holder can owe its words to
-something else, every later holder loses all of the run's windows. Runs that share an anchor but
-not their whole content are compared word by word: their texts are cut out of the documents,
-brought together by anchor, and a suffix automaton of each reference shard (whole anchors, about
-``SHARD_WORDS`` words) gives the matching statistics. Each state knows the smallest document it
-occurs in, so the longest match with a smaller document decides. A shard's automaton goes to the
-runs that share an anchor with it; all automata of a growing corpus would not fit a broadcast.
-Anchors with more than ``HOT_RUNS`` different runs, such as a common line in many contexts, are
-instead compared window by window with a shuffle on the window's hash, so no group is unbounded.
+most 43 windows. One pass over the texts writes the runs (no text, some 40 bytes each). Runs of equal
+content (anchor and a 128-bit hash of their words) are grouped; only the first holder can owe its
+words to something else, every later holder loses all of the run's windows. Of runs that share an
+anchor but not their whole content, the texts and the hashes of their windows are cut out of the
+documents. A window's hash says which runs may hold what an earlier document's run holds (equal
+windows have equal hashes, so none is missed), and words decide: those earlier runs are the reference
+shards, each a suffix automaton of about ``SHARD_WORDS`` words, and the runs that may owe them words
+are streamed along for their matching statistics. Each state knows the smallest document it occurs
+in, so the longest match with a smaller document decides. A shard's automaton goes to the runs that
+may match it; all automata of a growing corpus would not fit a broadcast. A reference that more
+than ``CLAIMS`` runs may owe is copied to as many groups as they fill, so no group is unbounded.
 
 Defined cases: a null text is the empty text; texts under 50 words keep all words; repeats inside
-one document stay; rows that share a ``doc_id`` count as one document and must hold the same text;
-a row with a null ``doc_id`` neither loses words nor takes them from others; further columns are
-ignored; an empty table gives an empty result.
+one document stay; rows that share a ``doc_id`` never take words from each other, whether their texts
+are equal or not; a row with a null ``doc_id`` neither loses words nor takes them from others; further
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,16 +35,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, same, table, text_or_empty
+from tessera.llm.common import cut, same, table
 
 WINDOW, GRAM = 50, 8
 #: Words in one reference shard, after which the next anchor starts another.
 SHARD_WORDS = 40_000
-#: Different runs of one anchor above which its windows are compared through a shuffle.
-HOT_RUNS = 400
+#: Runs that one copy of a reference run meets.
+CLAIMS = 2_000
 _RUN = WINDOW - GRAM + 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -57,13 +58,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Hashes:
-    """Hashes of all word ranges of one text."""
+    """64-bit hashes of all word ranges of one text; another ``base`` gives independent ones."""
 
-    def __init__(self, words: list[bytes]):
-        n = len(words)
-        each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-        self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(each * _powers(_BASE, n), dtype=np.uint64)]
-        self.back = _powers(_BACK, n + 1)
+    def __init__(self, each: np.ndarray, base: np.uint64 = _BASE):
+        n = len(each)
+        self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(each * _powers(base, n), dtype=np.uint64)]
+        self.back = _powers(np.uint64(pow(int(base), -1, 1 << 64)), n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
@@ -72,13 +72,17 @@ class Hashes:
         return h ^ (h >> np.uint64(29))
 
 
-def runs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """start, number of windows, anchor and content hash of each run of a text."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def runs_of(words: list[bytes]) -> tuple[np.ndarray, ...]:
+    """start, number of windows, anchor and the two content hashes of each run of a text."""
     n = len(words) - WINDOW + 1
     if n < 1:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    hashes = Hashes(words)
+        return (np.zeros(0, np.int64),) * 5
+    each = word_hashes(words)
+    hashes = Hashes(each)
     at = np.arange(n + _RUN - 1)
     grams = hashes.of(at, at + GRAM)
     # The leftmost smallest gram of each window, by doubling.
@@ -90,18 +94,23 @@ def runs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         width += step
     first = np.r_[0, np.flatnonzero(low[1:] != low[:-1]) + 1]
     count = np.diff(np.r_[first, n])
-    return first, count, grams[low[first]].view(np.int64), hashes.of(first, first + count + WINDOW - 1).view(np.int64)
+    end = first + count + WINDOW - 1
+    other = Hashes(each ^ (each >> np.uint64(31)), _OTHER).of(first, end)
+    return first, count, grams[low[first]].view(np.int64), hashes.of(first, end).view(np.int64), other.view(np.int64)
+
+
+RUNS = "doc_id long, part int, start int, n int, anchor long, content long, other long"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "start", "n", "anchor", "content"]
+    names = [x.split(" ")[0] for x in RUNS.split(", ")]
     for batch in batches:
         held: list[tuple] = []
         size = 0
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            start, count, anchor, content = runs_of(words_of(text))
+        for doc, part, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "text")), strict=True):
+            start, count, *keys = runs_of(words_of(text))
             if len(start):
-                held.append((np.full(len(start), doc), start.astype(np.int32), count.astype(np.int32), anchor, content))
+                held.append((np.full(len(start), doc), np.full(len(start), part, np.int32), start.astype(np.int32), count.astype(np.int32), *keys))
                 size += len(start)
             if size > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
@@ -110,32 +119,30 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
 
 
+PIECES = "anchor long, content long, other long, doc_id long, windows array<long>, words binary"
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of each wanted run, or the hashes of its windows where its anchor is hot."""
+    """The words of each wanted run and the hashes of its windows."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split(" ")[0] for x in PIECES.split(", ")])
+
     for batch in batches:
         out: list[tuple] = []
-        for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+        for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted")), strict=True):
             words = words_of(text)
-            hashes = Hashes(words) if any(x["hot"] for x in wanted) else None
+            hashes = Hashes(word_hashes(words))
             for x in wanted:
                 s, n = x["start"], x["n"]
-                if s + n + WINDOW - 1 > len(words):
-                    continue
-                if x["hot"]:
-                    at = np.arange(s, s + n)
-                    out += [(x["anchor"], x["content"], doc, int(h), i, None) for i, h in enumerate(hashes.of(at, at + WINDOW).view(np.int64))]
-                else:
-                    out.append((x["anchor"], x["content"], doc, None, None, b" ".join(words[s : s + n + WINDOW - 1])))
+                at = np.arange(s, s + n)
+                out.append((x["anchor"], x["content"], x["other"], doc, hashes.of(at, at + WINDOW).view(np.int64), b" ".join(words[s : s + n + WINDOW - 1])))
             if len(out) > 20_000:
-                yield _batch(out)
+                yield batch_of(out)
                 out = []
         if out:
-            yield _batch(out)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("window", pa.int64()), ("at", pa.int32()), ("words", pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
+            yield batch_of(out)
 
 
 class SuffixAutomaton:
@@ -211,80 +218,69 @@ class SuffixAutomaton:
                 yield i
 
 
-def _shard_masks(shard: list[tuple]) -> list[tuple]:
-    """(anchor, content, mask): bit i says that window i of the run is in a smaller document."""
+def _shard_masks(references: list[tuple], claims: list[tuple]) -> list[tuple]:
+    """(anchor, content, other, mask): bit i says that window i of the run is in a smaller document's reference run."""
     ids: dict[bytes, int] = {}
-    runs = [(a, c, doc, [ids.setdefault(w, len(ids)) for w in words.split(b" ")]) for a, c, doc, words in shard]
     automaton = SuffixAutomaton()
-    for _, _, doc, words in runs:
-        automaton.add(words, doc)
+    for *_, doc, words in references:
+        automaton.add([ids.setdefault(w, len(ids)) for w in words.split(b" ")], doc)
     automaton.settle()
     out = []
-    for a, c, doc, words in runs:
-        if mask := sum(1 << (i - WINDOW + 1) for i in automaton.ends(words, doc, WINDOW)):
-            out.append((a, c, mask))
+    for anchor, content, other, doc, words in claims:
+        if mask := sum(1 << (i - WINDOW + 1) for i in automaton.ends([ids.get(w, -1) for w in words.split(b" ")], doc, WINDOW)):
+            out.append((anchor, content, other, mask))
     return out
 
 
+MASKS = "anchor long, content long, other long, mask long"
+
+
 def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor; shards hold whole anchors."""
+    """Rows sorted by reference run (anchor, shard) and group; a shard holds whole groups."""
 
-    def done(shard: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if found := _shard_masks(shard):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["anchor", "content", "mask"])
+    def done() -> Iterator[pa.RecordBatch]:
+        if found := _shard_masks(references, claims):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], [x.split(" ")[0] for x in MASKS.split(", ")])
 
-    shard, size, last = [], 0, None
+    references, claims, size, last = [], [], 0, None
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "doc_id", "words")), strict=True):
-            if row[0] != last and size > SHARD_WORDS:
-                yield from done(shard)
-                shard, size = [], 0
-            last = row[0]
-            shard.append(row)
-            size += len(row[3]) // 6
-    if shard:
-        yield from done(shard)
-
-
-def removals(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """doc_id and removed: array of (start, mask, n), the repeated windows of each run."""
-    texts = text_or_empty(docs.where("doc_id is not null"), F.col("doc_id").cast("long").alias("doc_id"))
-    runs = cut(texts.mapInArrow(_runs, "doc_id long, start int, n int, anchor long, content long"))
-    contents = cut(runs.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start", "n")).alias("first"), F.max("doc_id").alias("last")))
+        for shard, *row, claim in zip(*(batch.column(c).to_pylist() for c in ("shard", "anchor", "content", "other", "doc_id", "words", "claim")), strict=True):
+            if (row[0], shard) != last and size > SHARD_WORDS:
+                yield from done()
+                references, claims, size = [], [], 0
+            last = row[0], shard
+            (claims if claim else references).append(row)
+            size += len(row[4]) // 6
+    yield from done()
+
+
+def removals(texts: DataFrame, claims: int = CLAIMS) -> DataFrame:
+    """doc_id, part and removed: array of (start, mask, n), the repeated windows of each run.
+
+    ``texts`` has doc_id, part (which tells the texts of one doc_id apart) and text.
+    """
+    texts = texts.where("doc_id is not null")
+    runs = cut(texts.mapInArrow(_runs, RUNS))
+    key = ["anchor", "content", "other"]
+    contents = cut(runs.groupBy(*key).agg(F.min(F.struct("doc_id", "part", "start", "n")).alias("first"), F.max("doc_id").alias("last")))
     several = contents.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1")
-    wanted = (
-        contents.join(several, "anchor")
-        .groupBy(F.col("first.doc_id").alias("doc_id"))
-        .agg(F.collect_list(F.struct("anchor", "content", "first.start", "first.n", (F.col("runs") > hot_runs).alias("hot"))).alias("wanted"))
-    )
-    pieces = cut(
-        texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut_out, "anchor long, content long, doc_id long, window long, at int, words binary")
-    )
-    by_words = (
-        pieces.where("words is not null")
-        .select("anchor", "content", "doc_id", "words")
-        .repartition("anchor")
-        .sortWithinPartitions("anchor", "doc_id")
-        .mapInArrow(_masks, "anchor long, content long, mask long")
-    )
-    windows = pieces.where("window is not null")
-    origin = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("last > origin").drop("last")
-    by_window = (
-        windows.join(origin, ["anchor", "window"])
-        .where("doc_id > origin")
-        .groupBy("anchor", "content")
-        .agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
-    )
-    masks = by_words.union(by_window).groupBy("anchor", "content").agg(F.bit_or("mask").alias("mask"))
+    wanted = contents.join(several, "anchor").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.part").alias("part")).agg(F.collect_list(F.struct(*key, "first.start", "first.n")).alias("wanted"))
+    pieces = cut(texts.join(wanted, ["doc_id", "part"]).select("doc_id", "text", "wanted").mapInArrow(_cut_out, PIECES))
+    # Equal windows have equal hashes: what an earlier run may hold, and which run that is.
+    windows = pieces.select(*key, "doc_id", F.explode("windows").alias("window"))
+    origin = windows.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", "content", "other")).alias("o"), F.max("doc_id").alias("last")).where("last > o.doc_id").select("anchor", "window", "o")
+    owing = windows.join(origin, ["anchor", "window"]).where("doc_id > o.doc_id").select(*key, F.col("o.content").alias("r_content"), F.col("o.other").alias("r_other"))
+    owing = cut(owing.distinct().withColumn("shard", F.xxhash64("r_content", "r_other")))
+    references = owing.groupBy("anchor", "shard", "r_content", "r_other").agg(F.ceil(F.count("*") / claims).cast("int").alias("groups"))
+    copies = references.select("anchor", "shard", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("r_content").alias("content"), F.col("r_other").alias("other"), F.lit(False).alias("claim"))
+    asking = owing.join(references.select("anchor", "shard", "groups"), ["anchor", "shard"]).select("anchor", "shard", F.pmod(F.xxhash64("content", "other"), "groups").cast("int").alias("group"), "content", "other", F.lit(True).alias("claim"))
+    shards = copies.union(asking).join(pieces.select(*key, "doc_id", "words"), key)
+    masks = shards.repartition("anchor", "shard", "group").sortWithinPartitions("anchor", "shard", "group", "claim").mapInArrow(_masks, MASKS).groupBy(*key).agg(F.bit_or("mask").alias("mask"))
     # A table of its own, so that the join with the runs can split a run that very many documents hold.
-    guilty = cut(
-        contents.join(masks, ["anchor", "content"], "left")
-        .where("last > first.doc_id or mask is not null")
-        .select("anchor", "content", F.col("first.doc_id").alias("origin"), F.coalesce("mask", F.lit(0)).alias("mask"))
-    )
+    guilty = cut(contents.join(masks, key, "left").where("last > first.doc_id or mask is not null").select(*key, F.col("first.doc_id").alias("origin"), F.coalesce("mask", F.lit(0)).alias("mask")))
     # All windows of the run go when a smaller document holds the same run.
-    found = runs.join(guilty, ["anchor", "content"]).where("doc_id > origin or mask <> 0")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.when(F.col("doc_id") > F.col("origin"), F.lit(-1)).otherwise(F.col("mask")).alias("mask"), "n")).alias("removed"))
+    found = runs.join(guilty, key).where("doc_id > origin or mask <> 0")
+    return found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", F.when(F.col("doc_id") > F.col("origin"), F.lit(-1)).otherwise(F.col("mask")).alias("mask"), "n")).alias("removed"))
 
 
 def kept_words(words: list[bytes], removed: list[dict] | None) -> list[bytes]:
@@ -319,21 +315,22 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shas, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _with_removals(docs: DataFrame, hot_runs: int) -> DataFrame:
-    texts = text_or_empty(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    found = removals(docs, hot_runs).withColumnRenamed("doc_id", "_doc")
-    return texts.join(found, same(F.col("doc_id"), F.col("_doc")), "left").select("doc_id", "text", "removed")
+def _with_removals(docs: DataFrame, claims: int = CLAIMS) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64(text), F.lit((1 << 31) - 1)).cast("int").alias("part"), text.alias("text"))
+    found = removals(texts, claims).toDF("_doc", "_part", "removed")
+    return texts.join(found, same(F.col("doc_id"), F.col("_doc")) & (F.col("part") == F.col("_part")), "left").select("doc_id", "text", "removed")
 
 
-def without_repeats(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
+def without_repeats(docs: DataFrame, claims: int = CLAIMS) -> DataFrame:
     """doc_id, n_words, n_removed and kept: the remaining words joined by spaces."""
-    return _with_removals(docs, hot_runs).mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
+    return _with_removals(docs, claims).mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: doc_id, n_words, n_removed and kept_sha256 of all documents."""
     docs = table(spark, sf_dir, "documents")
-    return _with_removals(docs, HOT_RUNS).mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_removals(docs).mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def brute_force(rows: list[tuple[int | None, str | None]]) -> list[tuple[int | None, int, int, str]]:

@@ -19,8 +19,8 @@ def _table():
 
 def test_equals_brute_force(spark):
     rows = [(r[0], r[1]) for r in ODD] + _table()
-    for hot in (substrings.HOT_RUNS, 0, 2):
-        got = substrings._with_removals(documents(spark, rows, extra=True), hot).mapInArrow(substrings._digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    for claims in (substrings.CLAIMS, 1, 3):
+        got = substrings._with_removals(documents(spark, rows, extra=True), claims).mapInArrow(substrings._digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(substrings.brute_force(rows), key=repr)
 
 
@@ -34,3 +34,31 @@ def test_operator_returns_texts(spark):
     out = {r.doc_id: r for r in substrings.without_repeats(documents(spark, [(1, f"one {passage}"), (2, f"two {passage} end")])).collect()}
     assert out[1].kept == f"one {passage}" and out[2].kept == "two end"
     assert substrings.without_repeats(documents(spark, [])).count() == 0
+
+
+def _digests(spark, rows, **kw):
+    got = substrings._with_removals(documents(spark, rows), **kw).mapInArrow(substrings._digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return sorted(map(tuple, got.collect()), key=repr)
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """Different texts of one doc_id lose their own words only, and none to each other."""
+    a, b = prose(1, 70), prose(2, 70)
+    rows = [(5, f"{a} x"), (5, f"{b} y"), (5, f"{a} x"), (5, prose(3, 80)), (9, f"{a} z"), (9, f"q {b}"), (3, f"{b} first")]
+    assert _digests(spark, rows) == sorted(substrings.brute_force(rows), key=repr)
+
+
+def test_a_common_passage_in_very_many_contexts(spark):
+    """2,000 different runs of one anchor go through automata, in groups of bounded size."""
+    rng, passage = random.Random(7), prose(50, 56)
+    rows = [(i, f"{' '.join(f'w{rng.randrange(10**6)}' for _ in range(12))} {passage} {' '.join(f'v{rng.randrange(10**6)}' for _ in range(12))}") for i in range(2000)]
+    rows += [(5000 + i, rows[i][1].replace("v", "u", 1)) for i in range(50)]
+    assert _digests(spark, rows, claims=100) == sorted(substrings.brute_force(rows), key=repr)
+
+
+def test_matching_statistics_by_words():
+    """Masks come from words, whatever hashes have brought together."""
+    words = [f"w{i}".encode() for i in range(60)]
+    other = [*words[:30], b"another", *words[31:]]
+    masks = substrings._shard_masks([(1, 1, 1, 10, b" ".join(words))], [(1, 2, 2, 20, b" ".join([*words, b"x"])), (1, 3, 3, 5, b" ".join(words)), (1, 4, 4, 30, b" ".join(other))])
+    assert masks == [(1, 2, 2, (1 << 11) - 1)]
