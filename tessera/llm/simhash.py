@@ -4,14 +4,17 @@ Fingerprints are 64-bit majority votes over the XXH64 hashes of three-word shing
 fingerprints link when at most ``radius`` (3) bits differ, and documents whose fingerprints hang
 together form one component.
 
-How it runs: equal fingerprints are grouped first, so exact copies cost one row. Each distinct
-fingerprint is then routed to four shards, one for each 16-bit band: two fingerprints that differ
-in at most three bits agree in at least one band, so every link lies inside a shard. In a shard,
+How it runs: equal fingerprints are grouped first, so exact copies cost one row. The 64 bits are
+cut into six stretches; two fingerprints that differ in at most three bits agree in three stretches
+at least, so each distinct fingerprint is routed to 20 shards, one for the bits of each choice of
+three (about 32 bits), and every link lies inside a shard. Fingerprints that only happen to share a
+shard are as many as pairs there are over 2^32, not over 2^16 as with four bands. In a shard,
 a BK-tree (children keyed by their integer Hamming distance to the parent) is searched along the
 edges within the radius only. A shard tree travels to the fingerprints that can match it; sending
 every tree to every executor would grow with the corpus. Shards above ``SHARD`` fingerprints are
-cut into blocks, and each pair of blocks is searched by itself. A shard returns only a spanning
-forest of its links, and components come from label propagation with pointer jumping.
+cut into blocks, and each pair of blocks is a group of its own: the first one's tree, searched by
+the second. A group returns only a spanning forest of its links, and components come from label
+propagation with pointer jumping.
 
 Defined cases: a null text is the empty text; a text without words has the fingerprint zero and
 links like any other; repeated rows and rows that share a ``doc_id`` are separate rows of one
@@ -22,7 +25,7 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ from tessera.llm.common import cut, fresh, numbered, table, text_or_empty
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints in one shard tree at most.
 SHARD = 20_000
+#: Ends of the stretches of bits: of six, three at least are equal where three bits differ.
+STRETCHES = (0, 11, 22, 33, 44, 54, 64)
 #: Below this many fingerprints a subtree is a plain list.
 LEAF = 24
 _BITS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
@@ -130,58 +135,64 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return label
 
 
-def _shard_links(fp: np.ndarray, in_tree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The spanning links of one shard: the values under ``in_tree`` form the tree, all search it."""
-    at = np.flatnonzero(in_tree)
-    if not len(at):
-        return fp[:0], fp[:0]
-    label = spanning(len(fp), bk_search(bk_tree(fp, at), fp, fp, np.arange(len(fp))))
+def masks(radius: int = RADIUS) -> list[int]:
+    """Masks, as signed longs, of all choices of the stretches that ``radius`` different bits leave equal."""
+    bits = [sum(1 << i for i in range(low, high)) for low, high in zip(STRETCHES, STRETCHES[1:], strict=False)]
+    found = [sum(x) for x in combinations(bits, len(bits) - radius)]
+    return [x - (1 << 64) if x >> 63 else x for x in found]
+
+
+def _group_links(fp: np.ndarray, in_tree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spanning links of one group: the values under ``in_tree`` form the tree, the others search it, or all where there are no others."""
+    tree = np.flatnonzero(in_tree)
+    asking = np.arange(len(fp)) if len(tree) == len(fp) else np.flatnonzero(~in_tree)
+    label = spanning(len(fp), bk_search(bk_tree(fp, tree), fp, fp, asking))
     moved = np.flatnonzero(label != np.arange(len(fp)))
     return fp[moved], fp[label[moved]]
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard: the last shard of a batch waits for the next batch."""
-    held: list[pa.Table] = []
+    """Rows sorted by group: the last group of a batch waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+
+    def bounds(key: np.ndarray) -> np.ndarray:
+        return np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key)]
+
+    def keys(rows) -> np.ndarray:
+        return np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("shard", "first", "second")], axis=1)
 
     def done(rows: pa.Table) -> pa.RecordBatch:
-        key, block = rows.column("shard").to_numpy(), rows.column("block").to_numpy()
-        fp, in_tree = rows.column("fp").to_numpy().view(np.uint64), rows.column("tree").to_numpy(zero_copy_only=False)
-        bounds = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1, len(key)]
-        several = np.flatnonzero(np.diff(bounds) > 1)
-        found = [_shard_links(fp[bounds[i] : bounds[i + 1]], in_tree[bounds[i] : bounds[i + 1]]) for i in several]
+        fp, in_tree, at = rows.column("fp").to_numpy().view(np.uint64), rows.column("tree").to_numpy(), bounds(keys(rows))
+        found = [_group_links(fp[at[i] : at[i + 1]], in_tree[at[i] : at[i + 1]]) for i in np.flatnonzero(np.diff(at) > 1)]
         ends = [np.concatenate([x[side] for x in found] or [fp[:0]]).view(np.int64) for side in (0, 1)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = pa.Table.from_batches([batch])
-        last = (batch.column("shard")[-1].as_py(), batch.column("block")[-1].as_py())
-        ours = (rows.column("shard").to_numpy() == last[0]) & (rows.column("block").to_numpy() == last[1])
-        first = int(np.argmax(ours))
-        if first:
-            yield done(pa.concat_tables([*held, rows.slice(0, first)]))
-            held = [rows.slice(first)]
-        elif held and (held[-1].column("shard")[-1].as_py(), held[-1].column("block")[-1].as_py()) != last:
-            yield done(pa.concat_tables(held))
-            held = [rows]
-        else:
-            held.append(rows)
+        key = keys(batch)
+        if held and (keys(held[-1])[-1] != key[0]).any():
+            yield done(pa.Table.from_batches(held))
+            held = []
+        last = int(bounds(key)[-2])
+        if last:
+            yield done(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        held.append(batch.slice(last))
     if held:
-        yield done(pa.concat_tables(held))
+        yield done(pa.Table.from_batches(held))
 
 
 def links(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints ``fp`` that span all links."""
-    bands = F.array(*[F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) + F.lit(i * 65_536) for i in range(4)])
-    routed = distinct.select("fp", F.explode(bands).alias("shard"))
-    large = routed.groupBy("shard").count().where(F.col("count") > shard).select("shard", F.ceil(F.col("count") / shard).cast("int").alias("blocks"))
-    blocks = F.coalesce("blocks", F.lit(1))
-    routed = routed.join(large, "shard", "left").select("fp", "shard", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
-    # A block is a tree, searched by itself and by the blocks after it.
-    tasks = routed.select("fp", "shard", "own", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block")).select("fp", "shard", "block", "own", (F.col("own") == F.col("block")).alias("tree"))
-    return tasks.drop("own").repartition("shard", "block").sortWithinPartitions("shard", "block").mapInArrow(_links, "a long, b long")
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks())])
+    routed = distinct.select("fp", F.explode(keys).alias("shard"))
+    several = routed.groupBy("shard").count().where("count > 1").select("shard", F.ceil(F.col("count") / shard).cast("int").alias("blocks"))
+    routed = routed.join(several, "shard").select("fp", "shard", "blocks", F.pmod(F.xxhash64("fp", F.lit("block")), "blocks").cast("int").alias("own"))
+    # A fingerprint meets each block of its shard, in the tree where its own block is the first of the two.
+    groups = routed.select("fp", "shard", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    groups = groups.select("fp", "shard", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), (F.col("own") <= F.col("other")).alias("tree"))
+    return groups.repartition("shard", "first", "second").sortWithinPartitions("shard", "first", "second").mapInArrow(_links, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -67,3 +67,45 @@ def test_keep_one_keeps_one_row_of_each_group(spark):
     rows = [(None, prose(1, 50)), (None, prose(1, 50)), (None, prose(2, 50)), (5, prose(2, 50)), (5, prose(2, 50)), (5, prose(3, 50)), (2, prose(4, 50)), (2, prose(4, 50))]
     kept = simhash.keep_one(documents(spark, rows)).collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(None, prose(1, 50)), (5, prose(2, 50)), (5, prose(3, 50)), (2, prose(4, 50))], key=repr)
+
+
+def test_three_different_bits_share_a_shard():
+    import random
+
+    rng, masks = random.Random(1), [m % (1 << 64) for m in simhash.masks()]
+    assert len(masks) == 20 and min(m.bit_count() for m in masks) >= 31
+    for _ in range(500):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << i for i in rng.sample(range(64), 3))
+        assert any(a & m == b & m for m in masks)
+
+
+def test_groups_over_many_batches(spark):
+    """Blocks of one shard meet in pairs, also where groups end inside and between batches."""
+    rng = __import__("random").Random(2)
+    base = rng.getrandbits(64)
+    prints = sorted({base ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 4))) for _ in range(300)} | {rng.getrandbits(64) for _ in range(200)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        found = {shard: [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), shard).collect()] for shard in (20_000, 40, 7)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = _components(signed, [(a, b) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 3])
+    for pairs in found.values():
+        assert all(((a ^ b) % (1 << 64)).bit_count() >= 1 for a, b in pairs)
+        assert _components(signed, pairs) == want
+
+
+def _components(nodes, pairs):
+    label = {n: n for n in nodes}
+
+    def root(n):
+        while label[n] != n:
+            n = label[n]
+        return n
+
+    for a, b in pairs:
+        label[max(root(a), root(b))] = min(root(a), root(b))
+    return {n: root(n) for n in nodes}
