@@ -98,3 +98,13 @@ def recency(then, now, floor: float = 0.2, half: float = 0.5, days: float = 30.0
     """1 at ``now``, falling by ``half`` every ``days`` days, ``floor`` at least."""
     age = (F.unix_timestamp(_col(now)) - F.unix_timestamp(_col(then))) / 86400.0
     return F.greatest(F.lit(floor), F.lit(1.0) - F.lit(half) * F.greatest(F.lit(0.0), age) / F.lit(days))
+
+
+def stated_charset(html) -> Column:
+    """The charset that a page's meta element states, in lower case, or the empty text."""
+    return F.lower(F.regexp_extract(_col(html), r"""(?i)<meta[^>]+charset\s*=\s*["']?([A-Za-z0-9_-]+)""", 1))
+
+
+def refresh_target(html) -> Column:
+    """The address that a page's meta element refreshes to, or the empty text."""
+    return F.regexp_extract(_col(html), r"""(?i)<meta[^>]+http-equiv\s*=\s*["']?refresh["']?[^>]*url\s*=\s*([^"'>\s]+)""", 1)

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators.checkpoints import settled
 
+#: Rounds after which what was found so far is settled, so plans stay short.
+SHORTEN = 16
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -31,26 +34,49 @@ def hops(edges: DataFrame, seeds: DataFrame, k: int, directed: bool = False) ->
     return reached
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """src, dst and depth (the longest way) of every reachable pair of an acyclic graph."""
-    paths = edges.select("src", "dst").distinct()
+def closure(edges: DataFrame) -> DataFrame:
+    """src, dst and depth (the longest way) of every reachable pair of an acyclic graph, however long its ways.
+
+    A way that comes back to where it began is an error, as ways then have no longest one.
+    """
+    paths = settled(edges.select("src", "dst").distinct())
     level, found, length = paths, None, 1
-    while True:
+    while not level.isEmpty():
+        if not level.where("src = dst").isEmpty():
+            raise ValueError("the edges have a cycle")
         own = level.withColumn("depth", F.lit(length))
         found = own if found is None else found.union(own)
-        if length == most:
-            break
+        if length % SHORTEN == 0:
+            found = settled(found.groupBy("src", "dst").agg(F.max("depth").alias("depth")))
         level = settled(level.join(paths.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).distinct())
-        if level.isEmpty():
-            break
         length += 1
+    found = paths.withColumn("depth", F.lit(0)) if found is None else found
     return found.groupBy("src", "dst").agg(F.max("depth").alias("depth"))
 
 
-def depths(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """node and depth: the longest way from a node without parents; 0 there."""
-    longest = closure(edges, most).groupBy(F.col("dst").alias("node")).agg(F.max("depth").alias("depth"))
-    return nodes.select("node").distinct().join(longest, "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
+def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and depth: the longest way from a node without parents; 0 there.
+
+    Rounds keep the nodes that a way of so many steps reaches. Each is among those of the round
+    before, so a round that loses none would go on for ever: an error.
+    """
+    steps = settled(edges.select("src", "dst").distinct())
+    reached = settled(steps.select(F.col("dst").alias("node")).distinct())
+    found, length, n = None, 1, reached.count()
+    while n:
+        own = reached.withColumn("depth", F.lit(length))
+        found = own if found is None else found.union(own)
+        if length % SHORTEN == 0:
+            found = settled(found.groupBy("node").agg(F.max("depth").alias("depth")))
+        reached = settled(steps.join(reached, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")).distinct())
+        left = reached.count()
+        if left == n:
+            raise ValueError("the edges have a cycle")
+        length, n = length + 1, left
+    own = nodes.select("node").distinct()
+    if found is None:
+        return own.withColumn("depth", F.lit(0))
+    return own.join(found.groupBy("node").agg(F.max("depth").alias("depth")), "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def cyclic(edges: DataFrame) -> DataFrame:

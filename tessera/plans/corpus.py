@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import folds, html
+from tessera.operators import containment, folds, html
 from tessera.operators.ordering import numbered
 from tessera.plans.registry import query
 from tessera.sources import domain
@@ -31,22 +31,22 @@ def dominant_type(spark, sf):
 
 
 @query("measure_pivot", """
-SELECT l_suppkey AS s, l_partkey AS p, max(l_quantity) FILTER (l_returnflag = 'A') AS im, max(l_quantity) FILTER (l_returnflag = 'N') AS lv, min(l_linenumber) AS level FROM lineitem WHERE l_partkey % 7 = 0 GROUP BY ALL""")
+SELECT l_suppkey AS s, l_partkey AS p, max(l_quantity) FILTER (l_returnflag = 'A') AS im, max(l_quantity) FILTER (l_returnflag = 'N') AS lv, min(l_linenumber) AS level FROM lineitem GROUP BY ALL""")
 def measure_pivot(spark, sf):
     """Two measure rows become two columns."""
-    items = table(spark, sf, "lineitem").where("l_partkey % 7 = 0")
+    items = table(spark, sf, "lineitem")
     level = items.groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).agg(F.max(F.when(F.col("l_returnflag") == "A", F.col("l_quantity"))).alias("im"), F.max(F.when(F.col("l_returnflag") == "N", F.col("l_quantity"))).alias("lv"), F.min("l_linenumber").alias("level"))
     return level
 
 
 @query("dictionary_hits", """
-SELECT doc_id, term FROM documents JOIN (SELECT DISTINCT lower(p_type) AS term FROM part UNION SELECT unnest(['the', 'license', 'mit license', 'worthless'])) ON contains(lower(text), term) WHERE doc_id % 3 = 0 OR term <> 'the'""")
+SELECT doc_id, term FROM documents JOIN (SELECT DISTINCT lower(p_type) AS term FROM part UNION SELECT unnest(['the', 'license', 'mit license', 'worthless'])) ON contains(lower(text), term)""")
 def dictionary_hits(spark, sf):
-    """Dictionary terms that texts contain; the dictionary has a few dozen terms."""
-    terms = [r[0] for r in table(spark, sf, "part").select(F.lower("p_type")).distinct().collect()] + ["the", "license", "mit license", "worthless"]
-    low = F.lower("text")
-    hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in sorted(set(terms))]))
-    return table(spark, sf, "documents").select("doc_id", F.explode(hits).alias("term")).where("doc_id % 3 = 0 or term <> 'the'")
+    """Dictionary terms that texts contain."""
+    more = spark.createDataFrame([("the",), ("license",), ("mit license",), ("worthless",)], "term string")
+    terms = table(spark, sf, "part").select(F.lower("p_type").alias("term")).union(more).distinct()
+    docs = domain.documents(spark, sf, "doc_id", "text").select("doc_id", F.lower("text").alias("text"))
+    return containment.contained(docs, terms.select(F.col("term").alias("item"), F.col("term").alias("passage")), words=False).select("doc_id", F.col("item").alias("term"))
 
 
 @query("keyword_filter", "SELECT doc_id, source, n_chars FROM documents WHERE contains(lower(concat_ws(' ', source, lang, text)), 'license')")
@@ -124,12 +124,12 @@ def ordered_distinct(spark, sf):
 
 
 @query("overlap_join", ctes("chunks", body="""
-, spans AS (SELECT doc_id, i * 200 AS s, i * 200 + 260 AS e FROM documents, (SELECT unnest(range(0, 10)) AS i) WHERE i * 200 < length(text))
+, spans AS (SELECT doc_id, i * 200 AS s, i * 200 + 260 AS e FROM documents, LATERAL (SELECT unnest(range(0, CAST(ceil(length(text) / 200.0) AS BIGINT))) AS i))
 SELECT doc_id, s, count(*) AS chunks, max(least(e, "end") - greatest(s, start)) AS overlap, CAST(min(pos) AS INTEGER) AS first FROM spans JOIN chunks USING (doc_id) WHERE s < "end" AND start < e GROUP BY ALL"""))
 def overlap_join(spark, sf):
     """Child spans against chunks of the same document."""
-    ten = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda i: i * 200 < F.length("text"))
-    spans = table(spark, sf, "documents").select("doc_id", F.explode(ten).alias("i")).select("doc_id", (F.col("i") * 200).cast("long").alias("s"), (F.col("i") * 200 + 260).cast("long").alias("e"))
+    starts = F.sequence(F.lit(0), F.ceil(F.length("text") / 200).cast("int") - 1)
+    spans = table(spark, sf, "documents").where(F.length("text") > 0).select("doc_id", F.explode(starts).alias("i")).select("doc_id", (F.col("i") * 200).cast("long").alias("s"), (F.col("i") * 200 + 260).cast("long").alias("e"))
     joined = spans.join(domain.chunks(spark, sf), "doc_id").where((F.col("s") < F.col("end")) & (F.col("start") < F.col("e")))
     return joined.groupBy("doc_id", "s").agg(F.count("*").alias("chunks"), F.max(F.least("e", "end") - F.greatest("s", "start")).alias("overlap"), F.min("pos").alias("first"))
 

@@ -24,13 +24,13 @@ def idempotent_append(spark, sf):
 
 
 @query("confirmed_state", """
-WITH e AS (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN 'confirm' ELSE 'candidate' END AS action, event_type FROM events WHERE event_id % 40 < 20),
+WITH e AS (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN 'confirm' ELSE 'candidate' END AS action, event_type FROM events),
 f AS (SELECT user_id, min(event_id) AS confirmed FROM e WHERE action = 'confirm' GROUP BY 1)
 SELECT e.user_id, CASE WHEN min(confirmed) IS NULL THEN 'candidate' ELSE 'confirmed' END AS status, arg_max(event_type, event_id) FILTER (confirmed IS NULL OR event_id < confirmed) AS event_type
 FROM e LEFT JOIN f USING (user_id) WHERE action = 'candidate' GROUP BY e.user_id HAVING count(*) FILTER (confirmed IS NULL OR event_id < confirmed) > 0""")
 def confirmed_state(spark, sf):
     """T4: a confirmed value is never overwritten by a later candidate."""
-    e = table(spark, sf, "events").where("event_id % 40 < 20").withColumn("action", F.when(F.col("event_type") == "purchase", "confirm").otherwise("candidate"))
+    e = table(spark, sf, "events").withColumn("action", F.when(F.col("event_type") == "purchase", "confirm").otherwise("candidate"))
     return ledger.confirmed_state(e, "user_id", ["event_id"], "action", "event_type")
 
 
@@ -90,11 +90,11 @@ def delete_unconfirmed(spark, sf):
     return events.select("event_id").join(gone, "event_id", "left_anti")
 
 
-@query("append_if_absent", "SELECT doc_id, 'label' AS origin FROM labels UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 10 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("append_if_absent", "SELECT doc_id, 'label' AS origin FROM labels UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def append_if_absent(spark, sf):
     """Rows whose key is not there yet."""
     old = table(spark, sf, "labels").select("doc_id")
-    return old.withColumn("origin", F.lit("label")).union(table(spark, sf, "documents").where("doc_id % 10 = 0").select("doc_id").join(old, "doc_id", "left_anti").withColumn("origin", F.lit("new")))
+    return old.withColumn("origin", F.lit("label")).union(table(spark, sf, "documents").select("doc_id").join(old, "doc_id", "left_anti").withColumn("origin", F.lit("new")))
 
 
 @query("unexpired_sessions", "SELECT user_id, max(ts) + INTERVAL 7 DAY > TIMESTAMP '2024-01-31 00:00:00' AS valid FROM events WHERE ts < TIMESTAMP '2024-01-31 00:00:00' GROUP BY 1")
@@ -105,14 +105,14 @@ def unexpired_sessions(spark, sf):
 
 
 @query("memory_recall", """
-WITH words AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+._#-]*')) AS term FROM conversations WHERE turn = 0 AND conv_id % 10 = 0),
+WITH words AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+._#-]*')) AS term FROM conversations WHERE turn = 0 AND conv_id % 50 = 0),
 memory AS (SELECT DISTINCT conv_id AS memory, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+._#-]*')) AS term FROM conversations WHERE turn = 1),
 c AS (SELECT conv_id, memory, count(*) AS score FROM words JOIN memory USING (term) WHERE conv_id <> memory AND length(term) >= 4 GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, memory) AS rank FROM c) WHERE rank <= 3""")
 def memory_recall(spark, sf):
-    """Memories that share most words with what was said."""
+    """Memories that share most words with what was said; the conversations divisible by 50 ask all."""
     said = table(spark, sf, "conversations")
-    words = said.where("turn = 0 and conv_id % 10 = 0").select("conv_id", F.explode(T.latin_tokens("text")).alias("term")).distinct()
+    words = said.where("turn = 0 and conv_id % 50 = 0").select("conv_id", F.explode(T.latin_tokens("text")).alias("term")).distinct()
     memory = said.where("turn = 1").select(F.col("conv_id").alias("memory"), F.explode(T.latin_tokens("text")).alias("term")).distinct()
     c = words.where(F.length("term") >= 4).join(memory, "term").where("conv_id <> memory").groupBy("conv_id", "memory").agg(F.count("*").alias("score"))
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "memory"))).where("rank <= 3")

@@ -55,30 +55,38 @@ def pair_capacity(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.floor(F.count("*") / 2).alias("pairs"))
 
 
+#: Splits of the questions into halves: as many as fourteen questions have.
+SPLITS = 3432
+
+
 @query("split_half", ctes(*_CHANNELS, "gold", body=_OUTCOMES + """,
-few AS (SELECT row_number() OVER (ORDER BY qid) - 1 AS i, CAST(hits1 > 0 AS INTEGER) AS a, CAST(hits3 > 0 AS INTEGER) AS b FROM outcomes QUALIFY i < 8),
-masks AS (SELECT unnest(range(0, 256)) AS mask),
-h AS (SELECT mask, sum(CASE WHEN (mask >> CAST(i AS BIGINT)) & 1 = 1 THEN a ELSE 0 END) AS a_in, sum(CASE WHEN (mask >> CAST(i AS BIGINT)) & 1 = 1 THEN b ELSE 0 END) AS b_in, sum(a) AS a_all, sum(b) AS b_all FROM masks, few WHERE bit_count(mask) = 4 GROUP BY mask)
-SELECT count(*) AS splits, count(*) FILTER (b_in > a_in) AS chosen, floor(avg(greatest(a_in, b_in) - CASE WHEN b_in > a_in THEN b_all - b_in ELSE a_all - a_in END) / 4 * 10000 + 0.5) / 10000 AS optimism FROM h"""))
+own AS (SELECT qid, CAST(hits1 > 0 AS INTEGER) AS a, CAST(hits3 > 0 AS INTEGER) AS b, count(*) OVER () AS n FROM outcomes),
+splits AS (SELECT unnest(range(0, 3432)) AS split),
+dealt AS (SELECT split, a, b, n // 2 AS half, n, row_number() OVER (PARTITION BY split ORDER BY md5(split || ':' || qid), qid) <= n // 2 AS inside FROM own, splits),
+h AS (SELECT split, half, n - half AS rest, sum(a) FILTER (inside) AS a_in, sum(b) FILTER (inside) AS b_in, sum(a) AS a_all, sum(b) AS b_all FROM dealt GROUP BY ALL)
+SELECT count(*) AS splits, count(*) FILTER (b_in > a_in) AS chosen, floor(avg(greatest(a_in, b_in) / half::DOUBLE - CASE WHEN b_in > a_in THEN b_all - b_in ELSE a_all - a_in END / rest::DOUBLE) * 10000 + 0.5) / 10000 AS optimism FROM h"""))
 def split_half(spark, sf):
-    """Optimism of choosing by one half over all splits of eight questions."""
-    few = _outcomes(spark, sf).orderBy("qid").limit(8).select("qid", (F.col("hits1") > 0).cast("int").alias("a"), (F.col("hits3") > 0).cast("int").alias("b"))
-    few = few.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("qid")) - 1)
-    split = few.select("i", "a", "b", F.explode(F.expr("filter(sequence(0, 255), m -> bit_count(m) = 4)")).alias("mask"))
-    inside = F.expr("shiftright(mask, i) & 1")
-    h = split.groupBy("mask").agg(F.sum(inside * F.col("a")).alias("a_in"), F.sum(inside * F.col("b")).alias("b_in"), F.sum("a").alias("a_all"), F.sum("b").alias("b_all"))
+    """Optimism of choosing a measure by one half of the questions, over seeded splits of all of them."""
+    own = _outcomes(spark, sf).select("qid", (F.col("hits1") > 0).cast("int").alias("a"), (F.col("hits3") > 0).cast("int").alias("b"))
+    n = own.count()
+    half = n // 2
+    dealt = own.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
+    place = F.row_number().over(Window.partitionBy("split").orderBy(F.md5(F.concat_ws(":", F.col("split").cast("string"), F.col("qid").cast("string"))), "qid"))
+    dealt = dealt.withColumn("inside", place <= half)
+    h = dealt.groupBy("split").agg(F.sum(F.when(F.col("inside"), F.col("a"))).alias("a_in"), F.sum(F.when(F.col("inside"), F.col("b"))).alias("b_in"), F.sum("a").alias("a_all"), F.sum("b").alias("b_all"))
     rest = F.when(F.col("b_in") > F.col("a_in"), F.col("b_all") - F.col("b_in")).otherwise(F.col("a_all") - F.col("a_in"))
-    return h.agg(F.count("*").alias("splits"), F.count_if(F.col("b_in") > F.col("a_in")).alias("chosen"), T.half_up(F.avg(F.greatest("a_in", "b_in") - rest) / 4, 4).alias("optimism"))
+    optimism = F.avg(F.greatest("a_in", "b_in") / F.lit(half) - rest / F.lit(n - half))
+    return h.agg(F.count("*").alias("splits"), F.count_if(F.col("b_in") > F.col("a_in")).alias("chosen"), T.half_up(optimism, 4).alias("optimism"))
 
 
 @query("keyword_hit_rate", ctes("questions", body="""
-, t AS (SELECT DISTINCT qid, term FROM questions WHERE "at" < 2),
+, t AS (SELECT DISTINCT qid, term FROM questions),
 n AS (SELECT qid, count(*) AS terms FROM t GROUP BY qid),
 h AS (SELECT DISTINCT t.qid FROM t JOIN n USING (qid) JOIN (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+._#-]*')) AS term FROM documents) d USING (term) GROUP BY t.qid, d.doc_id, n.terms HAVING count(*) = n.terms)
 SELECT count(*) AS questions, count(h.qid) AS answered FROM n LEFT JOIN h USING (qid)"""))
 def keyword_hit_rate(spark, sf):
-    """Questions whose first terms all stand in one document."""
-    t = domain.questions(spark, sf).where("at < 2").select("qid", "term").distinct()
+    """Questions whose terms all stand in one document."""
+    t = domain.questions(spark, sf).select("qid", "term").distinct()
     n = t.groupBy("qid").agg(F.count("*").alias("terms"))
     own = retrieval.postings(table(spark, sf, "documents").select("doc_id", "text"), wanted=t)
     full = t.join(own, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("found")).join(n, "qid").where("found = terms").select("qid").distinct().withColumn("hit", F.lit(1))
@@ -163,11 +171,11 @@ def ablation(spark, sf):
     return runs.join(gold, ["qid", "doc_id"], "left").groupBy("config").agg(F.count("*").alias("rows_"), F.countDistinct("qid").alias("questions"), F.count_if((F.col("gold") == 1) & (F.col("rank") <= 3)).alias("hits"))
 
 
-@query("citation_support", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Z][a-z]+')) AS INTEGER) AS refs, contains(text, 'License') AND contains(text, 'Released') AS supported FROM documents WHERE doc_id % 2 = 0")
+@query("citation_support", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Z][a-z]+')) AS INTEGER) AS refs, contains(text, 'License') AND contains(text, 'Released') AS supported FROM documents")
 def citation_support(spark, sf):
     """References found by a pattern, and whether all anchors are there."""
     anchors = F.forall(F.array(F.lit("License"), F.lit("Released")), lambda a: F.contains("text", a))
-    return table(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("refs"), anchors.alias("supported"))
+    return table(spark, sf, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("refs"), anchors.alias("supported"))
 
 
 @query("chunk_sweep", """
@@ -186,10 +194,10 @@ def sparse_means(spark, sf):
     return joined.groupBy("source").agg(F.count("quality").alias("judged"), T.half_up(F.avg("quality"), 4).alias("mean"))
 
 
-@query("order_swap", "SELECT item_id AS qid, list_sum(list_transform(string_split(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60), ''), lambda c: ascii(c))) % 2 = 0 AS swapped FROM benchmark")
+@query("order_swap", "SELECT item_id AS qid, list_sum(list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode(c))) % 2 = 0 AS swapped FROM benchmark")
 def order_swap(spark, sf):
     """Sides are swapped by the parity of the code points' sum."""
-    chars = F.split(F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60), "")
+    chars = F.split("text", "")
     total = F.aggregate(chars, F.lit(0), lambda s, c: s + F.ascii(c))
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), (total % 2 == 0).alias("swapped"))
 

@@ -15,7 +15,7 @@ from tessera.sources.domain import ctes, table
 _COVERED = """,
 asked AS (SELECT occupation, skill, importance, target_level, floor(importance * 1000 + 0.5) AS w FROM requires),
 totals AS (SELECT occupation, sum(w) AS total, count(*) AS skills FROM asked GROUP BY occupation),
-covered AS (SELECT profile, occupation, sum(w) AS have, count(*) AS owned FROM owned JOIN asked USING (skill) WHERE profile % 20 = 1 GROUP BY ALL),
+covered AS (SELECT profile, occupation, sum(w) AS have, count(*) AS owned FROM owned JOIN asked USING (skill) GROUP BY ALL),
 scores AS (SELECT profile, occupation, floor(have / total * 10000 + 0.5) / 10000 AS score, owned, skills - owned AS missing FROM covered JOIN totals USING (occupation))"""
 
 
@@ -24,10 +24,10 @@ def _weighted(spark, sf):
 
 
 def _scores(spark, sf):
-    """profile, occupation, score (weighted coverage), owned and missing, for a twentieth of the profiles as queries."""
+    """profile, occupation, score (weighted coverage), owned and missing."""
     asked = _weighted(spark, sf)
     totals = asked.groupBy("occupation").agg(F.sum("w").alias("total"), F.count("*").alias("skills"))
-    have = domain.owned(spark, sf).where("profile % 20 = 1").join(asked, "skill").groupBy("profile", "occupation").agg(F.sum("w").alias("have"), F.count("*").alias("owned"))
+    have = domain.owned(spark, sf).join(asked, "skill").groupBy("profile", "occupation").agg(F.sum("w").alias("have"), F.count("*").alias("owned"))
     return have.join(totals, "occupation").select("profile", "occupation", half_up(F.col("have") / F.col("total"), 4).alias("score"), "owned", (F.col("skills") - F.col("owned")).alias("missing"))
 
 
@@ -60,7 +60,7 @@ def career_match(spark, sf):
 
 
 _GAP = ctes("requires", "owned", "prerequisites", body=_CLOSURE + """,
-target AS (SELECT s_suppkey % 25 * 20 + 1 AS profile, s_suppkey AS occupation FROM supplier WHERE s_suppkey <= 25),
+target AS (SELECT s_suppkey AS profile, s_suppkey AS occupation FROM supplier),
 direct AS (SELECT profile, skill FROM target JOIN requires USING (occupation)),
 needed AS (SELECT profile, skill FROM direct UNION SELECT profile, src FROM direct JOIN closure ON dst = skill),
 gap AS (SELECT n.profile, n.skill FROM needed n WHERE NOT EXISTS (FROM owned o WHERE o.profile = n.profile AND o.skill = n.skill)),
@@ -68,7 +68,8 @@ d AS (SELECT p_partkey AS skill, coalesce(max(depth), 0) AS depth FROM part LEFT
 
 
 def _targets(spark, sf):
-    return table(spark, sf, "supplier").where("s_suppkey <= 25").select((F.col("s_suppkey") % 25 * 20 + 1).alias("profile"), F.col("s_suppkey").alias("occupation"))
+    """profile and occupation: one profile aims at each occupation."""
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("profile"), F.col("s_suppkey").alias("occupation"))
 
 
 def _gap(spark, sf):

@@ -46,13 +46,18 @@ def bm25_corpus_stats(spark, sf):
     return retrieval.corpus_stats(_docs(spark, sf)).withColumn("mean", half_up("mean", 4))
 
 
-@query("bm25_postings", ctes("postings", body=" SELECT term, df, (SELECT string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) FROM postings p WHERE p.term = f.term) AS postings FROM frequencies f WHERE df <= 20 AND term >= 's'"))
+#: Document ids in one row of a posting list.
+POSTING_RANGE = 4096
+
+
+@query("bm25_postings", ctes("postings", body="""
+SELECT term, doc_id // 4096 AS part, df, count(*) AS documents, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM postings JOIN frequencies USING (term) GROUP BY ALL"""))
 def bm25_postings(spark, sf):
-    """R2: serialised postings of terms that few documents have."""
-    own = retrieval.postings(_docs(spark, sf)).where("term >= 's'")
-    rare = own.groupBy("term").agg(F.count("*").alias("df")).where("df <= 20")
-    lists = own.join(rare, "term").groupBy("term", "df").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("p"))
-    return lists.select("term", "df", F.array_join(F.transform("p", lambda x: F.concat_ws(":", x.doc_id.cast("string"), x.tf.cast("string"))), " ").alias("postings"))
+    """R2: serialised postings of all terms, a row for each range of documents, so no list is unbounded."""
+    own = retrieval.postings(_docs(spark, sf))
+    df = own.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    lists = own.groupBy("term", F.floor(F.col("doc_id") / POSTING_RANGE).alias("part")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("p")).join(df, "term")
+    return lists.select("term", "part", "df", F.size("p").cast("long").alias("documents"), F.array_join(F.transform("p", lambda x: F.concat_ws(":", x.doc_id.cast("string"), x.tf.cast("string"))), " ").alias("postings"))
 
 
 @query("term_frequency", ctes("postings", body=" SELECT term, CAST(df AS BIGINT) AS df, (SELECT CAST(sum(tf) AS BIGINT) FROM postings p WHERE p.term = f.term) AS total FROM frequencies f WHERE df > 1"))

@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import latin_tokens
+from tessera.operators.containment import contained
 
-#: Terms of a benchmark item that form its question.
-QUESTION_TERMS = 8
 #: Characters that a line needs to be a chunk.
 LEAST_CHUNK = 40
 
@@ -85,22 +84,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, term (repeated terms stay) and at of each question's terms."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.slice(latin_tokens("text"), 1, QUESTION_TERMS).alias("terms"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), latin_tokens("text").alias("terms"))
     return items.select("qid", F.posexplode("terms").alias("at", "term"))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, doc_id: documents that contain a benchmark item's text.
-
-    Candidates share the item's first 8 tokens in a row, so this is an equi-join and a check.
-    """
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    first = F.array_join(F.slice(F.regexp_extract_all("passage", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 2, 4), " ")
-    items = items.select("qid", "passage", first.alias("gram"))
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", "text", words.alias("w"))
-    docs = docs.where(F.size("w") >= 4).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice(F.col("w"), i, 4), " ")))).alias("gram"))
-    return docs.join(items, "gram").where(F.contains("text", "passage")).select("qid", "doc_id").distinct()
+    """qid, doc_id: documents that contain a benchmark item's text."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("passage"))
+    return contained(documents(spark, sf_dir, "doc_id", "text"), items).select(F.col("item").alias("qid"), "doc_id")
 
 
 # The same tables for DuckDB.
@@ -130,7 +121,7 @@ placed AS (
   SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM lines),
 chunks AS (SELECT doc_id, source, lang, pos, start, start + length(text) AS "end", text FROM placed WHERE length(text) >= 40)""",
     "questions": """terms AS (
-  SELECT item_id AS qid, list_slice(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+._#-]*'), 1, 8) AS t FROM benchmark),
+  SELECT item_id AS qid, regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+._#-]*') AS t FROM benchmark),
 questions AS (SELECT qid, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS at FROM terms)""",
     "gold": """gold AS (
   SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))""",
