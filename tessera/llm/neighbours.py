@@ -1,20 +1,23 @@
 """Operator 3: approximate nearest neighbours by stable projections and kd-trees with a chi-square stop.
 
-Vectors are projected to ``DIMS`` (8) dimensions by Gaussian (2-stable) directions. The squared
+Vectors are projected to ``DIMS`` (16) dimensions by Gaussian (2-stable) directions. The squared
 distance of two projections is the squared distance of the vectors times a chi-square variable of
 ``DIMS`` degrees, so a search that visits projected neighbours by rising projected distance r may
-stop when r^2 / d^2 passes the ``CONFIDENCE`` (0.98) quantile, d being the distance of the k-th best
-verified vector: any better vector would have been met with that probability. Inner products become
-distances by one more coordinate: sqrt(M^2 - |x|^2) for rows, 0 for queries scaled to M, the largest
-norm.
+stop when r^2 / d^2 passes the ``CONFIDENCE`` (0.92) quantile, d being the distance of the k-th best
+verified vector: any better vector would have been met with that probability, so the expected recall
+is that probability at least. Inner products become distances by one more coordinate:
+sqrt(M^2 - |x|^2) for rows, 0 for queries scaled to M, the largest norm.
 
 How it runs: equal vectors are one point with their k + 1 smallest ids (a larger id cannot reach a
-list of k), found in two salted steps, so a vector that a third of the rows share is one row. The
-top of the kd-tree is fitted on ``SAMPLE`` points and cuts the space into cells of about ``CELL``
-points; every point is indexed in its cell, and a cell that came out larger is dealt into blocks.
+list of k), found in two salted steps, so a vector that a third of the rows share is one row. A
+kd-tree cuts the space into cells of about ``CELL`` points: its first ``TOP`` levels are fitted on
+``SAMPLE`` points, the next ones in tasks, on about as many points of each cell of the first levels;
+every point is indexed in its cell, and a cell that came out larger is dealt into blocks.
 A query first searches its own block; the distance found there and the chi-square bound say which
-other blocks it must visit. In a block, leaves of a kd-tree are visited by rising projected
-distance, each visit verifying its vectors in double precision until the test holds.
+other blocks it must visit, and the queries of one block are dealt to groups of about ``ASKED``. In a
+block, leaves of a kd-tree are visited by rising projected distance until the test holds for the
+leaf, and of a leaf those points are verified in double precision for which it does not hold.
+``verified_share`` reports which part of all pairs that was.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no
 part, nor do rows without vec_id; rows equal in id and vector count once; shorter vectors count as
@@ -34,9 +37,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, table
 
-K, EVERY, DIMS, CONFIDENCE, SEED = 20, 20, 8, 0.98, 5
-#: Points that the top of the tree is fitted on, points in one cell, cells at most, points in one leaf.
-SAMPLE, CELL, CELLS, LEAF = 8192, 8192, 1024, 32
+K, EVERY, DIMS, CONFIDENCE, SEED = 20, 20, 16, 0.92, 5
+#: Points that a part of the tree is fitted on, points in one cell, levels of each of the tree's two parts at most, points in one leaf.
+SAMPLE, CELL, TOP, LEAF = 8192, 8192, 10, 32
+#: Queries that one group of a block holds.
+ASKED = 4096
 #: Queries searched together.
 TOGETHER = 128
 
@@ -71,32 +76,58 @@ def split(points: np.ndarray, at: np.ndarray, leaf: int) -> Iterator[np.ndarray]
         stack += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
 
 
+def fitted(points: np.ndarray, levels: int) -> np.ndarray:
+    """Splits (dimension, value) of a kd-tree by node: the root is 1, the children of i are 2i and 2i + 1."""
+    splits = np.zeros((2**levels, 2))
+    held = {1: points}
+    for node in range(1, 2**levels):
+        own = held.pop(node)
+        if len(own):
+            dim = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
+            splits[node] = dim, np.median(own[:, dim])
+        left = own[:, int(splits[node, 0])] < splits[node, 1]
+        held[2 * node], held[2 * node + 1] = own[left], own[~left]
+    return splits
+
+
+def boxes(splits: np.ndarray, node: int, low: np.ndarray, high: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Boxes of the nodes ``levels`` under a node, from left to right."""
+    low, high = low[None], high[None]
+    for level in range(levels):
+        dim, value = splits[np.arange(node << level, (node + 1) << level)].T
+        at = np.arange(len(low)), dim.astype(np.int64)
+        low, high = np.repeat(low, 2, axis=0), np.repeat(high, 2, axis=0)
+        high[2 * at[0], at[1]], low[2 * at[0] + 1, at[1]] = value, value
+    return low, high
+
+
 class Cells:
-    """The top of the kd-tree: splits (dimension, value) level by level, and each cell's box."""
-
-    def __init__(self, points: np.ndarray, levels: int):
-        self.levels, self.splits = levels, np.zeros((max(1, 2**levels), 2))
-        self.low, self.high = np.full((2**levels, DIMS), -np.inf), np.full((2**levels, DIMS), np.inf)
-        self._cut(points, 1, 0, 2**levels)
-
-    def _cut(self, points: np.ndarray, node: int, first: int, end: int) -> None:
-        if end - first == 1:
-            return
-        dim = int(np.argmax(points.max(axis=0) - points.min(axis=0))) if len(points) else 0
-        value = float(np.median(points[:, dim])) if len(points) else 0.0
-        self.splits[node] = dim, value
-        middle = (first + end) // 2
-        self.high[first:middle, dim], self.low[middle:end, dim] = value, value
-        left = points[:, dim] < value if len(points) else np.zeros(0, bool)
-        self._cut(points[left], 2 * node, first, middle)
-        self._cut(points[~left], 2 * node + 1, middle, end)
-
-    def of(self, points: np.ndarray) -> np.ndarray:
+    """A kd-tree over cells: ``top`` levels, and ``deep`` ones under each of their nodes."""
+
+    def __init__(self, splits: np.ndarray, top: int, deep: int):
+        self.splits, self.top, self.deep = splits, top, deep
+
+    def of(self, points: np.ndarray, levels: int | None = None) -> np.ndarray:
+        """The cell of each point, or its node ``levels`` down."""
+        levels = self.top + self.deep if levels is None else levels
         node = np.ones(len(points), np.int64)
-        for _ in range(self.levels):
+        for _ in range(levels):
             dim, value = self.splits[node, 0].astype(np.int64), self.splits[node, 1]
             node = 2 * node + (points[np.arange(len(points)), dim] >= value)
-        return node - 2**self.levels
+        return node - 2**levels
+
+    def near(self, queries: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, cell) of squared distance ``reach`` at most: first by the upper levels' boxes."""
+        ends = np.full(DIMS, -np.inf), np.full(DIMS, np.inf)
+        low, high = boxes(self.splits, 1, *ends, self.top)
+        asked, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        inside = box_distance(queries, low, high) <= reach[:, None]
+        for i in np.flatnonzero(inside.any(axis=0)):
+            own = np.flatnonzero(inside[:, i])
+            q, cell = np.nonzero(box_distance(queries[own], *boxes(self.splits, 2**self.top + i, low[i], high[i], self.deep)) <= reach[own][:, None])
+            asked.append(own[q])
+            to.append(cell + (i << self.deep))
+        return np.concatenate(asked), np.concatenate(to)
 
 
 def box_distance(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -108,8 +139,8 @@ def box_distance(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.n
     return total
 
 
-def search(vectors: np.ndarray, points: np.ndarray, keys: np.ndarray, queries: np.ndarray, at: np.ndarray, least: np.ndarray, k: int, norm: float, stop: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in ``vectors``) and inner products of the k best of each query; place -1 where there are fewer.
+def search(vectors: np.ndarray, points: np.ndarray, keys: np.ndarray, queries: np.ndarray, at: np.ndarray, least: np.ndarray, k: int, norm: float, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (in ``vectors``) and inner products of the k best of each query, place -1 where there are fewer, and how many vectors it verified.
 
     ``points`` and ``at`` are projections, ``queries`` have norm ``norm``, ``keys`` break ties, and
     ``least`` is the k-th best inner product that each query knows already.
@@ -121,11 +152,11 @@ def search(vectors: np.ndarray, points: np.ndarray, keys: np.ndarray, queries: n
         members[i, : len(leaf)] = leaf
     low = np.stack([points[leaf].min(axis=0) for leaf in leaves])
     high = np.stack([points[leaf].max(axis=0) for leaf in leaves])
-    places, scores = np.full((len(queries), k), -1), np.full((len(queries), k), -np.inf)
+    places, scores, verified = np.full((len(queries), k), -1), np.full((len(queries), k), -np.inf), np.zeros(len(queries), np.int64)
     for first in range(0, len(queries), TOGETHER):
         part = slice(first, first + TOGETHER)
-        q, best_at, best = queries[part], places[part], scores[part]
-        far = box_distance(at[part], low, high)
+        q, own, best_at, best, count = queries[part], at[part], places[part], scores[part], verified[part]
+        far = box_distance(own, low, high)
         order = np.argsort(far, axis=1)
         known = least[part].copy()
         rows = np.arange(len(q))
@@ -133,17 +164,24 @@ def search(vectors: np.ndarray, points: np.ndarray, keys: np.ndarray, queries: n
             leaf = order[rows, step]
             reach = stop * np.maximum(2 * norm * norm - 2 * np.maximum(known, best[:, -1]), 0)[rows]
             going = far[rows, leaf] <= reach
-            rows, leaf = rows[going], leaf[going]
+            rows, leaf, reach = rows[going], leaf[going], reach[going]
             if not len(rows):
                 break
             new_at = members[leaf]
-            new = np.einsum("qld,qd->ql", vectors[new_at], q[rows])
-            new[new_at < 0] = -np.inf
-            all_at, every = np.concatenate([best_at[rows], new_at], axis=1), np.concatenate([best[rows], new], axis=1)
+            apart = ((points[new_at] - own[rows][:, None]) ** 2).sum(axis=2)
+            row, place = np.nonzero((new_at >= 0) & (apart <= reach[:, None]))
+            if not len(row):
+                continue
+            new = np.full(new_at.shape, -np.inf)
+            new[row, place] = np.einsum("nd,nd->n", vectors[new_at[row, place]], q[rows[row]])
+            count += np.bincount(rows[row], minlength=len(q))
+            some = np.unique(row)
+            rows_of, new, new_at = rows[some], new[some], np.where(np.isinf(new), -1, new_at)[some]
+            all_at, every = np.concatenate([best_at[rows_of], new_at], axis=1), np.concatenate([best[rows_of], new], axis=1)
             tie = np.where(all_at < 0, np.iinfo(np.int64).max, keys[all_at])
             top = np.lexsort((tie, -every), axis=1)[:, :k]
-            best_at[rows], best[rows] = np.take_along_axis(all_at, top, 1), np.take_along_axis(every, top, 1)
-    return places, scores
+            best_at[rows_of], best[rows_of] = np.take_along_axis(all_at, top, 1), np.take_along_axis(every, top, 1)
+    return places, scores, verified
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -193,19 +231,50 @@ def _scaled(vectors: np.ndarray, norm: float) -> tuple[np.ndarray, np.ndarray]:
     return vectors * (norm / own)[:, None], own
 
 
-def nearest(vectors: DataFrame, is_query, k: int = K, confidence: float = CONFIDENCE, cell: int = CELL) -> DataFrame:
-    """query_id, rank, vec_id and score: the k found of each row for which ``is_query`` (over vec_id) holds."""
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = cut(usable(vectors))
+def _tree(points: DataFrame, n: int, width: int, norm: float, cell: int, top: int) -> Cells:
+    """The cells' kd-tree; its splits, 2^(2 * top) at most, come to the driver."""
+
+    def projected(rows: pa.Table) -> np.ndarray:
+        return _project(_matrix(rows.column("embedding"), width), norm)
+
+    sample = points.orderBy(F.xxhash64("h1", "h2"), "h1", "h2").limit(SAMPLE).select("embedding").toArrow()
+    levels = max(0, math.ceil(math.log2(n / cell)))
+    upper = min(levels, top)
+    tree = Cells(fitted(projected(sample), upper), upper, 0)
+    deep = min(levels - upper, top)
+    if not deep:
+        return tree
+    part = min(1.0, SAMPLE * 2.0**upper / n)
+    some = points.where(F.pmod(F.xxhash64("h2", "h1"), F.lit(1 << 20)) < F.lit(math.ceil(part * (1 << 20)))).select("embedding")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = _project(_matrix(batch.column("embedding"), width), norm)
+                yield pa.RecordBatch.from_arrays([pa.array(tree.of(own)), pa.array(own.tolist(), pa.list_(pa.float64()))], ["node", "at"])
+
+    def under(group: pa.Table) -> pa.Table:
+        splits = fitted(_matrix(group.column("at"), DIMS), deep)[1:]
+        number, level = np.arange(1, 2**deep), np.log2(np.arange(1, 2**deep)).astype(np.int64)
+        node = ((2**upper + group.column("node")[0].as_py()) << level) + number - (1 << level)
+        return pa.table([node, splits[:, 0], splits[:, 1]], ["node", "dim", "value"])
+
+    rows = some.mapInArrow(placed, "node long, at array<double>").groupBy("node").applyInArrow(under, "node long, dim double, value double").toArrow()
+    splits = np.zeros((2 ** (upper + deep), 2))
+    splits[: 2**upper] = tree.splits
+    splits[rows.column("node").to_numpy()] = np.c_[rows.column("dim").to_numpy(), rows.column("value").to_numpy()]
+    return Cells(splits, upper, deep)
+
+
+def _found(rows: DataFrame, is_query, k: int, confidence: float, cell: int, top: int) -> tuple[DataFrame, int, int] | None:
+    """h1, h2 (the query's), score, ids and verified of what each block found, and how many points and queries there are."""
+    spark = rows.sparkSession
     points = cut(points_of(rows, is_query, k))
-    total = points.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width"), F.max("norm").alias("norm")).first()
+    total = points.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width"), F.max("norm").alias("norm"), F.count_if("asked").alias("asked")).first()
     if not total.n:
-        return empty
+        return None
     width, norm, stop = total.width, total.norm, chi_square_quantile(confidence)
-    sample = points.orderBy(F.xxhash64("h1", "h2"), "h1", "h2").limit(SAMPLE).select("embedding").toArrow()
-    levels = min(max(0, math.ceil(math.log2(total.n / cell))), int(math.log2(CELLS)))
-    tree = spark.sparkContext.broadcast(Cells(_project(_matrix(sample.column("embedding"), width), norm), levels))
+    tree = spark.sparkContext.broadcast(_tree(points, total.n, width, norm, cell, top))
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,27 +282,29 @@ def nearest(vectors: DataFrame, is_query, k: int = K, confidence: float = CONFID
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], [*batch.schema.names, "cell"])
 
     placed = cut(points.mapInArrow(celled, "h1 long, h2 long, embedding array<double>, norm double, ids array<long>, asked boolean, cell int"))
-    # At most CELLS counts; a cell of more than twice the intended size is dealt into blocks.
-    blocks = {r.cell: -(-r["count"] // cell) for r in placed.groupBy("cell").count().collect() if r["count"] > 2 * cell}
+    # A cell of more than twice the intended size is dealt into blocks; there are few, as splits are medians.
+    blocks = {r.cell: -(-r["count"] // cell) for r in placed.groupBy("cell").count().where(F.col("count") > 2 * cell).collect()}
     block = F.lit(0)
     if blocks:
         number = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
-        block = F.pmod(F.col("h1"), F.coalesce(F.element_at(number, F.col("cell")), F.lit(1))).cast("int")
+        block = F.pmod(F.col("h1"), F.coalesce(F.try_element_at(number, F.col("cell")), F.lit(1))).cast("int")
     placed = placed.withColumn("block", block)
 
-    def block_search(points: pa.Table, queries: pa.Table, least: np.ndarray, seek: np.ndarray | None = None) -> pa.Table:
+    def block_search(points: pa.Table, queries: pa.Table, least: np.ndarray) -> pa.Table:
+        if not len(queries) or not len(points):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.int64())], ["h1", "h2", "score", "ids", "verified"])
         x, (q, own) = _matrix(points.column("embedding"), width), _scaled(_matrix(queries.column("embedding"), width), norm)
         ids = points.column("ids").combine_chunks()
         first = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
-        places, scores = search(x, _project(x, norm), first, q, _project(q, norm, True), least, k + 1, norm, stop)
+        places, scores, verified = search(x, _project(x, norm), first, q, _project(q, norm, True), least, k + 1, norm, stop)
         asker, nth = np.nonzero(places >= 0)
         found = places[asker, nth]
         # Exactly the inner product of the vectors as they are.
         score = np.einsum("nd,nd->n", x[found], _matrix(queries.column("embedding"), width)[asker])
         keys = [queries.column(c).take(pa.array(asker)) for c in ("h1", "h2")]
-        return pa.table([*keys, pa.array(score), ids.take(pa.array(found))], ["h1", "h2", "score", "ids"])
+        return pa.table([*keys, pa.array(score), ids.take(pa.array(found)), pa.array(np.where(nth == 0, verified[asker], 0))], ["h1", "h2", "score", "ids", "verified"])
 
-    found_schema = "h1 long, h2 long, score double, ids array<long>"
+    found_schema = "h1 long, h2 long, score double, ids array<long>, verified long"
 
     def at_home(group: pa.Table) -> pa.Table:
         queries = group.filter(group.column("asked"))
@@ -245,16 +316,13 @@ def nearest(vectors: DataFrame, is_query, k: int = K, confidence: float = CONFID
     asked = placed.where("asked").join(known, ["h1", "h2"]).select("h1", "h2", "embedding", "norm", "least", "cell", "block")
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = tree.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             q, own = _scaled(_matrix(batch.column("embedding"), width), norm)
             least = batch.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
             scaled = np.where(np.isnan(least), -norm * norm, least * norm / own)
-            far = box_distance(_project(q, norm, True), cells.low, cells.high)
-            near = far <= (stop * np.maximum(2 * norm * norm - 2 * scaled, 0))[:, None]
-            asker, to = np.nonzero(near)
+            asker, to = tree.value.near(_project(q, norm, True), stop * np.maximum(2 * norm * norm - 2 * scaled, 0))
             home_cell, home_block = batch.column("cell").to_numpy(), batch.column("block").to_numpy()
             many = np.array([blocks.get(int(c), 1) for c in to], np.int64)
             asker, to, number = np.repeat(asker, many), np.repeat(to, many), np.concatenate([np.arange(m) for m in many] or [np.zeros(0, np.int64)])
@@ -265,16 +333,27 @@ def nearest(vectors: DataFrame, is_query, k: int = K, confidence: float = CONFID
                 [*cols, pa.array(scaled[asker]), pa.array(to.astype(np.int32)), pa.array(number.astype(np.int32))], ["h1", "h2", "embedding", "least", "cell", "block"]
             )
 
-    sent = asked.mapInArrow(routed, "h1 long, h2 long, embedding array<double>, least double, cell int, block int")
+    sent = cut(asked.mapInArrow(routed, "h1 long, h2 long, embedding array<double>, least double, cell int, block int"))
+    groups = sent.groupBy("cell", "block").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("groups"))
+    sent = sent.join(groups, ["cell", "block"]).withColumn("group", F.pmod("h2", "groups").cast("int"))
+    visited = placed.join(groups, ["cell", "block"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
 
     def away(queries: pa.Table, points: pa.Table) -> pa.Table:
-        if not len(queries) or not len(points):
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))], ["h1", "h2", "score", "ids"])
         return block_search(points, queries, queries.column("least").to_numpy())
 
-    elsewhere = sent.groupBy("cell", "block").cogroup(placed.groupBy("cell", "block")).applyInArrow(away, found_schema)
+    by = ["cell", "block", "group"]
+    elsewhere = sent.drop("groups").groupBy(*by).cogroup(visited.drop("groups").groupBy(*by)).applyInArrow(away, found_schema)
+    return home.union(elsewhere), total.n, total.asked
+
+
+def nearest(vectors: DataFrame, is_query, k: int = K, confidence: float = CONFIDENCE, cell: int = CELL, top: int = TOP) -> DataFrame:
+    """query_id, rank, vec_id and score: the k found of each row for which ``is_query`` (over vec_id) holds."""
+    rows = cut(usable(vectors))
+    found = _found(rows, is_query, k, confidence, cell, top)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     best = Window.partitionBy("h1", "h2")
-    tops = home.union(elsewhere).withColumn("nth", F.row_number().over(best.orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("nth") <= k + 1)
+    tops = found[0].drop("verified").withColumn("nth", F.row_number().over(best.orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("nth") <= k + 1)
     tops = tops.select("h1", "h2", "score", F.explode("ids").alias("vec_id")).withColumn("nth", F.row_number().over(best.orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") <= k + 1)
     lists = tops.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("found"))
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct()
@@ -282,6 +361,12 @@ def nearest(vectors: DataFrame, is_query, k: int = K, confidence: float = CONFID
     return queries.join(lists, ["h1", "h2"]).select("query_id", F.posexplode(own).alias("at", "f")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.s")).alias("score"))
 
 
+def verified_share(vectors: DataFrame, is_query, k: int = K, confidence: float = CONFIDENCE, cell: int = CELL, top: int = TOP) -> float:
+    """Which part of all pairs of a query and a different vector a search verifies."""
+    found = _found(cut(usable(vectors)), is_query, k, confidence, cell, top)
+    return found[0].agg(F.sum("verified")).first()[0] / (found[1] * found[2]) if found and found[2] else 0.0
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: the 20 nearest found of every vector whose id is divisible by 20."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % EVERY == 0)
