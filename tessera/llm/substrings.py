@@ -41,7 +41,7 @@ WINDOW, GRAM = 50, 8
 #: Words in one reference shard, after which the next anchor starts another.
 SHARD_WORDS = 40_000
 #: Runs that one copy of a reference run meets.
-CLAIMS = 2_000
+CLAIMS = 200
 _RUN = WINDOW - GRAM + 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -236,7 +236,7 @@ MASKS = "anchor long, content long, other long, mask long"
 
 
 def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by reference run (anchor, shard) and group; a shard holds whole groups."""
+    """Rows sorted by reference run (``shard``); one automaton takes in several."""
 
     def done() -> Iterator[pa.RecordBatch]:
         if found := _shard_masks(references, claims):
@@ -245,10 +245,10 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     references, claims, size, last = [], [], 0, None
     for batch in batches:
         for shard, *row, claim in zip(*(batch.column(c).to_pylist() for c in ("shard", "anchor", "content", "other", "doc_id", "words", "claim")), strict=True):
-            if (row[0], shard) != last and size > SHARD_WORDS:
+            if shard != last and size > SHARD_WORDS:
                 yield from done()
                 references, claims, size = [], [], 0
-            last = row[0], shard
+            last = shard
             (claims if claim else references).append(row)
             size += len(row[4]) // 6
     yield from done()
@@ -266,16 +266,16 @@ def removals(texts: DataFrame, claims: int = CLAIMS) -> DataFrame:
     several = contents.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1")
     wanted = contents.join(several, "anchor").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.part").alias("part")).agg(F.collect_list(F.struct(*key, "first.start", "first.n")).alias("wanted"))
     pieces = cut(texts.join(wanted, ["doc_id", "part"]).select("doc_id", "text", "wanted").mapInArrow(_cut_out, PIECES))
-    # Equal windows have equal hashes: what an earlier run may hold, and which run that is.
-    windows = pieces.select(*key, "doc_id", F.explode("windows").alias("window"))
-    origin = windows.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", "content", "other")).alias("o"), F.max("doc_id").alias("last")).where("last > o.doc_id").select("anchor", "window", "o")
-    owing = windows.join(origin, ["anchor", "window"]).where("doc_id > o.doc_id").select(*key, F.col("o.content").alias("r_content"), F.col("o.other").alias("r_other"))
-    owing = cut(owing.distinct().withColumn("shard", F.xxhash64("r_content", "r_other")))
-    references = owing.groupBy("anchor", "shard", "r_content", "r_other").agg(F.ceil(F.count("*") / claims).cast("int").alias("groups"))
-    copies = references.select("anchor", "shard", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("r_content").alias("content"), F.col("r_other").alias("other"), F.lit(False).alias("claim"))
-    asking = owing.join(references.select("anchor", "shard", "groups"), ["anchor", "shard"]).select("anchor", "shard", F.pmod(F.xxhash64("content", "other"), "groups").cast("int").alias("group"), "content", "other", F.lit(True).alias("claim"))
-    shards = copies.union(asking).join(pieces.select(*key, "doc_id", "words"), key)
-    masks = shards.repartition("anchor", "shard", "group").sortWithinPartitions("anchor", "shard", "group", "claim").mapInArrow(_masks, MASKS).groupBy(*key).agg(F.bit_or("mask").alias("mask"))
+    # Equal windows have equal hashes: what an earlier run may hold, and which run that is. A run goes by
+    # its content hash here; should two runs share one, both are looked at, as words decide.
+    windows = pieces.select(F.explode("windows").alias("window"), "doc_id", "content")
+    origin = windows.groupBy("window").agg(F.min(F.struct("doc_id", "content")).alias("o"), F.max("doc_id").alias("last")).where("last > o.doc_id").select("window", F.col("o.doc_id").alias("origin"), F.col("o.content").alias("shard"))
+    owing = cut(windows.join(origin, "window").where("doc_id > origin").select("content", "shard").distinct())
+    references = owing.groupBy("shard").agg(F.ceil(F.count("*") / claims).cast("int").alias("groups"))
+    copies = references.select("shard", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("shard").alias("content"), F.lit(False).alias("claim"))
+    asking = owing.join(references, "shard").select("shard", F.pmod(F.xxhash64("content"), "groups").cast("int").alias("group"), "content", F.lit(True).alias("claim"))
+    shards = copies.union(asking).join(pieces.drop("windows"), "content")
+    masks = shards.repartition("shard", "group").sortWithinPartitions("shard", "group", "claim").mapInArrow(_masks, MASKS).groupBy(*key).agg(F.bit_or("mask").alias("mask"))
     # A table of its own, so that the join with the runs can split a run that very many documents hold.
     guilty = cut(contents.join(masks, key, "left").where("last > first.doc_id or mask is not null").select(*key, F.col("first.doc_id").alias("origin"), F.coalesce("mask", F.lit(0)).alias("mask")))
     # All windows of the run go when a smaller document holds the same run.
