@@ -15,6 +15,8 @@ from tessera.functions.text import dot, half_up, tokens
 K1, B = 1.2, 0.75
 #: Asked terms up to which they are sent to every executor; beyond that tokens meet them by a shuffle.
 FEW_TERMS = 100_000
+#: Vectors that one block of a dense search holds.
+ROWS_IN_BLOCK = 8192
 
 
 def postings(docs: DataFrame, mode: str = "latin", wanted: DataFrame | None = None) -> DataFrame:
@@ -55,11 +57,13 @@ def bm25(docs: DataFrame, query_terms: DataFrame, k: int, mode: str = "latin", k
     return top(hits.groupBy("qid", "doc_id").agg(half_up(F.sum(F.col("asked") * weight), 3).alias("score")), k)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int, blocks: int = 16) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, k: int, rows_in_block: int = ROWS_IN_BLOCK) -> DataFrame:
     """The k rows (doc_id, embedding) of largest inner product with each query (qid, embedding), itself apart.
 
-    Rows are dealt into blocks and the stated queries go to each block, so no task holds all rows.
+    Rows are dealt into blocks of about ``rows_in_block`` and the stated queries go to each block, so
+    no task holds all rows, and there are the more tasks the more rows there are.
     """
+    blocks = max(8, -(-vectors.count() // rows_in_block))
     rows = vectors.select("doc_id", F.col("embedding").alias("_row"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("_block"))
     asked = queries.select("qid", F.col("embedding").alias("_query"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("_block"))
     pairs = rows.join(asked, "_block").where("doc_id <> qid").select("qid", "doc_id", half_up(dot("_query", "_row"), 6).alias("score"))

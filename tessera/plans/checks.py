@@ -56,10 +56,11 @@ def integrity_report(spark, sf):
     return reduce(lambda a, b: a.union(b), rows)
 
 
-@query("weight_rule", ctes("requires", body=" SELECT occupation, skill FROM requires WHERE floor(importance * 1000 + 0.5) / 1000 > 1 OR target_level NOT BETWEEN 1 AND 5"))
+@query("weight_rule", ctes("requires", body=" SELECT occupation, skill FROM (SELECT occupation, skill, importance * CASE WHEN skill % 37 = 0 THEN 3 ELSE 1 END AS importance, CASE WHEN skill % 41 = 0 THEN 9 ELSE target_level END AS target_level FROM requires) WHERE floor(importance * 1000 + 0.5) / 1000 > 1 OR target_level NOT BETWEEN 1 AND 5"))
 def weight_rule(spark, sf):
-    """Weights and levels outside their range."""
-    return domain.requires(spark, sf).where("floor(importance * 1000 + 0.5) / 1000 > 1 or target_level not between 1 and 5").select("occupation", "skill")
+    """Weights and levels outside their range, after some have been spoilt."""
+    spoilt = domain.requires(spark, sf).withColumns({"importance": F.col("importance") * F.when(F.col("skill") % 37 == 0, 3).otherwise(1), "target_level": F.when(F.col("skill") % 41 == 0, 9).otherwise(F.col("target_level"))})
+    return spoilt.where("floor(importance * 1000 + 0.5) / 1000 > 1 or target_level not between 1 and 5").select("occupation", "skill")
 
 
 @query("question_rules", ctes("gold", body="""

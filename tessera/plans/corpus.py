@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import containment, folds, html
+from tessera.operators import alignment, containment, folds, html
 from tessera.operators.ordering import numbered
 from tessera.plans.registry import query
 from tessera.sources import domain
@@ -204,7 +204,7 @@ def quota_pick(spark, sf):
     return folds.greedy_quota(docs, "source", "n_chars", "doc_id", "lang", quota=8, cap=3)
 
 
-@query("page_titles", r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.{0,300}?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages")
+@query("page_titles", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.{0,300}?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages")
 def page_titles(spark, sf):
     """Titles."""
     return table(spark, sf, "pages").select("page_id", html.title("html").alias("title"))
@@ -229,12 +229,10 @@ WITH a AS (SELECT DISTINCT p_name AS x, list_distinct(list_transform(range(1, le
 b AS (SELECT x, unnest(g) AS pair FROM a)
 SELECT p.x AS label, q.x AS other, count(*) AS shared FROM b p JOIN b q ON p.pair = q.pair AND p.x <> q.x JOIN a ON a.x = p.x GROUP BY p.x, q.x, len(a.g) HAVING count(*) >= 0.6::DOUBLE * len(a.g)""")
 def fuzzy_labels(spark, sf):
-    """Labels whose character pairs another label mostly has, joined on the pairs."""
-    labels = table(spark, sf, "part").select(F.col("p_name").alias("label")).distinct().withColumn("g", F.array_distinct(T.bigrams("label")))
-    pairs = labels.select("label", F.size("g").alias("n"), F.explode("g").alias("pair"))
-    other = pairs.select(F.col("label").alias("other"), "pair")
-    shared = pairs.join(other, "pair").where("label <> other").groupBy("label", "other", "n").agg(F.count("*").alias("shared"))
-    return shared.where(F.col("shared") >= 0.6 * F.col("n")).select("label", "other", "shared")
+    """Labels whose character pairs another label mostly has, joined on the rarest of them."""
+    labels = table(spark, sf, "part").select(F.col("p_name").alias("label")).distinct()
+    found = alignment.shared_pairs(labels.toDF("item").withColumn("text", F.col("item")), labels.toDF("other").withColumn("text", F.col("other")), 0.6)
+    return found.where("item <> other").select(F.col("item").alias("label"), "other", "shared")
 
 
 @query("name_intersection", "SELECT lower(p_name) AS name FROM part WHERE p_size < 10 INTERSECT SELECT lower(p_name) FROM part WHERE p_size > 40")

@@ -13,10 +13,15 @@ from tessera.sources import domain
 from tessera.sources.domain import ctes, table
 
 
-@query("stated_dates")
+@query("stated_dates", "SELECT doc_id AS page_id, CASE WHEN doc_id % 3 = 0 THEN '20' || lpad(CAST(doc_id % 24 AS VARCHAR), 2, '0') || '-05-06' END AS published, CAST(NULL AS VARCHAR) AS modified, CAST(doc_id % 3 = 0 AS INTEGER) AS nodes FROM documents UNION ALL SELECT -1 - page_id, NULL, NULL, 0 FROM pages")
 def stated_dates(spark, sf):
-    """Dates that pages state about themselves."""
-    return table(spark, sf, "pages").select("page_id", html.stated_date("html").alias("stated"))
+    """Dates that pages state in JSON-LD: the driver's pages, which state none, and documents as pages that do."""
+    year = F.lpad((F.col("doc_id") % 24).cast("string"), 2, "0")
+    data = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"@graph": [{"@type": ["Report", "Thing"], "datePublished": "20'), year, F.lit('-05-06T01:02"}]}')))
+    data = data.when(F.col("doc_id") % 3 == 1, '{"@type": "Person", "datePublished": "2020-01-01"}').otherwise("{")
+    made = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.concat(F.lit('<html><script type="application/ld+json">'), data, F.lit("</script>"), "text").alias("html"))
+    pages = table(spark, sf, "pages").select((-1 - F.col("page_id")).alias("page_id"), "html")
+    return html.stated_dates(pages.union(made))
 
 
 @query("live_join", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' AND c_acctbal >= 0")
@@ -123,10 +128,10 @@ def entity_facts(spark, sf):
     return f.groupBy("entity", "occupation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "skill"))), lambda x: x.skill.cast("string")), ",").alias("facts"))
 
 
-@query("front_matter_check", r"SELECT page_id FROM pages WHERE NOT regexp_matches(html, '(?i)<title') OR NOT regexp_matches(html, '(?i)<html[^>]*lang=') OR url = ''")
+@query("front_matter_check", """SELECT page_id FROM pages WHERE NOT regexp_matches(html, '(?i)<title') OR NOT regexp_matches(html, '(?i)<html[^>]*lang="(en|de|es)"') OR url = ''""")
 def front_matter_check(spark, sf):
-    """Pages that lack a required field."""
-    return table(spark, sf, "pages").where(~F.col("html").rlike("(?i)<title") | ~F.col("html").rlike("(?i)<html[^>]*lang=") | (F.col("url") == "")).select("page_id")
+    """Pages that lack a required field or state a language that is not listed."""
+    return table(spark, sf, "pages").where(~F.col("html").rlike("(?i)<title") | ~F.col("html").rlike('(?i)<html[^>]*lang="(en|de|es)"') | (F.col("url") == "")).select("page_id")
 
 
 @query("vector_ranges", "SELECT label, count(*) AS vectors, min(len(embedding)) AS least, max(len(embedding)) AS most FROM embeddings GROUP BY label")

@@ -275,15 +275,18 @@ def quartile_threshold(spark, sf):
 
 
 @query("pairwise_cosine", """
-WITH sample AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 16 = 0)
+WITH s AS (SELECT vec_id, embedding, label FROM embeddings)
 SELECT a.label, count(*) AS pairs, floor(avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) * 1000 + 0.5) / 1000 AS mean
-FROM sample a JOIN sample b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""")
+FROM s a JOIN s b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""")
 def pairwise_cosine(spark, sf):
-    """Mean cosine of the pairs of a strided sample, per label."""
-    sample = table(spark, sf, "embeddings").where("vec_id % 16 = 0").select("vec_id", "embedding", "label")
-    other = sample.select(F.col("vec_id").alias("v2"), F.col("embedding").alias("e2"), "label")
-    pairs = sample.join(other, "label").where("vec_id < v2")
-    return pairs.groupBy("label").agg(F.count("*").alias("pairs"), half_up(F.avg(cosine("embedding", "e2")), 3).alias("mean"))
+    """Mean cosine of all pairs of a label, from the sum of its unit vectors: |sum|^2 = n + 2 * (sum over pairs)."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    rows = table(spark, sf, "embeddings").select("label", "embedding", norm.alias("norm")).where("norm > 0")
+    sums = rows.select("label", "norm", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.sum(F.col("x").cast("double") / F.col("norm")).alias("t"))
+    n = rows.groupBy("label").agg(F.count("*").alias("n"))
+    square = sums.groupBy("label").agg(F.sum(F.col("t") * F.col("t")).alias("square")).join(n, "label").where("n > 1")
+    pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    return square.select("label", pairs.alias("pairs"), half_up((F.col("square") - F.col("n")) / 2 / pairs, 3).alias("mean"))
 
 
 @query("weight_sweep", ctes(*_BOTH, "gold", body=""",

@@ -2,12 +2,14 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import chunking
 from tessera.functions import text as T
-from tessera.operators import folds, graph, html, ledger, metrics, retrieval
+from tessera.operators import alignment, containment, folds, graph, html, ledger, metrics, picking, retrieval
 from tessera.operators.ordering import numbered
 from tessera.sources import readers, sinks
 from tessera.streaming import ledger as streaming
@@ -78,14 +80,93 @@ def test_numbering_over_partitions(spark):
 
 
 def test_html_blocks():
-    page = '<html><head><title> A\n b </title><script>var t="</p>";</script></head><body><nav><li>menu</li></nav><h2>Top</h2><p>one <b>two</b><p>three<ul><li>x</ul><pre>a\n  b</pre>tail &amp; end<footer>no</footer>'
-    assert [(b["kind"], b["level"], b["text"]) for b in html.blocks_of(page)] == [("heading", 2, "Top"), ("text", 0, "one two"), ("text", 0, "three"), ("list", 0, "x"), ("code", 0, "a\n  b"), ("text", 0, "tail & end")]
+    page = '<html><head><title> A\n b </title><script>var t="</p>";</script></head><body><nav><li>menu</li></nav><h2>Top</h2><p>one <b>two</b><p>three<ul><li>x<li>xy</ul><pre>a\n  b</pre>tail &amp; end<footer>no</footer>'
+    assert [(b["kind"], b["level"], b["text"]) for b in html.blocks_of(page)] == [("heading", 2, "Top"), ("text", 0, "one two"), ("text", 0, "three"), ("list", 0, "xy"), ("code", 0, "a\n  b"), ("text", 0, "tail & end")]
     assert html.blocks_of(None) == [] and html.blocks_of("") == []
 
 
-def test_title_and_date(spark):
-    df = spark.createDataFrame([('<TITLE x> A\n b </title> {"datePublished": "2024-05-06T01:02"}',), ("none",)], "html string")
-    assert [(r.t, r.d) for r in df.select(html.title("html").alias("t"), html.stated_date("html").alias("d")).collect()] == [("A b", dt.date(2024, 5, 6)), ("", None)]
+def test_html_markers_lists_and_short_texts():
+    page = (
+        '<body><div class="page-sidebar">side <div>inner</div> still side</div><div id="cookie-consent">ok?</div><div role="breadcrumb">home</div>'
+        '<img class="advert"><h1>T</h1><p>- a point<p>1. first</p><p>2) second</p><p>x</p><p>sidebarred text stays</p><p class="considebar">kept too</p></body>'
+    )
+    assert [(b["kind"], b["text"]) for b in html.blocks_of(page)] == [("heading", "T"), ("list", "- a point"), ("list", "1. first"), ("list", "2) second"), ("text", "sidebarred text stays"), ("text", "kept too")]
+    assert ("text", "still side") in [(b["kind"], b["text"]) for b in html.blocks_of(page, boilerplate=True)]
+
+
+def test_titles_and_dates(spark):
+    graph_ = '{"@graph": [{"@type": "Person", "datePublished": "1999-01-01"}, {"@type": ["Thing", "Report"], "datePublished": " 2024-05-06T01:02", "part": {"@type": "WebPage", "dateModified": "2024-06-07"}}]}'
+    pages = [
+        (1, f'<TITLE x> A &amp; B\n b &eacute;&#33; </title><script type="application/ld+json">{graph_}</script>'),
+        (2, '<script type="application/ld+json">{bad</script><p>datePublished: "2020-01-01"</p>'),
+        (3, '<script type="application/ld+json">[{"@type": "Article", "datePublished": 7}, {"@type": "Article", "datePublished": "2001-02-03"}]</script>'),
+        (4, None),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    assert [tuple(r) for r in html.stated_dates(df).orderBy("page_id").collect()] == [(1, "2024-05-06", "2024-06-07", 2), (2, None, None, 0), (3, "2001-02-03", None, 2), (4, None, None, 0)]
+    assert [r.t for r in df.orderBy("page_id").select(html.title("html").alias("t")).collect()] == ["A & B b é!", "", "", None]
+
+
+def test_long_chains_and_cycles(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 91)], "src long, dst long")
+    nodes = spark.range(1, 92).withColumnRenamed("id", "node")
+    assert _set(graph.depths(nodes, chain), "node", "depth") == {(i, i - 1) for i in range(1, 92)}
+    found = graph.closure(chain.where("src <= 70")).where("src = 1").collect()
+    assert {(r.dst, r.depth) for r in found} == {(i, i - 1) for i in range(2, 72)}
+    back = chain.union(spark.createDataFrame([(60, 40)], "src long, dst long"))
+    for f in (graph.closure, lambda e: graph.depths(nodes, e)):
+        with pytest.raises(ValueError, match="cycle"):
+            f(back).collect()
+    assert graph.closure(chain.limit(0)).count() == 0
+
+
+def test_contained_passages_of_any_length(spark):
+    words = [f"w{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "x" + " ".join(words[10:40])), (3, "ab"), (4, None)], "doc_id long, text string")
+    items = {1: "w10 w11 w12 w13 w14 w15 w16", 2: "w2998 w2999", 3: "0 w11 w12 w", 4: "b", 5: "w5 w6 w7", 6: "absent", 7: "", 8: "w20 w22 w23 w24 w25 w26"}
+    found = _set(containment.contained(docs, spark.createDataFrame(list(items.items()), "item long, passage string")), "doc_id", "item")
+    assert found == {(d, i) for d, t in ((1, " ".join(words)), (2, "x" + " ".join(words[10:40])), (3, "ab")) for i, p in items.items() if p and p in t}
+
+
+def test_greedy_pairs_equal_one_by_one(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(40), 100 + rng.randrange(40), rng.randrange(5)) for _ in range(200)]
+    taken, used = set(), set()
+    for a, b, cost in sorted(set(pairs), key=lambda p: (p[2], p[0], p[1])):
+        if a not in used and b not in used:
+            taken.add((a, b))
+            used |= {a, b}
+    df = spark.createDataFrame(sorted(set(pairs)), "a long, b long, cost long")
+    assert _set(picking.without_reuse(df, ["cost"]), "a", "b") == taken
+
+
+def test_chunks(spark):
+    texts = ["aaa. bbb ccc\n\nddd eee fff ggg. hhh\niii jjj", "x" * 25, "", "é\U0001f600" * 40, "one\n \ntwo three"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", "text", chunking.recursive("text", 6).alias("r"), chunking.windows("text", 10, 4).alias("w"), chunking.paragraphs("text", 5).alias("p"))
+    for r in rows.collect():
+        assert "".join(r.r) == r.text and all(0 < len(x) <= 6 for x in r.r)
+        starts = [0]
+        while starts[-1] + 10 < len(r.text):
+            starts.append(starts[-1] + 6)
+        assert [(x.start, x.text) for x in r.w] == ([(s, r.text[s : s + 10]) for s in starts] if r.text else [])
+        assert all(len(x) <= 5 for x in r.p)
+    assert rows.where("i = 4").first().p == ["one", "two t", "hree"]
+
+
+def test_alignment_equals_all_pairs(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcde ") for _ in range(rng.randint(2, 14))) for _ in range(80)]
+    pairs = lambda t: {s[i : i + 2] for s in [t.replace(" ", "").lower()] for i in range(max(1, len(s) - 1))}
+    left, right = list(enumerate(texts[:30])), [(100 + i, t) for i, t in enumerate(dict.fromkeys(texts[25:]))]
+    want = {}
+    for i, t in left:
+        equal = [o for o, u in right if u == t]
+        near = sorted((-len(pairs(t) & pairs(u)) / len(pairs(t)), o) for o, u in right if len(t) / 2 <= len(u) <= 2 * len(t))
+        near = [(r, o) for r, o in near if -r >= 0.6]
+        if equal or near:
+            want[i] = (min(equal), 1.0) if equal else (near[0][1], -near[0][0])
+    found = alignment.aligned(spark.createDataFrame(left, "item long, text string"), spark.createDataFrame(right, "other long, text string"))
+    assert {r.item: (r.other, r.ratio) for r in found.collect()} == want
 
 
 def test_folds(spark):
