@@ -7,15 +7,20 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session without one gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='spark-cut-')}"
+    return found.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Checkpoint into ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="spark-cut-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder(spark))
     return df.checkpoint()

@@ -21,3 +21,14 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str = "number") -
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     return place.withColumn("_part", part).join(offsets, "_part").withColumn(name, (F.col("_before") + inside + 1).cast("long")).drop("_m", "_part", "_before")
+
+
+def within(rows: DataFrame, group: str, order: str, name: str = "at") -> DataFrame:
+    """Adds the place (from 1) of each row in its group: its place among all rows less that of the group's first row.
+
+    Unlike a window by group, no task holds a group, however many rows share one. Ties of ``order``
+    in a group take places in any order.
+    """
+    every = numbered(rows, [group, order], "_number")
+    first = every.groupBy(group).agg(F.min("_number").alias("_first")).withColumnRenamed(group, "_group")
+    return every.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, (F.col("_number") - F.col("_first") + 1).cast("int")).drop("_number", "_first", "_group")

@@ -7,7 +7,7 @@ import importlib
 from tessera.plans.registry import ORACLE, QUERIES, Query
 
 #: Modules that register queries.
-MODULES = ("retrieval", "graph", "recommend", "corpus", "ledger", "checks", "more", "rest", "evaluation", "profiles")
+MODULES = ("retrieval", "graph", "recommend", "corpus", "ledger", "checks", "more", "rest", "evaluation", "profiles", "files")
 
 
 def _load() -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import alignment, containment, folds, html
-from tessera.operators.ordering import numbered
+from tessera.operators.ordering import numbered, within
 from tessera.plans.registry import query
 from tessera.sources import domain
 from tessera.sources.domain import ctes, table
@@ -148,7 +148,11 @@ def chunk_stats(spark, sf):
     return domain.chunks(spark, sf).groupBy("source").agg(F.count("*").alias("chunks"), F.sum(F.col("end") - F.col("start")).alias("chars"), F.max("pos").alias("last"))
 
 
-@query("parent_pack")
+@query("parent_pack", ctes("chunks", body="""
+, c AS (SELECT doc_id, start, "end", "end" - start AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM chunks),
+w AS (SELECT doc_id, i, CASE WHEN n >= 1600 THEN 0 ELSE n END AS held, 0 AS parent, CASE WHEN n >= 1600 THEN 1 ELSE 0 END AS following FROM c WHERE i = 1
+  UNION ALL SELECT c.doc_id, c.i, CASE WHEN held + n >= 1600 THEN 0 ELSE held + n END, following, following + CASE WHEN held + n >= 1600 THEN 1 ELSE 0 END FROM w JOIN c ON c.doc_id = w.doc_id AND c.i = w.i + 1)
+SELECT doc_id, CAST(parent AS INTEGER) AS parent, min(start) AS start, max("end") AS "end", count(*) AS chunks FROM w JOIN c USING (doc_id, i) GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1))
 def parent_pack(spark, sf):
     """Chunks packed into parents of about 1,600 characters."""
     packed = folds.reset_pack(domain.chunks(spark, sf), "doc_id", "pos", F.col("end") - F.col("start"), 1600)
@@ -158,8 +162,8 @@ def parent_pack(spark, sf):
 @query("lattice_sample", "SELECT doc_id, i FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents) WHERE i % 6 IN (0, 3)")
 def lattice_sample(spark, sf):
     """Every third document of a source."""
-    i = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf, "documents").select("doc_id", i.alias("i")).where("i % 6 in (0, 3)")
+    placed = within(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id")
+    return placed.select("doc_id", (F.col("at") - 1).alias("i")).where("i % 6 in (0, 3)")
 
 
 @query("fnv_sample", """
@@ -197,7 +201,9 @@ def forward_fill(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.last(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")), ignorenulls=True).over(w).alias("filled"))
 
 
-@query("quota_pick")
+@query("quota_pick", """
+WITH few AS (SELECT source, lang, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) <= 3)
+SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS place FROM few QUALIFY place <= 8""")
 def quota_pick(spark, sf):
     """A greedy pick per source with a cap per language and a quota."""
     docs = table(spark, sf, "documents").select("source", "doc_id", "lang", "n_chars")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import cosine, half_up, latin_tokens, tokens
 from tessera.operators import metrics, retrieval
+from tessera.operators.ordering import within
 from tessera.plans.registry import query
 from tessera.sources import domain
 from tessera.sources.domain import ctes, table
@@ -146,8 +147,7 @@ def candidate_interleave(spark, sf):
 
 
 def _position(spark, sf):
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf, "documents").select("doc_id", "source", F.row_number().over(order).alias("at"))
+    return within(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "source", "at")
 
 
 @query("neighbor_pull", ctes(*_CHANNELS, body=""",
@@ -164,9 +164,13 @@ def neighbor_pull(spark, sf):
 SELECT doc_id, lag(doc_id) OVER w AS previous, lead(doc_id) OVER w AS following, CAST(row_number() OVER w - 1 AS INTEGER) AS position
 FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)""")
 def source_neighbors(spark, sf):
-    """Neighbours and position inside the source."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf, "documents").select("doc_id", F.lag("doc_id").over(w).alias("previous"), F.lead("doc_id").over(w).alias("following"), (F.row_number().over(w) - 1).alias("position"))
+    """Neighbours and position inside the source, by places, so no task holds a source."""
+    here = _position(spark, sf)
+    beside = here.select(F.col("doc_id").alias("other"), F.col("source").alias("_source"), "at")
+    side = lambda step, name: beside.select(F.col("other").alias(name), F.col("_source").alias(f"_{name}"), (F.col("at") + step).alias(f"at_{name}"))
+    for step, name in ((1, "previous"), (-1, "following")):
+        here = here.join(side(step, name), F.col("source").eqNullSafe(F.col(f"_{name}")) & (F.col("at") == F.col(f"at_{name}")), "left")
+    return here.select("doc_id", "previous", "following", (F.col("at") - 1).alias("position"))
 
 
 @query("prf_expand", ctes(*_CHANNELS, body=""",
