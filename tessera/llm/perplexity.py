@@ -45,7 +45,7 @@ MIN_WORDS, WINDOW, REPEATED_PERCENT = 10, 5, 20
 #: Standard deviations below and above a language's median entropy; entropies are counted by 1/STEP.
 BELOW, ABOVE, STEP = 4.0, 2.5, 100
 #: Characters and texts that one array holds while n-grams are counted or scored.
-CHUNK, TEXTS = 2_000_000, 4096
+CHUNK, TEXTS = 250_000, 4096
 #: N-grams that a task holds before it adds up equal ones; n-grams that are sent to all tasks at most.
 HELD, HOT = 1_000_000, 1_000_000
 #: Frequencies are told apart by 1/FINE of a power of two; first bits of a hash that the index knows.
