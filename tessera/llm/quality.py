@@ -11,8 +11,8 @@ training; lang, source and doc_id never are.
 How it runs: at most ``SAMPLE`` labelled rows, those of smallest hash of doc_id, are the training
 rows (the documented bound; every row is scored). Their sparse features are written once. Each
 round, ``SHARDS`` tasks start from the current parameters, pass their rows ``EPOCHS`` times with
-AdaGrad, and return their parameters; the driver takes the mean of those bounded arrays (some 150 KB
-each). Scoring is one pass over the texts without a shuffle.
+AdaGrad, and return their parameters; the driver takes the mean of those bounded arrays (some 611 KB
+each: two of 4,241 by 9 doubles). Scoring is one pass over the texts without a shuffle.
 
 Defined cases: a null text is the empty text and is scored from its structure alone; a null n_chars
 counts as the text's length; where no label is there to learn from, every score is 0.5; rows with
