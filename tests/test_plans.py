@@ -49,3 +49,14 @@ def test_same_rows_over_other_partitions(spark, sf_dir, name):
         assert _rows(QUERIES[name](spark, sf_dir).toPandas()) == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_pair_picks_equal_one_by_one(spark, duck, sf_dir):
+    """The greedy pairs of rounds of joins against going through all candidates in order."""
+    rows = duck.sql(ORACLE["pair_candidates"]).df()
+    used, want = set(), set()
+    for r in rows.sort_values(["apart", "gap", "poorness", "a", "b"]).itertuples():
+        if r.a not in used and r.b not in used:
+            want.add((r.a, r.b))
+            used |= {r.a, r.b}
+    assert {(r.a, r.b) for r in QUERIES["pair_picks"](spark, sf_dir).collect()} == want and want
