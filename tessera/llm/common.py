@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,28 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+#: Folders that ``cut`` has written in this process and that ``swept`` may drop.
+_made: list[str] = []
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Drops at its end what ``cut`` has written inside it; results must be written by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            drop(spark, path)
+        del _made[before:]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a result as Parquet to the shared folder and read it back.
 
@@ -43,6 +67,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,8 @@ that order, so the level is the first at which the sources below it are exactly
 cells of about ``CELL`` documents. Inside a cell, in hash order, the prefix sums of sizes mark
 which documents are taken once more: whole ones, and the one at the border for its first words. So
 every cell takes its share to the word, no window holds more than a cell, and a hot source is many
-cells. The hash is MD5 of seed and doc_id, so reruns agree.
+cells. The hash is MD5 of seed, doc_id and the text's own MD5, so reruns agree, and rows of one
+doc_id or of none lie in as many cells as they have texts; only rows equal in both share a cell.
 
 Defined cases: a null text has size 0; rows with equal doc_id are rows of their own, in order of
 size; a null source is a source of its own; a source without words takes nothing; an empty table
@@ -29,9 +30,9 @@ SHARE, EPOCHS, WEIGHTS, SEED, CELL = 1.5, 2, (5, 2, 1), 7, 1024
 
 
 def sized(docs: DataFrame, *keep) -> DataFrame:
-    """doc_id, source, size (the number of words) and the columns ``keep`` of every row."""
+    """doc_id, source, size (the number of words), digest (of the text) and the columns ``keep`` of every row."""
     size = F.expr(r"coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0)").cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *keep)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"), *keep)
 
 
 def targets(sizes: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -58,7 +59,7 @@ def _taken(docs: DataFrame, per_source: DataFrame, seed: int, cell: int, *ties:
     per = per_source.withColumnRenamed("source", "_source")
     rows = docs.join(per, same(F.col("source"), F.col("_source"))).drop("_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("digest")))
     cells = F.ceil(F.col("documents") / F.lit(cell))
     rows = rows.select("*", ratio.alias("ratio"), key.alias("key")).withColumn("cell", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), cells))
     part = F.col("ratio") - F.floor("ratio")
@@ -66,7 +67,7 @@ def _taken(docs: DataFrame, per_source: DataFrame, seed: int, cell: int, *ties:
     in_order = by_cell.orderBy("key", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("*", F.sum("size").over(in_order).alias("upto"), F.floor(F.sum("size").over(by_cell) * part + F.lit(0.5)).alias("quota"))
     once_more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - (F.col("upto") - F.col("size"))))
-    return rows.withColumn("taken", (F.floor("ratio") * F.col("size") + once_more).cast("long")).drop("ratio", "key", "cell", "upto", "quota", "documents")
+    return rows.withColumn("taken", (F.floor("ratio") * F.col("size") + once_more).cast("long")).drop("ratio", "key", "cell", "upto", "quota", "documents", "digest")
 
 
 def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, cell: int = CELL) -> DataFrame:
@@ -83,8 +84,8 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """
     row, own, size, taken, copy, left = (fresh(docs, name) for name in ("_row", "_own", "_size", "_taken", "_copy", "_left"))
     rows = numbered(docs, row)
-    sizes = cut(sized(rows, F.xxhash64("text").alias("_hash"), F.col(row).alias("_row")))
-    plan = _taken(sizes, targets(sizes), seed, CELL, "_hash", "_row").where("taken > 0").select(F.col("_row").alias(own), F.col("size").alias(size), F.col("taken").alias(taken))
+    sizes = cut(sized(rows, F.col(row).alias("_row")))
+    plan = _taken(sizes, targets(sizes), seed, CELL, "_row").where("taken > 0").select(F.col("_row").alias(own), F.col("size").alias(size), F.col("taken").alias(taken))
     rows = rows.join(plan, F.col(row) == F.col(own))
     rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(0), (F.ceil(F.col(taken) / F.col(size)) - 1).cast("int"))))
     rows = rows.withColumn(left, F.greatest(F.lit(0), F.least(F.col(size), F.col(taken) - F.col(copy) * F.col(size))))
@@ -105,7 +106,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH sized AS (
   SELECT CAST(doc_id AS BIGINT) AS doc_id, source,
-         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(text, '')) AS digest
   FROM documents),
 per AS (SELECT source, count(*) AS documents, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
@@ -123,7 +125,7 @@ targets AS (
 rows_ AS (
   SELECT s.doc_id, s.source, s.size, t.documents, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS ratio,
-         md5('7:' || coalesce(CAST(s.doc_id AS VARCHAR), '')) AS key
+         md5('7:' || coalesce(CAST(s.doc_id AS VARCHAR), '') || ':' || s.digest) AS key
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 celled AS (
   SELECT *, CAST('0x' || substr(key, 1, 8) AS BIGINT) % CAST(ceil(documents / 1024.0::DOUBLE) AS BIGINT) AS cell FROM rows_),
