@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import mixing, packing, perplexity, pii, simhash
-from tessera.llm.common import DOCUMENT_COLUMNS, shared_folder, table
+from tessera.llm.common import DOCUMENT_COLUMNS, drop, shared_folder, swept, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,11 +55,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over ``documents``.
+
+    What a stage read, and what it wrote on its way, goes once its rows are written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES, 1):
         path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with swept(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
