@@ -1,8 +1,10 @@
-"""Cutting lineage through the shared folder."""
+"""Cutting lineage through the shared folder, and keeping what many queries of a session ask for."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,7 @@ def folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-cut-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -24,3 +27,26 @@ def settled(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder(spark))
     return df.checkpoint()
+
+
+#: Paths of kept tables by session, name and the state of their sources.
+_KEPT: dict[tuple, str] = {}
+
+
+def kept(spark: SparkSession, name: str, sources: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written when a session first asks for it and read from there afterwards.
+
+    A source that has changed since (its time, files or bytes) makes it anew.
+    """
+    state = []
+    for source in sources:
+        place = spark._jvm.org.apache.hadoop.fs.Path(source)
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        summary = store.getContentSummary(place)
+        state.append((source, store.getFileStatus(place).getModificationTime(), summary.getFileCount(), summary.getLength()))
+    key = (spark.sparkContext.applicationId, name, *state)
+    if key not in _KEPT:
+        path = f"{folder(spark)}/kept-{name}-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _KEPT[key] = path
+    return spark.read.parquet(_KEPT[key])

@@ -40,23 +40,37 @@ def top(scored: DataFrame, k: int, by: str = "qid", item: str = "doc_id") -> Dat
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, query_terms: DataFrame, k: int, mode: str = "latin", k1: float = K1, b: float = B) -> DataFrame:
-    """The k best documents of each question (qid, term rows; a repeated term counts again).
+def frequencies(own: DataFrame) -> DataFrame:
+    """term and df of postings."""
+    # Counting by tf keeps both branches on the same columns, so the postings are made once (ReusedExchange).
+    return own.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+
+
+def ranked(own: DataFrame, df: DataFrame, n: int, mean: float | None, asked: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """The k best documents of each question by postings, document frequencies, and the number and mean size of documents.
 
-    Scores are rounded to three digits before they are ranked.
+    ``asked`` has qid, term and asked (how often). Scores are rounded to three digits before they are ranked.
     """
-    # The statistics are one row.
-    n, _, mean = corpus_stats(docs, mode).first()
-    asked = query_terms.groupBy("qid", "term").agg(F.count("*").alias("asked"))
-    own = postings(docs, mode, asked)
-    # Counting by tf keeps both branches on the same columns, so the postings are made once (ReusedExchange).
-    df = own.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / (mean or 1.0)))
     hits = asked.join(df, "term").join(own, "term")
     return top(hits.groupBy("qid", "doc_id").agg(half_up(F.sum(F.col("asked") * weight), 3).alias("score")), k)
 
 
+def asked_of(query_terms: DataFrame) -> DataFrame:
+    """qid, term and asked: a repeated term of a question counts again."""
+    return query_terms.groupBy("qid", "term").agg(F.count("*").alias("asked"))
+
+
+def bm25(docs: DataFrame, query_terms: DataFrame, k: int, mode: str = "latin", k1: float = K1, b: float = B) -> DataFrame:
+    """The k best documents of each question (qid, term rows) over texts that no index is kept of."""
+    # The statistics are one row.
+    n, _, mean = corpus_stats(docs, mode).first()
+    asked = asked_of(query_terms)
+    own = postings(docs, mode, asked)
+    return ranked(own, frequencies(own), n, mean, asked, k, k1, b)
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int, rows_in_block: int = ROWS_IN_BLOCK) -> DataFrame:
     """The k rows (doc_id, embedding) of largest inner product with each query (qid, embedding), itself apart.
 

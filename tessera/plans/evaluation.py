@@ -11,7 +11,7 @@ from tessera.functions import chunking
 from tessera.functions import text as T
 from tessera.operators import alignment, metrics, picking, retrieval
 from tessera.plans.registry import query
-from tessera.plans.retrieval import _BOTH, _CHANNELS, _PEAK, _SCALED, _bm25, _dense, _docs, _fused, _position
+from tessera.plans.retrieval import _BOTH, _CHANNELS, _PEAK, _SCALED, _bm25, _dense, _docs, _fused, _position, _ranked
 from tessera.sources import domain
 from tessera.sources.domain import SQL, ctes, table
 
@@ -76,7 +76,7 @@ def graph_expanded_search(spark, sf):
     near = near.select("_seed", F.explode("near").alias("doc_id")).where("doc_id is not null")
     linked = seeds.select("qid", F.col("doc_id").alias("_seed")).join(near, "_seed").select("qid", "doc_id").distinct()
     added = linked.join(labels, "doc_id").select("qid", F.explode(T.latin_tokens("text")).alias("term"))
-    return retrieval.bm25(docs, domain.questions(spark, sf).select("qid", "term").union(added), 3)
+    return _ranked(spark, sf, domain.questions(spark, sf).select("qid", "term").union(added), 3)
 
 
 _CHILDREN = """

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import latin_tokens
+from tessera.operators.checkpoints import kept
 from tessera.operators.containment import contained
 
 #: Characters that a line needs to be a chunk.
@@ -91,7 +92,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, doc_id: documents that contain a benchmark item's text."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("passage"))
-    return contained(documents(spark, sf_dir, "doc_id", "text"), items).select(F.col("item").alias("qid"), "doc_id")
+
+    def make() -> DataFrame:
+        return contained(documents(spark, sf_dir, "doc_id", "text"), items).select(F.col("item").alias("qid"), "doc_id")
+
+    return kept(spark, "gold", [f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet"], make)
 
 
 # The same tables for DuckDB.
