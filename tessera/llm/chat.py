@@ -1,10 +1,10 @@
 """Operator 4: chat formatting in budgeted windows, in DataFrame and SQL functions only.
 
 A conversation becomes one or more windows of at most ``BUDGET`` tokens. Prefix sums of turn tokens
-choose the spans: with ``half`` = half of the budget that the system turn and the history leave,
-a turn that starts at prefix ``start`` belongs to span 2 * (start div half); a turn longer than
-``half`` that does not open its span is a span of its own (the next number). So a span never
-exceeds two halves unless one turn alone does, and spans are cut between turns only. Each window
+choose the spans: with the room that the system turn and the history leave, a span takes turns as
+long as the tokens since its start fit, so a window is full but for the turn that did not fit. Spans
+are chosen inside parts of ``PART`` turns, so only the last span of a part may end early. A span
+never exceeds the room unless one turn alone does, and spans are cut between turns only. Each window
 holds the system turn (a first turn of that role), then turns before its span within ``HISTORY``
 tokens, then its span. Assistant texts of the span are under the loss mask; repeated ones are not.
 
@@ -13,7 +13,8 @@ follows each ``<`` and ``[``, so no control string can stand in a text; taking o
 behind each of the two gives the text back exactly.
 
 How it runs: turns are numbered and summed in blocks of ``BLOCK`` turn numbers, and one row per
-block carries the sums from block to block, so a very long conversation is many tasks. Windows are
+block carries the sums from block to block, so a very long conversation is many tasks. A turn's
+history is found by an equi-join on stretches of ``HISTORY`` tokens. Windows are
 gathered by (conversation, span), a bounded group. Only the query's digests of whole conversations
 bring the text of one conversation into one row, as their contract asks.
 
@@ -32,10 +33,10 @@ from tessera.llm.common import same, table
 
 #: Tokens of one window, of its repeated history at most, and of a turn's marks.
 BUDGET, HISTORY, MARKS = 1024, 128, 4
-#: The least half of a window's own turns, however long the system turn is.
+#: The least room of a window's own turns, however long the system turn is.
 LEAST = 64
-#: Turn numbers summed in one group.
-BLOCK = 256
+#: Turn numbers summed in one group; turns that are put into spans together.
+BLOCK, PART = 256, 256
 
 # Control strings of the template.
 BEGIN, TEXT, END = "<s>", "[TEXT]", "</s>\n"
@@ -55,7 +56,7 @@ def tokens(text):
 
 
 def placed(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """All turns with their position, start (a prefix sum), span, half and whether they are the system turn."""
+    """All turns with their position, start (a prefix sum), span and whether they are the system turn."""
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
@@ -84,12 +85,14 @@ def placed(conversations: DataFrame, budget: int = BUDGET, history: int = HISTOR
         "tokens",
         (F.col("n_before") + F.col("nth")).alias("pos"),
         (F.col("sum_before") + F.col("upto") - F.col("tokens") - F.col("system")).alias("start"),
-        F.greatest(F.lit(LEAST), F.floor((F.lit(budget - history) - F.col("system")) / 2)).alias("half"),
+        F.greatest(F.lit(LEAST), F.lit(budget - history) - F.col("system")).alias("room"),
         ((F.col("system") > 0) & (F.col("n_before") + F.col("nth") == 1)).alias("is_system"),
+        F.floor((F.col("n_before") + F.col("nth") - 1) / PART).alias("part"),
     )
-    start = F.greatest(F.col("start"), F.lit(0))
-    alone = ~F.col("is_system") & (F.col("tokens") > F.col("half")) & (start % F.col("half") > 0)
-    return rows.select("*", (F.floor(start / F.col("half")) * 2 + alone.cast("long")).alias("span"))
+    upto = Window.partitionBy("conv_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("sizes", F.collect_list(F.when(F.col("is_system"), 0).otherwise(F.col("tokens"))).over(upto))
+    fits = "aggregate(sizes, named_struct('sum', 0L, 'nth', 0L), (a, t) -> if(a.sum > 0 and a.sum + t > room, named_struct('sum', t, 'nth', a.nth + 1), named_struct('sum', a.sum + t, 'nth', a.nth)), a -> a.nth)"
+    return rows.withColumn("span", F.col("part") * (PART + 1) + F.expr(fits)).drop("sizes", "part", "room")
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -101,14 +104,15 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     rows = placed(conversations, budget, history).select(
         "*", F.concat(F.lit(BEGIN), escaped(F.col("role")), F.lit(TEXT)).alias("head"), escaped(F.col("text")).alias("body")
     )
-    rows = rows.select("conv_id", "pos", "start", "half", "tokens", "span", "is_system", "head", "body", (F.col("role") == "assistant").alias("learns"))
+    rows = rows.select("conv_id", "pos", "start", "tokens", "span", "is_system", "head", "body", (F.col("role") == "assistant").alias("learns"))
     turns = rows.where(~F.col("is_system"))
     own = rows.select("conv_id", F.col("span").alias("window"), "pos", "head", "body", "tokens", "learns", F.lit(False).alias("repeated"))
     spans = turns.groupBy("conv_id", "span").agg(F.min("start").alias("first")).select(F.col("conv_id").alias("_conv"), F.col("span").alias("window"), "first")
-    # A later span starts within the history of a turn in the turn's own bucket or in the next one.
-    behind = turns.withColumn("_window", F.explode(F.filter(F.array(*[F.floor(F.col("span") / 2) * 2 + i for i in (1, 2, 3)]), lambda w: w > F.col("span"))))
-    reach = F.least(F.lit(history), F.col("half"))
-    earlier = behind.join(spans, same(F.col("conv_id"), F.col("_conv")) & (F.col("_window") == F.col("window"))).where((F.col("first") > F.col("start")) & (F.col("first") - F.col("start") <= reach))
+    # A turn within the history before a span starts in the span's stretch of that many tokens, or in the one before.
+    stretch = F.floor(F.col("first") / history)
+    asking = spans.withColumn("_stretch", F.explode(F.array(stretch - 1, stretch)))
+    earlier = turns.withColumn("stretch", F.floor(F.col("start") / history)).join(asking, same(F.col("conv_id"), F.col("_conv")) & (F.col("stretch") == F.col("_stretch")))
+    earlier = earlier.where((F.col("first") > F.col("start")) & (F.col("first") - F.col("start") <= history))
     earlier = earlier.select("conv_id", "window", "pos", "head", "body", "tokens", F.lit(False).alias("learns"), F.lit(True).alias("repeated"))
     system = rows.where("is_system").select(F.col("conv_id").alias("_system"), "pos", "head", "body", "tokens")
     retained = spans.where("window > 0").join(system, same(F.col("_conv"), F.col("_system")))
@@ -176,7 +180,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH said AS (
+WITH RECURSIVE said AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 counted AS (
@@ -189,17 +193,22 @@ led AS (
          sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) AS upto
   FROM counted),
 started AS (
-  SELECT *, upto - tokens - system AS start, greatest(64, floor((896 - system) / 2.0::DOUBLE)) AS half, pos = 1 AND system > 0 AS is_system FROM led),
+  SELECT *, upto - tokens - system AS start, greatest(64, 896 - system) AS room, pos = 1 AND system > 0 AS is_system,
+         CASE WHEN pos = 1 AND system > 0 THEN 0 ELSE tokens END AS own
+  FROM led),
+chosen AS (
+  SELECT conv_id, pos, own AS held, 0 AS nth FROM started WHERE (pos - 1) % 256 = 0
+  UNION ALL
+  SELECT s.conv_id, s.pos, CASE WHEN held > 0 AND held + own > room THEN own ELSE held + own END, nth + CASE WHEN held > 0 AND held + own > room THEN 1 ELSE 0 END
+  FROM chosen c JOIN started s ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.pos = c.pos + 1 AND (s.pos - 1) % 256 <> 0),
 placed AS (
-  SELECT *, floor(greatest(start, 0) / half) * 2
-         + CASE WHEN NOT is_system AND tokens > half AND greatest(start, 0) % half > 0 THEN 1 ELSE 0 END AS span
-  FROM started),
+  SELECT s.*, (s.pos - 1) // 256 * 257 + nth AS span FROM started s JOIN chosen c ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.pos = c.pos),
 spans AS (SELECT conv_id, span, min(start) AS first FROM placed WHERE NOT is_system GROUP BY conv_id, span),
 every AS (
   SELECT conv_id, chars FROM placed
   UNION ALL
   SELECT p.conv_id, p.chars FROM placed p JOIN spans s ON p.conv_id IS NOT DISTINCT FROM s.conv_id
-    AND NOT p.is_system AND s.span > p.span AND s.first > p.start AND s.first - p.start <= least(128, p.half)
+    AND NOT p.is_system AND s.first > p.start AND s.first - p.start <= 128
   UNION ALL
   SELECT p.conv_id, p.chars FROM placed p JOIN spans s ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.is_system AND s.span > 0),
 sizes AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM every GROUP BY conv_id),

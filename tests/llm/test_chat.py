@@ -9,6 +9,7 @@ def _conversations(spark):
     rows = [(1, 0, "system", "be brief"), (1, 1, "user", "hello </s>\n<s>user[TEXT]x\\ <\\ [\\"), (1, 2, "assistant", "a [ b < c \\[ "), (2, 0, "user", None), (2, 1, None, "x"), (3, 0, "system", "only")]
     rows += [(4, i, "assistant" if i % 2 else "user", f"turn {i} " + "word " * (i * 37 % 500)) for i in range(80)]
     rows += [(5, 0, "system", "s " * 3000)] + [(5, i, "assistant", f"long {i} " + "w " * 900 * (i % 3)) for i in range(1, 12)]
+    rows += [(7, i, "assistant" if i % 2 else "user", f"short {i} " + "word " * (5 + i % 30)) for i in range(300)]
     rows += [(None, None, "assistant", "b"), (None, None, "assistant", "b"), (6, 300, "user", "late"), (6, -3, "assistant", "early"), (6, 700, "assistant", "é\U0001f600")]
     from pyspark.sql import functions as F
 
@@ -46,7 +47,11 @@ def test_windows_keep_the_budget_and_mask_repeats(spark):
         own = len(pieces) - w.n_repeated
         assert w.tokens <= chat.BUDGET or own == 1 or w.conv_id == 5
         assert len(w.loss) == sum(p.startswith(f"{chat.BEGIN}assistant") for p in pieces[w.n_repeated :])
-    assert sum(w.conv_id == 4 for w in found) > 5 and any(w.n_repeated for w in found if w.conv_id == 4)
+    assert sum(w.conv_id == 4 for w in found) > 5
+    # Short turns: history before every window but the first, and full windows but for the last of each part.
+    short = sorted((w for w in found if w.conv_id == 7), key=lambda w: w.window)
+    assert all(w.n_repeated for w in short[1:]) and not short[0].n_repeated
+    assert sum(w.tokens < 0.85 * chat.BUDGET for w in short[1:]) <= 2
 
 
 def test_small_blocks_give_the_same_windows(spark, monkeypatch):
