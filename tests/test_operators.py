@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import chunking
 from tessera.functions import text as T
-from tessera.operators import alignment, containment, folds, graph, html, ledger, metrics, picking, retrieval
+from tessera.operators import alignment, checkpoints, containment, folds, graph, html, ledger, metrics, picking, retrieval
 from tessera.operators.ordering import numbered
 from tessera.sources import readers, sinks
 from tessera.streaming import ledger as streaming
@@ -140,6 +140,18 @@ def test_greedy_pairs_equal_one_by_one(spark):
     assert _set(picking.without_reuse(df, ["cost"]), "a", "b") == taken
 
 
+def test_kept_tables_follow_their_sources(spark, tmp_path):
+    source, made = str(tmp_path / "in"), []
+
+    def kept():
+        return checkpoints.kept(spark, "rows", [source], lambda: made.append(1) or spark.read.parquet(source))
+
+    spark.range(3).write.parquet(source)
+    assert kept().count() == 3 and kept().count() == 3 and len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(source)
+    assert kept().count() == 5 and len(made) == 2
+
+
 def test_chunks(spark):
     texts = ["aaa. bbb ccc\n\nddd eee fff ggg. hhh\niii jjj", "x" * 25, "", "é\U0001f600" * 40, "one\n \ntwo three"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", "text", chunking.recursive("text", 6).alias("r"), chunking.windows("text", 10, 4).alias("w"), chunking.paragraphs("text", 5).alias("p"))
