@@ -22,7 +22,9 @@ def test_stages_return_documents_and_take_effect(spark, sf_dir):
     assert n["pii"] == n["simhash_near_dedup"]
     assert sum(len(r.base) for r in pii.find(seen["pii"]).collect()) == 0
     assert seen["packing"].select("doc_id").distinct().count() == seen["source_mixing"].select("doc_id").distinct().count()
-    assert corpus_pipeline.run(spark, sf_dir).count() == n["packing"]
+    # How often documents are cut depends on how rows lie in tasks; what is packed does not.
+    packed = [sorted((d, sum(r.length for r in rows if r.doc_id == d)) for d in {r.doc_id for r in rows}) for rows in (seen["packing"].collect(), corpus_pipeline.run(spark, sf_dir).collect())]
+    assert packed[0] == packed[1]
     for v in seen.values():
         v.unpersist()
 
