@@ -19,6 +19,9 @@ MODULES = {
     "op8_viterbi_token_counts": "unigram_counts",
     "op9_substring_dedup": "substrings",
     "op10_simhash_near_dedup": "simhash",
+    "op11_conversation_trie": "trie",
+    "op12_kd_tree_search": "exact_search",
+    "op13_dual_tree_lloyd": "lloyd",
 }
 
 
