@@ -29,24 +29,38 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Paths of kept tables by session, name and the state of their sources.
-_KEPT: dict[tuple, str] = {}
-
-
-def kept(spark: SparkSession, name: str, sources: list[str], make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` gives, written when a session first asks for it and read from there afterwards.
-
-    A source that has changed since (its time, files or bytes) makes it anew.
-    """
+def source_state(spark: SparkSession, sources: list[str]) -> tuple:
+    """Time, files and bytes of each source, by which a change is noticed."""
     state = []
     for source in sources:
         place = spark._jvm.org.apache.hadoop.fs.Path(source)
         store = place.getFileSystem(spark._jsc.hadoopConfiguration())
         summary = store.getContentSummary(place)
         state.append((source, store.getFileStatus(place).getModificationTime(), summary.getFileCount(), summary.getLength()))
-    key = (spark.sparkContext.applicationId, name, *state)
-    if key not in _KEPT:
-        path = f"{folder(spark)}/kept-{name}-{uuid.uuid4().hex}"
-        make().write.parquet(path)
-        _KEPT[key] = path
-    return spark.read.parquet(_KEPT[key])
+    return tuple(state)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Kept tables by session, name and sources: the state of the sources and the path.
+_KEPT: dict[tuple, tuple[tuple, str]] = {}
+
+
+def kept(spark: SparkSession, name: str, sources: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written when a session first asks for it and read from there afterwards.
+
+    A source that has changed since (its time, files or bytes) makes it anew, and the old table goes.
+    """
+    key, state = (spark.sparkContext.applicationId, name, *sources), source_state(spark, sources)
+    known, path = _KEPT.get(key, (None, None))
+    if known != state:
+        made = f"{folder(spark)}/kept-{name}-{uuid.uuid4().hex}"
+        make().write.parquet(made)
+        if path:
+            drop(spark, path)
+        _KEPT[key] = state, (path := made)
+    return spark.read.parquet(path)

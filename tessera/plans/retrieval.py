@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import cosine, half_up, latin_tokens, tokens
-from tessera.operators import metrics, retrieval
-from tessera.operators.checkpoints import kept
+from tessera.operators import metrics, retrieval, text_index
+from tessera.operators.commits import Store
 from tessera.operators.ordering import within
 from tessera.plans.registry import query
 from tessera.sources import domain
@@ -20,18 +20,14 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return domain.documents(spark, sf, "doc_id", "text")
 
 
-def _indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int, float | None]:
-    """The documents' postings and document frequencies, kept for the session, and the number and mean size of documents."""
-    source = [f"{sf}/documents.parquet"]
-    own = kept(spark, "postings", source, lambda: retrieval.postings(_docs(spark, sf)))
-    df = kept(spark, "frequencies", source, lambda: retrieval.frequencies(own))
-    stats = kept(spark, "sizes", source, lambda: retrieval.corpus_stats(_docs(spark, sf))).first()
-    return own, df, stats.docs, stats.mean
+def _index(spark: SparkSession, sf: str) -> Store:
+    """The session's index of the documents."""
+    return text_index.index_of(spark, f"{sf}/documents.parquet", _docs(spark, sf))
 
 
 def _ranked(spark: SparkSession, sf: str, terms: DataFrame, k: int) -> DataFrame:
-    """The k best documents of each question of ``terms`` (qid, term) by the kept index."""
-    return retrieval.ranked(*_indexed(spark, sf), retrieval.asked_of(terms), k)
+    """The k best documents of each question of ``terms`` (qid, term) by the index."""
+    return text_index.search(_index(spark, sf), retrieval.asked_of(terms), k)
 
 
 def _bm25(spark: SparkSession, sf: str, k: int = DEPTH) -> DataFrame:
@@ -70,16 +66,16 @@ POSTING_RANGE = 4096
 SELECT term, doc_id // 4096 AS part, df, count(*) AS documents, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM postings JOIN frequencies USING (term) GROUP BY ALL"""))
 def bm25_postings(spark, sf):
     """R2: serialised postings of all terms, a row for each range of documents, so no list is unbounded."""
-    own, df, _, _ = _indexed(spark, sf)
+    store = _index(spark, sf)
+    own, df = text_index.postings(store), text_index.frequencies(store)
     lists = own.groupBy("term", F.floor(F.col("doc_id") / POSTING_RANGE).alias("part")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("p")).join(df, "term")
     return lists.select("term", "part", "df", F.size("p").cast("long").alias("documents"), F.array_join(F.transform("p", lambda x: F.concat_ws(":", x.doc_id.cast("string"), x.tf.cast("string"))), " ").alias("postings"))
 
 
-@query("term_frequency", ctes("postings", body=" SELECT term, CAST(df AS BIGINT) AS df, (SELECT CAST(sum(tf) AS BIGINT) FROM postings p WHERE p.term = f.term) AS total FROM frequencies f WHERE df > 1"))
+@query("term_frequency", ctes("postings", body=" SELECT term, CAST(df AS BIGINT) AS df, (SELECT CAST(sum(tf) AS BIGINT) FROM postings p WHERE p.term = f.term) AS total FROM frequencies f"))
 def term_frequency(spark, sf):
     """A3, A4: how often each term occurs, and in how many documents."""
-    per = _indexed(spark, sf)[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    return per.where("df > 1")
+    return text_index.postings(_index(spark, sf)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
 @query("dense_topk", ctes("dense", body=" SELECT qid, doc_id, score, rank FROM dense WHERE rank <= 10"))
