@@ -9,7 +9,7 @@ most 43 windows. One pass over the texts writes the runs (no text, some 40 bytes
 content (anchor and a 128-bit hash of their words) are grouped; only the first holder can owe its
 words to something else, every later holder loses all of the run's windows. Of runs that share an
 anchor but not their whole content, the texts and the hashes of their windows are cut out of the
-documents. A window's hash says which runs may hold what an earlier document's run holds (equal
+documents. A window's two hashes say which runs may hold what an earlier document's run holds (equal
 windows have equal hashes, so none is missed), and words decide: those earlier runs are the reference
 shards, each a suffix automaton of about ``SHARD_WORDS`` words, and the runs that may owe them words
 are streamed along for their matching statistics. Each state knows the smallest document it occurs
@@ -19,7 +19,8 @@ than ``CLAIMS`` runs may owe is copied to as many groups as they fill, so no gro
 
 Defined cases: a null text is the empty text; texts under 50 words keep all words; repeats inside
 one document stay; rows that share a ``doc_id`` never take words from each other, whether their texts
-are equal or not; a row with a null ``doc_id`` neither loses words nor takes them from others; further
+are equal or not; equal rows are looked at once, so many of them cost no more than being read; a row with a
+null ``doc_id`` neither loses words nor takes them from others; further
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -99,7 +100,7 @@ def runs_of(words: list[bytes]) -> tuple[np.ndarray, ...]:
     return first, count, grams[low[first]].view(np.int64), hashes.of(first, end).view(np.int64), other.view(np.int64)
 
 
-RUNS = "doc_id long, part int, start int, n int, anchor long, content long, other long"
+RUNS = "doc_id long, part long, start int, n int, anchor long, content long, other long"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +111,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, part, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "text")), strict=True):
             start, count, *keys = runs_of(words_of(text))
             if len(start):
-                held.append((np.full(len(start), doc), np.full(len(start), part, np.int32), start.astype(np.int32), count.astype(np.int32), *keys))
+                held.append((np.full(len(start), doc), np.full(len(start), part), start.astype(np.int32), count.astype(np.int32), *keys))
                 size += len(start)
             if size > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
@@ -119,25 +120,26 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
 
 
-PIECES = "anchor long, content long, other long, doc_id long, windows array<long>, words binary"
+PIECES = "anchor long, content long, other long, doc_id long, windows array<long>, seconds array<long>, words binary"
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each wanted run and the hashes of its windows."""
+    """The words of each wanted run and the two hashes of each of its windows."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary()]
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split(" ")[0] for x in PIECES.split(", ")])
 
     for batch in batches:
         out: list[tuple] = []
         for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted")), strict=True):
             words = words_of(text)
-            hashes = Hashes(word_hashes(words))
+            each = word_hashes(words)
+            hashes, others = Hashes(each), Hashes(each ^ (each >> np.uint64(31)), _OTHER)
             for x in wanted:
                 s, n = x["start"], x["n"]
                 at = np.arange(s, s + n)
-                out.append((x["anchor"], x["content"], x["other"], doc, hashes.of(at, at + WINDOW).view(np.int64), b" ".join(words[s : s + n + WINDOW - 1])))
+                out.append((x["anchor"], x["content"], x["other"], doc, hashes.of(at, at + WINDOW).view(np.int64), others.of(at, at + WINDOW).view(np.int64), b" ".join(words[s : s + n + WINDOW - 1])))
             if len(out) > 20_000:
                 yield batch_of(out)
                 out = []
@@ -257,7 +259,7 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removals(texts: DataFrame, claims: int = CLAIMS) -> DataFrame:
     """doc_id, part and removed: array of (start, mask, n), the repeated windows of each run.
 
-    ``texts`` has doc_id, part (which tells the texts of one doc_id apart) and text.
+    ``texts`` has doc_id, part (which tells the texts of one doc_id apart) and text, each pair of them once.
     """
     texts = texts.where("doc_id is not null")
     runs = cut(texts.mapInArrow(_runs, RUNS))
@@ -266,15 +268,16 @@ def removals(texts: DataFrame, claims: int = CLAIMS) -> DataFrame:
     several = contents.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1")
     wanted = contents.join(several, "anchor").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.part").alias("part")).agg(F.collect_list(F.struct(*key, "first.start", "first.n")).alias("wanted"))
     pieces = cut(texts.join(wanted, ["doc_id", "part"]).select("doc_id", "text", "wanted").mapInArrow(_cut_out, PIECES))
-    # Equal windows have equal hashes: what an earlier run may hold, and which run that is. A run goes by
+    # Equal windows have equal hashes, of 128 bits together: what an earlier run holds, and which run that is. A run goes by
     # its content hash here; should two runs share one, both are looked at, as words decide.
-    windows = pieces.select(F.explode("windows").alias("window"), "doc_id", "content")
-    origin = windows.groupBy("window").agg(F.min(F.struct("doc_id", "content")).alias("o"), F.max("doc_id").alias("last")).where("last > o.doc_id").select("window", F.col("o.doc_id").alias("origin"), F.col("o.content").alias("shard"))
-    owing = cut(windows.join(origin, "window").where("doc_id > origin").select("content", "shard").distinct())
+    windows = pieces.select(F.explode(F.arrays_zip("windows", "seconds")).alias("w"), "doc_id", "content").select("w.*", "doc_id", "content")
+    window = ["windows", "seconds"]
+    origin = windows.groupBy(*window).agg(F.min(F.struct("doc_id", "content")).alias("o"), F.max("doc_id").alias("last")).where("last > o.doc_id").select(*window, F.col("o.doc_id").alias("origin"), F.col("o.content").alias("shard"))
+    owing = cut(windows.join(origin, window).where("doc_id > origin").select("content", "shard").distinct())
     references = owing.groupBy("shard").agg(F.ceil(F.count("*") / claims).cast("int").alias("groups"))
     copies = references.select("shard", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("shard").alias("content"), F.lit(False).alias("claim"))
     asking = owing.join(references, "shard").select("shard", F.pmod(F.xxhash64("content"), "groups").cast("int").alias("group"), "content", F.lit(True).alias("claim"))
-    shards = copies.union(asking).join(pieces.drop("windows"), "content")
+    shards = copies.union(asking).join(pieces.drop(*window), "content")
     masks = shards.repartition("shard", "group").sortWithinPartitions("shard", "group", "claim").mapInArrow(_masks, MASKS).groupBy(*key).agg(F.bit_or("mask").alias("mask"))
     # A table of its own, so that the join with the runs can split a run that very many documents hold.
     guilty = cut(contents.join(masks, key, "left").where("last > first.doc_id or mask is not null").select(*key, F.col("first.doc_id").alias("origin"), F.coalesce("mask", F.lit(0)).alias("mask")))
@@ -315,11 +318,35 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shas, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _with_removals(docs: DataFrame, claims: int = CLAIMS) -> DataFrame:
+def _told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows as doc_id, part and text, and each different (doc_id, text) once; ``part`` tells the texts of one doc_id apart.
+
+    ``part`` is a hash of 64 bits. That no two texts of a doc_id share it is counted, and where two do
+    another seed is taken. Texts move only where rows are repeated.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64(text), F.lit((1 << 31) - 1)).cast("int").alias("part"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    known = rows.where("doc_id is not null")
+    keys = cut(known.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")).groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")))
+    seed, clash = 0, keys.groupBy("doc_id", "h1").agg(F.count("*").alias("n")).where("n > 1")
+    while not clash.isEmpty():
+        seed += 1
+        parts = known.select("doc_id", F.xxhash64(F.lit(seed), "text").alias("h1"), F.xxhash64("text").alias("h2"), F.xxhash64(F.lit("second"), "text").alias("h3")).distinct()
+        clash = parts.groupBy("doc_id", "h1").agg(F.count("*").alias("n")).where("n > 1")
+    part = F.xxhash64(F.lit(seed), "text") if seed else F.xxhash64("text")
+    rows, known = (x.select("doc_id", part.alias("part"), "text") for x in (rows, known))
+    repeated = keys.where("n > 1")
+    if repeated.isEmpty():
+        return rows, known
+    few = repeated.select(F.col("doc_id").alias("_doc"), "h1", "h2")
+    same_row = (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("h1")) & (F.xxhash64(F.lit("second"), "text") == F.col("h2"))
+    return rows, known.join(few, same_row, "left_anti").unionByName(known.join(few, same_row, "left_semi").dropDuplicates(["doc_id", "part"]))
+
+
+def _with_removals(docs: DataFrame, claims: int = CLAIMS) -> DataFrame:
+    rows, texts = _told_apart(docs)
     found = removals(texts, claims).toDF("_doc", "_part", "removed")
-    return texts.join(found, same(F.col("doc_id"), F.col("_doc")) & (F.col("part") == F.col("_part")), "left").select("doc_id", "text", "removed")
+    return rows.join(found, same(F.col("doc_id"), F.col("_doc")) & (F.col("part") == F.col("_part")), "left").select("doc_id", "text", "removed")
 
 
 def without_repeats(docs: DataFrame, claims: int = CLAIMS) -> DataFrame:

@@ -62,3 +62,31 @@ def test_matching_statistics_by_words():
     other = [*words[:30], b"another", *words[31:]]
     masks = substrings._shard_masks([(1, 1, 1, 10, b" ".join(words))], [(1, 2, 2, 20, b" ".join([*words, b"x"])), (1, 3, 3, 5, b" ".join(words)), (1, 4, 4, 30, b" ".join(other))])
     assert masks == [(1, 2, 2, (1 << 11) - 1)]
+
+
+def test_very_many_equal_rows_are_looked_at_once(spark):
+    """10,000 equal rows that owe all of their words: one row of removals, each run in it once."""
+    text = prose(4, 150)
+    rows = [(1, f"{text} start"), (2, f"x {text}"), (2, prose(5, 90))] + [(7, text)] * 10_000
+    found = substrings.removals(substrings._told_apart(documents(spark, rows))[1]).where("doc_id = 7").collect()
+    assert len(found) == 1 and len(found[0].removed) == len(substrings.runs_of(substrings.words_of(text))[0])
+    digest = substrings.brute_force(rows[:4])
+    assert _digests(spark, rows) == sorted([*digest[:3], *[digest[3]] * 10_000], key=repr)
+
+
+def test_texts_of_one_doc_id_whose_hashes_clash(spark, monkeypatch):
+    """Where two texts of a doc_id share a hash another seed tells them apart."""
+    real, calls = substrings.F.xxhash64, []
+
+    def clashing(*columns):
+        # The first hash of all is made to clash: it is the one of the text alone.
+        if len(columns) == 1 and isinstance(columns[0], str) and columns[0] == "text":
+            calls.append(1)
+            return substrings.F.lit(5).cast("long")
+        return real(*columns)
+
+    rows = [(5, prose(1, 70)), (5, prose(2, 80)), (3, prose(1, 70)), (5, prose(1, 70))]
+    want = sorted(substrings.brute_force(rows), key=repr)
+    monkeypatch.setattr(substrings.F, "xxhash64", clashing)
+    got = _digests(spark, rows)
+    assert calls and got == want
