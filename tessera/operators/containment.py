@@ -22,14 +22,11 @@ def _runs(array: str, n: int, between: str):
     return F.when(F.size(whole) >= n, F.array_distinct(F.slice(run, 1, F.size(whole) - (n - 1)))).otherwise(F.array().cast("array<string>"))
 
 
-def contained(docs: DataFrame, items: DataFrame, words: bool = True) -> DataFrame:
-    """doc_id and item of all pairs in which a document's ``text`` contains an item's ``passage``; empty passages stand nowhere.
-
-    Keys are characters alone where ``words`` is false, as for a dictionary of single words.
-    """
+def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id and item of all pairs in which a document's ``text`` contains an item's ``passage``; empty passages stand nowhere."""
     rows = items.select("item", "passage").where(F.length("passage") > 0).distinct()
     inner = F.regexp_extract_all("passage", F.lit(_WORD), F.lit(0))
-    inner = F.slice(inner, 2, F.greatest(F.lit(0), F.size(inner) - 2)) if words else F.array().cast("array<string>")
+    inner = F.slice(inner, 2, F.greatest(F.lit(0), F.size(inner) - 2))
     size = F.least(F.lit(WORDS), F.size(inner))
     rows = rows.select("item", "passage", size.alias("n"), F.array_join(F.slice(inner, 1, size), " ").alias("few"))
     rows = rows.select("item", "passage", F.when(F.col("n") > 0, F.col("n")).otherwise(-F.least(F.lit(CHARACTERS), F.length("passage"))).alias("kind"), F.when(F.col("n") > 0, F.col("few")).otherwise(F.substring("passage", 1, CHARACTERS)).alias("key"))

@@ -20,6 +20,15 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+def adjacency(edges: DataFrame, nodes: DataFrame, reference: str = "chunk:") -> DataFrame:
+    """src and dst of both directions of each edge between two known nodes; ends that begin with ``reference`` are evidence, not nodes."""
+    known = nodes.select("node").distinct()
+    inner = edges.where(~F.startswith("dst", F.lit(reference)) & ~F.startswith("src", F.lit(reference)))
+    for end in ("src", "dst"):
+        inner = inner.join(known, F.col(end) == F.col("node"), "left_semi")
+    return undirected(inner)
+
+
 def hops(edges: DataFrame, seeds: DataFrame, k: int, directed: bool = False) -> DataFrame:
     """seed, node and hop: distance of every node within k steps of each seed (column ``seed``)."""
     steps = edges.select("src", "dst").distinct() if directed else undirected(edges)

@@ -123,18 +123,25 @@ def compact(store: Store) -> None:
     store.vacuum(keep=2)
 
 
+def _few(rows: DataFrame) -> tuple[DataFrame, list | None]:
+    """Rows as a local table and as a list where there are ``FEW_TERMS`` at most, so that later jobs need not make them again."""
+    first = rows.limit(FEW_TERMS + 1).collect()
+    if len(first) > FEW_TERMS:
+        return rows, None
+    return rows.sparkSession.createDataFrame(first, rows.schema), first
+
+
 def asked_blocks(store: Store, terms: DataFrame, *columns: str) -> DataFrame:
     """The blocks of the ``terms``, read from their folders alone, without documents that are dead."""
     notes = store.manifest()["notes"]
     found = store.read("postings")
-    few = terms.select("term").distinct()
-    n = few.count()
-    if n <= FEW_TERMS:
+    few, held = _few(terms.select("term").distinct())
+    if held is not None:
         # At most as many numbers as there are folders.
         folders = [r[0] for r in few.select(bucket_of("term", notes["buckets"])).distinct().collect()]
         found = found.where(F.col("bucket").isin(folders))
-        if n <= 10:
-            found = found.where(F.col("term").isin([r.term for r in few.collect()]))
+        if len(held) <= 10:
+            found = found.where(F.col("term").isin([r.term for r in held]))
         few = F.broadcast(few)
     found = found.join(few, "term", "left_semi")
     if not notes.get("dead"):
@@ -197,6 +204,7 @@ def search(store: Store, asked: DataFrame, k: int, k1: float = K1, b: float = B)
     """qid, doc_id, score and rank: the k best documents of each question of ``asked`` (qid, term, asked)."""
     notes = store.manifest()["notes"]
     n, mean = notes["docs"], (notes["tokens"] / notes["docs"] if notes["docs"] else 1.0) or 1.0
+    asked, _ = _few(asked.select("qid", "term", "asked"))
     df = asked_blocks(store, asked, "term", "n").groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     groups = max(1, -(-asked.select("qid").distinct().count() // TOGETHER))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import alignment, containment, folds, html
+from tessera.operators import alignment, dictionary, folds, html
 from tessera.operators.ordering import numbered, within
 from tessera.plans.registry import query
 from tessera.sources import domain
@@ -39,14 +39,41 @@ def measure_pivot(spark, sf):
     return level
 
 
-@query("dictionary_hits", """
-SELECT doc_id, term FROM documents JOIN (SELECT DISTINCT lower(p_type) AS term FROM part UNION SELECT unnest(['the', 'license', 'mit license', 'worthless'])) ON contains(lower(text), term)""")
+_TERMS = "SELECT lower(p_type) AS name FROM part UNION SELECT lower(p_name) FROM part UNION SELECT unnest(string_split(lower(p_name), ' ')) FROM part UNION SELECT unnest(['the', 'license', 'mit license', 'worthless'])"
+
+
+def _terms(spark, sf):
+    """Labels and aliases of the graph (types, names and their words), and a few words of licences."""
+    more = spark.createDataFrame([("the",), ("license",), ("mit license",), ("worthless",)], "name string")
+    part = table(spark, sf, "part")
+    return part.select(F.lower("p_type").alias("name")).union(part.select(F.lower("p_name"))).union(part.select(F.explode(F.split(F.lower("p_name"), " ")))).union(more).distinct()
+
+
+@query("dictionary_hits", f"""
+WITH hits AS (SELECT doc_id, name FROM documents JOIN ({_TERMS}) ON contains(lower(text), name) WHERE name <> '')
+SELECT doc_id, name AS term, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name) AS INTEGER) AS place FROM hits""")
 def dictionary_hits(spark, sf):
-    """Dictionary terms that texts contain."""
-    more = spark.createDataFrame([("the",), ("license",), ("mit license",), ("worthless",)], "term string")
-    terms = table(spark, sf, "part").select(F.lower("p_type").alias("term")).union(more).distinct()
+    """Labels and aliases that texts contain, longest first."""
+    docs = domain.documents(spark, sf, "doc_id", "text").select("doc_id", F.lower("text").alias("text"))
+    return dictionary.longest_first(dictionary.mentions(docs, _terms(spark, sf))).select("doc_id", F.col("name").alias("term"), "place")
+
+
+@query("mentioned_nodes", """
+WITH entries AS (SELECT 'tool:' || p_type AS node, lower(p_type) AS name FROM part UNION SELECT 'skill:' || p_partkey, lower(p_name) FROM part UNION SELECT 'domain:' || p_brand, string_split(lower(p_name), ' ')[2] FROM part),
+hits AS (SELECT doc_id, node, name FROM documents JOIN entries ON contains(lower(text), name)),
+best AS (SELECT doc_id, node, arg_min(name, (-length(name), name)) AS name FROM hits GROUP BY ALL)
+SELECT doc_id, split_part(node, ':', 1) AS kind, count(*) AS nodes, min(node) AS first, max(length(name)) AS longest FROM best GROUP BY ALL""")
+def mentioned_nodes(spark, sf):
+    """The nodes whose label or alias a text contains, each by its longest name, counted by kind."""
+    part = table(spark, sf, "part")
+    noun = F.element_at(F.split(F.lower("p_name"), " "), 2)
+    entries = part.select(F.concat(F.lit("tool:"), "p_type").alias("node"), F.lower("p_type").alias("name"))
+    entries = entries.union(part.select(F.concat(F.lit("skill:"), F.col("p_partkey").cast("string")), F.lower("p_name")))
+    entries = entries.union(part.select(F.concat(F.lit("domain:"), "p_brand"), noun)).distinct()
     docs = domain.documents(spark, sf, "doc_id", "text").select("doc_id", F.lower("text").alias("text"))
-    return containment.contained(docs, terms.select(F.col("term").alias("item"), F.col("term").alias("passage")), words=False).select("doc_id", F.col("item").alias("term"))
+    found = dictionary.nodes_in(dictionary.mentions(docs, entries), entries)
+    kind = F.element_at(F.split("node", ":"), 1).alias("kind")
+    return found.groupBy("doc_id", kind).agg(F.count("*").alias("nodes"), F.min("node").alias("first"), F.max(F.length("name")).alias("longest"))
 
 
 @query("keyword_filter", "SELECT doc_id, source, n_chars FROM documents WHERE contains(lower(concat_ws(' ', source, lang, text)), 'license')")

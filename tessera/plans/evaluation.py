@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import chunking
 from tessera.functions import text as T
-from tessera.operators import alignment, metrics, picking, retrieval
+from tessera.operators import alignment, graph, metrics, picking, retrieval
 from tessera.plans.registry import query
 from tessera.plans.retrieval import _BOTH, _CHANNELS, _PEAK, _SCALED, _bm25, _dense, _docs, _fused, _position, _ranked
 from tessera.sources import domain
@@ -58,24 +58,26 @@ def field_weighted_search(spark, sf):
     return retrieval.bm25(docs, domain.questions(spark, sf), 3)
 
 
-@query("graph_expanded_search", ctes("questions", "postings", body=f""",
-label_docs AS (SELECT doc_id, {_HEADING} AS text FROM documents),
-{_renamed("l", documents="label_docs")},
-near AS (SELECT doc_id, lag(doc_id) OVER w AS a, lead(doc_id) OVER w AS b FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
-linked AS (SELECT qid, a AS doc_id FROM l_bm25 JOIN near USING (doc_id) WHERE rank <= 2 AND a IS NOT NULL UNION SELECT qid, b FROM l_bm25 JOIN near USING (doc_id) WHERE rank <= 2 AND b IS NOT NULL),
-expanded AS (SELECT qid, term FROM questions UNION ALL SELECT qid, unnest({_TOKENS.format('text')}) FROM linked JOIN label_docs USING (doc_id)),
+_NODES = ("nodes", "node_texts", "requires", "prerequisites", "transitions", "typed_edges")
+
+
+@query("graph_expanded_search", ctes("questions", "postings", *_NODES, body=f""",
+node_docs AS (SELECT id AS doc_id, label || ' ' || array_to_string(aliases, ' ') || ' ' || description AS text FROM node_texts),
+{_renamed("n", documents="node_docs")},
+seeds AS (SELECT qid, doc_id AS id FROM n_bm25 WHERE rank <= 3),
+hood AS (SELECT qid, id FROM seeds UNION SELECT qid, dst FROM seeds JOIN adjacency ON src = id),
+expanded AS (SELECT qid, term FROM questions UNION ALL SELECT qid, unnest({_TOKENS.format("label || ' ' || array_to_string(aliases, ' ')")}) FROM hood JOIN node_texts USING (id)),
 {_renamed("x", questions="expanded")}
 SELECT qid, doc_id, score, rank FROM x_bm25 WHERE rank <= 3"""))
 def graph_expanded_search(spark, sf):
-    """Nodes whose label fits the question, the labels of their neighbours as further terms, and the search with them."""
-    docs = _docs(spark, sf)
-    labels = docs.select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("text"))
-    seeds = retrieval.bm25(labels, domain.questions(spark, sf), 2)
-    w = Window.partitionBy("source").orderBy("at")
-    near = _position(spark, sf).select(F.col("doc_id").alias("_seed"), F.array(F.lag("doc_id").over(w), F.lead("doc_id").over(w)).alias("near"))
-    near = near.select("_seed", F.explode("near").alias("doc_id")).where("doc_id is not null")
-    linked = seeds.select("qid", F.col("doc_id").alias("_seed")).join(near, "_seed").select("qid", "doc_id").distinct()
-    added = linked.join(labels, "doc_id").select("qid", F.explode(T.latin_tokens("text")).alias("term"))
+    """Nodes whose label, aliases and description fit the question, those one typed edge away, and the search with all of their names."""
+    texts = domain.node_texts(spark, sf)
+    names = F.concat_ws(" ", "label", F.concat_ws(" ", "aliases"))
+    fits = texts.select(F.col("id").alias("doc_id"), F.concat_ws(" ", names, "description").alias("text"))
+    seeds = retrieval.bm25(fits, domain.questions(spark, sf), 3).select("qid", F.col("doc_id").alias("id"))
+    near = graph.adjacency(domain.typed_edges(spark, sf), texts.select(F.col("id").alias("node")))
+    hood = seeds.union(seeds.join(near, F.col("id") == F.col("src")).select("qid", F.col("dst").alias("id"))).distinct()
+    added = hood.join(texts.select("id", names.alias("text")), "id").select("qid", F.explode(T.latin_tokens("text")).alias("term"))
     return _ranked(spark, sf, domain.questions(spark, sf).select("qid", "term").union(added), 3)
 
 

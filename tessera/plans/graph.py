@@ -72,11 +72,10 @@ def edge_keys(spark, sf):
     return numbered(domain.transitions(spark, sf), ["src", "dst"]).select(key.alias("key"), F.format_string("e-%04d", "number").alias("id"))
 
 
-@query("neighbors_1hop", ctes("transitions", body="""
-SELECT node, count(*) AS neighbours, min(other) AS first FROM (SELECT src AS node, dst AS other FROM transitions UNION SELECT dst, src FROM transitions) GROUP BY node"""))
+@query("neighbors_1hop", ctes("nodes", "requires", "prerequisites", "transitions", "typed_edges", body=" SELECT src AS node, count(*) AS neighbours, min(dst) AS first FROM adjacency GROUP BY 1"))
 def neighbors_1hop(spark, sf):
-    """Undirected neighbours."""
-    near = graph.undirected(domain.transitions(spark, sf))
+    """Undirected neighbours over all types of edges, without references to evidence."""
+    near = graph.adjacency(domain.typed_edges(spark, sf), domain.nodes(spark, sf).select(F.col("id").alias("node")))
     return near.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("neighbours"), F.min("dst").alias("first"))
 
 

@@ -67,6 +67,31 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), following.alias("dst")).where("dst is not null")
 
 
+def node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, label, aliases and description of each node: a skill is also known by its noun and described by its kind."""
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("skill:"), F.col("p_partkey").cast("string")).alias("id"), F.array(F.element_at(F.split("p_name", " "), -1)).alias("aliases"), F.col("p_type").alias("description"))
+    rows = nodes(spark, sf_dir).join(part, "id", "left")
+    return rows.select("id", "label", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("description", F.lit("")).alias("description"))
+
+
+def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """type, src and dst (node ids) of all edges; ``evidenced_by`` ends at a document, not at a node."""
+    part, docs = table(spark, sf_dir, "part"), table(spark, sf_dir, "documents")
+
+    def of(df, kind, src, dst, a, b):
+        ends = [F.concat(F.lit(f"{k}:"), F.col(c).cast("string")).alias(n) for k, c, n in ((src, a, "src"), (dst, b, "dst"))]
+        return df.select(F.lit(kind).alias("type"), *ends)
+
+    return (
+        of(requires(spark, sf_dir), "requires", "occupation", "skill", "occupation", "skill")
+        .union(of(prerequisites(spark, sf_dir), "prerequisite", "skill", "skill", "src", "dst"))
+        .union(of(transitions(spark, sf_dir), "transitions_to", "occupation", "occupation", "src", "dst"))
+        .union(of(part, "belongs_to", "skill", "domain", "p_partkey", "p_brand"))
+        .union(of(part, "uses", "skill", "tool", "p_partkey", "p_type"))
+        .union(of(part.join(docs, F.col("p_partkey") == F.col("doc_id")), "evidenced_by", "skill", "chunk", "p_partkey", "doc_id"))
+    )
+
+
 def owned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """profile and skill: the distinct parts of a customer's orders."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("profile"))
@@ -118,6 +143,17 @@ prerequisites AS (
     "transitions": """transitions AS (
   SELECT * FROM (SELECT s_suppkey AS src, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS dst FROM supplier)
   WHERE dst IS NOT NULL)""",
+    "node_texts": """node_texts AS (
+  SELECT id, label, CASE WHEN kind = 'skill' THEN [string_split(label, ' ')[-1]] ELSE [] END AS aliases, coalesce(p_type, '') AS description FROM nodes LEFT JOIN part ON id = 'skill:' || p_partkey)""",
+    "typed_edges": """typed_edges AS (
+  SELECT 'requires' AS type, 'occupation:' || occupation AS src, 'skill:' || skill AS dst FROM requires
+  UNION ALL SELECT 'prerequisite', 'skill:' || src, 'skill:' || dst FROM prerequisites
+  UNION ALL SELECT 'transitions_to', 'occupation:' || src, 'occupation:' || dst FROM transitions
+  UNION ALL SELECT 'belongs_to', 'skill:' || p_partkey, 'domain:' || p_brand FROM part
+  UNION ALL SELECT 'uses', 'skill:' || p_partkey, 'tool:' || p_type FROM part
+  UNION ALL SELECT 'evidenced_by', 'skill:' || p_partkey, 'chunk:' || doc_id FROM part JOIN documents ON doc_id = p_partkey),
+adjacency AS (
+  SELECT src, dst FROM typed_edges WHERE dst NOT LIKE 'chunk:%' UNION SELECT dst, src FROM typed_edges WHERE dst NOT LIKE 'chunk:%')""",
     "owned": """owned AS (
   SELECT DISTINCT o_custkey AS profile, l_partkey AS skill FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
     "chunks": """lines AS (
