@@ -88,17 +88,113 @@ def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.join(found.groupBy("node").agg(F.max("depth").alias("depth")), "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
-def cyclic(edges: DataFrame) -> DataFrame:
-    """node: those left when nodes without incoming or without outgoing edges are peeled off again and again."""
-    left = settled(edges.select("src", "dst").distinct())
-    n = left.count()
+def ancestors(held: DataFrame, edges: DataFrame) -> DataFrame:
+    """``held`` (owner, node) and every node from which edges lead to one of an owner's; only what owners hold is walked up from."""
+    steps = settled(edges.select("src", "dst").distinct())
+    reached = frontier = settled(held.select("owner", "node").distinct())
+    rounds = 0
+    while not frontier.isEmpty():
+        found = frontier.join(steps, F.col("node") == F.col("dst")).select("owner", F.col("src").alias("node")).distinct()
+        frontier = settled(found.join(reached, ["owner", "node"], "left_anti"))
+        reached, rounds = reached.union(frontier), rounds + 1
+        if rounds % SHORTEN == 0:
+            reached = settled(reached)
+    return reached
+
+
+def relaxed(values: DataFrame, edges: DataFrame, least: bool = False) -> DataFrame:
+    """node and value: the largest (or ``least``) value of a node and of all from which edges lead to it.
+
+    A fixpoint over frontiers: a round sends on only what the last one has raised, so it also ends on cycles
+    and there is no closure. ``values`` has node and value for every node.
+    """
+    steps = settled(edges.select("src", "dst").distinct())
+    best = F.min if least else F.max
+    state = frontier = settled(values.select("node", "value"))
+    while True:
+        sent = frontier.join(steps, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(best("value").alias("sent"))
+        better = F.col("sent") < F.col("value") if least else F.col("sent") > F.col("value")
+        frontier = settled(sent.join(state, "node").where(better).select("node", F.col("sent").alias("value")))
+        if frontier.isEmpty():
+            return state
+        raised = frontier.withColumnRenamed("value", "raised")
+        state = settled(state.join(raised, "node", "left").select("node", F.coalesce("raised", "value").alias("value")))
+
+
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node and component: the strongly connected component of each node, named by its smallest node.
+
+    Colouring forward and backward: nodes without a way in or out are peeled off as components of their
+    own; each other node takes the smallest node that reaches it as its colour, and those of a colour
+    that reach that node back are a component, which goes. All components of a round are found together.
+    """
+    left = settled(edges.select("src", "dst").where("src <> dst").distinct())
+    every = left.select(F.col("src").alias("node")).union(left.select("dst"))
+    every = settled((every if nodes is None else every.union(nodes.select("node"))).distinct())
+    found = None
     while True:
-        inner = left.select("src").intersect(left.select("dst")).withColumnRenamed("src", "node")
-        left = settled(left.join(inner, F.col("src") == F.col("node"), "left_semi").join(inner, F.col("dst") == F.col("node"), "left_semi"))
-        m = left.count()
-        if m == n:
-            return left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
-        n = m
+        n = -1
+        while (m := left.count()) != n:
+            n = m
+            inner = left.select("src").intersect(left.select("dst")).withColumnRenamed("src", "node")
+            left = settled(left.join(inner, F.col("src") == F.col("node"), "left_semi").join(inner, F.col("dst") == F.col("node"), "left_semi"))
+        if not m:
+            break
+        own = left.select(F.col("src").alias("node")).distinct()
+        colour = settled(relaxed(own.withColumn("value", F.col("node")), left, least=True).withColumnRenamed("value", "colour"))
+        a, b = (colour.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour")) for end in ("src", "dst"))
+        inside = settled(left.join(a, "src").join(b, "dst").where("src_colour = dst_colour").select("src", "dst"))
+        # Back from the smallest node of a colour, which reaches all of its colour.
+        roots = colour.where("node = colour").select("node", F.lit(1).alias("value"))
+        others = colour.where("node <> colour").select("node", F.lit(0).alias("value"))
+        back = relaxed(roots.unionByName(others), inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        done = settled(back.where("value = 1").join(colour, "node").select("node", F.col("colour").alias("component")))
+        found = done if found is None else found.union(done)
+        for end in ("src", "dst"):
+            left = left.join(done, F.col(end) == F.col("node"), "left_anti")
+        left = settled(left)
+    if found is None:
+        return every.withColumn("component", F.col("node"))
+    return every.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """src and dst of the acyclic graph of components (node, component)."""
+    a, b = (components.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")) for end in ("src", "dst"))
+    return edges.join(a, "src").join(b, "dst").where("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct()
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """node: those that lie on a cycle, loops included."""
+    loops = edges.where("src = dst").select(F.col("src").alias("node"))
+    several = components(edges)
+    many = several.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return several.join(many, "component", "left_semi").select("node").union(loops).distinct()
+
+
+def witness(edges: DataFrame) -> DataFrame:
+    """step (from 0) and node of a shortest cycle through the smallest node that lies on one; empty where there is none.
+
+    Of several the one whose nodes, taken from its end, are smallest.
+    """
+    steps = settled(edges.select("src", "dst").distinct())
+    first = cyclic(steps).agg(F.min("node").alias("node")).where("node is not null")
+    levels = [settled(first)]
+    spark, reached = edges.sparkSession, levels[0].limit(0)
+    if levels[0].isEmpty():
+        return levels[0].select(F.lit(0).alias("step"), "node")
+    start = levels[0].first().node
+    while levels[-1].where(F.col("node") == F.lit(start)).isEmpty() or len(levels) == 1:
+        ahead = levels[-1].join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        levels.append(settled(ahead.join(reached, "node", "left_anti")))
+        reached = settled(reached.union(levels[-1]))
+    # One node a step: a path of as many rows as the cycle is long.
+    at, path = start, []
+    for level in levels[-2::-1]:
+        at = level.join(steps.where(F.col("dst") == F.lit(at)), F.col("node") == F.col("src"), "left_semi").agg(F.min("node")).first()[0]
+        path.append(at)
+    schema = levels[0].select(F.lit(0).alias("step"), "node").schema
+    return spark.createDataFrame(list(enumerate(path[::-1])), schema)
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -202,9 +202,9 @@ SELECT p_partkey, p_brand, h AS hash FROM (SELECT *, row_number() OVER (PARTITIO
 def fnv_sample(spark, sf):
     """A quarter of each domain, six at least, in the order of a 32-bit hash."""
     keyed = table(spark, sf, "part").select("p_partkey", "p_brand", T.fnv1a(F.concat(F.lit("skill:"), F.col("p_partkey").cast("string"))).alias("hash"))
-    w = Window.partitionBy("p_brand")
-    ranked = keyed.withColumn("rn", F.row_number().over(w.orderBy("hash", "p_partkey"))).withColumn("n", F.count("*").over(w))
-    return ranked.where(F.col("rn") <= F.greatest(F.lit(6), F.ceil(F.col("n") * 0.25))).select("p_partkey", "p_brand", "hash")
+    counts = keyed.groupBy(F.col("p_brand").alias("_brand")).agg(F.count("*").alias("n"))
+    placed = within(keyed.withColumn("_order", F.struct("hash", "p_partkey")), "p_brand", "_order", "rn").join(counts, F.col("p_brand").eqNullSafe(F.col("_brand")))
+    return placed.where(F.col("rn") <= F.greatest(F.lit(6), F.ceil(F.col("n") * 0.25))).select("p_partkey", "p_brand", "hash")
 
 
 @query("top_samples_per_kind", ctes("nodes", body=" SELECT kind, id FROM (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY id) AS rn FROM nodes) WHERE rn <= 50"))
@@ -213,11 +213,11 @@ def top_samples_per_kind(spark, sf):
     return domain.nodes(spark, sf).withColumn("rn", F.row_number().over(Window.partitionBy("kind").orderBy("id"))).where("rn <= 50").select("kind", "id")
 
 
-@query("kind_order", ctes("nodes", body=" SELECT id, row_number() OVER (ORDER BY list_position(['occupation', 'domain', 'tool'], kind), id) AS at_ FROM nodes WHERE kind <> 'skill'"))
+@query("kind_order", ctes("nodes", body=" SELECT id, row_number() OVER (ORDER BY list_position(['occupation', 'domain', 'tool', 'skill'], kind), id) AS at_ FROM nodes"))
 def kind_order(spark, sf):
     """K2: a stated order of kinds, then ids."""
-    place = F.array_position(F.array(*map(F.lit, ("occupation", "domain", "tool"))), F.col("kind"))
-    return numbered(domain.nodes(spark, sf).where("kind <> 'skill'"), [place, "id"], "at_").select("id", "at_")
+    place = F.array_position(F.array(*map(F.lit, ("occupation", "domain", "tool", "skill"))), F.col("kind"))
+    return numbered(domain.nodes(spark, sf), [place, "id"], "at_").select("id", "at_")
 
 
 @query("forward_fill", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import half_up
 from tessera.operators import graph
-from tessera.operators.ordering import numbered
+from tessera.operators.ordering import numbered, within
 from tessera.plans.registry import query
 from tessera.sources import domain
 from tessera.sources.domain import ctes, table
@@ -43,12 +43,12 @@ def edge_types(spark, sf):
 
 @query("edge_endpoints", ctes("requires", body="""
 SELECT s_name AS occupation, p_name AS skill, p_brand AS domain, target_level, floor(importance * 1000 + 0.5) / 1000 AS weight
-FROM requires JOIN supplier ON occupation = s_suppkey JOIN part ON skill = p_partkey WHERE importance >= 0.9"""))
+FROM requires JOIN supplier ON occupation = s_suppkey JOIN part ON skill = p_partkey"""))
 def edge_endpoints(spark, sf):
     """Edges with both of their nodes, weights at three digits."""
     occupations = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("occupation"), "s_name")
     skills = table(spark, sf, "part").select(F.col("p_partkey").alias("skill"), "p_name", "p_brand")
-    joined = domain.requires(spark, sf).where("importance >= 0.9").join(occupations, "occupation").join(skills, "skill")
+    joined = domain.requires(spark, sf).join(occupations, "occupation").join(skills, "skill")
     return joined.select(F.col("s_name").alias("occupation"), F.col("p_name").alias("skill"), F.col("p_brand").alias("domain"), "target_level", half_up("importance", 3).alias("weight"))
 
 
@@ -116,8 +116,8 @@ SELECT domain, node, depth, row_number() OVER (PARTITION BY domain ORDER BY dept
 def learning_order(spark, sf):
     """A topological order of each domain's skills."""
     skills = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("domain"))
-    found = graph.depths(skills, domain.prerequisites(spark, sf)).join(skills, "node")
-    return found.select("domain", "node", "depth", F.row_number().over(Window.partitionBy("domain").orderBy("depth", "node")).alias("step"))
+    found = graph.depths(skills, domain.prerequisites(spark, sf)).join(skills, "node").withColumn("_order", F.struct("depth", "node"))
+    return within(found, "domain", "_order", "step").select("domain", "node", "depth", "step")
 
 
 @query("cycle_nodes", ctes("prerequisites", body="""
@@ -131,43 +131,81 @@ def cycle_nodes(spark, sf):
     return graph.cyclic(edges.union(edges.join(back, "src", "left_semi").select("dst", "src")))
 
 
-@query("acyclic_check", _recursive("prerequisites", body="""
+_BACK = """
 , back AS (SELECT src, dst FROM prerequisites UNION SELECT dst, src FROM prerequisites WHERE dst % 40 = 0),
-walk AS (SELECT src, dst FROM back UNION SELECT w.src, b.dst FROM walk w JOIN back b ON w.dst = b.src)
+walk AS (SELECT src, dst FROM back UNION SELECT w.src, b.dst FROM walk w JOIN back b ON w.dst = b.src)"""
+
+
+def _turned_back(spark, sf):
+    """The prerequisites, and those that end at a skill divisible by 40 the other way round as well."""
+    edges = domain.prerequisites(spark, sf)
+    return edges.union(edges.where("dst % 40 = 0").select("dst", "src"))
+
+
+@query("acyclic_check", _recursive("prerequisites", body=_BACK + """,
+walk_given AS (SELECT src, dst FROM prerequisites UNION SELECT w.src, p.dst FROM walk_given w JOIN prerequisites p ON w.dst = p.src)
 SELECT kind, count(DISTINCT node) AS nodes, CASE WHEN count(node) = 0 THEN 'pass' ELSE 'fail' END AS status FROM (
-  SELECT 'given' AS kind, node FROM (SELECT 1) LEFT JOIN (SELECT DISTINCT p.src AS node FROM prerequisites p, walk_given g WHERE p.src = g.src AND g.src = g.dst) ON true
-  UNION ALL SELECT 'with back edges', node FROM (SELECT 1) LEFT JOIN (SELECT DISTINCT src AS node FROM walk WHERE src = dst
-    UNION SELECT a.dst FROM walk a JOIN walk b ON a.dst = b.src WHERE a.src IN (SELECT src FROM walk WHERE src = dst) AND b.dst IN (SELECT src FROM walk WHERE src = dst)) ON true) GROUP BY kind""".replace("walk AS (", "walk_given AS (SELECT src, dst FROM prerequisites UNION SELECT w.src, p.dst FROM walk_given w JOIN prerequisites p ON w.dst = p.src),\nwalk AS (", 1)))
+  SELECT 'given' AS kind, node FROM (SELECT 1) LEFT JOIN (SELECT src AS node FROM walk_given WHERE src = dst) ON true
+  UNION ALL SELECT 'with back edges', node FROM (SELECT 1) LEFT JOIN (SELECT src AS node FROM walk WHERE src = dst) ON true) GROUP BY kind"""))
 def acyclic_check(spark, sf):
-    """C4: nodes on cycles or between them, in the prerequisite graph, which has none, and in one with some edges turned back."""
-    edges = domain.prerequisites(spark, sf)
-    back = edges.union(edges.where("dst % 40 = 0").select("dst", "src"))
+    """C4: nodes on cycles, in the prerequisite graph, which has none, and in one with some edges turned back."""
     found = None
-    for kind, graph_of in (("given", edges), ("with back edges", back)):
+    for kind, graph_of in (("given", domain.prerequisites(spark, sf)), ("with back edges", _turned_back(spark, sf))):
         n = graph.cyclic(graph_of).agg(F.count("*").alias("nodes"))
         row = n.select(F.lit(kind).alias("kind"), "nodes", F.when(F.col("nodes") == 0, "pass").otherwise("fail").alias("status"))
         found = row if found is None else found.union(row)
     return found
 
 
+@query("strong_components", _recursive("prerequisites", body=_BACK + """
+SELECT p_partkey AS node, least(p_partkey, coalesce(min(a.dst), p_partkey)) AS component FROM part LEFT JOIN (walk a JOIN walk b ON a.src = b.dst AND a.dst = b.src) ON a.src = p_partkey GROUP BY p_partkey"""))
+def strong_components(spark, sf):
+    """The strongly connected component of each skill, named by its smallest one, with some edges turned back."""
+    return graph.components(_turned_back(spark, sf), table(spark, sf, "part").select(F.col("p_partkey").alias("node")))
+
+
+@query("condensed_depth", _recursive("prerequisites", body=_BACK + """,
+comp AS (SELECT p_partkey AS node, least(p_partkey, coalesce(min(a.dst), p_partkey)) AS component FROM part LEFT JOIN (walk a JOIN walk b ON a.src = b.dst AND a.dst = b.src) ON a.src = p_partkey GROUP BY p_partkey),
+links AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM back JOIN comp a ON a.node = src JOIN comp b ON b.node = dst WHERE a.component <> b.component),
+far AS (SELECT src, dst, 1 AS depth FROM links UNION SELECT f.src, l.dst, depth + 1 FROM far f JOIN links l ON f.dst = l.src)
+SELECT node, coalesce(depth, 0) AS depth FROM comp LEFT JOIN (SELECT dst, max(depth) AS depth FROM far GROUP BY dst) ON dst = component"""))
+def condensed_depth(spark, sf):
+    """The longest way to each skill when those on a cycle are taken as one."""
+    edges = _turned_back(spark, sf)
+    own = graph.components(edges, table(spark, sf, "part").select(F.col("p_partkey").alias("node")))
+    far = graph.depths(own.select(F.col("component").alias("node")), graph.condensed(edges, own))
+    return own.join(far.withColumnRenamed("node", "component"), "component").select("node", "depth")
+
+
+@query("cycle_witness", _recursive("prerequisites", body=_BACK + """,
+start AS (SELECT min(src) AS node FROM walk WHERE src = dst),
+ahead AS (SELECT src AS node, 0 AS step FROM start JOIN back ON src = node UNION SELECT dst, step + 1 FROM ahead JOIN back ON src = node WHERE step < 12),
+levels AS (SELECT node, min(step) FILTER (step > 0 OR node <> (SELECT node FROM start)) AS step FROM ahead GROUP BY node UNION ALL SELECT node, 0 FROM start),
+path AS (SELECT node, step FROM levels WHERE node = (SELECT node FROM start) AND step > 0
+  UNION ALL SELECT (SELECT min(l.node) FROM levels l JOIN back b ON b.src = l.node AND b.dst = p.node WHERE l.step = p.step - 1), step - 1 FROM path p WHERE step > 0)
+SELECT step, node FROM path WHERE step < (SELECT max(step) FROM path)"""))
+def cycle_witness(spark, sf):
+    """A shortest cycle through the smallest skill that lies on one, in order."""
+    return graph.witness(_turned_back(spark, sf))
+
+
 @query("stage_promotion", _recursive("prerequisites", body=_CLOSURE + """
 , own AS (SELECT p_partkey AS node, CAST(p_partkey % 3 + 1 AS INTEGER) AS stage FROM part)
 SELECT o.node, greatest(o.stage, coalesce(max(p.stage), 0)) AS stage FROM own o LEFT JOIN closure c ON c.dst = o.node LEFT JOIN own p ON p.node = c.src GROUP BY o.node, o.stage"""))
 def stage_promotion(spark, sf):
     """No skill stands in an earlier stage than what it needs."""
-    own = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 3 + 1).cast("int").alias("stage"))
-    needs = graph.closure(domain.prerequisites(spark, sf)).join(own.select(F.col("node").alias("src"), F.col("stage").alias("s")), "src")
-    return own.join(needs.groupBy(F.col("dst").alias("node")).agg(F.max("s").alias("s")), "node", "left").select("node", F.greatest("stage", F.coalesce("s", F.lit(0))).alias("stage"))
+    own = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 3 + 1).cast("int").alias("value"))
+    return graph.relaxed(own, domain.prerequisites(spark, sf)).withColumnRenamed("value", "stage")
 
 
 @query("grid_layout", ctes("nodes", body="""
-, placed AS (SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY id) - 1 AS i FROM nodes WHERE kind <> 'skill'),
+, placed AS (SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY id) - 1 AS i FROM nodes),
 bands AS (SELECT kind, (max(i) // 5) + 1 AS rows_ FROM placed GROUP BY kind),
 tops AS (SELECT kind, coalesce(sum(rows_) OVER (ORDER BY kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM bands)
 SELECT id, CAST(i % 5 * 100 AS BIGINT) AS x, CAST((top + i // 5) * 80 AS BIGINT) AS y FROM placed JOIN tops USING (kind)"""))
 def grid_layout(spark, sf):
     """A band of rows for each kind, five nodes in a row."""
-    placed = domain.nodes(spark, sf).where("kind <> 'skill'").withColumn("i", F.row_number().over(Window.partitionBy("kind").orderBy("id")) - 1)
+    placed = within(domain.nodes(spark, sf).select("id", "kind"), "kind", "id").withColumn("i", F.col("at") - 1)
     bands = placed.groupBy("kind").agg((F.floor(F.max("i") / 5) + 1).alias("rows"))
     above = Window.partitionBy(F.lit(0)).orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)
     tops = bands.select("kind", F.coalesce(F.sum("rows").over(above), F.lit(0)).alias("top"))

@@ -76,7 +76,7 @@ o AS (SELECT profile, skill, depth, row_number() OVER (PARTITION BY profile ORDE
 r AS (SELECT profile, count(*) AS required FROM direct GROUP BY profile),
 h AS (SELECT d.profile, count(*) AS owned FROM direct d JOIN owned o ON o.profile = d.profile AND o.skill = d.skill GROUP BY d.profile)
 SELECT r.profile, required, coalesce(h.owned, 0) AS owned, string_agg(CASE WHEN step <= 3 THEN CAST(o.skill AS VARCHAR) END, ',' ORDER BY step) AS first_steps,
-  (SELECT string_agg(DISTINCT p_type, ',' ORDER BY p_type) FROM g WHERE g.profile = r.profile) AS tools, (SELECT min(dst) FROM following WHERE src = r.profile) AS next_role
+  (SELECT string_agg(DISTINCT p_type, ',' ORDER BY p_type) FROM g WHERE g.profile = r.profile) AS tools, (SELECT min(dst) FROM following JOIN target ON src = occupation WHERE target.profile = r.profile) AS next_role
 FROM r LEFT JOIN h USING (profile) LEFT JOIN o USING (profile) GROUP BY r.profile, required, h.owned""")
 def skill_gap_tool(spark, sf):
     """M7: required and owned skills, the first steps, the tools of what is missing and the next role."""
@@ -87,7 +87,7 @@ def skill_gap_tool(spark, sf):
     missing = _gap(spark, sf).join(types, "skill").withColumn("step", F.row_number().over(Window.partitionBy("profile").orderBy("depth", "skill")))
     steps = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("step") <= 3, F.struct("step", "skill")))), lambda x: x.skill.cast("string")), ",")
     what = missing.groupBy("profile").agg(steps.alias("first_steps"), F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("tools"))
-    following = domain.transitions(spark, sf).groupBy(F.col("src").alias("profile")).agg(F.min("dst").alias("next_role"))
+    following = domain.transitions(spark, sf).groupBy(F.col("src").alias("occupation")).agg(F.min("dst").alias("next_role")).join(_targets(spark, sf), "occupation").select("profile", "next_role")
     return counts.join(what, "profile", "left").join(following, "profile", "left")
 
 

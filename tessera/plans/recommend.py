@@ -59,28 +59,25 @@ def career_match(spark, sf):
     return found.withColumn("level", F.when(F.col("score") >= 60, "high").when(F.col("score") >= 30, "middle").otherwise("low"))
 
 
-_GAP = ctes("requires", "owned", "prerequisites", body=_CLOSURE + """,
-target AS (SELECT s_suppkey AS profile, s_suppkey AS occupation FROM supplier),
+_GAP = ctes("requires", "owned", "prerequisites", "targets", body=_CLOSURE + """,
 direct AS (SELECT profile, skill FROM target JOIN requires USING (occupation)),
 needed AS (SELECT profile, skill FROM direct UNION SELECT profile, src FROM direct JOIN closure ON dst = skill),
 gap AS (SELECT n.profile, n.skill FROM needed n WHERE NOT EXISTS (FROM owned o WHERE o.profile = n.profile AND o.skill = n.skill)),
 d AS (SELECT p_partkey AS skill, coalesce(max(depth), 0) AS depth FROM part LEFT JOIN closure ON dst = p_partkey GROUP BY 1)""").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def _targets(spark, sf):
-    """profile and occupation: one profile aims at each occupation."""
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("profile"), F.col("s_suppkey").alias("occupation"))
+_targets = domain.targets
 
 
 def _gap(spark, sf):
     """profile, skill and depth of what a target occupation needs, directly or before it, and the profile lacks."""
     edges = domain.prerequisites(spark, sf)
-    reach = graph.closure(edges)
-    direct = _targets(spark, sf).join(domain.requires(spark, sf), "occupation").select("profile", "skill")
-    before = direct.join(reach.withColumnRenamed("dst", "skill"), "skill").select("profile", F.col("src").alias("skill"))
-    gap = direct.union(before).distinct().join(domain.owned(spark, sf), ["profile", "skill"], "left_anti")
-    longest = reach.groupBy(F.col("dst").alias("skill")).agg(F.max("depth").alias("depth"))
-    return gap.join(longest, "skill", "left").select("profile", "skill", F.coalesce("depth", F.lit(0)).alias("depth"))
+    # What an occupation needs is found once, however many profiles ask for it.
+    needed = graph.ancestors(domain.requires(spark, sf).select(F.col("occupation").alias("owner"), F.col("skill").alias("node")), edges)
+    needed = needed.select(F.col("owner").alias("occupation"), F.col("node").alias("skill"))
+    gap = _targets(spark, sf).join(needed, "occupation").select("profile", "skill").join(domain.owned(spark, sf), ["profile", "skill"], "left_anti")
+    depth = graph.depths(table(spark, sf, "part").select(F.col("p_partkey").alias("node")), edges)
+    return gap.join(depth.withColumnRenamed("node", "skill"), "skill").select("profile", "skill", "depth")
 
 
 @query("skill_gap", _GAP + " SELECT profile, skill, depth FROM gap JOIN d USING (skill)")

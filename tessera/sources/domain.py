@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import latin_tokens
 from tessera.operators.checkpoints import kept
 from tessera.operators.containment import contained
+from tessera.operators.ordering import within
 
 #: Characters that a line needs to be a chunk.
 LEAST_CHUNK = 40
@@ -56,15 +57,18 @@ def requires(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src and dst skills of one brand in neighbouring tiers: at most two parents, depth at most 4."""
     tier = F.ceil(F.col("p_size") / 10).cast("int")
-    ranked = table(spark, sf_dir, "part").select("p_partkey", "p_brand", tier.alias("tier")).withColumn("rn", F.row_number().over(Window.partitionBy("p_brand", "tier").orderBy("p_partkey")))
+    # Places in (brand, tier) without one task for each, of which there are few.
+    ranked = within(table(spark, sf_dir, "part").select("p_partkey", "p_brand", tier.alias("tier")).withColumn("_cell", F.struct("p_brand", "tier")), "_cell", "p_partkey", "rn")
+    ranked = ranked.select("p_partkey", "p_brand", "tier", "rn")
     src = ranked.select(F.col("p_partkey").alias("src"), "p_brand", (F.col("tier") + 1).alias("tier"), F.explode(F.array(F.col("rn"), F.col("rn") + 1)).alias("rn"))
     return src.join(ranked.withColumnRenamed("p_partkey", "dst"), ["p_brand", "tier", "rn"]).select("src", "dst")
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src and dst: consecutive suppliers of a nation."""
-    following = F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), following.alias("dst")).where("dst is not null")
+    placed = within(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", "s_suppkey")
+    following = placed.select("s_nationkey", F.col("s_suppkey").alias("dst"), (F.col("at") - 1).alias("at"))
+    return placed.join(following, ["s_nationkey", "at"]).select(F.col("s_suppkey").alias("src"), "dst")
 
 
 def node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +96,14 @@ def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """profile and occupation: each profile asks for the occupation that it has had most to do with, ties to the smaller."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("profile"))
+    met = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("occupation")).join(orders, "l_orderkey")
+    counts = met.groupBy("profile", "occupation").agg(F.count("*").alias("n"))
+    return counts.groupBy("profile").agg(F.min_by("occupation", F.struct((-F.col("n")).alias("n"), "occupation")).alias("occupation"))
+
+
 def owned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """profile and skill: the distinct parts of a customer's orders."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("profile"))
@@ -154,6 +166,8 @@ prerequisites AS (
   UNION ALL SELECT 'evidenced_by', 'skill:' || p_partkey, 'chunk:' || doc_id FROM part JOIN documents ON doc_id = p_partkey),
 adjacency AS (
   SELECT src, dst FROM typed_edges WHERE dst NOT LIKE 'chunk:%' UNION SELECT dst, src FROM typed_edges WHERE dst NOT LIKE 'chunk:%')""",
+    "targets": """target AS (
+  SELECT profile, arg_min(occupation, (-n, occupation)) AS occupation FROM (SELECT o_custkey AS profile, l_suppkey AS occupation, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) GROUP BY profile)""",
     "owned": """owned AS (
   SELECT DISTINCT o_custkey AS profile, l_partkey AS skill FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
     "chunks": """lines AS (
