@@ -120,14 +120,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
 
 
-PIECES = "anchor long, content long, other long, doc_id long, windows array<long>, seconds array<long>, words binary"
+PIECES = "anchor long, content long, other long, doc_id long, windows array<long>, seconds array<int>, words binary"
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of each wanted run and the two hashes of each of its windows."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split(" ")[0] for x in PIECES.split(", ")])
 
     for batch in batches:
@@ -139,7 +139,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in wanted:
                 s, n = x["start"], x["n"]
                 at = np.arange(s, s + n)
-                out.append((x["anchor"], x["content"], x["other"], doc, hashes.of(at, at + WINDOW).view(np.int64), others.of(at, at + WINDOW).view(np.int64), b" ".join(words[s : s + n + WINDOW - 1])))
+                out.append((x["anchor"], x["content"], x["other"], doc, hashes.of(at, at + WINDOW).view(np.int64), others.of(at, at + WINDOW).view(np.int64).astype(np.int32), b" ".join(words[s : s + n + WINDOW - 1])))
             if len(out) > 20_000:
                 yield batch_of(out)
                 out = []
@@ -268,7 +268,7 @@ def removals(texts: DataFrame, claims: int = CLAIMS) -> DataFrame:
     several = contents.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1")
     wanted = contents.join(several, "anchor").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.part").alias("part")).agg(F.collect_list(F.struct(*key, "first.start", "first.n")).alias("wanted"))
     pieces = cut(texts.join(wanted, ["doc_id", "part"]).select("doc_id", "text", "wanted").mapInArrow(_cut_out, PIECES))
-    # Equal windows have equal hashes, of 128 bits together: what an earlier run holds, and which run that is. A run goes by
+    # Equal windows have equal hashes, of 96 bits together: what an earlier run holds, and which run that is. A run goes by
     # its content hash here; should two runs share one, both are looked at, as words decide.
     windows = pieces.select(F.explode(F.arrays_zip("windows", "seconds")).alias("w"), "doc_id", "content").select("w.*", "doc_id", "content")
     window = ["windows", "seconds"]
@@ -321,19 +321,20 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows as doc_id, part and text, and each different (doc_id, text) once; ``part`` tells the texts of one doc_id apart.
 
-    ``part`` is a hash of 64 bits. That no two texts of a doc_id share it is counted, and where two do
-    another seed is taken. Texts move only where rows are repeated.
+    ``part`` is a hash of 31 bits, as runs carry it. That no two texts of a doc_id share it is counted; where
+    two do, hashes of 64 bits are taken, of another seed until no two are equal. Texts move only where rows are repeated.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     known = rows.where("doc_id is not null")
     keys = cut(known.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")).groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")))
-    seed, clash = 0, keys.groupBy("doc_id", "h1").agg(F.count("*").alias("n")).where("n > 1")
+    short = F.col("h1").bitwiseAND(F.lit((1 << 31) - 1))
+    clash, seed = keys.groupBy("doc_id", short).agg(F.count("*").alias("n")).where("n > 1"), 0
     while not clash.isEmpty():
         seed += 1
-        parts = known.select("doc_id", F.xxhash64(F.lit(seed), "text").alias("h1"), F.xxhash64("text").alias("h2"), F.xxhash64(F.lit("second"), "text").alias("h3")).distinct()
-        clash = parts.groupBy("doc_id", "h1").agg(F.count("*").alias("n")).where("n > 1")
-    part = F.xxhash64(F.lit(seed), "text") if seed else F.xxhash64("text")
+        parts = known.select("doc_id", F.xxhash64(F.lit(seed), "text").alias("part"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")).distinct()
+        clash = parts.groupBy("doc_id", "part").agg(F.count("*").alias("n")).where("n > 1")
+    part = F.xxhash64(F.lit(seed), "text") if seed else F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1))
     rows, known = (x.select("doc_id", part.alias("part"), "text") for x in (rows, known))
     repeated = keys.where("n > 1")
     if repeated.isEmpty():
