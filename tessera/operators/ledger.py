@@ -67,3 +67,24 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) ->
     w = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = rows.unionByName(other, allowMissingColumns=True).withColumn(value, F.last("_v", ignorenulls=True).over(w))
     return both.where("_side = 1").drop("_side", "_v")
+
+
+def session_states(events: DataFrame, gap: str) -> DataFrame:
+    """key, start, end, requests, status and value of each session of ``events`` (key, request, at, action, value).
+
+    A request counts once, at its earliest time; a session ends when ``gap`` passes without one; in it the last
+    candidate before the first confirmation stays.
+    """
+    once = events.groupBy("key", "request").agg(F.min_by(F.struct("at", "action", "value"), "at").alias("e")).select("key", "request", "e.*")
+    order = Window.partitionBy("key").orderBy("at", "request")
+    opens = (F.col("at") - F.lag("at").over(order) < F.expr(f"interval {gap}")).cast("int")
+    cut = once.withColumn("_new", 1 - F.coalesce(opens, F.lit(0)))
+    cut = cut.withColumn("_session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct("at", "request")
+    confirmed = F.min(F.when(F.col("action") == "confirm", place)).over(Window.partitionBy("key", "_session"))
+    cut = cut.withColumn("_confirmed", confirmed).withColumn("_place", place)
+    before = (F.col("action") == "candidate") & (F.col("_confirmed").isNull() | (F.col("_place") < F.col("_confirmed")))
+    return cut.groupBy("key", "_session").agg(
+        F.min("at").alias("start"), (F.max("at") + F.expr(f"interval {gap}")).alias("end"), F.count("*").alias("requests"),
+        F.when(F.count("_confirmed") > 0, "confirmed").otherwise("candidate").alias("status"), F.max_by(F.when(before, F.col("value")), F.when(before, F.col("_place"))).alias("value"),
+    ).drop("_session")

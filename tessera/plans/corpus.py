@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import alignment, dictionary, folds, html
+from tessera.operators import alignment, dictionary, folds, html, intervals
 from tessera.operators.ordering import numbered, within
 from tessera.plans.registry import query
 from tessera.sources import domain
@@ -157,7 +157,7 @@ def overlap_join(spark, sf):
     """Child spans against chunks of the same document."""
     starts = F.sequence(F.lit(0), F.ceil(F.length("text") / 200).cast("int") - 1)
     spans = table(spark, sf, "documents").where(F.length("text") > 0).select("doc_id", F.explode(starts).alias("i")).select("doc_id", (F.col("i") * 200).cast("long").alias("s"), (F.col("i") * 200 + 260).cast("long").alias("e"))
-    joined = spans.join(domain.chunks(spark, sf), "doc_id").where((F.col("s") < F.col("end")) & (F.col("start") < F.col("e")))
+    joined = intervals.overlapping(spans, domain.chunks(spark, sf).select("doc_id", "pos", "start", "end"), "doc_id", ("s", "e"), ("start", "end"))
     return joined.groupBy("doc_id", "s").agg(F.count("*").alias("chunks"), F.max(F.least("e", "end") - F.greatest("s", "start")).alias("overlap"), F.min("pos").alias("first"))
 
 
@@ -166,7 +166,7 @@ SELECT c.doc_id, c.pos FROM chunks c JOIN documents d USING (doc_id) WHERE lengt
 def midpoint_join(spark, sf):
     """The chunk that holds a document's middle."""
     middle = table(spark, sf, "documents").select("doc_id", F.floor(F.length("text") / 2).alias("m"))
-    return domain.chunks(spark, sf).join(middle, "doc_id").where((F.col("m") >= F.col("start")) & (F.col("m") < F.col("end"))).select("doc_id", "pos")
+    return intervals.holding(middle, domain.chunks(spark, sf).select("doc_id", "pos", "start", "end"), "doc_id", "m", ("start", "end")).select("doc_id", "pos")
 
 
 @query("chunk_stats", ctes("chunks", body=' SELECT source, count(*) AS chunks, CAST(sum("end" - start) AS BIGINT) AS chars, CAST(max(pos) AS INTEGER) AS last FROM chunks GROUP BY source'))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import chunking
 from tessera.functions import text as T
-from tessera.operators import alignment, graph, metrics, picking, retrieval
+from tessera.operators import alignment, graph, intervals, metrics, picking, retrieval
 from tessera.plans.registry import query
 from tessera.plans.retrieval import _BOTH, _CHANNELS, _PEAK, _SCALED, _bm25, _dense, _docs, _fused, _position, _ranked
 from tessera.sources import domain
@@ -142,15 +142,15 @@ def holdout_chunks(spark, sf):
     """Chunks of cited documents that overlap no used span."""
     used = _used(spark, sf)
     chunks = domain.chunks(spark, sf).join(used.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "pos", "start", "end")
-    spans = used.select(F.col("doc_id").alias("_doc"), "s", "e")
-    return chunks.join(spans, (F.col("doc_id") == F.col("_doc")) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("e")), "left_anti").select("doc_id", "pos")
+    taken = intervals.overlapping(used.select("doc_id", "s", "e"), chunks, "doc_id", ("s", "e"), ("start", "end"))
+    return chunks.select("doc_id", "pos").join(taken.select("doc_id", "pos").distinct(), ["doc_id", "pos"], "left_anti")
 
 
 @query("anchor_windows", ctes("chunks", "gold", body=_USED + """
 SELECT u.qid, u.doc_id, count(*) AS covering, CAST(max(c."end") - min(c.start) AS BIGINT) AS span, CAST(min(c.pos) AS INTEGER) AS first FROM used u JOIN chunks c ON c.doc_id = u.doc_id AND u.s < c."end" AND c.start < u.e GROUP BY ALL"""))
 def anchor_windows(spark, sf):
     """The chunks that cover an anchor, and the window from the first one's start to the last one's end."""
-    joined = _used(spark, sf).join(domain.chunks(spark, sf).drop("source", "lang", "text"), "doc_id").where((F.col("s") < F.col("end")) & (F.col("start") < F.col("e")))
+    joined = intervals.overlapping(_used(spark, sf), domain.chunks(spark, sf).drop("source", "lang", "text"), "doc_id", ("s", "e"), ("start", "end"))
     return joined.groupBy("qid", "doc_id").agg(F.count("*").alias("covering"), (F.max("end") - F.min("start")).alias("span"), F.min("pos").alias("first"))
 
 
@@ -221,7 +221,7 @@ def pair_picks(spark, sf):
 
 
 @query("text_alignment", f"""
-WITH h AS (SELECT doc_id, substr({_HEADING}, 1, 80) AS text FROM documents), l AS (SELECT doc_id AS item, text FROM h WHERE doc_id % 50 = 0 AND text <> ''), r AS (SELECT text, min(doc_id) AS other FROM h WHERE doc_id % 50 <> 0 AND text <> '' GROUP BY text),
+WITH h AS (SELECT doc_id, {_HEADING} AS text FROM documents), l AS (SELECT doc_id AS item, text FROM h WHERE doc_id % 50 = 0 AND text <> ''), r AS (SELECT text, min(doc_id) AS other FROM h WHERE text <> '' GROUP BY text),
 g AS (SELECT text, CASE WHEN length(t) < 2 THEN [t] ELSE list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) END AS g FROM (SELECT DISTINCT text, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM h)),
 same AS (SELECT item, other, 1.0::DOUBLE AS ratio FROM l JOIN r USING (text)),
 p AS (SELECT item, other, len(list_intersect(x.g, y.g)) / len(x.g)::DOUBLE AS ratio FROM l JOIN g x ON x.text = l.text JOIN r ON length(r.text) * 2 >= length(l.text) AND length(r.text) <= length(l.text) * 2 JOIN g y ON y.text = r.text WHERE item NOT IN (SELECT item FROM same))

@@ -104,6 +104,20 @@ def unexpired_sessions(spark, sf):
     return table(spark, sf, "events").where(F.col("ts") < now).groupBy("user_id").agg((F.max("ts") + F.expr("interval 7 days") > now).alias("valid"))
 
 
+@query("session_states", """
+WITH e AS (SELECT user_id AS key, event_id AS request, ts AS at, CASE WHEN event_type = 'purchase' THEN 'confirm' ELSE 'candidate' END AS action, event_type AS value FROM events),
+n AS (SELECT *, CASE WHEN at_ - lag(at_) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM (SELECT * RENAME (at AS at_) FROM e) WINDOW w AS (PARTITION BY key ORDER BY at_, request)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY at_, request ROWS UNBOUNDED PRECEDING) AS session FROM n),
+c AS (SELECT *, min((at_, request)) FILTER (action = 'confirm') OVER (PARTITION BY key, session) AS confirmed FROM s)
+SELECT key, min(at_) AS start, max(at_) + INTERVAL 12 HOUR AS "end", count(*) AS requests, CASE WHEN count(confirmed) > 0 THEN 'confirmed' ELSE 'candidate' END AS status,
+  arg_max(value, (at_, request)) FILTER (action = 'candidate' AND (confirmed IS NULL OR (at_, request) < confirmed)) AS value FROM c GROUP BY key, session""".replace(" AS at, CASE", " AS at_, CASE").replace("(SELECT * RENAME (at AS at_) FROM e)", "e"))
+def session_states(spark, sf):
+    """Each session of a user: requests once, the value that stays, and when it ends."""
+    action = F.when(F.col("event_type") == "purchase", "confirm").otherwise("candidate")
+    events = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("request"), F.col("ts").alias("at"), action.alias("action"), F.col("event_type").alias("value"))
+    return ledger.session_states(events, "12 hours")
+
+
 @query("memory_recall", """
 WITH words AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+._#-]*')) AS term FROM conversations WHERE turn = 0 AND conv_id % 50 = 0),
 memory AS (SELECT DISTINCT conv_id AS memory, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+._#-]*')) AS term FROM conversations WHERE turn = 1),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import retrieval
+from tessera.operators.checkpoints import folder
+from tessera.operators.commits import Store
 from tessera.plans.registry import query
 from tessera.plans.retrieval import _BOTH, _CHANNELS, _bm25, _dense, _outcomes, _OUTCOMES
 from tessera.sources import domain
@@ -254,9 +256,13 @@ def evidence_edges(spark, sf):
 
 @query("confirmed_events", "SELECT o_custkey, o_orderkey, 'evidence' AS ledger FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_orderkey, 'event' FROM orders WHERE o_orderstatus = 'F'")
 def confirmed_events(spark, sf):
-    """A confirmation writes to two ledgers."""
+    """A confirmation writes to two ledgers, which one commit publishes, and both are read back."""
+    store = Store(spark, f"{folder(spark)}/confirmations-{spark.sparkContext.applicationId}")
     done = table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey")
-    return done.select("*", F.explode(F.array(F.lit("evidence"), F.lit("event"))).alias("ledger"))
+    version = store.commit(replaced={"evidence": done, "event": done})
+    store.vacuum(keep=2)
+    ledgers = [store.read(name, version).withColumn("ledger", F.lit(name)) for name in ("evidence", "event")]
+    return ledgers[0].unionByName(ledgers[1])
 
 
 @query("alias_decisions", "SELECT lower(p_name) AS key, count(*) AS ids, CASE WHEN count(*) = 1 THEN 'unique' WHEN min(p_partkey) % 2 = 0 THEN 'decided' ELSE 'open' END AS status FROM part GROUP BY 1")
