@@ -15,10 +15,11 @@ most whatever the corpus, travel to the tasks as sorted hash arrays with an inde
 and a text's other n-grams are written as (row, n-gram, times) and joined to the table. Both ways give
 an n-gram the same probability; hot ones never become rows, so no key of that join is hot. One pass
 over the texts yields the rules' figures and the sums, another has counted.
-Each language's band reaches from ``BELOW`` standard deviations under its
-median entropy to ``ABOVE`` over it, from a histogram of entropies per language in steps of 0.01
-(each side by its quartile, so junk hardly moves it and skew is kept), wider for short texts by the variance that
-their length explains.
+Each language's band reaches to ``ABOVE`` standard deviations over its median entropy, from a
+histogram of entropies per language in steps of 0.01 (each side by its quartile, so junk hardly moves it and
+skew is kept), wider for short texts by the variance that their length explains. Below, documents depend less
+on chance than that: how deep they lie, in the same units, is counted once more, and ``BELOW``
+deviations by the lower quartile of these depths are the lower band, so templates and boilerplate fall.
 
 Defined cases: a null text is the empty text, has no words and fails; a null language is one of its
 own; a language of one document keeps it (its own median); repeated rows are judged alike; doc_id
@@ -330,23 +331,26 @@ def verdict_key(text, lang):
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), lang.isNull(), lang.cast("string"))
 
 
+def _quartiles(binned: DataFrame, *aggregates) -> DataFrame:
+    """lang and low, middle, high: the middles of the bins that hold the quartiles, of (lang, bin, docs) rows; and further aggregates."""
+    order = Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = binned.select("*", F.sum("docs").over(order).alias("upto"), F.sum("docs").over(Window.partitionBy("lang")).alias("total"))
+
+    def at(share: float):
+        return F.min(F.when(F.col("upto") >= F.col("total") * share, (F.col("bin") + 0.5) / STEP))
+
+    return ranked.groupBy("lang").agg(at(0.25).alias("low"), at(0.5).alias("middle"), at(0.75).alias("high"), *aggregates)
+
+
 def bands(scored: DataFrame) -> DataFrame:
     """lang, middle, spread_below, spread_above and noise: each language's median entropy, its standard deviation by the quartile on either side and the variance of one character."""
     judged = scored.where("not base_failed")
     bins = judged.groupBy("lang", F.floor(F.col("entropy") * STEP).alias("bin")).agg(
         F.count("*").alias("docs"), F.sum("n").alias("n"), F.sum("log_sum").alias("s"), F.sum("square_sum").alias("q")
     )
-    order = Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = bins.select("*", F.sum("docs").over(order).alias("upto"), F.sum("docs").over(Window.partitionBy("lang")).alias("total"))
-
-    def at(share: float):
-        return F.min(F.when(F.col("upto") >= F.col("total") * share, (F.col("bin") + 0.5) / STEP))
-
-    return ranked.groupBy("lang").agg(
-        at(0.5).alias("middle"),
-        (2 * (at(0.5) - at(0.25)) / 1.349 + 1.0 / STEP).alias("spread_below"),
-        (2 * (at(0.75) - at(0.5)) / 1.349 + 1.0 / STEP).alias("spread_above"),
-        (F.sum("q") / F.sum("n") - F.pow(F.sum("s") / F.sum("n"), 2)).alias("noise"),
+    found = _quartiles(bins, (F.sum("q") / F.sum("n") - F.pow(F.sum("s") / F.sum("n"), 2)).alias("noise"))
+    return found.select(
+        "lang", "middle", (2 * (F.col("middle") - F.col("low")) / 1.349 + 1.0 / STEP).alias("spread_below"), (2 * (F.col("high") - F.col("middle")) / 1.349 + 1.0 / STEP).alias("spread_above"), "noise"
     )
 
 
@@ -357,9 +361,14 @@ def judge(docs: DataFrame, below: float = BELOW, above: float = ABOVE, hot: int
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     entropy = F.when(F.col("n") > 0, -F.col("log_sum") / F.col("n")).otherwise(0.0)
     scored = cut(scores(texts, hot).withColumns({"base_failed": failed, "entropy": entropy}))
-    judged = scored.join(bands(scored).withColumnRenamed("lang", "_lang"), same(F.col("lang"), F.col("_lang")), "left")
+    judged = scored.join(bands(scored).withColumnRenamed("lang", "_lang"), same(F.col("lang"), F.col("_lang")), "left").drop("_lang")
     under, over = (F.sqrt(F.pow(f"spread_{side}", 2) + F.col("noise") / F.greatest(F.col("n"), F.lit(1))) for side in ("below", "above"))
-    judged = judged.withColumns({"perplexity": F.exp("entropy"), "lower": F.exp(F.col("middle") - F.lit(float(below)) * under), "upper": F.exp(F.col("middle") + F.lit(float(above)) * over)})
+    judged = judged.withColumns({"under": under, "z": (F.col("entropy") - F.col("middle")) / under})
+    # How far documents of a language really lie under its median, in units of what spread and length make likely.
+    depths = _quartiles(judged.where("not base_failed").groupBy("lang", F.floor(F.col("z") * STEP).alias("bin")).agg(F.count("*").alias("docs")))
+    depths = depths.select(F.col("lang").alias("_lang"), (F.col("middle") - F.lit(float(below)) * (2 * (F.col("middle") - F.col("low")) / 1.349 + 1.0 / STEP)).alias("deepest"))
+    judged = judged.join(depths, same(F.col("lang"), F.col("_lang")), "left").drop("_lang")
+    judged = judged.withColumns({"perplexity": F.exp("entropy"), "lower": F.exp(F.col("middle") + F.col("deepest") * F.col("under")), "upper": F.exp(F.col("middle") + F.lit(float(above)) * over)})
     kept = ~F.col("base_failed") & F.coalesce(F.col("perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
     return judged.withColumn("kept", kept)
 
