@@ -172,7 +172,7 @@ class Search:
         spark, width, k = rows.sparkSession, self.width, self.k
         sample = rows.orderBy(F.xxhash64("vec_id"), "h1").limit(SAMPLE).select("v").toArrow()
         levels = min(top, max(0, math.ceil(math.log2(self.rows / shard)))) if width else 0
-        cells = Cells(fitted(matrix(sample.column("v"), width).astype(float), levels) if levels else np.zeros((1, 2)), levels, 0)
+        cells = Cells(fitted(matrix(sample.column("v"), width).astype(float), levels) if levels else np.zeros((1, 2)), levels, 0, width)
 
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

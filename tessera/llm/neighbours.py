@@ -12,12 +12,14 @@ How it runs: equal vectors are one point with their k + 1 smallest ids (a larger
 list of k), found in two salted steps, so a vector that a third of the rows share is one row. A
 kd-tree cuts the space into cells of about ``CELL`` points: its first ``TOP`` levels are fitted on
 ``SAMPLE`` points, the next ones in tasks, on about as many points of each cell of the first levels;
-every point is indexed in its cell, and a cell that came out larger is dealt into blocks.
-A query first searches its own block; the distance found there and the chi-square bound say which
-other blocks it must visit, and the queries of one block are dealt to groups of about ``ASKED``. In a
+every point is indexed in its cell, and a cell that came out larger is dealt into blocks. The first levels' nodes
+have the tight boxes of their points in all dimensions, which the lower cells' splits cut further.
+A query first searches its own block, then the ``NEAR`` nearest cells that the distance found so far and the
+chi-square bound leave, then those that the nearer bound still leaves; the queries of one block are dealt to groups of about ``ASKED``. In a
 block, leaves of a kd-tree are visited by rising projected distance until the test holds for the
 leaf, and of a leaf those points are verified in double precision for which it does not hold.
-``verified_share`` reports which part of all pairs that was.
+``Search.share`` reports which part of all pairs that was, and
+``Search.sent`` how many copies of queries went to other blocks.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no
 part, nor do rows without vec_id; rows equal in id and vector count once; shorter vectors count as
@@ -42,6 +44,8 @@ K, EVERY, DIMS, CONFIDENCE, SEED = 20, 20, 16, 0.92, 5
 SAMPLE, CELL, TOP, LEAF = 8192, 8192, 10, 32
 #: Queries that one group of a block holds.
 ASKED = 4096
+#: Nearest cells that a query visits before its k-th best score is taken anew.
+NEAR = 4
 #: Queries searched together.
 TOGETHER = 128
 
@@ -104,8 +108,15 @@ def boxes(splits: np.ndarray, node: int, low: np.ndarray, high: np.ndarray, leve
 class Cells:
     """A kd-tree over cells: ``top`` levels, and ``deep`` ones under each of their nodes."""
 
-    def __init__(self, splits: np.ndarray, top: int, deep: int):
+    def __init__(self, splits: np.ndarray, top: int, deep: int, dims: int = DIMS):
         self.splits, self.top, self.deep = splits, top, deep
+        #: Boxes of the nodes ``top`` levels down: as the splits cut them until ``fit`` has them tight.
+        self.low, self.high = boxes(splits, 1, np.full(dims, -np.inf), np.full(dims, np.inf), top)
+
+    def fit(self, node: np.ndarray, dim: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Take the least and largest coordinate of the points of each node; a node without points is infinitely far."""
+        self.low, self.high = np.full(self.low.shape, np.inf), np.full(self.high.shape, -np.inf)
+        self.low[node, dim], self.high[node, dim] = low, high
 
     def of(self, points: np.ndarray, levels: int | None = None) -> np.ndarray:
         """The cell of each point, or its node ``levels`` down."""
@@ -116,18 +127,24 @@ class Cells:
             node = 2 * node + (points[np.arange(len(points)), dim] >= value)
         return node - 2**levels
 
-    def near(self, queries: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, cell) of squared distance ``reach`` at most: first by the upper levels' boxes."""
-        ends = np.full(DIMS, -np.inf), np.full(DIMS, np.inf)
-        low, high = boxes(self.splits, 1, *ends, self.top)
-        asked, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def near(self, queries: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, cell, place) of squared distance ``reach`` at most, place being the cell's among all by distance; first by the upper levels' boxes."""
+        low, high = self.low, self.high
+        asked, to, apart = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         inside = box_distance(queries, low, high) <= reach[:, None]
         for i in np.flatnonzero(inside.any(axis=0)):
             own = np.flatnonzero(inside[:, i])
-            q, cell = np.nonzero(box_distance(queries[own], *boxes(self.splits, 2**self.top + i, low[i], high[i], self.deep)) <= reach[own][:, None])
+            far = box_distance(queries[own], *boxes(self.splits, 2**self.top + i, low[i], high[i], self.deep))
+            q, cell = np.nonzero(far <= reach[own][:, None])
             asked.append(own[q])
             to.append(cell + (i << self.deep))
-        return np.concatenate(asked), np.concatenate(to)
+            apart.append(far[q, cell])
+        asked, to, apart = map(np.concatenate, (asked, to, apart))
+        order = np.lexsort((to, apart, asked))
+        asked, to = asked[order], to[order]
+        # All nearer cells are within reach as well, so the place among these is the place among all.
+        starts = np.searchsorted(asked, np.arange(len(queries)))
+        return asked, to, np.arange(len(asked)) - starts[asked]
 
 
 def box_distance(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -266,107 +283,139 @@ def _tree(points: DataFrame, n: int, width: int, norm: float, cell: int, top: in
     return Cells(splits, upper, deep)
 
 
-def _found(rows: DataFrame, is_query, k: int, confidence: float, cell: int, top: int) -> tuple[DataFrame, int, int] | None:
-    """h1, h2 (the query's), score, ids and verified of what each block found, and how many points and queries there are."""
-    spark = rows.sparkSession
-    points = cut(points_of(rows, is_query, k))
-    total = points.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width"), F.max("norm").alias("norm"), F.count_if("asked").alias("asked")).first()
-    if not total.n:
-        return None
-    width, norm, stop = total.width, total.norm, chi_square_quantile(confidence)
-    tree = spark.sparkContext.broadcast(_tree(points, total.n, width, norm, cell, top))
+class Search:
+    """One search: ``found`` has h1, h2 (the query's), score, ids and verified of what each block found.
 
-    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = tree.value.of(_project(_matrix(batch.column("embedding"), width), norm)) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], [*batch.schema.names, "cell"])
-
-    placed = cut(points.mapInArrow(celled, "h1 long, h2 long, embedding array<double>, norm double, ids array<long>, asked boolean, cell int"))
-    # A cell of more than twice the intended size is dealt into blocks; there are few, as splits are medians.
-    blocks = {r.cell: -(-r["count"] // cell) for r in placed.groupBy("cell").count().where(F.col("count") > 2 * cell).collect()}
-    block = F.lit(0)
-    if blocks:
-        number = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
-        block = F.pmod(F.col("h1"), F.coalesce(F.try_element_at(number, F.col("cell")), F.lit(1))).cast("int")
-    placed = placed.withColumn("block", block)
-
-    def block_search(points: pa.Table, queries: pa.Table, least: np.ndarray) -> pa.Table:
-        if not len(queries) or not len(points):
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.int64())], ["h1", "h2", "score", "ids", "verified"])
-        x, (q, own) = _matrix(points.column("embedding"), width), _scaled(_matrix(queries.column("embedding"), width), norm)
-        ids = points.column("ids").combine_chunks()
-        first = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
-        places, scores, verified = search(x, _project(x, norm), first, q, _project(q, norm, True), least, k + 1, norm, stop)
-        asker, nth = np.nonzero(places >= 0)
-        found = places[asker, nth]
-        # Exactly the inner product of the vectors as they are.
-        score = np.einsum("nd,nd->n", x[found], _matrix(queries.column("embedding"), width)[asker])
-        keys = [queries.column(c).take(pa.array(asker)) for c in ("h1", "h2")]
-        return pa.table([*keys, pa.array(score), ids.take(pa.array(found)), pa.array(np.where(nth == 0, verified[asker], 0))], ["h1", "h2", "score", "ids", "verified"])
-
-    found_schema = "h1 long, h2 long, score double, ids array<long>, verified long"
-
-    def at_home(group: pa.Table) -> pa.Table:
-        queries = group.filter(group.column("asked"))
-        return block_search(group, queries, np.full(len(queries), -np.inf))
-
-    home = cut(placed.groupBy("cell", "block").applyInArrow(at_home, found_schema))
-    # The k-th best score of each query so far, when it has that many.
-    known = home.groupBy("h1", "h2").agg(F.when(F.count("*") >= k + 1, F.min("score")).alias("least"))
-    asked = placed.where("asked").join(known, ["h1", "h2"]).select("h1", "h2", "embedding", "norm", "least", "cell", "block")
-
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+    ``points``, ``queries`` and ``cells`` are counts, and ``sent`` how many copies of queries went to other blocks.
+    """
+
+    def __init__(self, vectors: DataFrame, is_query, k: int = K, confidence: float = CONFIDENCE, cell: int = CELL, top: int = TOP, near: int = NEAR):
+        self.rows = cut(usable(vectors))
+        self.found, self.sent, self.cells = None, 0, 0
+        points = cut(points_of(self.rows, is_query, k))
+        total = points.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width"), F.max("norm").alias("norm"), F.count_if("asked").alias("asked")).first()
+        self.points, self.queries = total.n, total.asked
+        if total.n:
+            self._run(points, total, k, chi_square_quantile(confidence), cell, top, near)
+
+    def share(self) -> float:
+        """Which part of all pairs of a query and a different vector was verified."""
+        return self.found.agg(F.sum("verified")).first()[0] / (self.points * self.queries) if self.queries else 0.0
+
+    def _run(self, points: DataFrame, total, k: int, stop: float, cell: int, top: int, near: int) -> None:
+        width, norm = total.width, total.norm
+        fitted_tree = _tree(points, total.n, width, norm, cell, top)
+
+        def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            low, high = np.full((2**fitted_tree.top, DIMS), np.inf), np.full((2**fitted_tree.top, DIMS), -np.inf)
+            for batch in batches:
+                if batch.num_rows:
+                    own = _project(_matrix(batch.column("embedding"), width), norm)
+                    node = fitted_tree.of(own, fitted_tree.top)
+                    np.minimum.at(low, node, own)
+                    np.maximum.at(high, node, own)
+            node, dim = np.nonzero(low <= high)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(dim), pa.array(low[node, dim]), pa.array(high[node, dim])], ["node", "dim", "low", "high"])
+
+        # A row for each dimension of 2^top nodes at most comes to the driver.
+        tight = points.select("embedding").mapInArrow(ends, "node long, dim long, low double, high double").groupBy("node", "dim").agg(F.min("low").alias("low"), F.max("high").alias("high")).toArrow()
+        fitted_tree.fit(*(tight.column(c).to_numpy() for c in ("node", "dim", "low", "high")))
+        tree = points.sparkSession.sparkContext.broadcast(fitted_tree)
+
+        def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = tree.value.of(_project(_matrix(batch.column("embedding"), width), norm)) if batch.num_rows else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], [*batch.schema.names, "cell"])
+
+        placed = cut(points.mapInArrow(celled, "h1 long, h2 long, embedding array<double>, norm double, ids array<long>, asked boolean, cell int"))
+        # A cell of more than twice the intended size is dealt into blocks; there are few, as splits are medians.
+        counts = cut(placed.groupBy("cell").agg(F.count("*").alias("n")))
+        self.cells = counts.count()
+        large = counts.where(F.col("n") > 2 * cell).select("cell", F.ceil(F.col("n") / cell).cast("int").alias("blocks"))
+        blocks = {r.cell: r.blocks for r in large.collect()}
+        placed = placed.join(large, "cell", "left").withColumn("block", F.pmod("h1", F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+
+        def block_search(points: pa.Table, queries: pa.Table, least: np.ndarray) -> pa.Table:
+            if not len(queries) or not len(points):
+                return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.int64())], ["h1", "h2", "score", "ids", "verified"])
+            x, (q, own) = _matrix(points.column("embedding"), width), _scaled(_matrix(queries.column("embedding"), width), norm)
+            ids = points.column("ids").combine_chunks()
+            first = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
+            places, scores, verified = search(x, _project(x, norm), first, q, _project(q, norm, True), least, k + 1, norm, stop)
+            asker, nth = np.nonzero(places >= 0)
+            found = places[asker, nth]
+            # Exactly the inner product of the vectors as they are.
+            score = np.einsum("nd,nd->n", x[found], _matrix(queries.column("embedding"), width)[asker])
+            keys = [queries.column(c).take(pa.array(asker)) for c in ("h1", "h2")]
+            return pa.table([*keys, pa.array(score), ids.take(pa.array(found)), pa.array(np.where(nth == 0, verified[asker], 0))], ["h1", "h2", "score", "ids", "verified"])
+
+        found_schema = "h1 long, h2 long, score double, ids array<long>, verified long"
+
+        def at_home(group: pa.Table) -> pa.Table:
+            queries = group.filter(group.column("asked"))
+            return block_search(group, queries, np.full(len(queries), -np.inf))
+
+        self.found = cut(placed.groupBy("cell", "block").applyInArrow(at_home, found_schema))
+        if self.cells == 1 and not blocks:
+            return
+        for wave in range(2):
+            # The k-th best score of each query so far, when it has that many.
+            best = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), F.col("ids")[0])
+            known = self.found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).groupBy("h1", "h2").agg(F.when(F.count("*") >= k + 1, F.min("score")).alias("least"))
+            asked = placed.where("asked").join(known, ["h1", "h2"]).select("h1", "h2", "embedding", "norm", "least", "cell", "block")
+
+            def routed(batches: Iterator[pa.RecordBatch], wave: int = wave) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if not batch.num_rows:
+                        continue
+                    q, own = _scaled(_matrix(batch.column("embedding"), width), norm)
+                    least = batch.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+                    scaled = np.where(np.isnan(least), -norm * norm, least * norm / own)
+                    asker, to, place = tree.value.near(_project(q, norm, True), stop * np.maximum(2 * norm * norm - 2 * scaled, 0))
+                    # The first wave takes the nearest cells; the second one what the nearer bound still leaves of the others.
+                    turn = place < near if wave == 0 else place >= near
+                    asker, to = asker[turn], to[turn]
+                    home_cell, home_block = batch.column("cell").to_numpy(), batch.column("block").to_numpy()
+                    many = np.array([blocks.get(int(c), 1) for c in to], np.int64)
+                    asker, to, number = np.repeat(asker, many), np.repeat(to, many), np.concatenate([np.arange(m) for m in many] or [np.zeros(0, np.int64)])
+                    away = (to != home_cell[asker]) | (number != home_block[asker])
+                    asker, to, number = asker[away], to[away], number[away]
+                    cols = [batch.column(c).take(pa.array(asker)) for c in ("h1", "h2", "embedding")]
+                    yield pa.RecordBatch.from_arrays(
+                        [*cols, pa.array(scaled[asker]), pa.array(to.astype(np.int32)), pa.array(number.astype(np.int32))], ["h1", "h2", "embedding", "least", "cell", "block"]
+                    )
+
+            sent = cut(asked.mapInArrow(routed, "h1 long, h2 long, embedding array<double>, least double, cell int, block int"))
+            groups = cut(sent.groupBy("cell", "block").agg(F.count("*").alias("n"), F.ceil(F.count("*") / ASKED).cast("int").alias("groups")))
+            copies = groups.agg(F.sum("n")).first()[0]
+            if not copies:
                 continue
-            q, own = _scaled(_matrix(batch.column("embedding"), width), norm)
-            least = batch.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
-            scaled = np.where(np.isnan(least), -norm * norm, least * norm / own)
-            asker, to = tree.value.near(_project(q, norm, True), stop * np.maximum(2 * norm * norm - 2 * scaled, 0))
-            home_cell, home_block = batch.column("cell").to_numpy(), batch.column("block").to_numpy()
-            many = np.array([blocks.get(int(c), 1) for c in to], np.int64)
-            asker, to, number = np.repeat(asker, many), np.repeat(to, many), np.concatenate([np.arange(m) for m in many] or [np.zeros(0, np.int64)])
-            away = (to != home_cell[asker]) | (number != home_block[asker])
-            asker, to, number = asker[away], to[away], number[away]
-            cols = [batch.column(c).take(pa.array(asker)) for c in ("h1", "h2", "embedding")]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(scaled[asker]), pa.array(to.astype(np.int32)), pa.array(number.astype(np.int32))], ["h1", "h2", "embedding", "least", "cell", "block"]
-            )
-
-    sent = cut(asked.mapInArrow(routed, "h1 long, h2 long, embedding array<double>, least double, cell int, block int"))
-    groups = sent.groupBy("cell", "block").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("groups"))
-    sent = sent.join(groups, ["cell", "block"]).withColumn("group", F.pmod("h2", "groups").cast("int"))
-    visited = placed.join(groups, ["cell", "block"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-
-    def away(queries: pa.Table, points: pa.Table) -> pa.Table:
-        return block_search(points, queries, queries.column("least").to_numpy())
-
-    by = ["cell", "block", "group"]
-    elsewhere = sent.drop("groups").groupBy(*by).cogroup(visited.drop("groups").groupBy(*by)).applyInArrow(away, found_schema)
-    return home.union(elsewhere), total.n, total.asked
+            self.sent += copies
+            sent = sent.join(groups.drop("n"), ["cell", "block"]).withColumn("group", F.pmod("h2", "groups").cast("int"))
+            visited = placed.join(groups.drop("n"), ["cell", "block"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+
+            def away(queries: pa.Table, points: pa.Table) -> pa.Table:
+                return block_search(points, queries, queries.column("least").to_numpy())
+
+            by = ["cell", "block", "group"]
+            elsewhere = sent.drop("groups").groupBy(*by).cogroup(visited.drop("groups").groupBy(*by)).applyInArrow(away, found_schema)
+            self.found = self.found.union(cut(elsewhere))
 
 
 def nearest(vectors: DataFrame, is_query, k: int = K, confidence: float = CONFIDENCE, cell: int = CELL, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id and score: the k found of each row for which ``is_query`` (over vec_id) holds."""
-    rows = cut(usable(vectors))
-    found = _found(rows, is_query, k, confidence, cell, top)
-    if found is None:
+    done = Search(vectors, is_query, k, confidence, cell, top)
+    if done.found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     best = Window.partitionBy("h1", "h2")
-    tops = found[0].drop("verified").withColumn("nth", F.row_number().over(best.orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("nth") <= k + 1)
+    tops = done.found.drop("verified").withColumn("nth", F.row_number().over(best.orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("nth") <= k + 1)
     tops = tops.select("h1", "h2", "score", F.explode("ids").alias("vec_id")).withColumn("nth", F.row_number().over(best.orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") <= k + 1)
     lists = tops.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("found"))
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct()
+    queries = done.rows.where(is_query).select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct()
     own = F.slice(F.filter("found", lambda x: x.vec_id != F.col("query_id")), 1, k)
     return queries.join(lists, ["h1", "h2"]).select("query_id", F.posexplode(own).alias("at", "f")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.s")).alias("score"))
 
 
-def verified_share(vectors: DataFrame, is_query, k: int = K, confidence: float = CONFIDENCE, cell: int = CELL, top: int = TOP) -> float:
-    """Which part of all pairs of a query and a different vector a search verifies."""
-    found = _found(cut(usable(vectors)), is_query, k, confidence, cell, top)
-    return found[0].agg(F.sum("verified")).first()[0] / (found[1] * found[2]) if found and found[2] else 0.0
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: the 20 nearest found of every vector whose id is divisible by 20."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % EVERY == 0)

@@ -85,15 +85,26 @@ def test_projected_distances_follow_chi_square():
     assert abs(ratio.mean() - neighbours.DIMS) < 1.0
 
 
-def test_search_verifies_a_part_of_the_pairs(spark):
-    """Recall of 0.9 while well under half of the pairs are verified: clusters, and the driver's vectors at sf0.1."""
+def test_search_leaves_pairs_and_cells_out(spark):
+    """On clusters: recall of 0.9 while well under half of the pairs are verified and of the cells visited."""
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(60, 32))
     rows = [(i, (centres[i % 60] + 0.3 * rng.normal(size=32)).tolist()) for i in range(3000)]
     df = spark.createDataFrame([(i, e, 0) for i, e in rows], SCHEMA)
     is_query = F.col("vec_id") % 60 == 0
     assert _recall(_found(neighbours.nearest(df, is_query, cell=500)), {q: v for q, v in brute_force(rows, every=60).items()}) >= 0.9
-    assert neighbours.verified_share(df, is_query, cell=500) <= 0.45
+    assert neighbours.Search(df, is_query, cell=500).share() <= 0.45
+    # Far clusters: with copies for each query far fewer than there are cells.
+    rows = [(i, (x / np.linalg.norm(x)).tolist()) for i, x in ((i, centres[i % 60] + 0.1 * rng.normal(size=32)) for i in range(3000))]
+    done = neighbours.Search(spark.createDataFrame([(i, e, 0) for i, e in rows], SCHEMA), is_query, k=5, cell=100)
+    assert done.cells == 32 and done.sent < 0.6 * done.queries * 31
+
+
+def test_recall_of_the_drivers_vectors_over_cells(spark):
+    """The driver's vectors at sf0.1 over 16 cells; they point everywhere, so most cells have to be visited."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert _recall(_found(neighbours.nearest(df, F.col("vec_id") % 20 == 0, cell=128)), brute_force(rows)) >= 0.9
 
 
 def test_boxes_hold_their_points():
@@ -101,9 +112,10 @@ def test_boxes_hold_their_points():
     tree = neighbours.Cells(neighbours.fitted(points, 5), 2, 3)
     cell = tree.of(points)
     assert sorted(set(cell)) == list(range(32))
-    asked, to = tree.near(points, np.zeros(500))
+    asked, to, place = tree.near(points, np.zeros(500))
+    assert (place >= 0).all()
     assert {(q, c) for q, c in enumerate(cell)} <= set(zip(asked.tolist(), to.tolist(), strict=True))
     far = np.array([[np.delete(points, 0, 0)[cell[1:] == c] for c in range(32)]], object)[0]
     reach = np.array([min(((x - points[0]) ** 2).sum(axis=1)) for x in far])
-    asked, to = tree.near(points[:1], np.array([np.median(reach)]))
-    assert {c for c in range(32) if reach[c] <= np.median(reach)} <= set(to.tolist())
+    asked, to, place = tree.near(points[:1], np.array([np.median(reach)]))
+    assert {c for c in range(32) if reach[c] <= np.median(reach)} <= set(to.tolist()) and place.tolist() == list(range(len(to)))
