@@ -1,11 +1,20 @@
-"""Aligning texts with the nearest ones of another list, by the share of their character pairs."""
+"""Aligning texts with the nearest ones of another list: by containment and coverage, or by the share of their character pairs."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import bigrams
+from tessera.functions.text import bigrams, match_key
+
+#: Characters of a fingerprint, fingerprints of which one is kept at least, and characters of a short text's key.
+GRAM, NEAR, SHORT = 8, 16, 4
+#: Texts of so many characters have a fingerprint that every text around them has too.
+LONG = GRAM + NEAR - 1
 
 
 def shared_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -38,3 +47,105 @@ def aligned(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataFrame:
     near = shared_pairs(rest, right, least).join(sizes[0], "item").join(sizes[1], "other").where((F.col("b") * 2 >= F.col("a")) & (F.col("b") <= F.col("a") * 2))
     best = near.withColumn("ratio", F.col("shared") / F.col("n")).groupBy("item").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "other")).alias("m"))
     return equal.unionByName(best.select("item", F.col("m.other").alias("other"), (-F.col("m.r")).alias("ratio")))
+
+
+def fingerprints(text: str) -> np.ndarray:
+    """The least hash of each ``NEAR`` neighbouring runs of ``GRAM`` characters, each once: those of a part are among those of the whole."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(code) < LONG:
+        return np.zeros(0, np.int64)
+    h = np.zeros(len(code) - GRAM + 1, np.uint64)
+    for i in range(GRAM):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + code[i : i + len(h)]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, NEAR).min(axis=1)).view(np.int64)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        marks = [fingerprints(t) for t in batch.column("text").to_pylist()]
+        row = np.repeat(np.arange(len(marks)), [len(m) for m in marks]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(np.concatenate([np.zeros(0, np.int64), *marks]))], ["id", "mark"])
+
+
+def _inside(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """part and whole: ids of candidate pairs, which have every pair of a part (id, text) inside a whole (id, text)."""
+    marks = wholes.where(F.length("text") >= LONG).select("id", "text").mapInArrow(_keys, "id string, mark long").withColumnRenamed("id", "whole")
+    known = marks.groupBy("mark").agg(F.count("*").alias("n"))
+    own = parts.where(F.length("text") >= LONG).select("id", "text").mapInArrow(_keys, "id string, mark long").join(known, "mark")
+    rarest = own.groupBy("id").agg(F.min_by("mark", F.struct("n", "mark")).alias("mark"))
+    found = rarest.join(marks, "mark").select(F.col("id").alias("part"), "whole")
+    # A short part's whole is not long either where it covers a share that counts; its first characters are the key.
+    size = F.least(F.length("text"), F.lit(SHORT))
+    short = parts.where((F.length("text") < LONG) & (F.length("text") > 0)).select(F.col("id").alias("part"), size.alias("size"), F.substring("text", 1, SHORT).alias("key"))
+    around = wholes.where((F.length("text") < 2 * LONG) & (F.length("text") > 0)).select(F.col("id").alias("whole"), "text", F.explode(F.sequence(F.lit(1), size)).alias("size"))
+    around = around.select("whole", "size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("size") + 1), lambda i: F.substring(F.col("text"), i, F.col("size"))))).alias("key"))
+    return found.union(short.join(around, ["size", "key"]).select("part", "whole"))
+
+
+def covering(items: DataFrame, others: DataFrame, least: float = 0.6) -> DataFrame:
+    """item, other and ratio: an equal text without blanks (ratio 1, the smallest id), else the one that holds the item's text, or is held by it, and of which most is covered.
+
+    ``items`` has item and text, ``others`` other and text (ids are strings); ``least`` is over a half. Of equal ratios the longest
+    text counts, then the last one in order of text and id. Pairs meet by the rarest fingerprint of the inner text.
+    """
+    mine = items.select(F.col("item").alias("id"), match_key("text").alias("text")).where("text <> ''")
+    theirs = others.select(F.col("other").alias("id"), match_key("text").alias("text")).where("text <> ''")
+    equal = mine.withColumnRenamed("id", "item").join(theirs.groupBy("text").agg(F.min("id").alias("other")), "text").select("item", "other", F.lit(1.0).alias("ratio"))
+    rest = mine.join(equal, F.col("id") == F.col("item"), "left_anti")
+    pairs = _inside(rest, theirs).toDF("item", "other").union(_inside(theirs, rest).toDF("other", "item").select("item", "other")).distinct()
+    met = pairs.join(rest.toDF("item", "a"), "item").join(theirs.toDF("other", "b"), "other")
+    small, large = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
+    held = met.where(F.contains("a", "b") | F.contains("b", "a")).withColumn("ratio", small / large).where(F.col("ratio") >= least)
+    best = held.groupBy("item").agg(F.max_by(F.struct("other", "ratio"), F.struct("ratio", F.length("b"), "b", "other")).alias("m"))
+    return equal.unionByName(best.select("item", "m.other", "m.ratio"))
+
+
+def longest_shared(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (id, a, b) with shared: the length of the longest text without blanks that stands in both a and b.
+
+    The automaton of the shorter text reads the longer one: time goes with their lengths' sum, not with their product.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_longest(*sorted(("".join((x or "").split()) for x in pair), key=len)) for pair in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.int32())], ["id", "shared"])
+
+    return pairs.select("id", "a", "b").mapInArrow(run, f"id {pairs.schema['id'].dataType.simpleString()}, shared int")
+
+
+def _longest(short: str, text: str) -> int:
+    """The longest match of any part of ``short`` in ``text``."""
+    moves, link, length, last = [{}], [-1], [0], 0
+    for c in short:
+        new, p = len(moves), last
+        moves.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        while p >= 0 and c not in moves[p]:
+            moves[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = moves[p][c]
+            if length[q] > length[p] + 1:
+                copy = len(moves)
+                moves.append(dict(moves[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and moves[p].get(c) == q:
+                    moves[p][c] = copy
+                    p = link[p]
+                link[q] = q = copy
+            link[new] = q
+        last = new
+    best = size = state = 0
+    for c in text:
+        while state and c not in moves[state]:
+            state = link[state]
+            size = length[state]
+        if c in moves[state]:
+            state, size = moves[state][c], size + 1
+        best = max(best, size)
+    return best

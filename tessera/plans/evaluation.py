@@ -220,18 +220,44 @@ def pair_picks(spark, sf):
     return picking.without_reuse(_pairs(spark, sf), ["apart", "gap", "poorness"])
 
 
-@query("text_alignment", f"""
-WITH h AS (SELECT doc_id, {_HEADING} AS text FROM documents), l AS (SELECT doc_id AS item, text FROM h WHERE doc_id % 50 = 0 AND text <> ''), r AS (SELECT text, min(doc_id) AS other FROM h WHERE text <> '' GROUP BY text),
-g AS (SELECT text, CASE WHEN length(t) < 2 THEN [t] ELSE list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) END AS g FROM (SELECT DISTINCT text, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM h)),
-same AS (SELECT item, other, 1.0::DOUBLE AS ratio FROM l JOIN r USING (text)),
-p AS (SELECT item, other, len(list_intersect(x.g, y.g)) / len(x.g)::DOUBLE AS ratio FROM l JOIN g x ON x.text = l.text JOIN r ON length(r.text) * 2 >= length(l.text) AND length(r.text) <= length(l.text) * 2 JOIN g y ON y.text = r.text WHERE item NOT IN (SELECT item FROM same))
-SELECT * FROM same UNION ALL SELECT item, arg_min(other, (-ratio, other)) AS other, max(ratio) AS ratio FROM p WHERE ratio >= 0.6::DOUBLE GROUP BY item""")
+@query("text_alignment", ctes("chunks", body=r"""
+, w AS (SELECT doc_id, text, unnest(range(0, CAST(greatest(0, ceil((length(text) - 512) / 432.0)) AS BIGINT) + 1)) AS i FROM documents WHERE length(text) > 0),
+l AS (SELECT * FROM (SELECT doc_id || ':' || i AS item, regexp_replace(substr(text, i * 432 + 1, 512), '\s+', '', 'g') AS a FROM w) WHERE a <> ''),
+r AS (SELECT * FROM (SELECT doc_id || ':' || pos AS other, regexp_replace(text, '\s+', '', 'g') AS b FROM chunks) WHERE b <> ''),
+same AS (SELECT item, min(other) AS other, 1.0::DOUBLE AS ratio FROM l JOIN r ON a = b GROUP BY item),
+near AS (SELECT item, other, b, least(length(a), length(b)) / greatest(length(a), length(b))::DOUBLE AS ratio FROM l JOIN r ON length(b) >= 0.6 * length(a) AND length(a) >= 0.6 * length(b) AND (contains(a, b) OR contains(b, a)) WHERE item NOT IN (SELECT item FROM same))
+SELECT * FROM same UNION ALL SELECT item, arg_max(other, (ratio, length(b), b, other)) AS other, max(ratio) AS ratio FROM near WHERE ratio >= 0.6::DOUBLE GROUP BY item"""))
 def text_alignment(spark, sf):
-    """Headings of the documents divisible by 50 aligned with all other headings: equal ones, else the most similar."""
-    h = _docs(spark, sf).select("doc_id", F.substring(F.element_at(F.split("text", "\n"), 1), 1, 80).alias("text")).where("text <> ''")
-    left = h.where("doc_id % 50 = 0").select(F.col("doc_id").alias("item"), "text")
-    right = h.where("doc_id % 50 <> 0").groupBy("text").agg(F.min("doc_id").alias("other"))
-    return alignment.aligned(left, right)
+    """Pieces that a store has cut out of the documents aligned with the chunks that hold them or that they hold, by coverage."""
+    w = _docs(spark, sf).select("doc_id", F.posexplode(chunking.windows("text", 512, 80)).alias("i", "w"))
+    items = w.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("item"), F.col("w.text").alias("text"))
+    chunks = domain.chunks(spark, sf).select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("other"), "text")
+    return alignment.covering(items, chunks)
+
+
+@query("similar_headings", f"""
+WITH h AS (SELECT doc_id, {_HEADING} AS text FROM documents), l AS (SELECT doc_id AS item, text FROM h WHERE doc_id % 50 = 0 AND text <> ''), r AS (SELECT doc_id AS other, text FROM h WHERE text <> ''),
+g AS (SELECT text, CASE WHEN length(t) < 2 THEN [t] ELSE list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) END AS g FROM (SELECT DISTINCT text, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM h)),
+p AS (SELECT item, other, len(list_intersect(x.g, y.g)) / len(x.g)::DOUBLE AS ratio FROM l JOIN g x ON x.text = l.text JOIN r ON length(r.text) * 2 >= length(l.text) AND length(r.text) <= length(l.text) * 2 AND item <> other JOIN g y ON y.text = r.text)
+SELECT item, arg_min(other, (-ratio, other)) AS other, max(ratio) AS ratio FROM p WHERE ratio >= 0.6::DOUBLE GROUP BY item""")
+def similar_headings(spark, sf):
+    """Whole headings of the documents divisible by 50 with the other document whose heading has most of their character pairs."""
+    h = _docs(spark, sf).select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("text")).where("text <> ''")
+    left, right = h.where("doc_id % 50 = 0").select(F.col("doc_id").alias("item"), "text"), h.select(F.col("doc_id").alias("other"), "text")
+    near = alignment.shared_pairs(left, right, 0.6).where("item <> other")
+    sizes = [x.select(k, F.length("text").alias(n)) for x, k, n in ((left, "item", "a"), (right, "other", "b"))]
+    near = near.join(sizes[0], "item").join(sizes[1], "other").where((F.col("b") * 2 >= F.col("a")) & (F.col("b") <= F.col("a") * 2))
+    best = near.withColumn("ratio", F.col("shared") / F.col("n")).groupBy("item").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "other")).alias("m"))
+    return best.select("item", F.col("m.other").alias("other"), (-F.col("m.r")).alias("ratio"))
+
+
+@query("longest_quotes")
+def longest_quotes(spark, sf):
+    """The longest text that an answer takes over from the turn before it."""
+    said = table(spark, sf, "conversations")
+    before = said.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("b"))
+    pairs = said.where("role = 'assistant'").join(before, ["conv_id", "turn"]).select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("a"), "b")
+    return alignment.longest_shared(pairs)
 
 
 @query("overlapping_chunks", """

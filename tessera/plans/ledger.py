@@ -119,15 +119,15 @@ def session_states(spark, sf):
 
 
 @query("memory_recall", """
-WITH words AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+._#-]*')) AS term FROM conversations WHERE turn = 0 AND conv_id % 50 = 0),
-memory AS (SELECT DISTINCT conv_id AS memory, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+._#-]*')) AS term FROM conversations WHERE turn = 1),
+WITH words AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+._#-]*')) AS term FROM conversations WHERE role = 'user' AND conv_id % 50 = 0),
+memory AS (SELECT DISTINCT conv_id AS memory, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+._#-]*')) AS term FROM conversations WHERE role = 'assistant'),
 c AS (SELECT conv_id, memory, count(*) AS score FROM words JOIN memory USING (term) WHERE conv_id <> memory AND length(term) >= 4 GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, memory) AS rank FROM c) WHERE rank <= 3""")
 def memory_recall(spark, sf):
     """Memories that share most words with what was said; the conversations divisible by 50 ask all."""
     said = table(spark, sf, "conversations")
-    words = said.where("turn = 0 and conv_id % 50 = 0").select("conv_id", F.explode(T.latin_tokens("text")).alias("term")).distinct()
-    memory = said.where("turn = 1").select(F.col("conv_id").alias("memory"), F.explode(T.latin_tokens("text")).alias("term")).distinct()
+    words = said.where("role = 'user' and conv_id % 50 = 0").select("conv_id", F.explode(T.latin_tokens("text")).alias("term")).distinct()
+    memory = said.where("role = 'assistant'").select(F.col("conv_id").alias("memory"), F.explode(T.latin_tokens("text")).alias("term")).distinct()
     c = words.where(F.length("term") >= 4).join(memory, "term").where("conv_id <> memory").groupBy("conv_id", "memory").agg(F.count("*").alias("score"))
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "memory"))).where("rank <= 3")
 

@@ -139,19 +139,19 @@ PATTERNS = ("what about {}", "my {}", "{} again")
 
 
 @query("memory_triggers", f"""
-WITH c AS (SELECT DISTINCT conv_id, unnest({_WORDS}) AS concept FROM conversations WHERE turn = 1)
+WITH c AS (SELECT DISTINCT conv_id, unnest({_WORDS}) AS concept FROM conversations WHERE role = 'assistant')
 SELECT conv_id, concept, replace(pattern, '{{}}', concept) AS trigger FROM c, (SELECT unnest(['what about {{}}', 'my {{}}', '{{}} again']) AS pattern) WHERE length(concept) >= 12""")
 def memory_triggers(spark, sf):
-    """Each long word of a first answer gives a trigger of three patterns."""
+    """Each long word of an answer gives a trigger of three patterns."""
     words = F.array_distinct(T.latin_tokens("text"))
-    c = table(spark, sf, "conversations").where("turn = 1").select("conv_id", F.explode(words).alias("concept")).where(F.length("concept") >= 12).distinct()
+    c = table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", F.explode(words).alias("concept")).where(F.length("concept") >= 12).distinct()
     patterns = F.explode(F.array(*map(F.lit, PATTERNS))).alias("pattern")
     return c.select("conv_id", "concept", patterns).select("conv_id", "concept", F.replace("pattern", F.lit("{}"), F.col("concept")).alias("trigger"))
 
 
 @query("memory_context", f"""
-WITH asked AS (SELECT conv_id, unnest({_WORDS}) AS term FROM conversations WHERE turn = 0 AND conv_id % 50 = 0),
-held AS (SELECT conv_id AS memory, unnest({_WORDS}) AS term FROM conversations WHERE turn = 1),
+WITH asked AS (SELECT DISTINCT conv_id, unnest({_WORDS}) AS term FROM conversations WHERE role = 'user' AND conv_id % 50 = 0),
+held AS (SELECT DISTINCT conv_id AS memory, unnest({_WORDS}) AS term FROM conversations WHERE role = 'assistant'),
 n AS (SELECT conv_id, count(*) AS n FROM asked WHERE length(term) >= 4 GROUP BY 1),
 c AS (SELECT conv_id, memory, count(*) FILTER (length(term) >= 12) AS triggers, count(*) AS words FROM asked JOIN held USING (term) WHERE length(term) >= 4 AND conv_id <> memory GROUP BY ALL),
 s AS (SELECT conv_id, memory, floor((0.6::DOUBLE * CASE WHEN triggers > 0 THEN 1 ELSE 0 END + 0.3::DOUBLE * (words / n::DOUBLE) + 0.1::DOUBLE * CASE WHEN conv_id % 7 = memory % 7 THEN 1 ELSE 0 END) * 10000 + 0.5) / 10000 AS score FROM c JOIN n USING (conv_id))
@@ -160,8 +160,8 @@ def memory_context(spark, sf):
     """Memories by a trigger met, the share of words met and the same persona, weighted; the conversations divisible by 50 ask all."""
     said = table(spark, sf, "conversations")
     words = F.explode(F.array_distinct(T.latin_tokens("text"))).alias("term")
-    asked = said.where("turn = 0 and conv_id % 50 = 0").select("conv_id", words).where(F.length("term") >= 4)
-    held = said.where("turn = 1").select(F.col("conv_id").alias("memory"), words)
+    asked = said.where("role = 'user' and conv_id % 50 = 0").select("conv_id", words).where(F.length("term") >= 4).distinct()
+    held = said.where("role = 'assistant'").select(F.col("conv_id").alias("memory"), words).distinct()
     n = asked.groupBy("conv_id").agg(F.count("*").alias("n"))
     met = asked.join(held, "term").where("conv_id <> memory").groupBy("conv_id", "memory").agg(F.count_if(F.length("term") >= 12).alias("triggers"), F.count("*").alias("words")).join(n, "conv_id")
     trigger, persona = F.when(F.col("triggers") > 0, 1).otherwise(0), F.when(F.col("conv_id") % 7 == F.col("memory") % 7, 1).otherwise(0)
