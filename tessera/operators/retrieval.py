@@ -144,9 +144,9 @@ def neighbour_boost(ranking: DataFrame, position: DataFrame, weight: float, k: i
 
     ``position`` has doc_id, source and at.
     """
-    near = position.select("doc_id", "source", "at")
-    w = Window.partitionBy("source").orderBy("at")
-    near = near.select("doc_id", F.array(F.lag("doc_id").over(w), F.lead("doc_id").over(w)).alias("near")).select("doc_id", F.explode("near").alias("neighbour")).where("neighbour is not null")
+    # Neighbours by their places, so that no task holds a source.
+    beside = position.select(F.col("doc_id").alias("neighbour"), F.col("source").alias("_source"), F.explode(F.array(F.col("at") - 1, F.col("at") + 1)).alias("at"))
+    near = position.select("doc_id", "source", "at").withColumnRenamed("at", "_at").join(beside, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("at"))).select("doc_id", "neighbour")
     lent = ranking.select("qid", F.col("doc_id").alias("neighbour"), F.col("score").alias("lent"))
     best = near.join(lent, "neighbour").groupBy("qid", "doc_id").agg(F.max("lent").alias("lent"))
     boosted = ranking.join(best, ["qid", "doc_id"], "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import chunking
 from tessera.functions import text as T
-from tessera.operators import alignment, graph, intervals, metrics, picking, retrieval
+from tessera.operators import alignment, anchors, graph, intervals, metrics, picking, retrieval
 from tessera.plans.registry import query
 from tessera.plans.retrieval import _BOTH, _CHANNELS, _PEAK, _SCALED, _bm25, _dense, _docs, _fused, _position, _ranked
 from tessera.sources import domain
@@ -154,6 +154,21 @@ def anchor_windows(spark, sf):
     return joined.groupBy("qid", "doc_id").agg(F.count("*").alias("covering"), (F.max("end") - F.min("start")).alias("span"), F.min("pos").alias("first"))
 
 
+@query("smallest_windows", ctes("gold", body=r"""
+, words AS (SELECT item_id AS qid, list_distinct(regexp_extract_all(text, '[A-Za-z]{5,}')) AS w FROM benchmark),
+anchors AS (SELECT qid, unnest(list_slice(list_sort(w), 1, 3)) AS anchor FROM words),
+hits AS (SELECT g.qid, g.doc_id, anchor, i AS s, i + length(anchor) AS e FROM gold g JOIN documents d USING (doc_id) JOIN anchors USING (qid), LATERAL (SELECT unnest(range(0, length(d.text))) AS i) WHERE substr(d.text, i + 1, length(anchor)) = anchor),
+n AS (SELECT qid, count(*) AS n FROM anchors GROUP BY qid),
+open_ AS (SELECT h.qid, h.doc_id, h.s, h.e, o.anchor, max(o.s) AS place, max(o.e) AS upto FROM hits h JOIN hits o ON o.qid = h.qid AND o.doc_id = h.doc_id AND (o.s < h.s OR (o.s = h.s AND o.anchor <= h.anchor)) GROUP BY ALL),
+w AS (SELECT qid, doc_id, s, e, min(place) AS start, max(upto) AS "end", count(*) AS held FROM open_ GROUP BY ALL)
+SELECT qid, doc_id, arg_min(start, ("end" - start, start)) AS start, arg_min("end", ("end" - start, start)) AS "end" FROM w JOIN n USING (qid) WHERE held = n GROUP BY ALL"""))
+def smallest_windows(spark, sf):
+    """The smallest stretch of a cited document that holds three anchors of its question."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0)))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.slice(F.array_sort(words), 1, 3).alias("anchors"))
+    return anchors.windows(domain.gold(spark, sf).join(asked, "qid").join(_docs(spark, sf), "doc_id"))
+
+
 @query("chunk_criteria", ctes("gold", body=_USED + """,
 sizes AS (SELECT unnest([100, 200, 400, 800]) AS size),
 f AS (SELECT size, s // size AS a, (e - 1) // size AS b, s, e FROM used, sizes),

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import half_up
-from tessera.operators import graph
+from tessera.operators import graph, viewport
 from tessera.operators.ordering import numbered, within
 from tessera.plans.registry import query
 from tessera.sources import domain
@@ -212,6 +212,39 @@ def grid_layout(spark, sf):
     return placed.join(tops, "kind").select("id", (F.col("i") % 5 * 100).cast("long").alias("x"), ((F.col("top") + F.floor(F.col("i") / 5)) * 80).cast("long").alias("y"))
 
 
+_LAID = ctes("nodes", "requires", "prerequisites", "transitions", "typed_edges", body="""
+, placed AS (SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY id) - 1 AS i FROM nodes),
+bands AS (SELECT kind, (max(i) // 5) + 1 AS rows_ FROM placed GROUP BY kind),
+tops AS (SELECT kind, coalesce(sum(rows_) OVER (ORDER BY kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM bands),
+laid AS (SELECT id, CAST(i % 5 * 100 AS DOUBLE) AS x, CAST((top + i // 5) * 80 AS DOUBLE) AS y FROM placed JOIN tops USING (kind))""")
+
+
+@query("camera_fit", _LAID + """
+SELECT (min(x) + max(x)) / 2 AS x, (min(y) + max(y)) / 2 AS y, least(1.0::DOUBLE, 1200.0::DOUBLE / (max(x) - min(x) + 80), 800.0::DOUBLE / (max(y) - min(y) + 80)) AS scale FROM laid""")
+def camera_fit(spark, sf):
+    """The middle and scale at which the whole layout fits a view."""
+    return viewport.camera(grid_layout(spark, sf), 1200, 800, 40)
+
+
+@query("clipped_edges", _LAID + """,
+e AS (SELECT type, src, dst, a.x AS x0, a.y AS y0, b.x - a.x AS dx, b.y - a.y AS dy FROM typed_edges JOIN laid a ON a.id = src JOIN laid b ON b.id = dst),
+t AS (SELECT *, CASE WHEN dx = 0 AND dy = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, CASE WHEN dx = 0 THEN 'inf'::DOUBLE ELSE 40 / abs(dx) END, CASE WHEN dy = 0 THEN 'inf'::DOUBLE ELSE 15 / abs(dy) END) END AS t FROM e),
+c AS (SELECT type, src, dst, x0 + dx * t AS x0, y0 + dy * t AS y0, x0 + dx - dx * t AS x1, y0 + dy - dy * t AS y1 FROM t),
+d AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy FROM c),
+s AS (SELECT *, greatest(0.0::DOUBLE, CASE WHEN dx > 0 THEN (50 - x0) / dx WHEN dx < 0 THEN (350 - x0) / dx ELSE 0 END, CASE WHEN dy > 0 THEN (100 - y0) / dy WHEN dy < 0 THEN (2100 - y0) / dy ELSE 0 END) AS i,
+  least(1.0::DOUBLE, CASE WHEN dx > 0 THEN (350 - x0) / dx WHEN dx < 0 THEN (50 - x0) / dx ELSE 1 END, CASE WHEN dy > 0 THEN (2100 - y0) / dy WHEN dy < 0 THEN (100 - y0) / dy ELSE 1 END) AS o FROM d)
+SELECT type, count(*) AS edges, floor(sum(floor((x0 + dx * i + x0 + dx * o) * 100 + 0.5)) / 1000 + 0.5) AS xs, floor(sum(floor((y0 + dy * i + y0 + dy * o) * 100 + 0.5)) / 1000 + 0.5) AS ys
+FROM s WHERE i <= o AND NOT (dx = 0 AND (x0 < 50 OR x0 > 350)) AND NOT (dy = 0 AND (y0 < 100 OR y0 > 2100)) GROUP BY type""")
+def clipped_edges(spark, sf):
+    """All edges cut at their nodes' boxes and at a view of the layout: how many are seen, and a sum of their ends by type."""
+    at = grid_layout(spark, sf).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    ends = [at.toDF(end, f"x{i}", f"y{i}") for i, end in enumerate(("src", "dst"))]
+    edges = domain.typed_edges(spark, sf).join(ends[0], "src").join(ends[1], "dst")
+    seen = viewport.clipped(viewport.trimmed(edges, 40, 15), 50, 100, 350, 2100)
+    total = [F.floor(F.sum(F.floor((F.col(f"{c}0") + F.col(f"{c}1")) * 100 + 0.5)) / 1000 + 0.5).cast("double").alias(f"{c}s") for c in "xy"]
+    return seen.groupBy("type").agg(F.count("*").alias("edges"), *total)
+
+
 @query("bounding_boxes", "SELECT p_brand AS domain, min(p_size) AS x0, max(p_size) AS x1, min(p_retailprice) AS y0, max(p_retailprice) AS y1 FROM part GROUP BY 1")
 def bounding_boxes(spark, sf):
     """The box of each domain's skills."""

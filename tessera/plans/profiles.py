@@ -307,7 +307,7 @@ v AS (SELECT 'C2' AS check_id, 'hard' AS level, CAST(doc_id AS VARCHAR) AS sampl
   UNION ALL SELECT 'C6', 'hard', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey NOT IN (SELECT skill FROM requires WHERE target_level >= 2)
   UNION ALL SELECT 'C9', 'hard', CAST(page_id AS VARCHAR) FROM front
   UNION ALL SELECT 'C10', 'warn', min(p_partkey) || '' FROM part GROUP BY p_size, floor(p_retailprice / 10) HAVING count(*) > 1
-  UNION ALL SELECT 'C14', 'warn', CAST(page_id AS VARCHAR) FROM pages WHERE NOT contains(html, regexp_extract(html, '<title>([^<&]{1,20})', 1) || '') OR regexp_extract(html, '<title>([^<&]{1,20})', 1) = ''),
+  UNION ALL SELECT 'C14', 'warn', CAST(p_partkey AS VARCHAR) FROM part JOIN documents ON doc_id = p_partkey WHERE NOT contains(lower(text), string_split(lower(p_name), ' ')[-1])),
 ids AS (SELECT unnest(['C2', 'C6', 'C9', 'C10', 'C14']) AS check_id, unnest(['hard', 'hard', 'hard', 'warn', 'warn']) AS level),
 n AS (SELECT check_id, count(*) AS violations, array_to_string(list_sort(list(sample))[1:10], ',') AS samples FROM v GROUP BY check_id)
 SELECT check_id, level, coalesce(violations, 0) AS violations, CASE WHEN check_id = 'C14' THEN 'pending' WHEN violations IS NULL THEN 'pass' WHEN level = 'hard' THEN 'fail' ELSE 'warn' END AS status, coalesce(samples, '') AS samples FROM ids LEFT JOIN n USING (check_id)"""))
@@ -316,13 +316,13 @@ def contract_checks(spark, sf):
     labels, part, pages = table(spark, sf, "labels"), table(spark, sf, "part"), table(spark, sf, "pages")
     kept = table(spark, sf, "documents").where("doc_id % 5 <> 0").select("doc_id")
     proven = domain.requires(spark, sf).where("target_level >= 2").select(F.col("skill").alias("p_partkey"))
-    title = F.regexp_extract("html", "<title>([^<&]{1,20})", 1)
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("p_partkey"), "text")
     violations = {
         ("C2", "hard"): labels.join(kept, "doc_id", "left_anti").select(F.col("doc_id").alias("id")),
         ("C6", "hard"): part.join(proven, "p_partkey", "left_anti").select(F.col("p_partkey").alias("id")),
         ("C9", "hard"): pages.where(~F.col("html").rlike('(?i)<html[^>]*lang="(en|fr)"') | ~F.col("html").rlike("(?i)<title") | (F.col("url") == "")).select(F.col("page_id").alias("id")),
         ("C10", "warn"): part.groupBy("p_size", F.floor(F.col("p_retailprice") / 10)).agg(F.min("p_partkey").alias("id"), F.count("*").alias("n")).where("n > 1").select("id"),
-        ("C14", "warn"): pages.where(~F.contains("html", title) | (title == "")).select(F.col("page_id").alias("id")),
+        ("C14", "warn"): part.join(texts, "p_partkey").where(~F.contains(F.lower("text"), F.element_at(F.split(F.lower("p_name"), " "), -1))).select(F.col("p_partkey").alias("id")),
     }
     rows = []
     for (name, level), found in violations.items():
