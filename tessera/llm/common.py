@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,8 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
-#: Folders that ``cut`` has written in this process and that ``swept`` may drop.
-_made: list[str] = []
+#: Folders that ``cut`` has written in the innermost ``swept`` of this thread; None outside of one.
+_run: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("run", default=None)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -49,13 +50,13 @@ def drop(spark: SparkSession, path: str) -> None:
 @contextlib.contextmanager
 def swept(spark: SparkSession) -> Iterator[None]:
     """Drops at its end what ``cut`` has written inside it; results must be written by then."""
-    before = len(_made)
+    token = _run.set([])
     try:
         yield
     finally:
-        for path in _made[before:]:
+        for path in _run.get():
             drop(spark, path)
-        del _made[before:]
+        _run.reset(token)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -67,7 +68,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _made.append(path)
+    if (own := _run.get()) is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
