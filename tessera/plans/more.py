@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import retrieval
+from tessera.operators import fields, retrieval
 from tessera.operators.checkpoints import folder
 from tessera.operators.commits import Store
 from tessera.plans.registry import query
@@ -226,11 +226,41 @@ def term_inventory(spark, sf):
     return head.groupBy("term").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
-@query("resume_fields", r"SELECT doc_id, regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]+', 0) AS email, regexp_extract(text, '\+[0-9]+ \([0-9]+\) [0-9]+-[0-9]+', 0) AS phone FROM documents WHERE contains(text, '@') OR contains(text, '+')")
+#: What is read from a profile's text.
+FIELDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]+",
+    "phone": r"\+[0-9]+ \([0-9]+\) [0-9]+-[0-9]+",
+    "address": r"[0-9]{1,3}(\.[0-9]{1,3}){3}",
+    "year": r"(19|20)[0-9]{2}",
+    "licence": r"(MIT|Apache|GNU)[A-Za-z ]{0,30}License",
+    "name": r"[A-Z][a-z]{3,} [A-Z][a-z]{3,}",
+    "heading": r"[A-Z][a-z]+( [a-z]+){0,5}\.",
+    "number": r"[0-9]{4,}",
+}
+_FIELDS = " UNION ALL ".join(f"SELECT doc_id, text, '{name}' AS field, regexp_extract(text, '{pattern}', 0) AS value FROM documents" for name, pattern in FIELDS.items())
+
+
+@query("resume_fields", f"SELECT doc_id, field, value, CAST(strpos(text, value) - 1 AS BIGINT) AS start, CAST(strpos(text, value) - 1 + length(value) AS BIGINT) AS \"end\" FROM ({_FIELDS}) WHERE value <> ''")
 def resume_fields(spark, sf):
-    """The first address and number of a text."""
-    docs = table(spark, sf, "documents").where(F.contains("text", F.lit("@")) | F.contains("text", F.lit("+")))
-    return docs.select("doc_id", F.regexp_extract("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]+", 0).alias("email"), F.regexp_extract("text", r"\+[0-9]+ \([0-9]+\) [0-9]+-[0-9]+", 0).alias("phone"))
+    """Eight fields of a text, each with the place that proves it."""
+    return fields.extracted(domain.documents(spark, sf, "doc_id", "text"), FIELDS)
+
+
+#: Titles of sections, in lower case.
+TITLES = {"licence": ["this work is licensed under the gnu general public license"], "remark": ["the", "la", "el"], "note": ["in", "en"]}
+_TITLE = " ".join(f"WHEN {' OR '.join(f'(starts_with(plain, {chr(39)}{t}{chr(39)}) AND length(plain) <= {len(t) + fields.MORE})' for t in own)} THEN '{name}'" for name, own in TITLES.items())
+
+
+@query("resume_sections", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at_ FROM documents),
+p AS (SELECT *, trim(regexp_replace(translate(lower(regexp_replace(line, '[:：].*$', '')), '（）【】　，。：；！？', '()[] ,.:;!?'), '\s+', ' ', 'g')) AS plain FROM l),
+t AS (SELECT *, CASE """ + _TITLE + r""" END AS title FROM p),
+s AS (SELECT *, coalesce(last_value(title IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY at_ ROWS UNBOUNDED PRECEDING), 'header') AS section, CASE WHEN title IS NULL THEN line ELSE nullif(trim(regexp_extract(line, '[:：](.*)$', 1)), '') END AS kept FROM t)
+SELECT doc_id, section, count(kept) AS lines, md5(coalesce(string_agg(kept, chr(10) ORDER BY at_), '')) AS text_md5 FROM s GROUP BY ALL""")
+def resume_sections(spark, sf):
+    """Sections of a text by their titles."""
+    found = fields.sections(domain.documents(spark, sf, "doc_id", "text"), TITLES)
+    return found.select("doc_id", "section", "lines", F.md5("text").alias("text_md5"))
 
 
 @query("rule_scores", r"SELECT conv_id, turn, CAST(least(40, length(text) // 20) + CASE WHEN contains(text, chr(10)) THEN 20 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9]') THEN 10 ELSE 0 END AS INTEGER) AS score FROM conversations WHERE role = 'assistant'")
