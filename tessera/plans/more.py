@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import fields, retrieval
+from tessera.operators import fields, retrieval, segment
 from tessera.operators.checkpoints import folder
 from tessera.operators.commits import Store
 from tessera.plans.registry import query
@@ -226,6 +226,14 @@ def term_inventory(spark, sf):
     return head.groupBy("term").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
+@query("segmented_words")
+def segmented_words(spark, sf):
+    """Texts cut into the syllables and words of the questions, as scripts without blanks are: best path through a dictionary."""
+    asked = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,4}"), F.lit(0))).alias("word"))
+    found = segment.segmented(domain.documents(spark, sf, "doc_id", "text"), asked.groupBy("word").agg(F.count("*").alias("n")), "[a-z]+")
+    return found.select("doc_id", F.size("tokens").alias("pieces"), F.md5(F.concat_ws(" ", "tokens")).alias("tokens_md5"))
+
+
 #: What is read from a profile's text.
 FIELDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]+",
