@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import dot, half_up, tokens
+from tessera.sources.session import guarded
 
 K1, B = 1.2, 0.75
 #: Asked terms up to which they are sent to every executor; beyond that tokens meet them by a shuffle.
@@ -113,6 +114,7 @@ def fuse_absolute(a: DataFrame, b: DataFrame, saturation: float, k: int) -> Data
 def fuse_ranks(channels: list[tuple[DataFrame, float]], constant: float, k: int) -> DataFrame:
     """Reciprocal rank fusion: sum of weight / (constant + rank)."""
     parts = [c.select("qid", "doc_id", (F.lit(float(w)) / (constant + F.col("rank"))).alias("s")) for c, w in channels]
+    guarded(parts[0].sparkSession)
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
@@ -121,6 +123,7 @@ def fuse_ranks(channels: list[tuple[DataFrame, float]], constant: float, k: int)
 
 def interleave(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """Round robin of two rankings, each document at its first place."""
+    guarded(a.sparkSession)
     both = a.select("qid", "doc_id", "rank", F.lit(0).alias("channel")).union(b.select("qid", "doc_id", "rank", F.lit(1).alias("channel")))
     first = both.groupBy("qid", "doc_id").agg(F.min(F.struct("rank", "channel")).alias("at"))
     order = Window.partitionBy("qid").orderBy("at.rank", "at.channel")
@@ -135,6 +138,7 @@ def peak_ratio(ranking: DataFrame, depth: int = 10) -> DataFrame:
 
 def gated(first: DataFrame, otherwise: DataFrame, gate: DataFrame, threshold: float) -> DataFrame:
     """``first`` for questions whose peak reaches the threshold, ``otherwise`` for the others."""
+    guarded(gate.sparkSession)
     sharp = gate.where(F.col("peak") >= threshold).select("qid")
     return first.join(sharp, "qid", "left_semi").unionByName(otherwise.join(sharp, "qid", "left_anti"))
 
@@ -165,6 +169,7 @@ def feedback_terms(ranking: DataFrame, docs: DataFrame, query_terms: DataFrame,
 
 def filled_picks(picks: DataFrame, ranking: DataFrame, k: int) -> DataFrame:
     """A reranker's picks (qid, doc_id, place), filled up from a ranking to k."""
+    guarded(ranking.sparkSession)
     rest = ranking.join(picks, ["qid", "doc_id"], "left_anti").select("qid", "doc_id", (F.col("rank") + 1_000_000).alias("place"))
     order = Window.partitionBy("qid").orderBy("place")
     return picks.select("qid", "doc_id", "place").union(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "doc_id", "rank")

@@ -13,13 +13,14 @@ from tessera.functions.text import latin_tokens
 from tessera.operators.checkpoints import kept
 from tessera.operators.containment import contained
 from tessera.operators.ordering import within
+from tessera.sources.session import guarded
 
 #: Characters that a line needs to be a chunk.
 LEAST_CHUNK = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return guarded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

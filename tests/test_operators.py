@@ -249,3 +249,18 @@ def test_streams(spark, tmp_path):
     counts: list = []
     streaming.run_available(streaming.windowed_counts(stream(), "ts", "0 seconds", "1 minute"), lambda b, n: counts.extend(b.collect()), str(tmp_path / "c3"))
     assert all(r.n > 0 for r in counts)
+
+
+def test_fused_ranks_have_each_document_once(spark):
+    """Rankings that several fusions read again, in which a union must not be taken as dealt by question."""
+    rng = random.Random(4)
+    rows = [(q, d, rng.random()) for q in range(40) for d in rng.sample(range(400), 60)]
+    table = spark.createDataFrame(rows, "qid long, doc_id long, score double")
+    a, b = retrieval.top(table, 50), retrieval.top(table.withColumn("score", -F.col("score")), 50)
+    gold = spark.createDataFrame([(q, d) for q, d, _ in rows[:: 7]], "qid long, doc_id long")
+    found = None
+    for w in (0.2, 0.5, 0.8):
+        fused = retrieval.fuse_ranks([(a, w), (b, 1 - w)], 60, 1_000_000)
+        row = gold.join(fused, ["qid", "doc_id"], "left").agg(F.count("*").alias("refs"))
+        found = row if found is None else found.union(row)
+    assert {r.refs for r in found.collect()} == {gold.count()}
