@@ -164,6 +164,21 @@ def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct()
 
 
+def peeled(edges: DataFrame) -> DataFrame:
+    """node: those left when nodes without a way in or out are taken off again and again: on cycles, or on a way from one to another.
+
+    A few cheap rounds, which tell whether there is a cycle; ``cyclic`` takes components to leave out the ways between.
+    """
+    left = settled(edges.select("src", "dst").distinct())
+    n = left.count()
+    while True:
+        inner = left.select("src").intersect(left.select("dst")).withColumnRenamed("src", "node")
+        left = settled(left.join(inner, F.col("src") == F.col("node"), "left_semi").join(inner, F.col("dst") == F.col("node"), "left_semi"))
+        if (m := left.count()) == n:
+            return left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+        n = m
+
+
 def cyclic(edges: DataFrame) -> DataFrame:
     """node: those that lie on a cycle, loops included."""
     loops = edges.where("src = dst").select(F.col("src").alias("node"))

@@ -125,10 +125,10 @@ def learning_order(spark, sf):
 e AS (SELECT src, dst FROM prerequisites UNION SELECT dst, src FROM prerequisites JOIN tops ON src = p_partkey)
 SELECT DISTINCT src AS node FROM prerequisites JOIN tops ON src = p_partkey UNION SELECT DISTINCT dst FROM prerequisites JOIN tops ON src = p_partkey"""))
 def cycle_nodes(spark, sf):
-    """Nodes on cycles, after edges back into a third of tier 2 are added."""
+    """Nodes on cycles or between them, by peeling, after edges back into a third of tier 2 are added."""
     edges = domain.prerequisites(spark, sf)
     back = table(spark, sf, "part").where("ceil(p_size / 10) = 2 and p_partkey % 3 = 0").select(F.col("p_partkey").alias("src"))
-    return graph.cyclic(edges.union(edges.join(back, "src", "left_semi").select("dst", "src")))
+    return graph.peeled(edges.union(edges.join(back, "src", "left_semi").select("dst", "src")))
 
 
 _BACK = """
