@@ -73,8 +73,9 @@ def _gap(spark, sf):
     """profile, skill and depth of what a target occupation needs, directly or before it, and the profile lacks."""
     edges = domain.prerequisites(spark, sf)
     # What an occupation needs is found once, however many profiles ask for it.
-    needed = graph.ancestors(domain.requires(spark, sf).select(F.col("occupation").alias("owner"), F.col("skill").alias("node")), edges)
-    needed = needed.select(F.col("owner").alias("occupation"), F.col("node").alias("skill"))
+    direct = domain.requires(spark, sf).select("occupation", "skill")
+    before = direct.join(graph.closure(edges).withColumnRenamed("dst", "skill"), "skill").select("occupation", F.col("src").alias("skill"))
+    needed = direct.union(before).distinct()
     gap = _targets(spark, sf).join(needed, "occupation").select("profile", "skill").join(domain.owned(spark, sf), ["profile", "skill"], "left_anti")
     depth = graph.depths(table(spark, sf, "part").select(F.col("p_partkey").alias("node")), edges)
     return gap.join(depth.withColumnRenamed("node", "skill"), "skill").select("profile", "skill", "depth")
