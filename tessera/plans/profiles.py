@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import graph
 from tessera.plans.checks import check
-from tessera.plans.recommend import _COVERED, _GAP, _best, _gap, _scores, _targets, _weighted
+from tessera.plans.recommend import _COVERED, _GAP, _askers, _best, _needs, _scores, _targets, _weighted
 from tessera.plans.registry import query
 from tessera.sources import domain
 from tessera.sources.domain import ctes, table
@@ -80,15 +80,18 @@ SELECT r.profile, required, coalesce(h.owned, 0) AS owned, string_agg(CASE WHEN
 FROM r LEFT JOIN h USING (profile) LEFT JOIN o USING (profile) GROUP BY r.profile, required, h.owned""")
 def skill_gap_tool(spark, sf):
     """M7: required and owned skills, the first steps, the tools of what is missing and the next role."""
-    direct = _targets(spark, sf).join(domain.requires(spark, sf), "occupation").select("profile", "skill")
-    have = domain.owned(spark, sf).withColumn("have", F.lit(1))
-    counts = direct.join(have, ["profile", "skill"], "left").groupBy("profile").agg(F.count("*").alias("required"), F.count("have").alias("owned"))
-    types = table(spark, sf, "part").select(F.col("p_partkey").alias("skill"), "p_type")
-    missing = _gap(spark, sf).join(types, "skill").withColumn("step", F.row_number().over(Window.partitionBy("profile").orderBy("depth", "skill")))
-    steps = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("step") <= 3, F.struct("step", "skill")))), lambda x: x.skill.cast("string")), ",")
-    what = missing.groupBy("profile").agg(steps.alias("first_steps"), F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("tools"))
-    following = domain.transitions(spark, sf).groupBy(F.col("src").alias("occupation")).agg(F.min("dst").alias("next_role")).join(_targets(spark, sf), "occupation").select("profile", "next_role")
-    return counts.join(what, "profile", "left").join(following, "profile", "left")
+    direct = domain.requires(spark, sf).groupBy("occupation").agg(F.count("*").alias("required"), F.collect_list("skill").alias("direct"))
+    lists = _needs(spark, sf, "p_type").groupBy("occupation", "depth", "p_type").agg(F.array_sort(F.collect_list("skill")).alias("skills"))
+    lists = lists.groupBy("occupation").agg(F.collect_list(F.struct("depth", "p_type", "skills")).alias("lists"))
+    following = domain.transitions(spark, sf).groupBy(F.col("src").alias("occupation")).agg(F.min("dst").alias("next_role"))
+    rows = _askers(spark, sf).join(direct, "occupation").join(lists, "occupation", "left").join(following, "occupation", "left")
+    # Of each depth and type, three skills in order are enough for the first three of all.
+    lacked = F.transform("lists", lambda x: F.struct(x.depth.alias("depth"), x.p_type.alias("p_type"), F.slice(F.array_except(x.skills, F.col("have")), 1, 3).alias("first")))
+    rows = rows.select("profile", "required", F.size(F.array_intersect("direct", "have")).cast("long").alias("owned"), F.filter(lacked, lambda x: F.size(x.first) > 0).alias("lacked"), "next_role")
+    first = F.slice(F.array_sort(F.flatten(F.transform("lacked", lambda x: F.transform(x.first, lambda s: F.struct(x.depth.alias("depth"), s.alias("skill")))))), 1, 3)
+    some, known = F.col("profile").isNotNull() & (F.size("lacked") > 0), F.col("profile").isNotNull()
+    steps, tools = F.array_join(F.transform(first, lambda x: x.skill.cast("string")), ","), F.array_join(F.array_sort(F.array_distinct(F.col("lacked.p_type"))), ",")
+    return rows.select("profile", "required", "owned", F.when(some, steps).alias("first_steps"), F.when(some, tools).alias("tools"), F.when(known, F.col("next_role")).alias("next_role"))
 
 
 @query("path_plan", _GAP + """,
@@ -97,9 +100,14 @@ p AS (SELECT g.profile, g.skill, CAST(least(3, depth // 2 + 1) AS INTEGER) AS st
 SELECT profile, stage, count(*) AS skills, CAST(sum(hours) AS BIGINT) AS hours, CAST(ceil(sum(hours) / 10.0) AS BIGINT) AS weeks, max(priority) AS top_priority, arg_min(skill, (-priority, skill)) AS first_skill FROM p GROUP BY ALL""")
 def path_plan(spark, sf):
     """M4: missing skills with priority and stage; each stage's hours, weeks and first skill."""
-    priority = _targets(spark, sf).join(_weighted(spark, sf), "occupation").groupBy("profile", "skill").agg(F.max("w").alias("priority"))
-    p = _gap(spark, sf).join(priority, ["profile", "skill"], "left").select("profile", "skill", F.least(F.lit(3), F.floor(F.col("depth") / 2) + 1).cast("int").alias("stage"), F.coalesce("priority", F.lit(0)).cast("long").alias("priority"), (8 + 4 * (F.col("skill") % 5)).alias("hours"))
-    return p.groupBy("profile", "stage").agg(F.count("*").alias("skills"), F.sum("hours").alias("hours"), F.ceil(F.sum("hours") / 10.0).cast("long").alias("weeks"), F.max("priority").alias("top_priority"), F.min_by("skill", F.struct((-F.col("priority")).alias("p"), "skill")).alias("first_skill"))
+    hours = 8 + 4 * (F.col("skill") % 5)
+    own = F.struct((-F.coalesce("priority", F.lit(0)).cast("long")).alias("first"), "skill")
+    lists = _needs(spark, sf).groupBy("occupation", "depth").agg(F.array_sort(F.collect_list(own)).alias("items"), F.sum(hours).alias("hours")).select("occupation", "depth", F.col("items.skill").alias("skills"), F.col("items.first").alias("firsts"), "hours")
+    # What a profile owns of a list is short and taken off the list's sums; of the rest, the first one is the most important.
+    met = _askers(spark, sf).join(lists, "occupation").withColumns({"met": F.array_intersect("skills", "have"), "skill": F.get(F.array_except("skills", "have"), F.lit(0))}).where(F.col("skill").isNotNull())
+    paid = F.aggregate("met", F.lit(0).cast("long"), lambda s, x: s + 8 + 4 * (x % 5))
+    p = met.select("profile", F.least(F.lit(3), F.floor(F.col("depth") / 2) + 1).cast("int").alias("stage"), "skill", F.get("firsts", (F.array_position("skills", F.col("skill")) - 1).cast("int")).alias("first"), (F.size("skills") - F.size("met")).cast("long").alias("n"), (F.col("hours") - paid).alias("hours"))
+    return p.groupBy("profile", "stage").agg(F.sum("n").alias("skills"), F.sum("hours").alias("hours"), F.ceil(F.sum("hours") / 10.0).cast("long").alias("weeks"), (-F.min("first")).alias("top_priority"), F.min_by("skill", F.struct("first", "skill")).alias("first_skill"))
 
 
 @query("recommend_details", ctes("requires", "owned", body=_COVERED + """,

@@ -1,5 +1,10 @@
 """What must not move between tasks, as there are many more rows of it than of the tables, and numbers on odd inputs."""
 
+import re
+
+import pytest
+
+from tessera import plans
 from tessera.plans import recommend
 from tessera.sources import domain
 
@@ -21,3 +26,9 @@ def test_scores_of_odd_numbers(spark, monkeypatch):
     monkeypatch.setattr(recommend, "table", lambda *_: spark.range(3))
     found = {(r.profile, r.occupation): (r.score, r.owned, r.missing) for r in recommend._scores(spark, "").collect()}
     assert found == {(1, 7): (0.75, 1, 1), (1, -70_000): (1.0, 1, 0), (1, 2**40 + 5): (0.9524, 1, 1), (2, 2**40 + 5): (0.0476, 1, 1)}
+
+
+@pytest.mark.parametrize("name", ["skill_gap", "learning_path_gap", "path_plan", "skill_gap_tool"])
+def test_what_profiles_lack_is_not_moved(spark, sf_dir, name):
+    plan = _plan(plans.queries()[name](spark, sf_dir))
+    assert not re.search(r"Join \[profile#\d+L?, skill#", plan)
