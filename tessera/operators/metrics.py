@@ -29,7 +29,7 @@ def summary(found: DataFrame, layer: str) -> DataFrame:
 
 
 def threshold_sweep(signal: DataFrame, grid: list[float]) -> DataFrame:
-    """Rejection and false rejection of answerable (qid, answerable, signal) at each threshold."""
+    """Rejection and false rejection of answerable (qid, answerable, signal) at each threshold; no accuracy (NaN) where all or none are answerable."""
     steps = F.explode(F.array(*[F.lit(float(t)) for t in grid])).alias("threshold")
     per = signal.select("answerable", "signal", steps).groupBy("threshold").agg(
         F.count_if(~F.col("answerable") & (F.col("signal") < F.col("threshold"))).alias("rejected"),
@@ -38,4 +38,5 @@ def threshold_sweep(signal: DataFrame, grid: list[float]) -> DataFrame:
         F.count_if("answerable").alias("answerable"),
     )
     rejection, wrong = F.col("rejected") / F.col("unanswerable"), F.col("false_rejects") / F.col("answerable")
-    return per.select("threshold", "rejected", "false_rejects", half_up((rejection + 1 - wrong) / 2, 4).alias("balanced_accuracy"))
+    accuracy = F.when((F.col("unanswerable") > 0) & (F.col("answerable") > 0), half_up((rejection + 1 - wrong) / 2, 4)).otherwise(F.lit(float("nan")))
+    return per.select("threshold", "rejected", "false_rejects", accuracy.alias("balanced_accuracy"))

@@ -6,6 +6,7 @@ import pytest
 
 from tessera import plans
 from tessera.plans import recommend
+from tessera.operators import metrics
 from tessera.sources import domain
 
 
@@ -32,3 +33,9 @@ def test_scores_of_odd_numbers(spark, monkeypatch):
 def test_what_profiles_lack_is_not_moved(spark, sf_dir, name):
     plan = _plan(plans.queries()[name](spark, sf_dir))
     assert not re.search(r"Join \[profile#\d+L?, skill#", plan)
+
+
+@pytest.mark.parametrize("answerable", [True, False])
+def test_threshold_sweep_without_one_kind(spark, answerable):
+    rows = metrics.threshold_sweep(spark.createDataFrame([(1, answerable, 3.0), (2, answerable, 7.0)], "qid long, answerable boolean, signal double"), [5]).collect()
+    assert [(r.threshold, r.rejected, r.false_rejects) for r in rows] == [(5.0, 0 if answerable else 1, 1 if answerable else 0)] and rows[0].balanced_accuracy != rows[0].balanced_accuracy
