@@ -49,3 +49,13 @@ def test_titles_end_within_an_entity(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     found = plans.queries()["page_titles"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, found)) == sorted(con.sql(plans.oracle_sql()["page_titles"]).fetchall())
+
+
+def test_dimension_report_rounds_exactly(spark, tmp_path):
+    """Scores that lie between two numbers of four digits go up, whatever the order in which credits are added."""
+    flags = "A" * 14 + "R" * 2, "A" * 13 + "N" * 23 + "R" * 44
+    spark.createDataFrame([(o, 1, f) for o, fs in enumerate(flags) for f in fs], "l_suppkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "x")], "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    found = {r.occupation: r.overall for r in plans.queries()["dimension_report"](spark, str(tmp_path)).collect()}
+    points = [100 * f.count("N") + 35 * f.count("A") for f in flags]
+    assert found == {o: ((p * 20000 + 100 * len(f)) // (200 * len(f))) / 10000 for o, (p, f) in enumerate(zip(points, flags, strict=True))}
