@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +21,8 @@ HAN = "[一-鿿]+"
 LATIN = r"[a-z0-9][a-z0-9+._#-]*"
 #: Words that a dictionary may have, as all of it goes to every task.
 WORDS = 500_000
+#: Runs whose cuts a task remembers, and characters of the longest such run.
+RUNS, SHORT_RUN = 200_000, 64
 
 
 def weights(words: dict[str, int]) -> tuple[dict[str, float], float]:
@@ -54,6 +56,22 @@ def cut(run: str, weight: dict[str, float], unknown: float, longest: int) -> lis
     return out
 
 
+def cutter(weight: dict[str, float], unknown: float, longest: int) -> Callable[[str], list[str]]:
+    """``cut`` that remembers the cuts of short runs, which texts repeat more often than not."""
+    known: dict[str, list[str]] = {}
+
+    def pieces(run: str) -> list[str]:
+        if len(run) > SHORT_RUN:
+            return cut(run, weight, unknown, longest)
+        if (made := known.get(run)) is None:
+            if len(known) >= RUNS:
+                known.clear()
+            known[run] = made = cut(run, weight, unknown, longest)
+        return made
+
+    return pieces
+
+
 def segmented(docs: DataFrame, dictionary: DataFrame, script: str = HAN) -> DataFrame:
     """doc_id and tokens of each ``text``, in lower case and in order; ``dictionary`` has word and n (how often it occurs)."""
     rows = dictionary.where("word is not null and n > 0").groupBy("word").agg(F.sum("n").alias("n")).limit(WORDS + 1).collect()
@@ -64,13 +82,13 @@ def segmented(docs: DataFrame, dictionary: DataFrame, script: str = HAN) -> Data
     pattern = f"(?P<run>{script})|{LATIN}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = re.compile(pattern)
+        found, pieces = re.compile(pattern), cutter(weight, unknown, longest)
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
                 own: list[str] = []
                 for m in found.finditer((text or "").lower()):
-                    own += cut(m[0], weight, unknown, longest) if m["run"] else [m[0]]
+                    own += pieces(m[0]) if m["run"] else [m[0]]
                 out.append(own)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.string()))], ["doc_id", "tokens"])
 

@@ -34,3 +34,17 @@ def test_texts_of_both_scripts(spark):
     got = {r.doc_id: r.tokens for r in segment.segmented(docs, words).collect()}
     assert got == {1: ["中国", "人民", "c++", "工程师", "x"], 2: [], 3: [], 4: ["好", "好"]}
     assert segment.segmented(docs, words.limit(0)).where("doc_id = 1").first().tokens[:2] == ["中", "国"]
+
+
+def test_a_run_that_texts_repeat_is_cut_once(monkeypatch):
+    """The cut of a run is remembered, and forgetting changes nothing."""
+    weight, unknown = segment.weights(WORDS)
+    made, plain = [], segment.cut
+    monkeypatch.setattr(segment, "cut", lambda run, *rest: made.append(run) or plain(run, *rest))
+    runs = ["中国人民", "工程师", "中国人", "中国人民", "好" * 100, "工程师", "好" * 100]
+    pieces = segment.cutter(weight, unknown, 3)
+    assert [pieces(r) for r in runs] == [plain(r, weight, unknown, 3) for r in runs]
+    assert made == ["中国人民", "工程师", "中国人", "好" * 100, "好" * 100]
+    monkeypatch.setattr(segment, "RUNS", 1)
+    pieces = segment.cutter(weight, unknown, 3)
+    assert [pieces(r) for r in runs] == [plain(r, weight, unknown, 3) for r in runs]
