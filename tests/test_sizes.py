@@ -64,3 +64,20 @@ def test_dimension_report_rounds_exactly(spark, tmp_path):
 def test_blocks_of_the_index_move_once(spark, sf_dir):
     plan = _plan(plans.queries()["bm25_topk"](spark, sf_dir))
     assert re.search(r"hashpartitioning\(shard#", plan) and "hashpartitioning(group" not in plan
+
+
+def test_chunks_are_placed_without_moving_texts(spark, tmp_path):
+    """Null texts have no lines; blank lines, other line ends and characters beyond the first plane count as they stand."""
+    texts = [(1, None), (2, ""), (3, "a" * 40 + "\n\n" + "😀" * 41 + "\r\n" + "b" * 39), (4, "\n" + "c" * 40 + "\n")]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = domain.chunks(spark, str(tmp_path))
+    assert "hashpartitioning" not in _plan(rows)
+    want = [(3, 0, 0, 40, "a" * 40), (3, 2, 42, 84, "😀" * 41 + "\r"), (4, 1, 1, 41, "c" * 40)]
+    found = lambda df: sorted(df.select("doc_id", "pos", "start", "end", "text").collect())
+    assert found(rows) == want and found(domain.chunks(spark, str(tmp_path), spark.createDataFrame([(4,), (9,), (4,)], "doc_id long"))) == want[2:]
+
+
+@pytest.mark.parametrize("name", ["parent_contexts", "budget_control"])
+def test_pairs_of_questions_and_chunks_are_not_moved(spark, sf_dir, name):
+    plan = _plan(plans.queries()[name](spark, sf_dir))
+    assert "term#" not in plan and "tf#" not in plan
