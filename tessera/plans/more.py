@@ -8,8 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import fields, retrieval, segment
-from tessera.operators.checkpoints import folder
+from tessera.operators import fields, retrieval, segment, text_index
+from tessera.operators.checkpoints import folder, settled
 from tessera.operators.commits import Store
 from tessera.plans.registry import query
 from tessera.plans.retrieval import _BOTH, _CHANNELS, _bm25, _dense, _outcomes, _OUTCOMES
@@ -69,7 +69,8 @@ h AS (SELECT split, half, n - half AS rest, sum(a) FILTER (inside) AS a_in, sum(
 SELECT count(*) AS splits, count(*) FILTER (b_in > a_in) AS chosen, floor(avg(greatest(a_in, b_in) / half::DOUBLE - CASE WHEN b_in > a_in THEN b_all - b_in ELSE a_all - a_in END / rest::DOUBLE) * 10000 + 0.5) / 10000 AS optimism FROM h"""))
 def split_half(spark, sf):
     """Optimism of choosing a measure by one half of the questions, over seeded splits of all of them."""
-    own = _outcomes(spark, sf).select("qid", (F.col("hits1") > 0).cast("int").alias("a"), (F.col("hits3") > 0).cast("int").alias("b"))
+    # A row for each question; settled, as the search would run again for their number.
+    own = settled(_outcomes(spark, sf).select("qid", (F.col("hits1") > 0).cast("int").alias("a"), (F.col("hits3") > 0).cast("int").alias("b")))
     n = own.count()
     half = n // 2
     dealt = own.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
@@ -88,10 +89,10 @@ h AS (SELECT DISTINCT t.qid FROM t JOIN n USING (qid) JOIN (SELECT DISTINCT doc_
 SELECT count(*) AS questions, count(h.qid) AS answered FROM n LEFT JOIN h USING (qid)"""))
 def keyword_hit_rate(spark, sf):
     """Questions whose terms all stand in one document."""
+    index = text_index.index_of(spark, f"{sf}/documents.parquet", domain.documents(spark, sf, "doc_id", "text"))
     t = domain.questions(spark, sf).select("qid", "term").distinct()
     n = t.groupBy("qid").agg(F.count("*").alias("terms"))
-    own = retrieval.postings(table(spark, sf, "documents").select("doc_id", "text"), wanted=t)
-    full = t.join(own, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("found")).join(n, "qid").where("found = terms").select("qid").distinct().withColumn("hit", F.lit(1))
+    full = text_index.answered(index, t).select("qid").distinct().withColumn("hit", F.lit(1))
     return n.join(full, "qid", "left").agg(F.count("*").alias("questions"), F.count("hit").alias("answered"))
 
 
