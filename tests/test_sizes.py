@@ -81,3 +81,9 @@ def test_chunks_are_placed_without_moving_texts(spark, tmp_path):
 def test_pairs_of_questions_and_chunks_are_not_moved(spark, sf_dir, name):
     plan = _plan(plans.queries()[name](spark, sf_dir))
     assert "term#" not in plan and "tf#" not in plan
+
+
+@pytest.mark.parametrize("name", ["keyword_hit_rate", "split_half", "language_gates", "weight_sweep"])
+def test_searches_do_not_run_again(spark, sf_dir, name):
+    plan = _plan(plans.queries()[name](spark, sf_dir))
+    assert plan.count("FlatMapGroupsInArrow") == (1 if name == "keyword_hit_rate" else 0)
