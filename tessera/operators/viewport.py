@@ -1,6 +1,7 @@
 """What of a laid-out graph a view shows: the camera that fits a set of nodes, and edges cut at boxes.
 
-All are expressions over one row, so edges of any number are cut where they lie.
+All are expressions over one row, so edges of any number are cut where they lie. What several of them need is worked
+out once a row, by ``once``: a filter that Spark moves down takes all that it is made of along, at each place again.
 """
 
 from __future__ import annotations
@@ -16,6 +17,11 @@ def camera(nodes: DataFrame, width: float, height: float, pad: float) -> DataFra
     return box.select(((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), scale.alias("scale"))
 
 
+def once(rows: DataFrame, **values: Column) -> DataFrame:
+    """Adds columns that are worked out once a row, whatever is filtered by them or made of them; a list of one struct, laid out, is one row."""
+    return rows.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
 def trimmed(edges: DataFrame, half_width: float, half_height: float) -> DataFrame:
     """Edges (x0, y0, x1, y1 between the middles of two nodes) that end at the border of each node's box, or in its middle where the boxes meet it before."""
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
@@ -24,8 +30,8 @@ def trimmed(edges: DataFrame, half_width: float, half_height: float) -> DataFram
         return F.when(d == 0, F.lit(float("inf"))).otherwise(half / F.abs(d))
 
     t = F.least(F.lit(1.0), reach(dx, half_width), reach(dy, half_height))
-    t = F.when((dx == 0) & (dy == 0), 0.0).otherwise(t)
-    return edges.withColumns({"x0": F.col("x0") + dx * t, "y0": F.col("y0") + dy * t, "x1": F.col("x1") - dx * t, "y1": F.col("y1") - dy * t})
+    edges, t = once(edges, _t=F.when((dx == 0) & (dy == 0), 0.0).otherwise(t)), F.col("_t")
+    return edges.withColumns({"x0": F.col("x0") + dx * t, "y0": F.col("y0") + dy * t, "x1": F.col("x1") - dx * t, "y1": F.col("y1") - dy * t}).drop("_t")
 
 
 def clipped(edges: DataFrame, left: float, top: float, right: float, bottom: float) -> DataFrame:
@@ -38,6 +44,6 @@ def clipped(edges: DataFrame, left: float, top: float, right: float, bottom: flo
     beside = F.lit(False)
     for p, q in sides:
         beside = beside | ((p == 0) & (q < 0))
-    inside = edges.withColumns({"_in": enter, "_out": leave}).where(~beside & (F.col("_in") <= F.col("_out")))
+    inside = once(edges, _in=enter, _out=leave, _beside=beside).where(~F.col("_beside") & (F.col("_in") <= F.col("_out")))
     ends = {"x0": F.col("x0") + dx * F.col("_in"), "y0": F.col("y0") + dy * F.col("_in"), "x1": F.col("x0") + dx * F.col("_out"), "y1": F.col("y0") + dy * F.col("_out")}
-    return inside.withColumns(ends).drop("_in", "_out")
+    return inside.withColumns(ends).drop("_in", "_out", "_beside")

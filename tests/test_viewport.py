@@ -45,3 +45,12 @@ def test_smallest_windows_equal_trying_all(spark):
                 want[i] = min(spans)[1:]
     got = {r.qid: (r.start, r.end) for r in anchors.windows(spark.createDataFrame(rows, "qid long, doc_id long, text string, anchors array<string>")).collect()}
     assert got == want and len(want) > 50
+
+
+def test_terms_of_cut_edges_are_worked_out_once_a_row(spark):
+    """A filter that is moved down would hold the whole terms at each place where it needs them."""
+    rows = spark.createDataFrame([(0.0, 0.0, 100.0, 10.0), (5.0, 5.0, 5.0, 5.0), (-9.0, 0.0, -5.0, 9.0), (None, 0.0, 1.0, 1.0)], "x0 double, y0 double, x1 double, y1 double")
+    cut = viewport.clipped(viewport.trimmed(rows, 20, 10), 0, 0, 60, 60)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("abs(") == 2
+    assert [tuple(r) for r in cut.collect()] == [(20.0, 2.0, 60.0, 6.0), (5.0, 5.0, 5.0, 5.0)]
