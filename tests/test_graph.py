@@ -1,10 +1,13 @@
 """Components, cycles and relaxation against plain versions on random graphs; interval joins against all pairs."""
 
 import random
+import re
 
 import pytest
 
+from tessera import plans
 from tessera.operators import graph, intervals
+from tessera.sources import domain
 
 
 def _components(nodes, edges):
@@ -102,3 +105,32 @@ def test_interval_joins_equal_all_pairs(spark, width):
     assert sorted(tuple(r) for r in intervals.holding(points, b, "k", "p", ("start", "end"), width).select("k", "p", "start", "end").collect()) == want
     # The join's keys are the document and the bin, so a long document is dealt over many tasks.
     assert "_bin" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_neighbours_equal_counting_the_adjacency(spark):
+    """Edges both ways, again, in loops, to evidence, to unknown or missing ends, and a node with very many."""
+    rows = [("a", "b"), ("b", "a"), ("a", "b"), ("c", "c"), ("a", "chunk:1"), ("a", "gone"), ("gone", "b"), ("gone", "lost"), ("chunk:2", "a"), (None, "a"), ("a", None)]
+    rows += [("hub", f"n{i % 300}") for i in range(900)]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    nodes = spark.createDataFrame([(n,) for n in ["a", "b", "c", "c", "hub", "alone", None, *(f"n{i}" for i in range(250))]], "node string")
+    near = {(a, b) for x, y in rows for a, b in ((x, y), (y, x))}
+    known = {r.node for r in nodes.collect()} - {None}
+    want = {}
+    for a, b in sorted((a, b) for a, b in near if a in known and b in known):
+        want.setdefault(a, []).append(b)
+    assert len(want["hub"]) == 250
+    for tasks in (1, 3):
+        found = graph.neighbours(edges, nodes, tasks)
+        assert sorted(map(tuple, found.collect())) == sorted((a, len(b), b[0]) for a, b in want.items())
+        assert sorted(map(tuple, graph.adjacency(edges, nodes, tasks=tasks).collect())) == sorted((a, b) for a, bs in want.items() for b in bs)
+
+
+def test_edges_are_dealt_out_by_their_number(spark, sf_dir, monkeypatch):
+    """Neither all nodes nor more edges than some number lie in a task, whatever the session's setting; the nodes are not sent to all."""
+    monkeypatch.setattr(domain, "ROWS_A_TASK", 500)
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    tasks = -(-rows // 500)
+    for name, deal in (("neighbors_1hop", f"share#\\d+L?, {2 * tasks}"), ("edge_endpoints", f"occupation#\\d+L?, skill#\\d+L?, {tasks}")):
+        plan = plans.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"hashpartitioning\([^)]*{deal}\), REPARTITION_BY_NUM", plan)
+        assert name != "neighbors_1hop" or not re.search(r"BroadcastHashJoin [^\n]*node#", plan)
